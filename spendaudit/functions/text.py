@@ -33,9 +33,20 @@ def one_decimal(value: Column) -> Column:
     return F.call_function("format_number", value, F.lit("0.0"))
 
 
-def plain_number(value: Column, places: int = 2) -> Column:
-    """Shortest text of a number rounded to ``places``, at least one decimal: 0.5, 1.0, 0.25."""
-    return F.call_function("format_number", F.bround(value, places), F.lit("0.0" + "#" * (places - 1)))
+def plain_number(value: Column) -> Column:
+    """Shortest text of a number rounded to two decimals, at least one shown: 0.5, 1.0, 0.25."""
+    return F.call_function("format_number", value, F.lit("0.0#"))
+
+
+def round_printed(value: Column, places: int) -> Column:
+    """Rounded as a number prints: exact binary value, ties to even."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * places)).cast("double")
+
+
+def round_scaled(value: Column, places: int) -> Column:
+    """Rounded after scaling, ties to even; this is how array libraries round whole columns."""
+    scale = F.lit(10.0**places)
+    return F.rint(value * scale) / scale
 
 
 def blank_to_null(text: Column) -> Column:

@@ -9,11 +9,12 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from spendaudit import fixed_values as fixed
 from spendaudit.config import AuditConfig
 from spendaudit.functions.frames import one_row
-from spendaudit.functions.text import description_tokens
+from spendaudit.functions.text import description_tokens, round_printed
 from spendaudit.session import materialize
 
 CLUSTER_KEY = ["member", "normtext", "sanctioned_amount", "sanction_date"]
@@ -161,7 +162,7 @@ def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) ->
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of whole texts, earlier work first."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
@@ -199,7 +200,7 @@ def pair_record(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         "tier",
         label.alias("label"),
-        F.bround(F.col("ratio") * 100, 1).alias("similarity_score"),
+        round_printed(F.col("ratio") * 100, 1).alias("similarity_score"),
         "matching_fields",
         "work_a",
         "work_b",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendaudit import fixed_values as fixed
-from spendaudit.functions.text import lookup, message, one_decimal
+from spendaudit.functions.text import lookup, message, one_decimal, round_printed
 from spendaudit.operators.duplicates import matches_per_work
 
 FINDING_TYPE = (
@@ -65,7 +65,7 @@ def rule_finding(reason: Column) -> Column:
 def overrun_finding() -> Column:
     text, band = fixed.OVERRUN_FINDING, F.coalesce(F.col("overrun_band"), F.lit("LOW"))
     weight = F.coalesce(lookup(text["weights"], band), F.lit(40))
-    what = message(text["what"], percent=one_decimal(F.bround("overrun_pct", 2)), band=F.initcap(F.lower(band)))
+    what = message(text["what"], percent=one_decimal(round_printed(F.col("overrun_pct"), 2)), band=F.initcap(F.lower(band)))
     one = finding("cost_overrun", F.lit(text["headline"]), what, F.lit(text["why"]), weight, F.lit(text["action"]))
     return F.when(F.col("is_overrun"), one)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from spendaudit import fixed_values as fixed
 from spendaudit.config import AuditConfig
+from spendaudit.functions.text import round_scaled
 from spendaudit.operators.quantiles import exact_quantiles, percentile_rank
 from spendaudit.session import materialize
 
@@ -144,7 +145,7 @@ def normalize_scores(scored: DataFrame, raw: str) -> DataFrame:
     unit = (F.col(raw) - F.lit(low)) / F.lit(max(high - low, 1e-6))
     return scored.withColumns(
         {
-            "ml_anomaly_score": F.bround(unit, 4),
+            "ml_anomaly_score": round_scaled(unit, 4),
             "ml_anomaly_percentile": percentile_rank(scored, raw),
         }
     )

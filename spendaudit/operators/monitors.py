@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spendaudit import fixed_values as fixed
 from spendaudit.config import AuditConfig
-from spendaudit.functions.text import message, plain_number
+from spendaudit.functions.text import message, plain_number, round_printed
 from spendaudit.operators.duplicates import duplicate_ids
 from spendaudit.operators.quantiles import quantile_values
 
@@ -80,7 +80,7 @@ def overrun_record(df: DataFrame) -> DataFrame:
         {
             "compared_amount": F.when(known, compared),
             "reported_overrun_amount": F.when(known, F.when(over, F.col("overrun_amount")).otherwise(0.0)),
-            "reported_overrun_pct": F.when(known, F.when(over, F.bround("overrun_pct", 2)).otherwise(0.0)),
+            "reported_overrun_pct": F.when(known, F.when(over, round_printed(F.col("overrun_pct"), 2)).otherwise(0.0)),
         }
     )
 
@@ -94,8 +94,8 @@ def overrun_summary(df: DataFrame) -> DataFrame:
         F.count_if(over).alias("overrun_flagged_count"),
         F.coalesce(F.sum(F.when(over, F.col("overrun_amount"))), F.lit(0.0)).alias("total_overrun_amount"),
         *[F.count_if(band == b).alias(f"{b.lower()}_band_count") for b in ("LOW", "MEDIUM", "HIGH")],
-        F.bround(F.max("overrun_low_max"), 1).alias("low_max"),
-        F.bround(F.max("overrun_medium_max"), 1).alias("medium_max"),
+        round_printed(F.max("overrun_low_max"), 1).alias("low_max"),
+        round_printed(F.max("overrun_medium_max"), 1).alias("medium_max"),
     )
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendaudit.functions.text import round_scaled
 from spendaudit.session import materialize
 
 
@@ -121,7 +122,7 @@ def rank_steps(df: DataFrame, score: str, decimals: int = 1) -> tuple[list[float
     average = last - (F.col("copies") - 1) / 2
     steps = (
         ranged.join(offsets, "slice")
-        .select("score", F.bround(average / F.lit(ends[-1]) * 100, decimals).alias("percentile"))
+        .select("score", round_scaled(average / F.lit(ends[-1]) * 100, decimals).alias("percentile"))
         .groupBy("percentile")
         .agg(F.min("score").alias("score"))
         .orderBy("score")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from spendaudit import fixed_values as fixed
 from spendaudit.config import AuditConfig
-from spendaudit.functions.text import encode_reasons, message, one_decimal
+from spendaudit.functions.text import encode_reasons, message, one_decimal, round_scaled
 
 
 def statistical_score(config: AuditConfig = AuditConfig()) -> Column:
     """0..100 from the larger absolute z-score; no z-score means no statistical evidence."""
     z = F.coalesce(F.greatest(F.abs("sanc_robust_zscore"), F.abs("exp_robust_zscore")), F.lit(0.0))
-    return F.bround(F.lit(100.0) * (F.lit(1.0) - F.exp(-z / config.stat_scale)), 1)
+    return round_scaled(F.lit(100.0) * (F.lit(1.0) - F.exp(-z / config.stat_scale)), 1)
 
 
 def composite_score(config: AuditConfig = AuditConfig()) -> Column:
@@ -22,7 +22,7 @@ def composite_score(config: AuditConfig = AuditConfig()) -> Column:
         + F.lit(config.ml_weight) * F.col("ml_anomaly_percentile")
         + F.lit(config.stat_weight) * F.col("stat_risk_score")
     )
-    return F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1)
+    return round_scaled(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1)
 
 
 def risk_level() -> Column:
