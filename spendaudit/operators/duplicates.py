@@ -17,7 +17,7 @@ from spendaudit.functions.frames import one_row
 from spendaudit.functions.text import description_tokens, round_printed
 from spendaudit.session import materialize
 
-CLUSTER_KEY = ["member", "normtext", "sanctioned_amount", "sanction_date"]
+CLUSTER_KEY = ["member", "text_key", "sanctioned_amount", "sanction_date"]
 BLOCK_KEY = ["member", "seat", "signature"]
 BRIEF = [
     "work_id", "mp_name", "state", "constituency", "work_description", "work_category", "sanctioned_amount",
@@ -46,24 +46,26 @@ def prepare(works: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
         F.coalesce("mp_name", F.lit("")).alias("member"),
         F.coalesce("constituency", F.lit("")).alias("seat"),
         F.array_join("tokens", " ").alias("normtext"),
+        # groups are formed on the digest, so that whole texts are not shuffled
+        F.sha2(F.array_join("tokens", " "), 256).alias("text_key"),
         F.array_join(F.slice("tokens", 1, config.signature_tokens), " ").alias("signature"),
         F.coalesce("sanction_date", "recommended_date").alias("near_date"),
     )
 
 
-def _brief() -> Column:
-    return F.struct(*BRIEF)
+def keyed(prepared: DataFrame) -> DataFrame:
+    """Works that have everything an exact match needs."""
+    return prepared.filter((F.col("normtext") != "") & F.col("sanctioned_amount").isNotNull() & F.col("sanction_date").isNotNull())
 
 
 def clusters(prepared: DataFrame) -> DataFrame:
     """Groups of works with the same member, text, amount and date, with their size and first and last
     work. Constant state per group: a group of any size combines on the map side."""
-    keyed = prepared.filter((F.col("normtext") != "") & F.col("sanctioned_amount").isNotNull() & F.col("sanction_date").isNotNull())
-    return keyed.groupBy(*CLUSTER_KEY).agg(
+    return keyed(prepared).groupBy(*CLUSTER_KEY).agg(
         F.count("*").alias("unit_count"),
-        F.min_by(_brief(), "place").alias("work_a"),
-        F.max_by(_brief(), "place").alias("work_b"),
-        F.min("place").alias("place_a"),
+        F.min_by("work_id", "place").alias("work_id_a"),
+        F.max_by("work_id", "place").alias("work_id_b"),
+        F.min("place").alias("place"),
     )
 
 
@@ -71,9 +73,27 @@ def _texts(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def exact_pairs(grouped: DataFrame) -> DataFrame:
+def briefs(prepared: DataFrame, ids: DataFrame) -> DataFrame:
+    """work_id, normtext and the brief fields (``work``) of the works listed in ``ids``."""
+    found = prepared.join(ids.select("work_id").distinct(), "work_id", "left_semi")
+    return found.select("work_id", "normtext", F.struct(*BRIEF).alias("work"))
+
+
+def with_works(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Pairs of ids with both works in brief and their texts; only paired works are read in full."""
+    ids = pairs.select(F.explode(F.array("work_id_a", "work_id_b")).alias("work_id"))
+    found = materialize(briefs(prepared, ids), "paired_works")
+
+    def side(name: str) -> DataFrame:
+        return found.select(*[F.col(c).alias(f"{c}_{name}") for c in found.columns])
+
+    return pairs.join(side("a"), "work_id_a").join(side("b"), "work_id_b")
+
+
+def exact_pairs(grouped: DataFrame, prepared: DataFrame) -> DataFrame:
     """Tier A: groups of exactly two."""
-    return grouped.filter("unit_count = 2").select(
+    two = grouped.filter("unit_count = 2").select("work_id_a", "work_id_b")
+    return with_works(two, prepared).select(
         F.lit("A").alias("tier"),
         F.lit(1.0).alias("ratio"),
         _texts(fixed.PAIR_FIELDS_EXACT).alias("matching_fields"),
@@ -88,15 +108,17 @@ def batches(prepared: DataFrame, grouped: DataFrame, config: AuditConfig = Audit
     Only the listed groups are expanded, and the rank filter keeps 50 rows per group and task before
     anything is shuffled.
     """
+    many = grouped.filter("unit_count >= 3").withColumnRenamed("work_id_a", "work_id")
     top = (
-        grouped.filter("unit_count >= 3")
-        .orderBy(F.desc("unit_count"), F.col("work_a.mp_name").asc_nulls_first(), "work_a.work_description", "place_a")
+        many.join(briefs(prepared, many).select("work_id", "work"), "work_id")
+        .orderBy(F.desc("unit_count"), F.col("work.mp_name").asc_nulls_first(), "work.work_description", "place")
         .limit(config.batches_kept)
     )
-    top = materialize(top, "batches")
+    top = materialize(top.select(*CLUSTER_KEY, "unit_count", "work"), "batches")
     first = Window.partitionBy(*CLUSTER_KEY).orderBy("place")
     ids = (
-        prepared.join(top.select(*CLUSTER_KEY), CLUSTER_KEY)
+        keyed(prepared)
+        .join(top.select(*CLUSTER_KEY), CLUSTER_KEY)
         .select(*CLUSTER_KEY, "work_id", "place")
         .withColumn("nth", F.row_number().over(first))
         .filter(F.col("nth") <= config.batch_ids_kept)
@@ -104,7 +126,7 @@ def batches(prepared: DataFrame, grouped: DataFrame, config: AuditConfig = Audit
         .agg(F.array_sort(F.collect_list(F.struct("nth", "work_id"))).alias("listed"))
     )
     return top.join(ids, CLUSTER_KEY).select(
-        *[F.col(f"work_a.{c}") for c in ("mp_name", "state", "constituency", "work_description", "sanctioned_amount", "sanction_date")],
+        *[F.col(f"work.{c}") for c in ("mp_name", "state", "constituency", "work_description", "sanctioned_amount", "sanction_date")],
         "unit_count",
         F.col("listed.work_id").alias("work_ids"),
         F.lit(fixed.BATCH_NOTE).alias("note"),
@@ -134,7 +156,7 @@ def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) ->
         F.col("sanctioned_amount").alias("amount"),
         "near_date",
         F.length("normtext").alias("chars"),
-        F.xxhash64("normtext").alias("text_hash"),
+        "text_key",
         F.floor(F.log("sanctioned_amount") / width).alias("amount_bin"),
         F.floor(F.unix_date("near_date") / (config.date_gap_max + 1)).alias("date_bin"),
     )
@@ -146,7 +168,7 @@ def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) ->
     keys = [*BLOCK_KEY, "amount_bin", "date_bin"]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        own = ["work_id", "place", "amount", "near_date", "chars", "text_hash"]
+        own = ["work_id", "place", "amount", "near_date", "chars", "text_key"]
         return df.select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in own])
 
     low, high = F.least("amount_a", "amount_b"), F.greatest("amount_a", "amount_b")
@@ -157,7 +179,7 @@ def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) ->
         .filter(F.col("place_a") < F.col("place_b"))
         .filter(F.lit(1.0) - (high - low) / high >= config.amount_similarity_min)
         .filter(F.abs(F.datediff("near_date_a", "near_date_b")) <= config.date_gap_max)
-        .filter((F.col("text_hash_a") != F.col("text_hash_b")) & (reachable >= config.similarity_min))
+        .filter((F.col("text_key_a") != F.col("text_key_b")) & (reachable >= config.similarity_min))
         .select("work_id_a", "work_id_b")
     )
 
@@ -171,22 +193,11 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig(), keep: int | None = None) -> DataFrame:
     """Tier B, best first, the 300 best kept. Texts are fetched for the surviving pairs only."""
     found = materialize(candidate_pairs(prepared, config), "candidate_pairs")
-    wanted = found.select(F.explode(F.array("work_id_a", "work_id_b")).alias("work_id")).distinct()
-    texts = prepared.join(wanted, "work_id", "left_semi").select("work_id", "normtext", _brief().alias("work"))
-    texts = materialize(texts, "pair_texts")
-
-    def side(name: str) -> DataFrame:
-        return texts.select(
-            F.col("work_id").alias(f"work_id_{name}"),
-            F.col("normtext").alias(f"text_{name}"),
-            F.col("work").alias(f"work_{name}"),
-        )
-
-    compared = found.join(side("a"), "work_id_a").join(side("b"), "work_id_b")
+    compared = with_works(found, prepared)
     same_seat = F.col("work_a.constituency") == F.col("work_b.constituency")
     fields = F.array_compact(F.concat(_texts(fixed.PAIR_FIELDS_SIMILAR), F.array(F.when(same_seat, fixed.PAIR_FIELD_CONSTITUENCY))))
     return (
-        compared.withColumn("ratio", text_ratio("text_a", "text_b"))
+        compared.withColumn("ratio", text_ratio("normtext_a", "normtext_b"))
         .filter((F.col("ratio") >= config.similarity_min) & (F.col("ratio") < config.similarity_max))
         .orderBy(F.desc("ratio"), "work_id_a", "work_id_b")
         .limit(keep or config.similar_pairs_kept)
@@ -214,7 +225,7 @@ def find_duplicates(works: DataFrame, config: AuditConfig = AuditConfig()) -> Du
     """Both pair tiers and the batches. The prepared works are written once: four steps read them."""
     prepared = materialize(prepare(works, config), "described_works")
     grouped = materialize(clusters(prepared).filter("unit_count >= 2"), "clusters")
-    pairs = exact_pairs(grouped).unionByName(similar_pairs(prepared, config))
+    pairs = exact_pairs(grouped, prepared).unionByName(similar_pairs(prepared, config))
     return Duplicates(materialize(pair_record(pairs), "pairs"), batches(prepared, grouped, config))
 
 
@@ -267,9 +278,9 @@ def candidate_count(prepared: DataFrame, config: AuditConfig = AuditConfig()) ->
     blocks = candidate_blocks(prepared, config)
     size = F.col("block_size")
     in_blocks = blocks.agg(F.coalesce(F.sum(size * (size - 1) / 2), F.lit(0.0)).cast("long").alias("in_blocks"))
-    two = prepared.filter((F.col("normtext") != "") & F.col("sanctioned_amount").isNotNull() & F.col("sanction_date").isNotNull())
     exact = (
-        two.groupBy(*CLUSTER_KEY)
+        keyed(prepared)
+        .groupBy(*CLUSTER_KEY)
         .agg(F.count("*").alias("n"), F.min("seat").alias("seat"), F.max("seat").alias("other_seat"), F.first("signature").alias("signature"))
         .filter("n = 2 AND seat = other_seat")
         .join(blocks, BLOCK_KEY, "left_semi")

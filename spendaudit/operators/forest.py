@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from spendaudit import fixed_values as fixed
 from spendaudit.config import AuditConfig
@@ -50,22 +51,24 @@ def tree_samples(vectors: DataFrame, rows: int, key: str, config: AuditConfig) -
     """Up to ``sample_size`` rows for each tree, chosen by hash.
 
     One cheap hash drops almost all rows of a large table; the survivors draw their trees. The hash
-    thresholds leave each tree about three times the rows it needs, and the lowest hashes are kept.
+    thresholds leave each tree about twice the rows it needs, and the lowest hashes are kept.
     """
-    per_tree = min(1.0, 3.0 * config.sample_size / max(rows, 1))
+    per_tree = min(1.0, 2.0 * config.sample_size / max(rows, 1))
     pool = min(1.0, per_tree * config.trees)
     unit = 2.0**63
 
     def fraction(*parts: Column) -> Column:
         return (F.xxhash64(*parts).cast("double") / unit + 1.0) / 2.0
 
+    def draw(tree: Column) -> Column:
+        return fraction(F.col(key), tree, F.lit(config.seed + 1))
+
     chosen = vectors.filter(fraction(F.col(key), F.lit(config.seed)) < pool) if pool < 1 else vectors
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(config.trees - 1)),
-        lambda t: F.struct(t.alias("tree"), fraction(F.col(key), t, F.lit(config.seed + 1)).alias("draw")),
-    )
-    drawn = chosen.select("*", F.inline(F.filter(draws, lambda d: d["draw"] < per_tree / pool)))
-    first = Window.partitionBy("tree").orderBy("draw", key)
+    trees = F.sequence(F.lit(0), F.lit(config.trees - 1))
+    if per_tree < pool:
+        trees = F.filter(trees, lambda t: draw(t) < per_tree / pool)
+    drawn = chosen.select("*", F.explode(trees).alias("tree"))
+    first = Window.partitionBy("tree").orderBy(draw(F.col("tree")), key)
     return drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= config.sample_size)
 
 
@@ -113,7 +116,7 @@ def grow_forest(samples: DataFrame, names: list[str], config: AuditConfig) -> Da
     return samples.groupBy("tree").applyInPandas(one_tree, NODE_SCHEMA)
 
 
-def forest_score(nodes: pd.DataFrame, names: list[str], sample_size: int) -> Column:
+def forest_score(nodes: pd.DataFrame, inputs: list[Column], sample_size: int) -> Column:
     """Anomaly score 2^(-mean path / expected path) of each row, all rows of a batch at once."""
     trees = [
         {c: g[c].to_numpy() for c in ("feature", "cut", "left", "right", "length")}
@@ -121,7 +124,7 @@ def forest_score(nodes: pd.DataFrame, names: list[str], sample_size: int) -> Col
     ]
     expected = average_path(sample_size) or 1.0
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score(*columns: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
         everyone, total = np.arange(len(x)), np.zeros(len(x))
@@ -135,33 +138,51 @@ def forest_score(nodes: pd.DataFrame, names: list[str], sample_size: int) -> Col
             total += tree["length"][at]
         return pd.Series(np.exp2(-total / len(trees) / expected))
 
-    return score(*[F.col(n) for n in names])
+    return score(*inputs)
+
 
+def normalized_scores(raw: DataFrame, column: Column) -> dict[str, Column]:
+    """0..1 score (4 decimals) and rank percentile (1 decimal) of a raw anomaly measure.
 
-def normalize_scores(scored: DataFrame, raw: str) -> DataFrame:
-    """0..1 score (4 decimals) and rank percentile (1 decimal) of a raw anomaly measure."""
-    ends = scored.agg(F.min(raw), F.max(raw)).first()
+    ``raw`` holds the measure of all rows as ``raw_score``; ``column`` computes it for a row. The
+    results are plain columns: applying them shuffles nothing.
+    """
+    ends = raw.agg(F.min("raw_score"), F.max("raw_score")).first()
     low, high = (0.0 if v is None else float(v) for v in ends)
-    unit = (F.col(raw) - F.lit(low)) / F.lit(max(high - low, 1e-6))
-    return scored.withColumns(
-        {
-            "ml_anomaly_score": round_scaled(unit, 4),
-            "ml_anomaly_percentile": percentile_rank(scored, raw),
-        }
-    )
-
-
-def isolation_forest(features: DataFrame, config: AuditConfig = AuditConfig(), key: str = "work_id") -> DataFrame:
-    """``key, raw_score, ml_anomaly_score, ml_anomaly_percentile`` for every row of ``features``."""
-    columns = feature_vector(features)
-    vectors = features.select(key, *columns)
+    unit = (column - F.lit(low)) / F.lit(max(high - low, 1e-6))
+    return {
+        "ml_anomaly_score": round_scaled(unit, 4),
+        "ml_anomaly_percentile": percentile_rank(raw, "raw_score", column),
+    }
+
+
+def isolation_forest(features: DataFrame, config: AuditConfig = AuditConfig(), key: str = "work_id") -> dict[str, Column]:
+    """Score and percentile of the forest grown from ``features``, as columns over ``features``.
+
+    The rows are scored where they are, once to learn the ranks and once in the final table; that is
+    cheaper than joining the scores back to wide rows.
+    """
+    inputs = feature_vector(features)
+    vectors = features.select(key, *inputs)
     names = [n for n in vectors.columns if n != key]
     rows = features.count()
     samples = tree_samples(vectors, rows, key, config)
     # at most trees x (2 x sample_size - 1) rows, whatever the size of the table
     nodes = grow_forest(samples, names, config).toPandas()
     if nodes.empty:
-        return vectors.select(key, *[F.lit(None).cast("double").alias(c) for c in ("raw_score", "ml_anomaly_score", "ml_anomaly_percentile")])
-    sample = min(config.sample_size, rows)
-    scored = materialize(vectors.select(key, forest_score(nodes, names, sample).alias("raw_score")), "forest_scores")
-    return normalize_scores(scored, "raw_score")
+        nothing = F.lit(None).cast("double")
+        return {"ml_anomaly_score": nothing, "ml_anomaly_percentile": nothing}
+    score = forest_score(nodes, inputs, min(config.sample_size, rows))
+    raw = materialize(features.select(score.alias("raw_score")), "forest_scores")
+    return normalized_scores(raw, score)
+
+
+def ranking_model(column: str):
+    """A stand-in model that ranks works by one plain column; used where a run has to be restated in
+    SQL, which cannot grow the forest."""
+
+    def model(features: DataFrame, config: AuditConfig) -> dict[str, Column]:
+        value = F.col(column).cast("double")
+        return normalized_scores(features.select(value.alias("raw_score")), value)
+
+    return model

@@ -5,6 +5,8 @@ Everything per work is a column expression; thresholds come from the whole table
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from spendaudit import fixed_values as fixed
 from spendaudit.config import AuditConfig
 from spendaudit.functions.text import message, plain_number, round_printed
 from spendaudit.operators.duplicates import duplicate_ids
-from spendaudit.operators.quantiles import quantile_values
+from spendaudit.operators.quantiles import exact_quantiles
 
 
 def _texts(*items: Column) -> Column:
@@ -23,9 +25,41 @@ def _flag(name: str) -> Column:
     return F.coalesce(F.col(name).cast("boolean"), F.lit(False))
 
 
-def day_quantile(df: DataFrame, column: str, prob: float) -> float | None:
-    """Exact percentile of whole days: few distinct values, so one aggregation suffices."""
-    return df.agg(F.percentile(column, prob)).first()[0]
+@dataclass(frozen=True)
+class MonitorLimits:
+    """Thresholds taken from all works; None where no work has the value."""
+
+    overrun_low: float
+    overrun_medium: float
+    approval_days: float | None
+    completion_days: float | None
+    spend_ratio: float | None
+    vendor_share: float | None
+
+
+def monitor_limits(works: DataFrame, config: AuditConfig = AuditConfig()) -> MonitorLimits:
+    """All thresholds of the monitors. Whole days have few distinct values, so their exact percentiles
+    come from one aggregation; the ratios may all differ and use the bracketing quantiles."""
+    days = works.agg(
+        F.percentile("recommendation_to_sanction_days", 0.90).alias("approval"),
+        F.percentile("sanction_to_completion_days", 0.75).alias("completion"),
+    ).first()
+    rated = overrun_basis(works)
+    measures = {
+        "overrun": F.when(F.col("overrun_pct") > 0, F.col("overrun_pct")),
+        "ratio": F.col("expenditure_to_sanction_ratio"),
+        "vendor": F.col("vendor_concentration_score"),
+    }
+    found = {r.measure: r for r in exact_quantiles(rated, measures, [0.33, 0.67, 0.90]).collect()}
+    over, ratio, vendor = (found.get(m) for m in measures)
+    return MonitorLimits(
+        over.q0 if over else config.overrun_low_default,
+        over.q1 if over else config.overrun_medium_default,
+        days.approval,
+        days.completion,
+        ratio.q2 if ratio else None,
+        vendor.q2 if vendor else None,
+    )
 
 
 # --- overruns ---------------------------------------------------------------------------------
@@ -47,18 +81,10 @@ def overrun_basis(works: DataFrame) -> DataFrame:
     )
 
 
-def overrun_limits(works: DataFrame, config: AuditConfig = AuditConfig()) -> tuple[float, float]:
-    """33rd and 67th percentile of the positive overrun percentages."""
-    pct = F.when(F.col("overrun_pct") > 0, F.col("overrun_pct"))
-    low, medium = quantile_values(works, pct, [0.33, 0.67])
-    if low is None:
-        return config.overrun_low_default, config.overrun_medium_default
-    return low, medium
-
-
-def overruns(works: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
+def overruns(works: DataFrame, limits: MonitorLimits) -> DataFrame:
+    """Overrun columns with a band by the 33rd and 67th percentile of all positive overruns."""
     df = overrun_basis(works)
-    low, medium = overrun_limits(df, config)
+    low, medium = limits.overrun_low, limits.overrun_medium
     pct = F.col("overrun_pct")
     band = F.when(pct <= low, "LOW").when(pct <= medium, "MEDIUM").otherwise("HIGH")
     return df.withColumns(
@@ -102,13 +128,12 @@ def overrun_summary(df: DataFrame) -> DataFrame:
 # --- compliance -------------------------------------------------------------------------------
 
 
-def compliance(works: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def compliance(df: DataFrame, limits: MonitorLimits) -> DataFrame:
     """Seven checks per work sorted into passed, failed and missing, then score and status.
 
-    ``works`` may already carry ``in_duplicates``; otherwise it is looked up in ``pairs``.
+    ``df`` carries ``in_duplicates`` (see :func:`mark_duplicates`).
     """
-    df = works if "in_duplicates" in works.columns else mark_duplicates(works, pairs)
-    limit = day_quantile(df, "recommendation_to_sanction_days", 0.90)
+    limit = limits.approval_days
     sanctioned = _flag("has_sanctioned")
     days = F.col("recommendation_to_sanction_days")
     days_known = days.isNotNull() if limit is not None else F.lit(False)
@@ -170,11 +195,9 @@ def mark_duplicates(works: DataFrame, pairs: DataFrame) -> DataFrame:
 # --- risk estimates ---------------------------------------------------------------------------
 
 
-def estimates(works: DataFrame) -> DataFrame:
+def estimates(works: DataFrame, limits: MonitorLimits) -> DataFrame:
     """Delay, completion and expenditure risk with reasons, and the review priority."""
-    slow = day_quantile(works, "sanction_to_completion_days", 0.75)
-    ratio_high = quantile_values(works, F.col("expenditure_to_sanction_ratio"), [0.90])[0]
-    vendor_high = quantile_values(works, F.col("vendor_concentration_score"), [0.90])[0]
+    slow, ratio_high, vendor_high = limits.completion_days, limits.spend_ratio, limits.vendor_share
     stalled, open_work = _flag("is_stalled_work"), ~_flag("has_completed")
     days = F.col("sanction_to_completion_days")
     is_slow = F.coalesce(days > F.lit(slow), F.lit(False)) if slow is not None else F.lit(False)

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from spendaudit.functions.text import round_scaled
 from spendaudit.session import materialize
@@ -93,12 +94,6 @@ def _bracketed(values, keys, probs, direct_limit, accuracy):
     )
 
 
-def quantile_values(df: DataFrame, column: Column, probs: Sequence[float], **options) -> list[float | None]:
-    """Quantiles of one column over the whole table as plain numbers; None when it has no values."""
-    row = exact_quantiles(df, {"x": column}, probs, **options).first()
-    return [row[f"q{i}"] if row else None for i in range(len(probs))]
-
-
 def rank_steps(df: DataFrame, score: str, decimals: int = 1) -> tuple[list[float], list[float]]:
     """Lowest score that reaches each rounded rank percentile (average rank of ties).
 
@@ -131,14 +126,18 @@ def rank_steps(df: DataFrame, score: str, decimals: int = 1) -> tuple[list[float
     return [s.score for s in steps], [s.percentile for s in steps]
 
 
-def percentile_rank(df: DataFrame, score: str, decimals: int = 1) -> Column:
-    """Column with the rounded rank percentile of ``score`` within ``df`` (no shuffle of ``df``)."""
+def percentile_rank(df: DataFrame, score: str, at: Column | None = None, decimals: int = 1) -> Column:
+    """Column with the rounded rank percentile of a value among the scores of ``df``.
+
+    ``at`` is the value to place, the score itself unless given. The steps travel with the column, so
+    applying it shuffles nothing.
+    """
     scores, percentiles = rank_steps(df, score, decimals)
     starts, labels = np.array(scores), np.array(percentiles)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def locate(values: pd.Series) -> pd.Series:
         found = np.searchsorted(starts, values.to_numpy(), side="right") - 1
         return pd.Series(labels[found.clip(0)]).where(values.notna().to_numpy())
 
-    return locate(F.col(score)) if scores else F.lit(None).cast("double")
+    return locate(F.col(score) if at is None else at) if scores else F.lit(None).cast("double")

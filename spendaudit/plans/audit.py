@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from spendaudit.config import AuditConfig
 from spendaudit.operators.duplicates import Duplicates, find_duplicates
@@ -14,21 +13,28 @@ from spendaudit.operators.features import work_features
 from spendaudit.operators.findings import explanations
 from spendaudit.operators.forest import isolation_forest
 from spendaudit.operators.integrate import Integrated, integrate
-from spendaudit.operators.monitors import compliance, early_warnings, estimates, mark_duplicates, overruns
+from spendaudit.operators.monitors import (
+    compliance,
+    early_warnings,
+    estimates,
+    mark_duplicates,
+    monitor_limits,
+    overruns,
+)
 from spendaudit.operators.rules import apply_rules, rule_limits
 from spendaudit.operators.scoring import composite_scores
 from spendaudit.session import materialize
 from spendaudit.sources.raw import load_raw
 from spendaudit.sources.tables import data_quality, with_defaults
 
-Model = Callable[[DataFrame, AuditConfig], DataFrame]
+Model = Callable[[DataFrame, AuditConfig], dict[str, Column]]
 
 
 class Audit:
     """Finished tables of one run, each computed and written once, when first asked for.
 
-    ``model`` maps features to ``work_id, ml_anomaly_score, ml_anomaly_percentile``; the isolation
-    forest unless another one is given.
+    ``model`` gives the columns ``ml_anomaly_score`` and ``ml_anomaly_percentile`` over the features;
+    the isolation forest unless another one is given.
     """
 
     def __init__(
@@ -55,8 +61,8 @@ class Audit:
     @cached_property
     def scored(self) -> DataFrame:
         """Features with rule, model and composite columns and the member id."""
-        ml = self.model(self.features, self.config).select("work_id", "ml_anomaly_score", "ml_anomaly_percentile")
-        scored = composite_scores(self.ruled.join(ml, "work_id", "left"), self.config)
+        modelled = self.ruled.withColumns(self.model(self.features, self.config))
+        scored = composite_scores(modelled, self.config)
         return materialize(with_defaults(scored), "scored")
 
     @cached_property
@@ -66,9 +72,9 @@ class Audit:
     @cached_property
     def monitored(self) -> DataFrame:
         """Scored works with duplicate flag, overrun, compliance and risk-estimate columns."""
-        flagged = materialize(mark_duplicates(self.scored, self.duplicates.pairs), "flagged")
-        df = estimates(compliance(overruns(flagged, self.config)))
-        return materialize(df, "monitored")
+        df = mark_duplicates(self.scored, self.duplicates.pairs)
+        limits = monitor_limits(self.scored, self.config)
+        return materialize(estimates(compliance(overruns(df, limits), limits), limits), "monitored")
 
     @cached_property
     def warnings(self) -> DataFrame:
@@ -104,14 +110,3 @@ def audit_tables(tables: Integrated, config: AuditConfig = AuditConfig(), model:
 def audit_folder(spark: SparkSession, folder: str, config: AuditConfig = AuditConfig(), **options) -> Audit:
     """From a folder of raw exports to an audit."""
     return audit_tables(integrate(load_raw(spark, folder, **options)), config)
-
-
-def rank_model(column: str) -> Model:
-    """A stand-in model that ranks works by one plain column; used where a run has to be reproduced in
-    SQL, which cannot grow the forest."""
-    from spendaudit.operators.forest import normalize_scores
-
-    def model(features: DataFrame, config: AuditConfig) -> DataFrame:
-        return normalize_scores(features.select("work_id", F.col(column).cast("double").alias("raw_score")), "raw_score")
-
-    return model

@@ -159,7 +159,7 @@ def stage_records(spark: SparkSession, folder: str) -> DataFrame:
     stage = F.when(flag == "A", 0).when(flag == "R", 1).when(status == "F", 2).otherwise(3)
     names = F.array(*[F.lit(s) for s in ("recommended", "sanctioned", "completed", "expenditure")])
     lower = F.col("l_tax") < 0.05
-    place = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")
+    place = (F.col("l_linenumber").cast("long") * 100_000_000 + F.col("l_partkey")) * 1_000_000 + F.col("l_suppkey")
     shipped = F.col("l_shipdate").cast("date")
     return table(spark, folder, "lineitem").select(
         F.concat(F.when(F.col("l_orderkey") > 0, "WS/").otherwise(fixed.UNASSIGNED_PREFIX), "l_orderkey").alias("work_id"),

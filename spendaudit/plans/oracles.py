@@ -455,7 +455,7 @@ _CLEAN = {
         CASE WHEN is_unmatched_work THEN 0 ELSE len(risk_reasons) END AS dropped_size FROM scored""",
     "stage_merge": f"""WITH recs AS (SELECT *, CASE WHEN l_orderkey > 0 THEN 'WS/' ELSE 'UNASSIGNED_' END || l_orderkey AS work_id,
           CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'R' THEN 1 WHEN l_linestatus = 'F' THEN 2 ELSE 3 END AS stage,
-          l_linenumber::BIGINT * 1000000000 + l_partkey AS place, CASE WHEN l_quantity >= 5 THEN l_extendedprice END AS amount,
+          (l_linenumber::BIGINT * 100000000 + l_partkey) * 1000000 + l_suppkey AS place, CASE WHEN l_quantity >= 5 THEN l_extendedprice END AS amount,
           CASE WHEN l_discount > 0 THEN CAST(l_shipdate AS DATE) END AS day, CASE WHEN l_tax > 0.02 THEN CAST(l_shipdate AS DATE) - 30 END AS also, l_tax < 0.05 AS lower_house FROM lineitem),
         firsts AS (SELECT * FROM recs QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY stage, place) = 1),
         lasts AS (SELECT * FROM recs QUALIFY row_number() OVER (PARTITION BY work_id, stage ORDER BY place DESC) = 1),
@@ -624,7 +624,7 @@ _REPORTS = {
     "works_without_district": "SELECT work_id, risk_score FROM scored WHERE false",
     "critical_queue": "SELECT work_id, risk_score, stat_risk_score FROM scored WHERE risk_level = 'CRITICAL' ORDER BY stat_risk_score DESC, work_id LIMIT 25 OFFSET 25",
     "spending_outliers": "SELECT work_id, round(abs(exp_robust_zscore), 9) AS abs_exp_robust_zscore, risk_score FROM scored WHERE exp_robust_zscore IS NOT NULL ORDER BY abs(exp_robust_zscore) DESC, risk_score DESC, work_id LIMIT 25",
-    "anomaly_explorer": f"SELECT work_id, risk_score, risk_level, risk_reasons[1] AS primary_reason FROM scored WHERE {HIGH} AND contains(lower(risk_reasons[1]), 'vendor concentration')",
+    "anomaly_explorer": f"SELECT work_id, risk_score, risk_level, risk_reasons[1] AS primary_reason FROM scored WHERE {HIGH} AND contains(lower(risk_reasons[1]), 'financial control')",
     "flagged_member_works": "SELECT work_id, risk_level, risk_score FROM scored WHERE mp_name = 'BUILDING NATION_1' AND risk_level <> 'NORMAL'",
     "work_records": """SELECT work_id, CAST(coalesce(date_diff('day', s.recommended_date, s.completion_date), date_diff('day', s.sanction_date, s.completion_date)) AS INTEGER) AS duration_days,
         strftime(recommended_date, '%Y-%m-%d') AS recommended_date, strftime(sanction_date, '%Y-%m-%d') AS sanction_date, strftime(completion_date, '%Y-%m-%d') AS completion_date, state AS state_display, mp_id FROM scored s""",

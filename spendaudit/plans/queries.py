@@ -15,7 +15,7 @@ from spendaudit.functions import text
 from spendaudit.operators import duplicates as dup
 from spendaudit.operators import explore, features, findings, forest, integrate, monitors, payments, quantiles, reports, rules, scoring, trends
 from spendaudit.plans import bindings
-from spendaudit.plans.audit import Audit, rank_model
+from spendaudit.plans.audit import Audit
 from spendaudit.session import materialize, work_folder
 from spendaudit.sources import raw, tables
 
@@ -38,7 +38,7 @@ def _audit(app: str, spark: SparkSession, folder: str) -> Audit:
         bindings.calamity(spark, folder),
         CONFIG,
         # the forest cannot be restated in SQL; it has its own queries below
-        rank_model("total_expenditure"),
+        forest.ranking_model("total_expenditure"),
     )
 
 
@@ -375,28 +375,31 @@ def rank_percentiles(spark, folder):
 
 @lru_cache(maxsize=8)
 def _forest(app: str, spark: SparkSession, folder: str) -> DataFrame:
-    return materialize(forest.isolation_forest(audit(spark, folder).features, CONFIG), "forest")
+    ruled = audit(spark, folder).ruled
+    model = forest.isolation_forest(audit(spark, folder).features, CONFIG)
+    return materialize(scoring.composite_scores(ruled.withColumns(model), CONFIG), "forest")
+
+
+def forest_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """All works scored with the isolation forest as the model."""
+    return _forest(spark.sparkContext.applicationId, spark, folder)
 
 
 @query
 def isolation_forest(spark, folder):
-    return _forest(spark.sparkContext.applicationId, spark, folder)
+    return forest_scored(spark, folder).select("work_id", "ml_anomaly_score", "ml_anomaly_percentile")
 
 
 @query
 def forest_risk_levels(spark, folder):
     """Levels of all works when the forest supplies the model percentile."""
-    scores = isolation_forest(spark, folder).select("work_id", "ml_anomaly_score", "ml_anomaly_percentile")
-    scored = scoring.composite_scores(audit(spark, folder).ruled.join(scores, "work_id", "left"), CONFIG)
-    return scored.groupBy("risk_level").agg(F.count("*").alias("works"), F.round(F.avg("risk_score"), 1).alias("mean_score"))
+    return forest_scored(spark, folder).groupBy("risk_level").agg(F.count("*").alias("works"), F.round(F.avg("risk_score"), 1).alias("mean_score"))
 
 
 @query
 def forest_direction(spark, folder):
     """The least and most unusual works by the forest, with the amounts behind them."""
-    scores = isolation_forest(spark, folder).select("work_id", "ml_anomaly_score", "ml_anomaly_percentile")
-    scored = scoring.composite_scores(audit(spark, folder).ruled.join(scores, "work_id", "left"), CONFIG)
-    return reports.model_direction(scored)
+    return reports.model_direction(forest_scored(spark, folder))
 
 
 @query
@@ -810,7 +813,7 @@ def spending_outliers(spark, folder):
 
 @query
 def anomaly_explorer(spark, folder):
-    df = explore.anomaly_explorer(audit(spark, folder).scored, signal="vendor concentration")
+    df = explore.anomaly_explorer(audit(spark, folder).scored, signal="financial control")
     return df.select("work_id", "risk_score", "risk_level", "primary_reason")
 
 
