@@ -47,10 +47,10 @@ def exact_quantiles(
             *[F.percentile("value", p).alias(f"q{i}") for i, p in enumerate(probs)],
         )
         return materialize(found, "quantiles")
-    return materialize(_bracketed(values, keys, probs, direct_limit, accuracy), "quantiles")
+    return materialize(_bracketed(values, keys, probs, accuracy), "quantiles")
 
 
-def _bracketed(values, keys, probs, direct_limit, accuracy):
+def _bracketed(values, keys, probs, accuracy):
     margin = 8.0 / accuracy
     edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = values.groupBy(*keys).agg(
@@ -59,7 +59,8 @@ def _bracketed(values, keys, probs, direct_limit, accuracy):
         F.max("value").alias("most"),
         F.percentile_approx("value", edges, accuracy).alias("edges"),
     )
-    whole = F.col("n") <= min(direct_limit, accuracy)
+    # in a group this small the positions fall between the sketch's ranks, so all of it is ranked
+    whole = F.col("n") <= accuracy
     targets = F.array(
         *[
             F.struct(
