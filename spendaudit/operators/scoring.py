@@ -22,7 +22,9 @@ def composite_score(config: AuditConfig = AuditConfig()) -> Column:
         + F.lit(config.ml_weight) * F.col("ml_anomaly_percentile")
         + F.lit(config.stat_weight) * F.col("stat_risk_score")
     )
-    return round_scaled(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1)
+    # greatest and least skip nulls, so an unknown part has to be kept unknown
+    clipped = F.when(total.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)))
+    return round_scaled(clipped, 1)
 
 
 def risk_level() -> Column:

@@ -517,7 +517,7 @@ _DUPLICATES = {
         levels[1] AS level_a, sanction_date AS date_b, {q(fixed.PAIR_ACTION)} AS recommended_action FROM pairs""",
     "duplicate_batches": "SELECT mp_name, state, constituency, work_description, sanctioned_amount, sanction_date, unit_count, array_to_string(ids[1:50], ' | ') AS work_ids FROM batches",
     "duplicate_summary": "SELECT (SELECT count(*) FROM pairs) AS potential_duplicate_pairs, 0::BIGINT AS possible_duplicate_pairs, (SELECT count(*) FROM batches) AS batch_pattern_groups, CAST((SELECT coalesce(sum(unit_count), 0) FROM batches) AS BIGINT) AS works_in_batch_patterns",
-    "duplicate_list": "SELECT ids[1] AS id_a, ids[2] AS id_b, 100.0::DOUBLE AS similarity_score FROM pairs ORDER BY id_a, id_b LIMIT 25 OFFSET 10",
+    "duplicate_list": "SELECT ids[1] AS id_a, ids[2] AS id_b, 100.0::DOUBLE AS similarity_score FROM pairs QUALIFY row_number() OVER (ORDER BY id_a, id_b) BETWEEN 11 AND 35",
     "duplicate_work_ids": "SELECT work_id FROM dup_ids",
     "candidate_pair_count": """SELECT CAST((SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM blocks) - (SELECT count(*) FROM pairs p JOIN blocks b ON p.mp_name = b.mp_name AND p.seat = b.block_seat AND p.signature = b.signature
         WHERE seats = 1) AS BIGINT) AS candidate_pairs_scanned""",
@@ -538,7 +538,7 @@ _MONITORS = {
         CASE WHEN overrun_determinable THEN CASE WHEN is_overrun THEN overrun_amount ELSE 0 END END AS reported_overrun_amount,
         CASE WHEN overrun_determinable THEN CASE WHEN is_overrun THEN """ + printed("overrun_pct", 2) + """ ELSE 0 END END AS reported_overrun_pct, overrun_band,
         round(low_max, 9) AS overrun_low_max, round(medium_max, 9) AS overrun_medium_max FROM banded""",
-    "overrun_list": "SELECT work_id, state, overrun_band, round(overrun_pct, 9) AS overrun_pct FROM banded WHERE is_overrun AND parliament_house = 'Lok Sabha' AND overrun_band = 'HIGH' ORDER BY banded.overrun_pct DESC, work_id LIMIT 50 OFFSET 50",
+    "overrun_list": "SELECT work_id, state, overrun_band, round(overrun_pct, 9) AS overrun_pct FROM banded WHERE is_overrun AND parliament_house = 'Lok Sabha' AND overrun_band = 'HIGH' QUALIFY row_number() OVER (ORDER BY banded.overrun_pct DESC, work_id) BETWEEN 51 AND 100",
     "overrun_search": "SELECT work_id, mp_name, round(overrun_pct, 9) AS overrun_pct FROM banded WHERE is_overrun AND (contains(lower(work_id), 'building nation_1') OR contains(lower(mp_name), 'building nation_1')) ORDER BY banded.overrun_pct DESC, work_id LIMIT 200",
     "overrun_summary": """SELECT count(*) AS total_works, count(*) FILTER (WHERE overrun_determinable) AS overrun_determinable_count, count(*) FILTER (WHERE NOT overrun_determinable) AS overrun_not_determinable_count,
         count(*) FILTER (WHERE is_overrun) AS overrun_flagged_count, coalesce(sum(overrun_amount) FILTER (WHERE is_overrun), 0) AS total_overrun_amount,
@@ -555,7 +555,7 @@ _MONITORS = {
     "warning_list": "SELECT work_id, severity, (SELECT string_agg(issue, ' | ' ORDER BY s) FROM (SELECT s, "
     + case_of("s", fixed.SIGNAL_ISSUES)
     + " AS issue FROM (SELECT unnest(w.found) AS s))) AS issues FROM warnings w WHERE state = 'NATION_4' "
-    "ORDER BY CASE severity WHEN 'Immediate Review' THEN 2 WHEN 'Priority Review' THEN 1 ELSE 0 END DESC, signal_count DESC, work_id LIMIT 50 OFFSET 50",
+    "QUALIFY row_number() OVER (ORDER BY CASE severity WHEN 'Immediate Review' THEN 2 WHEN 'Priority Review' THEN 1 ELSE 0 END DESC, signal_count DESC, work_id) BETWEEN 51 AND 100",
     "warning_summary": value_counts("warnings", "severity"),
 }
 
@@ -619,10 +619,10 @@ _REPORTS = {
     "alert_samples": f"""SELECT risk_level, CAST(row_number() OVER (PARTITION BY risk_level ORDER BY risk_score DESC, work_id) AS INTEGER) AS place, work_id, risk_score, risk_reasons[1] AS primary_reason FROM scored WHERE {HIGH} QUALIFY place <= 10""",
     "signal_frequency": f"SELECT split_part(reason, ':', 1) AS category, count(DISTINCT work_id) AS works FROM (SELECT work_id, unnest(risk_reasons) AS reason FROM scored WHERE {HIGH}) GROUP BY 1",
     "works_explorer": """SELECT work_id, risk_score, constituency, state FROM scored WHERE parliament_house = 'Lok Sabha' AND constituency = 'BUILDING' AND risk_level = 'REVIEW' AND risk_score BETWEEN 35 AND 55
-      ORDER BY risk_score DESC, work_id LIMIT 100 OFFSET 100""",
+      QUALIFY row_number() OVER (ORDER BY risk_score DESC, work_id) BETWEEN 101 AND 200""",
     "works_search": "SELECT work_id, risk_score FROM scored WHERE contains(lower(work_id), '/1996/12') ORDER BY risk_score DESC, work_id LIMIT 200",
     "works_without_district": "SELECT work_id, risk_score FROM scored WHERE false",
-    "critical_queue": "SELECT work_id, risk_score, stat_risk_score FROM scored WHERE risk_level = 'CRITICAL' ORDER BY stat_risk_score DESC, work_id LIMIT 25 OFFSET 25",
+    "critical_queue": "SELECT work_id, risk_score, stat_risk_score FROM scored WHERE risk_level = 'CRITICAL' QUALIFY row_number() OVER (ORDER BY stat_risk_score DESC, work_id) BETWEEN 26 AND 50",
     "spending_outliers": "SELECT work_id, round(abs(exp_robust_zscore), 9) AS abs_exp_robust_zscore, risk_score FROM scored WHERE exp_robust_zscore IS NOT NULL ORDER BY abs(exp_robust_zscore) DESC, risk_score DESC, work_id LIMIT 25",
     "anomaly_explorer": f"SELECT work_id, risk_score, risk_level, risk_reasons[1] AS primary_reason FROM scored WHERE {HIGH} AND contains(lower(risk_reasons[1]), 'financial control')",
     "flagged_member_works": "SELECT work_id, risk_level, risk_score FROM scored WHERE mp_name = 'BUILDING NATION_1' AND risk_level <> 'NORMAL'",
