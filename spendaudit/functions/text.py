@@ -117,15 +117,16 @@ def member_id(house: Column, name: Column) -> Column:
 
 
 def description_tokens(text: Column) -> Column:
-    """Sorted meaningful words of a description: numbers of any length, other words from 3 letters."""
+    """Sorted meaningful words of a description: numbers of any length, other words from 3 letters.
+
+    Unwanted words are cut out by one pattern before splitting, which is several times faster on long
+    texts than testing every element of the split array.
+    """
     plain = F.regexp_replace(F.lower(text), "[^a-z0-9 ]", " ")
-    words = F.split(F.trim(plain), " +")
-    stop = F.array(*[F.lit(w) for w in fixed.DESCRIPTION_STOP_WORDS])
-    kept = F.filter(
-        words,
-        lambda w: (w.rlike("^[0-9]+$") | (F.length(w) > 2)) & ~F.array_contains(stop, w),
-    )
-    return F.array_sort(kept)
+    short = "[a-z][a-z0-9]?|[0-9][a-z]"
+    unwanted = f"(?<![a-z0-9])(?:{short}|{'|'.join(fixed.DESCRIPTION_STOP_WORDS)})(?![a-z0-9])"
+    words = F.split(F.trim(F.regexp_replace(plain, unwanted, " ")), " +")
+    return F.sort_array(F.array_remove(words, ""))
 
 
 def encode_reasons(reasons: Column) -> Column:

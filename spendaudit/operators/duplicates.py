@@ -184,20 +184,33 @@ def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) ->
     )
 
 
-@F.pandas_udf(DoubleType())
-def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of whole texts, earlier work first."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+def text_ratio(a: str, b: str, least: float) -> Column:
+    """Ratcliff-Obershelp similarity of whole texts, earlier work first.
+
+    0 for a pair whose upper bound (shared characters in any order) is already below ``least``.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        found = []
+        for x, y in zip(left, right):
+            matcher = SequenceMatcher(None, x, y)
+            found.append(matcher.ratio() if matcher.quick_ratio() >= least else 0.0)
+        return pd.Series(found, dtype=float)
+
+    return ratio(a, b)
 
 
 def similar_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig(), keep: int | None = None) -> DataFrame:
     """Tier B, best first, the 300 best kept. Texts are fetched for the surviving pairs only."""
     found = materialize(candidate_pairs(prepared, config), "candidate_pairs")
-    compared = with_works(found, prepared)
+    # comparing texts is slow for the size of the data, so the pairs are dealt out over all cores
+    tasks = 4 * prepared.sparkSession.sparkContext.defaultParallelism
+    compared = with_works(found, prepared).repartition(tasks, "work_id_a", "work_id_b")
     same_seat = F.col("work_a.constituency") == F.col("work_b.constituency")
     fields = F.array_compact(F.concat(_texts(fixed.PAIR_FIELDS_SIMILAR), F.array(F.when(same_seat, fixed.PAIR_FIELD_CONSTITUENCY))))
     return (
-        compared.withColumn("ratio", text_ratio("normtext_a", "normtext_b"))
+        compared.withColumn("ratio", text_ratio("normtext_a", "normtext_b", config.similarity_min))
         .filter((F.col("ratio") >= config.similarity_min) & (F.col("ratio") < config.similarity_max))
         .orderBy(F.desc("ratio"), "work_id_a", "work_id_b")
         .limit(keep or config.similar_pairs_kept)
@@ -223,7 +236,7 @@ def pair_record(pairs: DataFrame) -> DataFrame:
 
 def find_duplicates(works: DataFrame, config: AuditConfig = AuditConfig()) -> Duplicates:
     """Both pair tiers and the batches. The prepared works are written once: four steps read them."""
-    prepared = materialize(prepare(works, config), "described_works")
+    prepared = materialize(prepare(works, config), "described_works", for_all_cores=True)
     grouped = materialize(clusters(prepared).filter("unit_count >= 2"), "clusters")
     pairs = exact_pairs(grouped, prepared).unionByName(similar_pairs(prepared, config))
     return Duplicates(materialize(pair_record(pairs), "pairs"), batches(prepared, grouped, config))

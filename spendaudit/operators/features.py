@@ -157,5 +157,5 @@ def attach_peers(base: DataFrame, peers: DataFrame) -> DataFrame:
 def work_features(works: DataFrame, ledger: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
     """Full feature table. The payment part is written once because the peer statistics read it
     several times; the rest is map-only on top of it."""
-    base = materialize(base_features(works, ledger, config), "base_features")
+    base = materialize(base_features(works, ledger, config), "base_features", for_all_cores=True)
     return attach_peers(base, peer_statistics(base, config))

@@ -81,33 +81,36 @@ def average_path(size: float) -> float:
     return 2.0 * (math.log(size - 1) + np.euler_gamma) - 2.0 * (size - 1) / size
 
 
-def _grow(rows: np.ndarray, depth: int, limit: int, rng: np.random.Generator, nodes: list) -> int:
-    place = len(nodes)
-    nodes.append(None)
-    low, high = rows.min(axis=0), rows.max(axis=0)
-    usable = np.flatnonzero(high > low)
-    if depth >= limit or len(rows) <= 1 or not usable.size:
-        nodes[place] = (-1, 0.0, -1, -1, depth + average_path(len(rows)))
-        return place
-    feature = int(rng.choice(usable))
-    cut = float(rng.uniform(low[feature], high[feature]))
-    goes_left = rows[:, feature] <= cut
-    left = _grow(rows[goes_left], depth + 1, limit, rng, nodes)
-    right = _grow(rows[~goes_left], depth + 1, limit, rng, nodes)
-    nodes[place] = (feature, cut, left, right, 0.0)
-    return place
-
-
 def grow_forest(samples: DataFrame, names: list[str], config: AuditConfig) -> DataFrame:
-    """One small group per tree (at most ``sample_size`` rows), grown on the executors."""
+    """One small group per tree (at most ``sample_size`` rows), grown on the executors.
+
+    The function sent to them refers to nothing of this package, so they need not have it installed.
+    """
     limit = max(1, math.ceil(math.log2(config.sample_size)))
     seed = config.seed
+    rest = [average_path(n) for n in range(config.sample_size + 1)]
 
     def one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        rows = pdf.sort_values("place")[names].to_numpy(dtype=float)
+        rng = np.random.default_rng([seed, tree])
         nodes: list = []
-        _grow(rows, 0, limit, np.random.default_rng([seed, tree]), nodes)
+
+        def grow(rows: np.ndarray, depth: int) -> int:
+            place = len(nodes)
+            nodes.append(None)
+            low, high = rows.min(axis=0), rows.max(axis=0)
+            usable = np.flatnonzero(high > low)
+            if depth >= limit or len(rows) <= 1 or not usable.size:
+                nodes[place] = (-1, 0.0, -1, -1, depth + rest[len(rows)])
+                return place
+            feature = int(rng.choice(usable))
+            cut = float(rng.uniform(low[feature], high[feature]))
+            goes_left = rows[:, feature] <= cut
+            left = grow(rows[goes_left], depth + 1)
+            nodes[place] = (feature, cut, left, grow(rows[~goes_left], depth + 1), 0.0)
+            return place
+
+        grow(pdf.sort_values("place")[names].to_numpy(dtype=float), 0)
         out = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "length"])
         out.insert(0, "node", range(len(out)))
         out.insert(0, "tree", tree)

@@ -11,10 +11,16 @@ from pyspark.sql import functions as F
 
 from spendaudit import fixed_values as fixed
 from spendaudit.operators.integrate import lifecycle_status
+from spendaudit.session import materialize, spread
+
+
+# tables that grow with the data
+LARGE = ("orders", "lineitem", "documents")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in LARGE else df
 
 
 def _people(spark: SparkSession, folder: str) -> DataFrame:
@@ -191,7 +197,7 @@ def _export(df: DataFrame, path: str) -> None:
 
 def write_raw_exports(spark: SparkSession, folder: str, target: str) -> None:
     """The twelve exports as untidy text, written as CSV below ``target``."""
-    df = orders_with_people(spark, folder)
+    df = materialize(orders_with_people(spark, folder), "staged")
     lines = table(spark, folder, "lineitem")
     number = F.concat_ws(
         " / ", F.lit(" ws"), F.concat(F.lit("MP "), "c_custkey"),

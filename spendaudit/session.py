@@ -24,14 +24,34 @@ def work_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/spendaudit/{sc.applicationId}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with at least one partition per core.
+
+    A table stored as few blocks would otherwise keep every following step on a few cores. Tables with
+    enough blocks, as any large one has, are returned as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def materialize(df: DataFrame, name: str, for_all_cores: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, keeps column pruning and filter pushdown
     for later readers, and gives the optimizer the true size: a table that turns out small is
     broadcast by Spark's own size check, a large one is not.
+
+    ``for_all_cores`` is for tables that feed costly row-wise work: one written as fewer files than
+    there are cores, which only happens when it is small, is dealt out again.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def written(part: DataFrame) -> DataFrame:
+        path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        part.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    table = written(df)
+    if for_all_cores and (wide := spread(table)) is not table:
+        table = written(wide)
+    return table
