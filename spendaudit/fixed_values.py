@@ -37,7 +37,14 @@ MISSING_TEXT = [
 ]
 TOTAL_ROW_PATTERN = r"(?i)^\s*(Grand\s+Total|Total)\b"
 CURRENCY_PATTERN = r"[,₹]|Rs\.?"
-DATE_FORMATS = ["dd-MMM-yyyy", "yyyy-MM-dd", "dd-MM-yyyy", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss"]
+TIME_OF_DAY_PATTERN = r"[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"
+# shape of a date text, and the formats to try on it in order
+DATE_SHAPES = [
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ["d-MMM-yyyy"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
+]
 WORK_ID_PATTERNS = [
     r"(?i)\b(WS\s*/\s*MP\s*\d+\s*/\s*\d{4}-\d{4}\s*/\s*\d+)\b",
     r"(?i)\b(WS\s*/\s*MP\s*\d+\s*/\s*\d{4}\s*/\s*\d+)\b",
@@ -212,6 +219,12 @@ SPEND_RATIO_HIGH = "Expenditure-to-sanction ratio ({value}) is above the 90th pe
 SPEND_VENDOR_HIGH = "Vendor concentration score ({value}) is above the 90th percentile ({limit})."
 SPEND_NORMAL = "No elevated expenditure-pattern signals for this work."
 ESTIMATE_LABEL = "Risk estimate (not a guaranteed prediction)"
+ESTIMATE_METHOD = (
+    "Transparent rule-based risk estimate derived from existing pipeline features (lifecycle status, "
+    "sanction-to-completion duration, expenditure ratio, vendor concentration) compared against this "
+    "dataset's own percentile distribution. This is not a machine-learning prediction and does not use "
+    "the pipeline's ML anomaly model."
+)
 
 # --- fixed values: early warnings -------------------------------------------------------------
 SIGNALS = ["risk", "duplicate", "overrun", "compliance", "stalled"]

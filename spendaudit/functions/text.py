@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,9 +60,8 @@ def blank_to_null(text: Column) -> Column:
 
 def is_total_row(columns: list[str]) -> Column:
     """True when any cell of the row starts like a total line."""
-    cells = F.array(*[F.col(f"`{c}`") for c in columns])
-    hit = F.exists(cells, lambda x: F.coalesce(x.rlike(fixed.TOTAL_ROW_PATTERN), F.lit(False)))
-    return hit
+    hits = [F.coalesce(F.col(f"`{c}`").rlike(fixed.TOTAL_ROW_PATTERN), F.lit(False)) for c in columns]
+    return reduce(or_, hits)
 
 
 def parse_amount(text: Column) -> Column:
@@ -69,9 +71,15 @@ def parse_amount(text: Column) -> Column:
 
 
 def parse_date(text: Column) -> Column:
-    """First of the fixed date formats that fits; null when none does."""
-    tidy = title_case(F.trim(text))
-    return F.coalesce(*[F.try_to_timestamp(tidy, F.lit(f)) for f in fixed.DATE_FORMATS]).cast("date")
+    """Date in one of the fixed formats, month names in any case; null when none fits.
+
+    The shape of the text selects the formats, so that no row fails its way through all of them.
+    """
+    day = F.regexp_replace(F.trim(text), fixed.TIME_OF_DAY_PATTERN, "")
+    found = F.lit(None).cast("date")
+    for shape, formats in reversed(fixed.DATE_SHAPES):
+        found = F.when(day.rlike(shape), F.coalesce(*[F.try_to_date(day, f) for f in formats])).otherwise(found)
+    return found
 
 
 def extract_work_id(text: Column) -> Column:

@@ -54,13 +54,14 @@ def _optional(names: list[str], exact: list[str], tokens: list[str]) -> Column:
 
 
 def person_columns(names: list[str], code: str) -> dict[str, Column]:
-    """Chamber, member, state and the seat, which means constituency or elected/nominated by chamber."""
+    """Chamber, member and state as written, and the seat, which means constituency or
+    elected/nominated by chamber."""
     seat = _optional(names, [], ["constituency", "elected"])
     nothing = F.lit(None).cast("string")
     return {
         "parliament_house": F.lit(fixed.HOUSE_CODES[code]),
-        "mp_name": normalize_member(_required(names, ["Hon'ble Members of Parliament"], ["member", "mp"])),
-        "state": normalize_state(_required(names, ["State"], ["state"])),
+        "mp_name": _required(names, ["Hon'ble Members of Parliament"], ["member", "mp"]),
+        "state": _required(names, ["State"], ["state"]),
         "constituency": seat if code == "LS" else nothing,
         "elected_nominated": seat if code == "RS" else nothing,
     }
@@ -119,7 +120,8 @@ def merge_stages(records: DataFrame) -> DataFrame:
     """One row per work from all stage records, in a single aggregation.
 
     The earliest record describes the work. Within a stage the latest record sets that stage's amount
-    and date, even to null. A sanction that opens a work also gives its recommendation date.
+    and date, even to null. A sanction that opens a work also gives its recommendation date. Names are
+    normalized afterwards, once per work instead of once per record.
     """
     order = F.col("row_order")
 
@@ -161,7 +163,11 @@ def merge_stages(records: DataFrame) -> DataFrame:
         F.col("work_id").startswith(fixed.UNASSIGNED_PREFIX).alias("is_unmatched_work"),
         "row_order",
     )
-    return works.withColumn("lifecycle_status", lifecycle_status())
+    return normalized(works).withColumn("lifecycle_status", lifecycle_status())
+
+
+def normalized(df: DataFrame) -> DataFrame:
+    return df.withColumns({"mp_name": normalize_member(F.col("mp_name")), "state": normalize_state(F.col("state"))})
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -203,7 +209,7 @@ def allocations(raw: dict[tuple[str, str], DataFrame]) -> DataFrame:
             parse_amount(_required(names, [], ["amount"])).alias("allocated_amount"),
         )
 
-    return _union([one(code) for code in fixed.HOUSE_CODES])
+    return normalized(_union([one(code) for code in fixed.HOUSE_CODES]))
 
 
 def calamity_consents(raw: dict[tuple[str, str], DataFrame]) -> DataFrame:

@@ -186,6 +186,20 @@ def compliance(df: DataFrame, limits: MonitorLimits) -> DataFrame:
     return df.withColumn("compliance_status", status)
 
 
+def compliance_record(df: DataFrame) -> DataFrame:
+    """Compliance as reported for each work."""
+    return df.select(
+        "work_id",
+        F.col("compliance_status").alias("status"),
+        round_printed(F.col("compliance_score"), 2).alias("score"),
+        "checks_passed",
+        "checks_failed",
+        F.col("checks_missing").alias("checks_missing_data"),
+        F.size("checks_passed").alias("passed_count"),
+        F.col("checks_total").alias("total_checks"),
+    )
+
+
 def mark_duplicates(works: DataFrame, pairs: DataFrame) -> DataFrame:
     """Adds ``in_duplicates``: the work appears in a duplicate pair."""
     flagged = duplicate_ids(pairs).withColumn("in_duplicates", F.lit(True))
@@ -244,6 +258,21 @@ def estimates(works: DataFrame, limits: MonitorLimits) -> DataFrame:
     )
 
 
+def estimate_record(df: DataFrame) -> DataFrame:
+    """Risk estimates as reported for each work."""
+
+    def level_and_reason(name: str) -> Column:
+        return F.struct(F.col(f"{name}_risk").alias("level"), F.col(f"{name}_reason").alias("reason")).alias(f"{name}_risk")
+
+    return df.select(
+        "work_id",
+        F.lit(fixed.ESTIMATE_LABEL).alias("label"),
+        *[level_and_reason(n) for n in ("delay", "completion", "expenditure")],
+        F.col("review_priority").alias("future_review_priority"),
+        F.lit(fixed.ESTIMATE_METHOD).alias("method"),
+    )
+
+
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long table (measure, value, works) of the frequencies of several columns, in one aggregation."""
     cells = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in columns])

@@ -44,9 +44,9 @@ def risk_by_month(works: DataFrame) -> DataFrame:
 
 
 def trend(metric: str, works: DataFrame, ledger: DataFrame, chamber: str = "All", state: str = "All", mp_id: str | None = None) -> DataFrame:
-    """One of the four series for the selected works, ordered by month."""
+    """One of the four series for the selected works, ordered by month; empty for any other metric."""
     if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
+        return works.limit(0).select(month("sanction_date"))
     chosen = filter_works(works, chamber=chamber, state=state)
     if mp_id:
         chosen = chosen.filter(F.col("mp_id") == mp_id)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spendaudit.config import AuditConfig
+from spendaudit.functions.frames import one_row
 from spendaudit.operators.duplicates import Duplicates, find_duplicates
 from spendaudit.operators.features import work_features
 from spendaudit.operators.findings import explanations
@@ -25,7 +27,7 @@ from spendaudit.operators.rules import apply_rules, rule_limits
 from spendaudit.operators.scoring import composite_scores
 from spendaudit.session import materialize
 from spendaudit.sources.raw import load_raw
-from spendaudit.sources.tables import data_quality, with_defaults
+from spendaudit.sources.tables import data_quality, with_defaults, write_tables
 
 Model = Callable[[DataFrame, AuditConfig], dict[str, Column]]
 
@@ -96,6 +98,23 @@ class Audit:
         return data_quality({n: t for n, t in tables.items() if t[0] is not None})
 
 
+    def run_info(self) -> DataFrame:
+        """Row counts of the run and the weights of the score."""
+        works = self.scored.agg(F.count("*").alias("works"), F.count_if(F.col("risk_score").isNotNull()).alias("anomaly_rows"))
+        master = self.works.agg(F.count("*").alias("master_rows"))
+        weights = {"rule_weight": self.config.rule_weight, "ml_weight": self.config.ml_weight, "stat_weight": self.config.stat_weight}
+        return one_row([works, master]).withColumns({n: F.lit(w) for n, w in weights.items()})
+
+    def export(self, folder: str, csv: bool = False) -> dict[str, str]:
+        """Write the canonical tables, the results and the quality report below ``folder``."""
+        found = {
+            "works_master": self.works, "expenditures": self.ledger, "mp_allocation": self.allocation, "calamity": self.calamity,
+            "anomaly_results": self.scored, "monitors": self.monitored, "early_warnings": self.warnings, "explanations": self.explained,
+            "duplicate_pairs": self.duplicates.pairs, "duplicate_batches": self.duplicates.batches, "data_quality_report": self.quality_report(),
+        }
+        return write_tables({n: df for n, df in found.items() if df is not None}, folder, csv)
+
+
 def audit_tables(tables: Integrated, config: AuditConfig = AuditConfig(), model: Model = isolation_forest) -> Audit:
     return Audit(
         materialize(tables.works, "works_master"),

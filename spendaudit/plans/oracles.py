@@ -451,6 +451,7 @@ _CLEAN = {
       UNION ALL SELECT 'calamity', (SELECT count(*) FROM events), 'Clean Calamity Consents'
       UNION ALL SELECT 'work_features', (SELECT count(*) FROM works), 'Engineered Analytical Table'
       UNION ALL SELECT 'anomaly_results', (SELECT count(*) FROM works), 'Scored & Explainable Anomaly Table'""",
+    "run_info": "SELECT count(*) AS works, count(risk_score) AS anomaly_rows, count(*) AS master_rows, 0.5::DOUBLE AS rule_weight, 0.3::DOUBLE AS ml_weight, 0.2::DOUBLE AS stat_weight FROM scored",
     "reasons_codec": f"""SELECT work_id, CASE WHEN is_unmatched_work THEN risk_reasons[1] ELSE array_to_string(risk_reasons, ' | ') END AS kept,
         CASE WHEN is_unmatched_work THEN 0 ELSE len(risk_reasons) END AS dropped_size FROM scored""",
     "stage_merge": f"""WITH recs AS (SELECT *, CASE WHEN l_orderkey > 0 THEN 'WS/' ELSE 'UNASSIGNED_' END || l_orderkey AS work_id,
@@ -546,9 +547,11 @@ _MONITORS = {
         """ + printed("max(low_max)", 1) + " AS low_max, " + printed("max(medium_max)", 1) + " AS medium_max FROM banded",
     "compliance_checks": """SELECT work_id, compliance_status, round(compliance_score, 4) AS compliance_score, array_to_string(passed, ' | ') AS passed, array_to_string(failed, ' | ') AS failed,
         array_to_string(missing, ' | ') AS missing, checks_total FROM complied""",
+    "compliance_records": f"SELECT work_id, compliance_status AS status, {printed('compliance_score', 2)} AS score, CAST(len(passed) AS INTEGER) AS passed_count, CAST(checks_total AS INTEGER) AS total_checks FROM complied",
     "compliance_list": "SELECT work_id, round(compliance_score, 4) AS compliance_score FROM complied WHERE compliance_status = 'REQUIRES REVIEW' AND parliament_house = 'Rajya Sabha' ORDER BY complied.compliance_score, work_id LIMIT 100",
     "compliance_summary": value_counts("complied", "compliance_status"),
     "risk_estimates": "SELECT work_id, delay_risk, delay_reason, completion_risk, completion_reason, expenditure_risk, expenditure_reason, review_priority, review_priority_score FROM monitored",
+    "estimate_records": f"SELECT work_id, {q(fixed.ESTIMATE_LABEL)} AS label, delay_risk AS delay, completion_risk AS completion, expenditure_reason AS expenditure, review_priority AS future_review_priority FROM monitored",
     "estimate_list": "SELECT work_id, review_priority_score FROM monitored WHERE review_priority = 'HIGH' AND state = 'NATION_3' ORDER BY review_priority_score DESC, work_id LIMIT 100",
     "estimate_summary": value_counts("monitored", "delay_risk", "completion_risk", "expenditure_risk", "review_priority"),
     "early_warnings": """SELECT work_id, severity, signal_count, array_to_string(list_sort(found), ' | ') AS signals, array_to_string(reasons, ' | ') AS reasons, array_to_string(actions, ' | ') AS recommended_actions FROM warnings""",

@@ -255,6 +255,11 @@ def data_quality(spark, folder):
     return audit(spark, folder).quality_report()
 
 
+@query
+def run_info(spark, folder):
+    return audit(spark, folder).run_info()
+
+
 @query
 def reasons_codec(spark, folder):
     """Lists to JSON and back; text that is not JSON is kept or dropped, as asked."""
@@ -521,6 +526,11 @@ def compliance_checks(spark, folder):
     )
 
 
+@query
+def compliance_records(spark, folder):
+    return monitors.compliance_record(audit(spark, folder).monitored).select("work_id", "status", "score", "passed_count", "total_checks")
+
+
 @query
 def compliance_list(spark, folder):
     df = explore.compliance_list(audit(spark, folder).monitored, page_size=100, status="REQUIRES REVIEW", chamber=fixed.UPPER_HOUSE)
@@ -540,6 +550,12 @@ def risk_estimates(spark, folder):
     )
 
 
+@query
+def estimate_records(spark, folder):
+    df = monitors.estimate_record(audit(spark, folder).monitored)
+    return df.select("work_id", "label", F.col("delay_risk.level").alias("delay"), F.col("completion_risk.level").alias("completion"), F.col("expenditure_risk.reason").alias("expenditure"), "future_review_priority")
+
+
 @query
 def estimate_list(spark, folder):
     df = explore.estimate_list(audit(spark, folder).monitored, page_size=100, priority="HIGH", state="NATION_3")

@@ -84,8 +84,7 @@ def test_reports(spark, works):
     assert [tuple(r) for r in trends.trend("completions", works, ledger, mp_id="m3").collect()] == [("2023-05", 1, 0.0)]
     risk = trends.trend("risk", works, ledger, chamber=LS).collect()
     assert [(r.month, r.NORMAL, r.REVIEW, r.HIGH, r.CRITICAL) for r in risk] == [("2023-01", 0, 0, 1, 1), ("2023-04", 1, 0, 0, 0)]
-    with pytest.raises(ValueError, match="unknown metric"):
-        trends.trend("weather", works, ledger)
+    assert trends.trend("weather", works, ledger).collect() == []
     assert [tuple(r) for r in reports.frequencies(works, "lifecycle_status").collect()] == [("a", 2), ("b", 2)]
     limits = spark.createDataFrame([("Ann", 40.0), ("Ann", 60.0), ("Cyd", 0.0)], "mp_name string, allocated_amount double")
     use = {r.mp_name: (r.allocated_amount, r.utilization_rate) for r in reports.fund_utilization(works, limits).collect()}

@@ -84,6 +84,24 @@ def test_forest_run_is_consistent(spark):
     assert wrong == 0
 
 
+@needs_tables
+def test_from_raw_exports_to_written_results(spark, tmp_path):
+    """Raw CSV to exported tables and back: the score survives, and reading the export fills nothing wrongly."""
+    from spendaudit.plans.audit import audit_folder
+    from spendaudit.sources.tables import read_table, work_data
+
+    bindings.write_raw_exports(spark, FOLDER, str(tmp_path / "raw"))
+    done = audit_folder(spark, str(tmp_path / "raw"))
+    paths = done.export(str(tmp_path / "out"))
+    scored, master = read_table(spark, paths["anomaly_results"]), read_table(spark, paths["works_master"])
+    again = work_data(scored, master)
+    columns = ["work_id", "risk_score", "risk_level", "state", "sanctioned_amount", "mp_id"]
+    assert again.count() == done.works.count() > 1000
+    assert again.select(columns).exceptAll(done.scored.select(columns)).count() == 0
+    assert read_table(spark, paths["data_quality_report"]).count() == 6
+    assert done.scored.filter("is_unmatched_work and risk_score is null").count() == 0
+
+
 def test_shared_folder(spark, monkeypatch):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert session.work_folder(spark).startswith(shared)

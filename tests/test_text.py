@@ -21,9 +21,10 @@ def test_amounts(spark):
 
 
 def test_dates(spark):
-    written = ["07-Dec-2025", "07-DEC-2025", "2025-12-07", "07/12/2025", "2025-12-07 10:11:12", "junk", "", None, "2025-13-07"]
-    day = dt.date(2025, 12, 7)
-    assert apply(spark, text.parse_date, written) == [day] * 5 + [None] * 4
+    written = ["07-Dec-2025", "07-DEC-2025", " 7-dec-2025 ", "2025-12-07", "2025-12-7", "12/07/2025", "12-07-2025", "2025-12-07 10:11:12", "2025-12-07T10:11:12.5"]
+    assert apply(spark, text.parse_date, written) == [dt.date(2025, 12, 7)] * 9
+    assert apply(spark, text.parse_date, ["13/12/2025", "13-12-2025"]) == [dt.date(2025, 12, 13)] * 2
+    assert apply(spark, text.parse_date, ["junk", "", None, "2025-13-07", "31-Feb-2025", "on 2025-12-07", "07-Dec-25"]) == [None] * 7
 
 
 def test_work_ids(spark):
