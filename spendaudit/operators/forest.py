@@ -81,12 +81,16 @@ def average_path(size: float) -> float:
     return 2.0 * (math.log(size - 1) + np.euler_gamma) - 2.0 * (size - 1) / size
 
 
+def depth_limit(config: AuditConfig) -> int:
+    return max(1, math.ceil(math.log2(config.sample_size)))
+
+
 def grow_forest(samples: DataFrame, names: list[str], config: AuditConfig) -> DataFrame:
     """One small group per tree (at most ``sample_size`` rows), grown on the executors.
 
     The function sent to them refers to nothing of this package, so they need not have it installed.
     """
-    limit = max(1, math.ceil(math.log2(config.sample_size)))
+    limit = depth_limit(config)
     seed = config.seed
     rest = [average_path(n) for n in range(config.sample_size + 1)]
 
@@ -101,7 +105,8 @@ def grow_forest(samples: DataFrame, names: list[str], config: AuditConfig) -> Da
             low, high = rows.min(axis=0), rows.max(axis=0)
             usable = np.flatnonzero(high > low)
             if depth >= limit or len(rows) <= 1 or not usable.size:
-                nodes[place] = (-1, 0.0, -1, -1, depth + rest[len(rows)])
+                # a leaf leads to itself, so that scoring needs no test for leaves
+                nodes[place] = (0, np.inf, place, place, depth + rest[len(rows)])
                 return place
             feature = int(rng.choice(usable))
             cut = float(rng.uniform(low[feature], high[feature]))
@@ -119,26 +124,28 @@ def grow_forest(samples: DataFrame, names: list[str], config: AuditConfig) -> Da
     return samples.groupBy("tree").applyInPandas(one_tree, NODE_SCHEMA)
 
 
-def forest_score(nodes: pd.DataFrame, inputs: list[Column], sample_size: int) -> Column:
-    """Anomaly score 2^(-mean path / expected path) of each row, all rows of a batch at once."""
+def forest_score(nodes: pd.DataFrame, inputs: list[Column], steps: int, sample_size: int) -> Column:
+    """Anomaly score 2^(-mean path / expected path) of each row, all rows of a batch at once.
+
+    ``steps`` is the depth of the trees, ``sample_size`` the number of rows each was grown from.
+    """
     trees = [
-        {c: g[c].to_numpy() for c in ("feature", "cut", "left", "right", "length")}
+        tuple(g[c].to_numpy() for c in ("feature", "cut", "left", "right", "length"))
         for _, g in nodes.sort_values(["tree", "node"]).groupby("tree")
     ]
     expected = average_path(sample_size) or 1.0
 
     @F.pandas_udf(DoubleType())
     def score(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        everyone, total = np.arange(len(x)), np.zeros(len(x))
-        for tree in trees:
-            at = np.zeros(len(x), dtype=int)
-            while (inner := tree["feature"][at] >= 0).any():
-                on = everyone[inner]
-                node = at[on]
-                low = x[on, tree["feature"][node]] <= tree["cut"][node]
-                at[on] = np.where(low, tree["left"][node], tree["right"][node])
-            total += tree["length"][at]
+        values = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+        rows, total = np.arange(len(values)) * values.shape[1], np.zeros(len(values))
+        flat = values.ravel()
+        for feature, cut, left, right, length in trees:
+            at = np.zeros(len(values), dtype=np.int32)
+            for _ in range(steps):
+                low = flat.take(rows + feature.take(at)) <= cut.take(at)
+                at = np.where(low, left.take(at), right.take(at))
+            total += length.take(at)
         return pd.Series(np.exp2(-total / len(trees) / expected))
 
     return score(*inputs)
@@ -175,7 +182,7 @@ def isolation_forest(features: DataFrame, config: AuditConfig = AuditConfig(), k
     if nodes.empty:
         nothing = F.lit(None).cast("double")
         return {"ml_anomaly_score": nothing, "ml_anomaly_percentile": nothing}
-    score = forest_score(nodes, inputs, min(config.sample_size, rows))
+    score = forest_score(nodes, inputs, depth_limit(config), min(config.sample_size, rows))
     raw = materialize(features.select(score.alias("raw_score")), "forest_scores")
     return normalized_scores(raw, score)
 
