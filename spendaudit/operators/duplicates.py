@@ -47,7 +47,8 @@ def prepare(works: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
         F.coalesce("constituency", F.lit("")).alias("seat"),
         F.array_join("tokens", " ").alias("normtext"),
         # groups are formed on the digest, so that whole texts are not shuffled
-        F.sha2(F.array_join("tokens", " "), 256).alias("text_key"),
+        F.unhex(F.sha2(F.array_join("tokens", " "), 256)).alias("text_key"),
+        F.length(F.array_join("tokens", " ")).alias("chars"),
         F.array_join(F.slice("tokens", 1, config.signature_tokens), " ").alias("signature"),
         F.coalesce("sanction_date", "recommended_date").alias("near_date"),
     )
@@ -155,12 +156,13 @@ def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) ->
         "place",
         F.col("sanctioned_amount").alias("amount"),
         "near_date",
-        F.length("normtext").alias("chars"),
+        "chars",
         "text_key",
         F.floor(F.log("sanctioned_amount") / width).alias("amount_bin"),
         F.floor(F.unix_date("near_date") / (config.date_gap_max + 1)).alias("date_bin"),
     )
-    binned = narrow.join(candidate_blocks(prepared, config).drop("block_size"), BLOCK_KEY)
+    # written because it is read from both sides of the join; it holds no texts
+    binned = materialize(narrow.join(candidate_blocks(prepared, config).drop("block_size"), BLOCK_KEY), "blocked_works")
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     near = binned.select("*", F.inline(steps)).withColumns(
         {"amount_bin": F.col("amount_bin") + F.col("i"), "date_bin": F.col("date_bin") + F.col("j")}

@@ -15,13 +15,17 @@ from spendaudit.functions.text import round_scaled
 from spendaudit.session import materialize
 
 
+# a sliver holds about this many rank errors of the sketch: a safe margin on both sides of the quantile
+SLIVER_SHARE = 16
+
+
 def exact_quantiles(
     df: DataFrame,
     measures: dict[str, Column],
     probs: Sequence[float],
     by: Sequence[str] = (),
     direct_limit: int = 200_000,
-    accuracy: int = 10_000,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles of several measures per group, as a small written table.
 
@@ -30,7 +34,8 @@ def exact_quantiles(
     While the largest group has at most ``direct_limit`` values Spark's exact ``percentile`` is used:
     its value map is then bounded. Beyond that a mergeable sketch first brackets each quantile (its
     rank error is at most n / accuracy), values outside the bracket are only counted, and just the
-    bracketed sliver (about 0.2 % of the group) is ranked. Both ways give the same numbers.
+    bracketed sliver is ranked. Unless given, the accuracy grows with the largest group so that a
+    sliver stays near two million values. Both ways give the same numbers.
     """
     by = list(by)
     pairs = F.array(
@@ -47,11 +52,13 @@ def exact_quantiles(
             *[F.percentile("value", p).alias(f"q{i}") for i, p in enumerate(probs)],
         )
         return materialize(found, "quantiles")
+    if accuracy is None:
+        accuracy = min(1_000_000, max(10_000, SLIVER_SHARE * largest // 2_000_000))
     return materialize(_bracketed(values, keys, probs, accuracy), "quantiles")
 
 
 def _bracketed(values, keys, probs, accuracy):
-    margin = 8.0 / accuracy
+    margin = SLIVER_SHARE / 2 / accuracy
     edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = values.groupBy(*keys).agg(
         F.count("*").alias("n"),

@@ -13,8 +13,9 @@ from spendaudit.operators.findings import reason_category
 
 
 def kpi_row(works: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Totals of the selected works; payments come from the ledger by a semi join."""
-    paid = ledger.join(works.select("work_id"), "work_id", "left_semi").agg(money("amount").alias("total_expenditure"))
+    """Totals of the selected works; payments come from the ledger, summed per work before the semi join."""
+    per_work = ledger.groupBy("work_id").agg(F.sum("amount").alias("amount"))
+    paid = per_work.join(works.select("work_id"), "work_id", "left_semi").agg(money("amount").alias("total_expenditure"))
     level = F.col("risk_level")
     totals = works.agg(
         F.count("*").alias("total_works"),

@@ -25,9 +25,12 @@ def sanctions_by_month(works: DataFrame) -> DataFrame:
 
 
 def expenditure_by_month(works: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Payments of the selected works, found by a semi join."""
-    paid = ledger.filter(F.col("expenditure_date").isNotNull()).join(works.select("work_id"), "work_id", "left_semi")
-    return paid.groupBy(month("expenditure_date")).agg(F.count("expenditure_id").alias("payments"), total("amount"))
+    """Payments of the selected works, found by a semi join. Payments are summed per work and month
+    first, so that a work with very many of them joins as a few rows."""
+    dated = ledger.filter(F.col("expenditure_date").isNotNull())
+    monthly = dated.groupBy("work_id", month("expenditure_date")).agg(F.count("expenditure_id").alias("payments"), F.sum("amount").alias("amount"))
+    chosen = monthly.join(works.select("work_id"), "work_id", "left_semi")
+    return chosen.groupBy("month").agg(F.sum("payments").alias("payments"), total("amount"))
 
 
 def completions_by_month(works: DataFrame) -> DataFrame:

@@ -123,6 +123,14 @@ def test_against_brute_force(make_works, seed):
     assert similar and ids(dup.pair_record(dup.similar_pairs(prepared, everything))) == similar
 
 
+def test_candidate_search_reads_no_texts(make_works):
+    prepared = dup.materialize(dup.prepare(make_works({"work_id": "a"}, {"work_id": "b"})), "prepared")
+    blocks = dup.candidate_blocks(prepared)._jdf.queryExecution().executedPlan().toString()
+    pairs = dup.candidate_pairs(prepared)._jdf.queryExecution().executedPlan().toString()
+    assert "normtext" not in blocks + pairs and "work_description" not in blocks + pairs
+    assert "CartesianProduct" not in pairs and "NestedLoop" not in pairs
+
+
 def test_large_batch_keeps_first_ids(make_works):
     rows = [{"work_id": f"w{i:03d}", "work_description": "LED poles"} for i in range(120)]
     batch = dup.find_duplicates(make_works(*rows)).batches.first()
