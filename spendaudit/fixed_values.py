@@ -202,7 +202,6 @@ CHECK_DUPLICATE_WORKS = "flagged in duplicate-work screening"
 CHECK_COMPLETE_OK = "Lifecycle record substantially complete"
 CHECK_COMPLETE_LOW = "Lifecycle record incomplete (completeness score {score})"
 CHECK_COMPLETE_UNKNOWN = "Unable to verify lifecycle completeness from available data"
-COMPLIANCE_STATUSES = ["COMPLIANT", "PARTIALLY COMPLIANT", "REQUIRES REVIEW", "INSUFFICIENT DATA"]
 
 # --- fixed values: risk estimates -------------------------------------------------------------
 DELAY_STALLED = "Work is flagged as stalled in the pipeline output."

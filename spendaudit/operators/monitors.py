@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spendaudit import fixed_values as fixed
 from spendaudit.config import AuditConfig
-from spendaudit.functions.text import message, plain_number, round_printed
+from spendaudit.functions.text import lookup, message, plain_number, round_printed
 from spendaudit.operators.duplicates import duplicate_ids
 from spendaudit.operators.quantiles import exact_quantiles
 
@@ -321,5 +321,6 @@ def early_warnings(monitored: DataFrame) -> DataFrame:
 
 
 def severity_rank() -> Column:
+    """Severities as numbers, the most urgent highest."""
     ranks = {s: len(fixed.SEVERITIES) - 1 - i for i, s in enumerate(fixed.SEVERITIES)}
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), F.col("severity"))
+    return lookup(ranks, F.col("severity"))

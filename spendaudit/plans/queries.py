@@ -6,14 +6,14 @@ import datetime as dt
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendaudit import fixed_values as fixed
 from spendaudit.config import AuditConfig
 from spendaudit.functions import text
 from spendaudit.operators import duplicates as dup
-from spendaudit.operators import explore, features, findings, forest, integrate, monitors, payments, quantiles, reports, rules, scoring, trends
+from spendaudit.operators import explore, findings, forest, integrate, monitors, payments, quantiles, reports, rules, scoring, trends
 from spendaudit.plans import bindings
 from spendaudit.plans.audit import Audit
 from spendaudit.session import materialize, work_folder
@@ -890,8 +890,6 @@ def finding_reasons(spark, folder):
 @query
 def top_rule_works_by_state(spark, folder):
     """The ten highest rule scores of each state with their reasons."""
-    from pyspark.sql import Window
-
     ruled = audit(spark, folder).ruled
     place = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("rule_score"), "work_id"))
     best = ruled.select("state", "work_id", "rule_score", "rule_reasons", place.alias("place")).filter("place <= 10")
