@@ -53,15 +53,10 @@ class AuditConfig:
 
     # duplicate-work screening
     signature_tokens: int = 4
-    block_min: int = 2
-    block_max: int = 60
     similarity_min: float = 0.85
     similarity_max: float = 0.999
     amount_similarity_min: float = 0.95
     date_gap_max: int = 30
-    similar_pairs_kept: int = 300
-    batches_kept: int = 200
-    batch_ids_kept: int = 50
 
     # overrun bands when no work is over its sanction
     overrun_low_default: float = 10.0

@@ -37,13 +37,24 @@ MISSING_TEXT = [
 ]
 TOTAL_ROW_PATTERN = r"(?i)^\s*(Grand\s+Total|Total)\b"
 CURRENCY_PATTERN = r"[,₹]|Rs\.?"
-TIME_OF_DAY_PATTERN = r"[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"
+NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# what may follow a date: a time of day, with or without seconds, half of the day and zone
+TIME_OF_DAY_PATTERN = r"(?i)[ T]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AP]M)?( ?(Z|UTC|[+-]\d{2}:?\d{2}))?$"
 # shape of a date text, and the formats to try on it in order
 DATE_SHAPES = [
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ["d-MMM-yyyy"]),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", ["d-MMM-yy"]),
+    (r"^\d{1,2}-[A-Za-z]{4,9}-\d{4}$", ["d-MMMM-yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", ["d MMM yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", ["d MMMM yyyy"]),
+    (r"^[A-Za-z]{3} \d{1,2}, ?\d{4}$", ["MMM d, yyyy", "MMM d,yyyy"]),
+    (r"^[A-Za-z]{4,9} \d{1,2}, ?\d{4}$", ["MMMM d, yyyy", "MMMM d,yyyy"]),
     (r"^\d{4}-\d{1,2}-\d{1,2}$", ["yyyy-M-d"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["yyyy/M/d"]),
+    (r"^\d{8}$", ["yyyyMMdd"]),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["M.d.yyyy", "d.M.yyyy"]),
 ]
 WORK_ID_PATTERNS = [
     r"(?i)\b(WS\s*/\s*MP\s*\d+\s*/\s*\d{4}-\d{4}\s*/\s*\d+)\b",

@@ -52,9 +52,15 @@ def round_scaled(value: Column, places: int) -> Column:
     return F.rint(value * scale) / scale
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind around it (line breaks, tabs and no-break spaces included)."""
+    space = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]+"
+    return F.regexp_replace(text, f"^{space}|{space}$", "")
+
+
 def blank_to_null(text: Column) -> Column:
     """Trim; the usual spellings of a missing value become null."""
-    trimmed = F.trim(text)
+    trimmed = strip(text)
     return F.when(~trimmed.isin(fixed.MISSING_TEXT), trimmed)
 
 
@@ -65,9 +71,9 @@ def is_total_row(columns: list[str]) -> Column:
 
 
 def parse_amount(text: Column) -> Column:
-    stripped = F.trim(F.regexp_replace(text, fixed.CURRENCY_PATTERN, ""))
-    number = stripped.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    """Amount written with or without currency and separators; null for anything but a plain decimal number."""
+    stripped = strip(F.regexp_replace(text, fixed.CURRENCY_PATTERN, ""))
+    return F.when(stripped.rlike(fixed.NUMBER_PATTERN), stripped.try_cast("double"))
 
 
 def parse_date(text: Column) -> Column:
@@ -75,13 +81,20 @@ def parse_date(text: Column) -> Column:
 
     The shape of the text selects the formats, so that no row fails its way through all of them.
     """
-    day = F.regexp_replace(F.trim(text), fixed.TIME_OF_DAY_PATTERN, "")
+    day = F.regexp_replace(strip(text), fixed.TIME_OF_DAY_PATTERN, "")
     found = F.lit(None).cast("date")
     for shape, formats in reversed(fixed.DATE_SHAPES):
-        found = F.when(day.rlike(shape), F.coalesce(*[F.try_to_date(day, f) for f in formats])).otherwise(found)
+        found = F.when(day.rlike(shape), F.coalesce(*[_date(day, f) for f in formats])).otherwise(found)
     return found
 
 
+def _date(day: Column, form: str) -> Column:
+    """Date in one format; years of two digits from 69 on are of the last century."""
+    found = F.try_to_date(day, form)
+    short = "yy" in form and "yyyy" not in form
+    return F.when(F.year(found) >= 2069, F.add_months(found, -1200)).otherwise(found) if short else found
+
+
 def extract_work_id(text: Column) -> Column:
     """Work id found in free text by the fixed patterns, most specific first; null when none fits."""
     hits = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in fixed.WORK_ID_PATTERNS]
@@ -96,13 +109,13 @@ def title_case(text: Column) -> Column:
 
 
 def normalize_member(name: Column) -> Column:
-    bare = F.trim(F.regexp_replace(F.trim(name), fixed.HONORIFIC_PATTERN, ""))
-    bare = F.trim(F.regexp_replace(bare, fixed.TERM_PATTERN, ""))
+    bare = strip(F.regexp_replace(strip(name), fixed.HONORIFIC_PATTERN, ""))
+    bare = strip(F.regexp_replace(bare, fixed.TERM_PATTERN, ""))
     return F.coalesce(title_case(bare), F.lit(fixed.UNKNOWN_MEMBER))
 
 
 def normalize_state(state: Column) -> Column:
-    titled = title_case(F.trim(state))
+    titled = title_case(strip(state))
     return F.coalesce(lookup(fixed.STATE_SPELLINGS, titled), titled, F.lit(fixed.UNKNOWN_STATE))
 
 

@@ -18,7 +18,11 @@ from spendaudit.functions.text import description_tokens, round_printed
 from spendaudit.session import materialize
 
 CLUSTER_KEY = ["member", "text_key", "sanctioned_amount", "sanction_date"]
-BLOCK_KEY = ["member", "seat", "signature"]
+# works that agree in these are one node of the search for similar works
+NODE_KEY = ["member", "seat", "text_key", "sanctioned_amount", "near_date"]
+# texts meet that agree in their first or in their last sorted words
+SIGNATURES = ["signature", "end_signature"]
+BLOCK_KEY = ["member", "seat", "kind", "words"]
 BRIEF = [
     "work_id", "mp_name", "state", "constituency", "work_description", "work_category", "sanctioned_amount",
     "sanction_date", "risk_level",
@@ -27,8 +31,13 @@ BRIEF = [
 
 @dataclass(frozen=True)
 class Duplicates:
+    """``pairs`` of works (tier A) and of nodes, groups of alike works (tier B), each shown by its first work;
+    ``members`` has every work of every paired node; ``batches``, and all works of each in ``batch_works``."""
+
     pairs: DataFrame
+    members: DataFrame
     batches: DataFrame
+    batch_works: DataFrame
 
 
 def prepare(works: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
@@ -50,6 +59,7 @@ def prepare(works: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
         F.unhex(F.sha2(F.array_join("tokens", " "), 256)).alias("text_key"),
         F.length(F.array_join("tokens", " ")).alias("chars"),
         F.array_join(F.slice("tokens", 1, config.signature_tokens), " ").alias("signature"),
+        F.array_join(F.slice("tokens", F.greatest(F.size("tokens") - (config.signature_tokens - 1), F.lit(1)), config.signature_tokens), " ").alias("end_signature"),
         F.coalesce("sanction_date", "recommended_date").alias("near_date"),
     )
 
@@ -100,60 +110,72 @@ def exact_pairs(grouped: DataFrame, prepared: DataFrame) -> DataFrame:
         _texts(fixed.PAIR_FIELDS_EXACT).alias("matching_fields"),
         "work_a",
         "work_b",
+        F.lit(1).cast("long").alias("works_a"),
+        F.lit(1).cast("long").alias("works_b"),
     )
 
 
-def batches(prepared: DataFrame, grouped: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
-    """Tier C: the largest groups of three or more, with their first work ids.
-
-    Only the listed groups are expanded, and the rank filter keeps 50 rows per group and task before
-    anything is shuffled.
-    """
+def batches(prepared: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Tier C: all groups of three or more, named and shown by their first work."""
     many = grouped.filter("unit_count >= 3").withColumnRenamed("work_id_a", "work_id")
-    top = (
-        many.join(briefs(prepared, many).select("work_id", "work"), "work_id")
-        .orderBy(F.desc("unit_count"), F.col("work.mp_name").asc_nulls_first(), "work.work_description", "place")
-        .limit(config.batches_kept)
-    )
-    top = materialize(top.select(*CLUSTER_KEY, "unit_count", "work"), "batches")
-    first = Window.partitionBy(*CLUSTER_KEY).orderBy("place")
-    ids = (
-        keyed(prepared)
-        .join(top.select(*CLUSTER_KEY), CLUSTER_KEY)
-        .select(*CLUSTER_KEY, "work_id", "place")
-        .withColumn("nth", F.row_number().over(first))
-        .filter(F.col("nth") <= config.batch_ids_kept)
-        .groupBy(*CLUSTER_KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("nth", "work_id"))).alias("listed"))
-    )
-    return top.join(ids, CLUSTER_KEY).select(
+    return many.join(briefs(prepared, many).select("work_id", "work"), "work_id").select(
+        F.col("work_id").alias("batch_id"),
         *[F.col(f"work.{c}") for c in ("mp_name", "state", "constituency", "work_description", "sanctioned_amount", "sanction_date")],
         "unit_count",
-        F.col("listed.work_id").alias("work_ids"),
         F.lit(fixed.BATCH_NOTE).alias("note"),
+        "place",
+    )
+
+
+def batch_works(prepared: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Every work of every batch as a row; a batch of any size is a number of rows, never a list."""
+    many = grouped.filter("unit_count >= 3").select(*CLUSTER_KEY, F.col("work_id_a").alias("batch_id"))
+    return keyed(prepared).select(*CLUSTER_KEY, "work_id").join(many, CLUSTER_KEY).select("batch_id", "work_id")
+
+
+def nodes(prepared: DataFrame) -> DataFrame:
+    """Works that the search for similar ones can't tell apart, as one row with their number and first work.
+
+    Equal texts are excluded from the similar pairs, so no pair lies inside a node. Constant state per group.
+    """
+    usable = prepared.filter((F.col("sanctioned_amount") > 0) & F.col("near_date").isNotNull())
+    return usable.groupBy(*NODE_KEY).agg(
+        F.count("*").alias("works"),
+        F.min("place").alias("place"),
+        F.min_by("work_id", "place").alias("work_id"),
+        F.min("chars").alias("chars"),
+        *[F.min(c).alias(c) for c in SIGNATURES],
     )
 
 
-def candidate_blocks(prepared: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
-    """Blocks of 2 to 60 works with equal member, seat and signature; larger ones are boilerplate that
-    the batches already report."""
-    sizes = prepared.groupBy(*BLOCK_KEY).agg(F.count("*").alias("block_size"))
-    return sizes.filter(F.col("block_size").between(config.block_min, config.block_max))
+def _blocked(df: DataFrame) -> DataFrame:
+    """One row for each of the two signatures; a text with equal ones has one."""
+    kinds = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("words")) for c in SIGNATURES])
+    return df.select("*", F.inline(kinds)).drop(*SIGNATURES)
+
+
+def open_blocks(blocked: DataFrame) -> DataFrame:
+    """Blocks with two different texts at least; others hold no similar pair, however large they are."""
+    ends = blocked.groupBy(*BLOCK_KEY).agg(F.min("text_key").alias("one"), F.max("text_key").alias("other"))
+    return ends.filter("one != other").select(*BLOCK_KEY)
 
 
 def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
-    """Pairs that pass every cheap test of tier B; texts are compared afterwards.
+    """Pairs of nodes (named by their first works, earlier first) that pass every cheap test of tier B.
 
     Amounts within 5 % lie in the same or neighbouring logarithmic bins, dates within 30 days in the
     same or neighbouring 31-day bins. Joining on block and bins meets each such pair once and never
     forms the others. Two texts whose lengths differ too much cannot reach the similarity, and equal
-    texts are similar beyond the upper limit, so both are left out here.
+    texts are similar beyond the upper limit, so both are left out here. No block is too large: blocks
+    of one text only are left out, others are split by amount and date.
     """
     width = -math.log(config.amount_similarity_min) * 1.001
-    narrow = prepared.filter((F.col("sanctioned_amount") > 0) & F.col("near_date").isNotNull()).select(
+    blocked = _blocked(materialize(nodes(prepared), "nodes"))
+    narrow = blocked.join(materialize(open_blocks(blocked), "open_blocks"), BLOCK_KEY).select(
         *BLOCK_KEY,
         "work_id",
         "place",
+        "works",
         F.col("sanctioned_amount").alias("amount"),
         "near_date",
         "chars",
@@ -162,7 +184,7 @@ def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) ->
         F.floor(F.unix_date("near_date") / (config.date_gap_max + 1)).alias("date_bin"),
     )
     # written because it is read from both sides of the join; it holds no texts
-    binned = materialize(narrow.join(candidate_blocks(prepared, config).drop("block_size"), BLOCK_KEY), "blocked_works")
+    binned = materialize(narrow, "blocked_works")
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     near = binned.select("*", F.inline(steps)).withColumns(
         {"amount_bin": F.col("amount_bin") + F.col("i"), "date_bin": F.col("date_bin") + F.col("j")}
@@ -170,19 +192,21 @@ def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) ->
     keys = [*BLOCK_KEY, "amount_bin", "date_bin"]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        own = ["work_id", "place", "amount", "near_date", "chars", "text_key"]
+        own = ["work_id", "place", "works", "amount", "near_date", "chars", "text_key"]
         return df.select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in own])
 
     low, high = F.least("amount_a", "amount_b"), F.greatest("amount_a", "amount_b")
-    reachable = 2.0 * F.least("chars_a", "chars_b") / (F.col("chars_a") + F.col("chars_b"))
+    # 2 x shorter / (both) is the most that the ratio can be; as a product, because both may be empty
+    reachable = 2.0 * F.least("chars_a", "chars_b") >= config.similarity_min * (F.col("chars_a") + F.col("chars_b"))
     return (
         side(near, "a")
         .join(side(binned, "b"), keys)
         .filter(F.col("place_a") < F.col("place_b"))
         .filter(F.lit(1.0) - (high - low) / high >= config.amount_similarity_min)
         .filter(F.abs(F.datediff("near_date_a", "near_date_b")) <= config.date_gap_max)
-        .filter((F.col("text_key_a") != F.col("text_key_b")) & (reachable >= config.similarity_min))
-        .select("work_id_a", "work_id_b")
+        .filter((F.col("text_key_a") != F.col("text_key_b")) & reachable)
+        .select("work_id_a", "work_id_b", "works_a", "works_b", "text_key_a", "text_key_b")
+        .distinct()  # a pair may agree in both signatures
     )
 
 
@@ -203,23 +227,46 @@ def text_ratio(a: str, b: str, least: float) -> Column:
     return ratio(a, b)
 
 
-def similar_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig(), keep: int | None = None) -> DataFrame:
-    """Tier B, best first, the 300 best kept. Texts are fetched for the surviving pairs only."""
+def text_pair_ratios(found: DataFrame, prepared: DataFrame, config: AuditConfig) -> DataFrame:
+    """Ratio of every distinct pair of texts (in order) among the candidates: each is compared once,
+    however many works have these texts."""
+    distinct = materialize(found.select("text_key_a", "text_key_b").distinct(), "text_pairs")
+    wanted = distinct.select(F.explode(F.array("text_key_a", "text_key_b")).alias("text_key")).distinct()
+    texts = prepared.join(wanted, "text_key", "left_semi").select("text_key", "normtext").dropDuplicates(["text_key"])
+    texts = materialize(texts, "paired_texts")
+
+    def side(name: str) -> DataFrame:
+        return texts.select(F.col("text_key").alias(f"text_key_{name}"), F.col("normtext").alias(f"normtext_{name}"))
+
+    # comparing texts is slow for the size of the data, so the pairs are dealt out widely, the more the more there are
+    tasks = max(4 * prepared.sparkSession.sparkContext.defaultParallelism, distinct.count() // 2000)
+    both = distinct.join(side("a"), "text_key_a").join(side("b"), "text_key_b").repartition(tasks, "text_key_a", "text_key_b")
+    rated = both.select("text_key_a", "text_key_b", text_ratio("normtext_a", "normtext_b", config.similarity_min).alias("ratio"))
+    return rated.filter((F.col("ratio") >= config.similarity_min) & (F.col("ratio") < config.similarity_max))
+
+
+def similar_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
+    """Tier B: all pairs of nodes with similar texts, close amounts and dates."""
     found = materialize(candidate_pairs(prepared, config), "candidate_pairs")
-    # comparing texts is slow for the size of the data, so the pairs are dealt out over all cores
-    tasks = 4 * prepared.sparkSession.sparkContext.defaultParallelism
-    compared = with_works(found, prepared).repartition(tasks, "work_id_a", "work_id_b")
+    rated = found.join(text_pair_ratios(found, prepared, config), ["text_key_a", "text_key_b"])
+    rated = materialize(rated.select("work_id_a", "work_id_b", "works_a", "works_b", "ratio"), "rated_pairs")
     same_seat = F.col("work_a.constituency") == F.col("work_b.constituency")
     fields = F.array_compact(F.concat(_texts(fixed.PAIR_FIELDS_SIMILAR), F.array(F.when(same_seat, fixed.PAIR_FIELD_CONSTITUENCY))))
-    return (
-        compared.withColumn("ratio", text_ratio("normtext_a", "normtext_b", config.similarity_min))
-        .filter((F.col("ratio") >= config.similarity_min) & (F.col("ratio") < config.similarity_max))
-        .orderBy(F.desc("ratio"), "work_id_a", "work_id_b")
-        .limit(keep or config.similar_pairs_kept)
-        .select(F.lit("B").alias("tier"), "ratio", fields.alias("matching_fields"), "work_a", "work_b")
+    return with_works(rated, prepared).select(
+        F.lit("B").alias("tier"), "ratio", fields.alias("matching_fields"), "work_a", "work_b", "works_a", "works_b"
     )
 
 
+def paired_works(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
+    """tier, node, work_id: every work of every paired node; a tier A node is the work itself."""
+    shown = pairs.select("tier", F.explode(F.array("work_a.work_id", "work_b.work_id")).alias("node")).distinct()
+    exact = shown.filter("tier = 'A'").select("tier", "node", F.col("node").alias("work_id"))
+    first = shown.filter("tier = 'B'").select(F.col("node").alias("work_id"))
+    named = materialize(prepared.join(first, "work_id", "left_semi").select(*NODE_KEY, F.col("work_id").alias("node")), "paired_nodes")
+    alike = prepared.select(*NODE_KEY, "work_id").join(named, NODE_KEY).select(F.lit("B").alias("tier"), "node", "work_id")
+    return exact.unionByName(alike)
+
+
 def pair_record(pairs: DataFrame) -> DataFrame:
     """Pairs as reported: label, score in percent, both works in brief, action and disclaimer."""
     label = F.when(F.col("tier") == "A", fixed.PAIR_LABELS["A"]).otherwise(fixed.PAIR_LABELS["B"])
@@ -230,6 +277,8 @@ def pair_record(pairs: DataFrame) -> DataFrame:
         "matching_fields",
         "work_a",
         "work_b",
+        "works_a",
+        "works_b",
         "ratio",
         F.lit(fixed.PAIR_ACTION).alias("recommended_action"),
         F.lit(fixed.DISCLAIMER).alias("disclaimer"),
@@ -237,11 +286,12 @@ def pair_record(pairs: DataFrame) -> DataFrame:
 
 
 def find_duplicates(works: DataFrame, config: AuditConfig = AuditConfig()) -> Duplicates:
-    """Both pair tiers and the batches. The prepared works are written once: four steps read them."""
-    prepared = materialize(prepare(works, config), "described_works", for_all_cores=True)
+    """Both pair tiers and the batches. The prepared works are written once: several steps read them."""
+    prepared = materialize(prepare(works, config), "described_works")
     grouped = materialize(clusters(prepared).filter("unit_count >= 2"), "clusters")
-    pairs = exact_pairs(grouped, prepared).unionByName(similar_pairs(prepared, config))
-    return Duplicates(materialize(pair_record(pairs), "pairs"), batches(prepared, grouped, config))
+    pairs = materialize(pair_record(exact_pairs(grouped, prepared).unionByName(similar_pairs(prepared, config))), "pairs")
+    members = materialize(paired_works(pairs, prepared), "paired_works")
+    return Duplicates(pairs, members, batches(prepared, grouped), batch_works(prepared, grouped))
 
 
 def list_pairs(pairs: DataFrame, tier: str = "All", limit: int = 100, offset: int = 0) -> DataFrame:
@@ -250,6 +300,12 @@ def list_pairs(pairs: DataFrame, tier: str = "All", limit: int = 100, offset: in
     return chosen.orderBy(*order).offset(offset).limit(limit)
 
 
+def list_batches(found: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """One page of the batches, largest first."""
+    order = [F.desc("unit_count"), F.col("mp_name").asc_nulls_first(), "work_description", "place"]
+    return found.orderBy(*order).offset(offset).limit(limit)
+
+
 def duplicate_summary(found: Duplicates) -> DataFrame:
     """Number of pairs per tier, of batches, and of works in batches."""
     pairs = found.pairs.agg(
@@ -263,15 +319,15 @@ def duplicate_summary(found: Duplicates) -> DataFrame:
     return one_row([pairs, groups])
 
 
-def duplicate_ids(pairs: DataFrame) -> DataFrame:
+def duplicate_ids(members: DataFrame) -> DataFrame:
     """Distinct works that appear in any pair."""
-    return pairs.select(F.explode(F.array("work_a.work_id", "work_b.work_id")).alias("work_id")).distinct()
+    return members.select("work_id").distinct()
 
 
-def matches_per_work(pairs: DataFrame) -> DataFrame:
-    """For each paired work: its best match in list order and the number of matches.
+def matches_per_work(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """For each paired work: its best match in list order and the number of matching works.
 
-    A pair is seen from both its works, so this is one aggregation by work with constant state.
+    A pair is seen from both its nodes, and by every work of a node. Constant state per node and work.
     """
     rank = F.struct(
         (-F.col("similarity_score")).alias("s"), "tier", (-F.col("ratio")).alias("r"),
@@ -279,27 +335,33 @@ def matches_per_work(pairs: DataFrame) -> DataFrame:
     )
 
     def seen(own: str, other: str) -> Column:
-        return F.struct(F.col(f"{own}.work_id").alias("work_id"), F.col(f"{other}.work_id").alias("other"))
+        return F.struct(
+            F.col(f"work_{own}.work_id").alias("node"), F.col(f"work_{other}.work_id").alias("other"), F.col(f"works_{other}").alias("n")
+        )
 
-    both = pairs.select("tier", "similarity_score", rank.alias("rank"), F.inline(F.array(seen("work_a", "work_b"), seen("work_b", "work_a"))))
-    best = both.groupBy("work_id").agg(
-        F.min_by(F.struct("other", "tier", "similarity_score"), "rank").alias("best"), F.count("*").alias("matches")
+    both = pairs.select("tier", "similarity_score", rank.alias("rank"), F.inline(F.array(seen("a", "b"), seen("b", "a"))))
+    of_node = both.groupBy("tier", "node").agg(
+        F.min(F.struct("rank", F.struct("other", "tier", "similarity_score").alias("found"))).alias("best"), F.sum("n").alias("n")
     )
-    return best.select("work_id", "best.*", "matches")
+    best = members.join(of_node, ["tier", "node"]).groupBy("work_id").agg(F.min("best").alias("best"), F.sum("n").alias("matches"))
+    return best.select("work_id", "best.found.*", "matches")
+
 
+def candidate_count(prepared: DataFrame) -> DataFrame:
+    """How many pairs of works the blocks hold, without those already found as exact pairs.
 
-def candidate_count(prepared: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
-    """How many pairs the blocks hold, without those already found as exact pairs."""
-    blocks = candidate_blocks(prepared, config)
-    size = F.col("block_size")
-    in_blocks = blocks.agg(F.coalesce(F.sum(size * (size - 1) / 2), F.lit(0.0)).cast("long").alias("in_blocks"))
+    Pairs that agree in the first words, plus those that agree in the last, less those that agree in both.
+    """
+    counts = []
+    for sign, key in ((1, SIGNATURES[:1]), (1, SIGNATURES[1:]), (-1, SIGNATURES)):
+        sizes = prepared.groupBy("member", "seat", *key).agg(F.count("*").cast("decimal(38,0)").alias("n"))
+        counts.append(sizes.agg(F.coalesce(F.sum(F.lit(sign) * F.col("n") * (F.col("n") - 1)), F.lit(0)).alias("twice")))
     exact = (
         keyed(prepared)
         .groupBy(*CLUSTER_KEY)
-        .agg(F.count("*").alias("n"), F.min("seat").alias("seat"), F.max("seat").alias("other_seat"), F.first("signature").alias("signature"))
+        .agg(F.count("*").alias("n"), F.min("seat").alias("seat"), F.max("seat").alias("other_seat"))
         .filter("n = 2 AND seat = other_seat")
-        .join(blocks, BLOCK_KEY, "left_semi")
-        .agg(F.count("*").alias("exact"))
+        .agg((F.count("*") * -2).alias("twice"))
     )
-    both = one_row([in_blocks, exact])
-    return both.select((F.col("in_blocks") - F.col("exact")).alias("candidate_pairs_scanned"))
+    every = counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(exact)
+    return every.agg((F.sum("twice") / 2).cast("long").alias("candidate_pairs_scanned"))

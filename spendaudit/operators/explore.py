@@ -71,8 +71,7 @@ def page_of(df: DataFrame, order: list[Column], page: int, page_size: int, tie:
 
 
 def works_explorer(works: DataFrame, page: int = 1, page_size: int = 50, **filters) -> DataFrame:
-    size = min(max(page_size, 1), 200)
-    return page_of(filter_works(works, **filters), [F.col("risk_score").desc_nulls_last()], page, size)
+    return page_of(filter_works(works, **filters), [F.col("risk_score").desc_nulls_last()], page, page_size)
 
 
 def critical_queue(works: DataFrame, page: int = 1, page_size: int = 25, sort: str = "risk_score", **filters) -> DataFrame:
@@ -237,8 +236,8 @@ def member_detail(works: DataFrame, mp_id: str) -> dict[str, DataFrame]:
     own = works.filter(F.col("mp_id") == mp_id)
     status = F.coalesce("lifecycle_status", F.lit(fixed.NOT_AVAILABLE)).alias("lifecycle_status")
     return {
-        "profile": member_profile(own),
-        "lifecycle": own.groupBy(status).agg(F.count("*").alias("works")).orderBy(F.desc("works"), "lifecycle_status").limit(10),
+        "profile": member_profile(own, "row_order" if "row_order" in own.columns else "work_id"),
+        "lifecycle": own.groupBy(status).agg(F.count("*").alias("works")).orderBy(F.desc("works"), "lifecycle_status"),
         "works": own.orderBy(F.col("risk_score").desc_nulls_last(), "work_id"),
     }
 
@@ -258,7 +257,7 @@ def member_directory(works: DataFrame, sort: str = "mp_name", descending: bool =
     key = F.col(sort if sort in MEMBER_SORTS else "mp_name")
     first = key.desc_nulls_last() if descending else key.asc_nulls_last()
     ties = [F.col(c).asc_nulls_last() for c in ("mp_id", "state", "constituency")]
-    return grouped.orderBy(first, *ties).limit(min(max(limit, 1), 500))
+    return grouped.orderBy(first, *ties).limit(limit)
 
 
 def facet_values(works: DataFrame, chamber: str = ALL) -> DataFrame:

@@ -141,9 +141,9 @@ def overall_assessment(level: Column, count: Column) -> dict[str, Column]:
     }
 
 
-def explanations(monitored: DataFrame, pairs: DataFrame, keep: int = 5) -> DataFrame:
-    """One row per work: key findings, actions, totals and the overall assessment."""
-    df = monitored.join(matches_per_work(pairs), "work_id", "left").withColumn("findings", all_findings())
+def explanations(monitored: DataFrame, pairs: DataFrame, members: DataFrame, keep: int = 5) -> DataFrame:
+    """One row per work: key findings (the heaviest), all findings, actions, totals and the overall assessment."""
+    df = monitored.join(matches_per_work(pairs, members), "work_id", "left").withColumn("findings", all_findings())
     df = df.select("work_id", "risk_level", "findings", heaviest_first(F.col("findings"), keep).alias("key_findings"))
     actions = F.array_distinct(F.col("key_findings.recommended_action"))
     any_found = F.size("key_findings") > 0
@@ -154,7 +154,7 @@ def explanations(monitored: DataFrame, pairs: DataFrame, keep: int = 5) -> DataF
             **overall_assessment(F.col("risk_level"), F.size("key_findings")),
         }
     )
-    return df.withColumn("top_recommended_action", F.element_at("recommended_actions", 1)).drop("findings")
+    return df.withColumn("top_recommended_action", F.element_at("recommended_actions", 1))
 
 
 def explain_warnings(warnings: DataFrame) -> DataFrame:

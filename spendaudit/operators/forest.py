@@ -151,26 +151,25 @@ def forest_score(nodes: pd.DataFrame, inputs: list[Column], steps: int, sample_s
     return score(*inputs)
 
 
-def normalized_scores(raw: DataFrame, column: Column) -> dict[str, Column]:
-    """0..1 score (4 decimals) and rank percentile (1 decimal) of a raw anomaly measure.
+def normalized_scores(scored: DataFrame) -> dict[str, Column]:
+    """0..1 score (4 decimals) and rank percentile (1 decimal) of the written column ``raw_score``.
 
-    ``raw`` holds the measure of all rows as ``raw_score``; ``column`` computes it for a row. The
-    results are plain columns: applying them shuffles nothing.
+    The results are plain columns over the same table: applying them shuffles nothing.
     """
+    raw = scored.select("raw_score")
     ends = raw.agg(F.min("raw_score"), F.max("raw_score")).first()
     low, high = (0.0 if v is None else float(v) for v in ends)
-    unit = (column - F.lit(low)) / F.lit(max(high - low, 1e-6))
+    unit = (F.col("raw_score") - F.lit(low)) / F.lit(max(high - low, 1e-6))
     return {
         "ml_anomaly_score": round_scaled(unit, 4),
-        "ml_anomaly_percentile": percentile_rank(raw, "raw_score", column),
+        "ml_anomaly_percentile": percentile_rank(raw, "raw_score"),
     }
 
 
-def isolation_forest(features: DataFrame, config: AuditConfig = AuditConfig(), key: str = "work_id") -> dict[str, Column]:
-    """Score and percentile of the forest grown from ``features``, as columns over ``features``.
+def isolation_forest(features: DataFrame, config: AuditConfig = AuditConfig(), key: str = "work_id") -> Column:
+    """Anomaly measure of the forest grown from ``features``, as a column over ``features``.
 
-    The rows are scored where they are, once to learn the ranks and once in the final table; that is
-    cheaper than joining the scores back to wide rows.
+    The rows are scored where they are; write the column once, then rank it (:func:`normalized_scores`).
     """
     inputs = feature_vector(features)
     vectors = features.select(key, *inputs)
@@ -180,19 +179,15 @@ def isolation_forest(features: DataFrame, config: AuditConfig = AuditConfig(), k
     # at most trees x (2 x sample_size - 1) rows, whatever the size of the table
     nodes = grow_forest(samples, names, config).toPandas()
     if nodes.empty:
-        nothing = F.lit(None).cast("double")
-        return {"ml_anomaly_score": nothing, "ml_anomaly_percentile": nothing}
-    score = forest_score(nodes, inputs, depth_limit(config), min(config.sample_size, rows))
-    raw = materialize(features.select(score.alias("raw_score")), "forest_scores")
-    return normalized_scores(raw, score)
+        return F.lit(None).cast("double")
+    return forest_score(nodes, inputs, depth_limit(config), min(config.sample_size, rows))
 
 
 def ranking_model(column: str):
     """A stand-in model that ranks works by one plain column; used where a run has to be restated in
     SQL, which cannot grow the forest."""
 
-    def model(features: DataFrame, config: AuditConfig) -> dict[str, Column]:
-        value = F.col(column).cast("double")
-        return normalized_scores(features.select(value.alias("raw_score")), value)
+    def model(features: DataFrame, config: AuditConfig) -> Column:
+        return F.col(column).cast("double")
 
     return model

@@ -200,9 +200,9 @@ def compliance_record(df: DataFrame) -> DataFrame:
     )
 
 
-def mark_duplicates(works: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds ``in_duplicates``: the work appears in a duplicate pair."""
-    flagged = duplicate_ids(pairs).withColumn("in_duplicates", F.lit(True))
+def mark_duplicates(works: DataFrame, members: DataFrame) -> DataFrame:
+    """Adds ``in_duplicates``: the work is one of the ``members`` of duplicate pairs."""
+    flagged = duplicate_ids(members).withColumn("in_duplicates", F.lit(True))
     return works.join(flagged, "work_id", "left").fillna(False, ["in_duplicates"])
 
 

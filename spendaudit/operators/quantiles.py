@@ -24,37 +24,22 @@ def exact_quantiles(
     measures: dict[str, Column],
     probs: Sequence[float],
     by: Sequence[str] = (),
-    direct_limit: int = 200_000,
-    accuracy: int | None = None,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Linear-interpolated quantiles of several measures per group, as a small written table.
 
     Output: ``by`` columns, ``measure``, ``n`` and one column ``q0, q1, …`` per probability.
 
-    While the largest group has at most ``direct_limit`` values Spark's exact ``percentile`` is used:
-    its value map is then bounded. Beyond that a mergeable sketch first brackets each quantile (its
-    rank error is at most n / accuracy), values outside the bracket are only counted, and just the
-    bracketed sliver is ranked. Unless given, the accuracy grows with the largest group so that a
-    sliver stays near two million values. Both ways give the same numbers.
+    A mergeable sketch first brackets each quantile (its rank error is at most n / accuracy), values
+    outside the bracket are only counted, and just the bracketed sliver is ranked: a share of
+    16 / accuracy of a group, ties counted together. Groups of all sizes take this one way.
     """
     by = list(by)
     pairs = F.array(
         *[F.struct(F.lit(m).alias("measure"), c.cast("double").alias("value")) for m, c in measures.items()]
     )
     values = df.select(*by, F.inline(pairs)).filter("value IS NOT NULL")
-    keys = [*by, "measure"]
-
-    counts = values.groupBy(*keys).agg(F.count("*").alias("n"))
-    largest = counts.agg(F.max("n")).first()[0] or 0
-    if largest <= direct_limit:
-        found = values.groupBy(*keys).agg(
-            F.count("*").alias("n"),
-            *[F.percentile("value", p).alias(f"q{i}") for i, p in enumerate(probs)],
-        )
-        return materialize(found, "quantiles")
-    if accuracy is None:
-        accuracy = min(1_000_000, max(10_000, SLIVER_SHARE * largest // 2_000_000))
-    return materialize(_bracketed(values, keys, probs, accuracy), "quantiles")
+    return materialize(_bracketed(values, [*by, "measure"], probs, accuracy), "quantiles")
 
 
 def _bracketed(values, keys, probs, accuracy):

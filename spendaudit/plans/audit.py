@@ -13,7 +13,7 @@ from spendaudit.functions.frames import one_row
 from spendaudit.operators.duplicates import Duplicates, find_duplicates
 from spendaudit.operators.features import work_features
 from spendaudit.operators.findings import explanations
-from spendaudit.operators.forest import isolation_forest
+from spendaudit.operators.forest import isolation_forest, normalized_scores
 from spendaudit.operators.integrate import Integrated, integrate
 from spendaudit.operators.monitors import (
     compliance,
@@ -29,14 +29,14 @@ from spendaudit.session import materialize
 from spendaudit.sources.raw import load_raw
 from spendaudit.sources.tables import data_quality, with_defaults, write_tables
 
-Model = Callable[[DataFrame, AuditConfig], dict[str, Column]]
+Model = Callable[[DataFrame, AuditConfig], Column]
 
 
 class Audit:
     """Finished tables of one run, each computed and written once, when first asked for.
 
-    ``model`` gives the columns ``ml_anomaly_score`` and ``ml_anomaly_percentile`` over the features;
-    the isolation forest unless another one is given.
+    ``model`` gives the anomaly measure as a column over the features, which is computed once, when the
+    features are written; the isolation forest unless another one is given.
     """
 
     def __init__(
@@ -54,7 +54,8 @@ class Audit:
 
     @cached_property
     def features(self) -> DataFrame:
-        return materialize(work_features(self.works, self.ledger, self.config), "features")
+        features = work_features(self.works, self.ledger, self.config)
+        return materialize(features.withColumn("raw_score", self.model(features, self.config)), "features")
 
     @cached_property
     def ruled(self) -> DataFrame:
@@ -63,8 +64,8 @@ class Audit:
     @cached_property
     def scored(self) -> DataFrame:
         """Features with rule, model and composite columns and the member id."""
-        modelled = self.ruled.withColumns(self.model(self.features, self.config))
-        scored = composite_scores(modelled, self.config)
+        modelled = self.ruled.withColumns(normalized_scores(self.features))
+        scored = composite_scores(modelled.drop("raw_score"), self.config)
         return materialize(with_defaults(scored), "scored")
 
     @cached_property
@@ -74,7 +75,7 @@ class Audit:
     @cached_property
     def monitored(self) -> DataFrame:
         """Scored works with duplicate flag, overrun, compliance and risk-estimate columns."""
-        df = mark_duplicates(self.scored, self.duplicates.pairs)
+        df = mark_duplicates(self.scored, self.duplicates.members)
         limits = monitor_limits(self.scored, self.config)
         return materialize(estimates(compliance(overruns(df, limits), limits), limits), "monitored")
 
@@ -84,7 +85,7 @@ class Audit:
 
     @cached_property
     def explained(self) -> DataFrame:
-        return materialize(explanations(self.monitored, self.duplicates.pairs), "explained")
+        return materialize(explanations(self.monitored, self.duplicates.pairs, self.duplicates.members), "explained")
 
     def quality_report(self) -> DataFrame:
         tables = {
@@ -110,7 +111,8 @@ class Audit:
         found = {
             "works_master": self.works, "expenditures": self.ledger, "mp_allocation": self.allocation, "calamity": self.calamity,
             "anomaly_results": self.scored, "monitors": self.monitored, "early_warnings": self.warnings, "explanations": self.explained,
-            "duplicate_pairs": self.duplicates.pairs, "duplicate_batches": self.duplicates.batches, "data_quality_report": self.quality_report(),
+            "duplicate_pairs": self.duplicates.pairs, "paired_works": self.duplicates.members,
+            "duplicate_batches": self.duplicates.batches, "batch_works": self.duplicates.batch_works, "data_quality_report": self.quality_report(),
         }
         return write_tables({n: df for n, df in found.items() if df is not None}, folder, csv)
 

@@ -270,7 +270,7 @@ STEPS = {
     )
     + ") AS found_reasons FROM weighed",
     "scored": f"SELECT *, CASE WHEN len(found_reasons) = 0 THEN [{q(fixed.MSG_NORMAL)}] ELSE found_reasons END AS risk_reasons FROM levelled",
-    "described": "SELECT *, array_to_string(toks, ' ') AS normtext, array_to_string(toks[1:4], ' ') AS signature FROM (SELECT *, "
+    "described": "SELECT *, array_to_string(toks, ' ') AS normtext, array_to_string(toks[1:4], ' ') AS signature, array_to_string(toks[-4:], ' ') AS end_signature FROM (SELECT *, "
     + TOKENS.format(text="work_description")
     + " AS toks FROM scored)",
     "clusters": """SELECT mp_name, normtext, sanctioned_amount, sanction_date, count(*) AS unit_count, list(work_id ORDER BY row_order) AS ids,
@@ -279,7 +279,7 @@ STEPS = {
         count(DISTINCT coalesce(constituency, '')) AS seats
       FROM described WHERE normtext <> '' AND sanctioned_amount IS NOT NULL AND sanction_date IS NOT NULL GROUP BY ALL""",
     "pairs": "SELECT * FROM clusters WHERE unit_count = 2",
-    "batches": "SELECT * FROM clusters WHERE unit_count >= 3 ORDER BY unit_count DESC, mp_name, work_description, place LIMIT 200",
+    "batches": "SELECT * FROM clusters WHERE unit_count >= 3",
     "dup_ids": "SELECT DISTINCT unnest(ids) AS work_id FROM pairs",
     "based": """SELECT s.*, d.work_id IS NOT NULL AS in_duplicates,
         CASE WHEN completion_expenditure_comparison_available AND completion_overrun_amount IS NOT NULL THEN completion_overrun_amount ELSE expenditure_overrun_amount END AS overrun_amount,
@@ -428,7 +428,7 @@ _RAW = {
 _CLEAN = {
     "total_row_filter": """SELECT CAST(p_partkey AS VARCHAR) AS part, CASE WHEN p_size = 21 THEN 'Totally ' || p_name WHEN p_size NOT IN (30, 31) THEN p_name END AS label, p_type AS type
       FROM part WHERE p_size NOT IN (7, 13)""",
-    "amount_parsing": "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' AND o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice END AS amount FROM orders",
+    "amount_parsing": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderstatus <> 'F' AND o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice END AS amount FROM orders",
     "date_parsing": "SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
     "work_id_extraction": """SELECT o_orderkey, CASE o_orderstatus
         WHEN 'F' THEN 'WS/MP' || o_custkey || '/' || year(o_orderdate) || '-' || (year(o_orderdate) + 1) || '/' || o_orderkey
@@ -511,27 +511,31 @@ _SCORES = {
 
 _DUPLICATES = {
     "description_texts": "SELECT normtext, signature, count(*) AS works FROM described GROUP BY ALL",
-    "document_signatures": "SELECT work_id, md5(t) AS text_md5, length(t) AS chars, array_to_string(toks[1:4], ' ') AS signature FROM (SELECT *, array_to_string(toks, ' ') AS t FROM (SELECT 'DOC/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS work_id, "
+    "document_signatures": "SELECT work_id, md5(t) AS text_md5, length(t) AS chars, array_to_string(toks[1:4], ' ') AS signature, array_to_string(toks[-4:], ' ') AS end_signature FROM (SELECT *, array_to_string(toks, ' ') AS t FROM (SELECT 'DOC/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS work_id, "
     + TOKENS.format(text="text")
     + " AS toks FROM documents WHERE trim(text) <> ''))",
     "duplicate_pairs": f"""SELECT 'A' AS tier, 'Potential Duplicate' AS label, 100.0::DOUBLE AS similarity_score, {q(" | ".join(fixed.PAIR_FIELDS_EXACT))} AS matching_fields, ids[1] AS id_a, ids[2] AS id_b,
-        levels[1] AS level_a, sanction_date AS date_b, {q(fixed.PAIR_ACTION)} AS recommended_action FROM pairs""",
-    "duplicate_batches": "SELECT mp_name, state, constituency, work_description, sanctioned_amount, sanction_date, unit_count, array_to_string(ids[1:50], ' | ') AS work_ids FROM batches",
+        levels[1] AS level_a, sanction_date AS date_b, 1::BIGINT AS works_a, 1::BIGINT AS works_b, {q(fixed.PAIR_ACTION)} AS recommended_action FROM pairs""",
+    "duplicate_batches": "SELECT ids[1] AS batch_id, mp_name, state, constituency, work_description, sanctioned_amount, sanction_date, unit_count FROM batches",
+    "duplicate_batch_works": "SELECT ids[1] AS batch_id, unnest(ids) AS work_id FROM batches",
+    "duplicate_batch_list": "SELECT ids[1] AS batch_id, unit_count FROM batches ORDER BY unit_count DESC, mp_name, work_description, place LIMIT 20",
     "duplicate_summary": "SELECT (SELECT count(*) FROM pairs) AS potential_duplicate_pairs, 0::BIGINT AS possible_duplicate_pairs, (SELECT count(*) FROM batches) AS batch_pattern_groups, CAST((SELECT coalesce(sum(unit_count), 0) FROM batches) AS BIGINT) AS works_in_batch_patterns",
     "duplicate_list": "SELECT ids[1] AS id_a, ids[2] AS id_b, 100.0::DOUBLE AS similarity_score FROM pairs QUALIFY row_number() OVER (ORDER BY id_a, id_b) BETWEEN 11 AND 35",
     "duplicate_work_ids": "SELECT work_id FROM dup_ids",
-    "candidate_pair_count": """SELECT CAST((SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM blocks) - (SELECT count(*) FROM pairs p JOIN blocks b ON p.mp_name = b.mp_name AND p.seat = b.block_seat AND p.signature = b.signature
-        WHERE seats = 1) AS BIGINT) AS candidate_pairs_scanned""",
-    "document_candidate_pairs": "SELECT a.work_id AS work_id_a, b.work_id AS work_id_b FROM doc_small a JOIN doc_small b ON a.lang = b.lang AND a.sig = b.sig AND a.doc_id < b.doc_id "
-    "WHERE 1 - abs(a.n_chars - b.n_chars) / greatest(a.n_chars, b.n_chars) >= 0.95 AND a.t <> b.t AND 2.0::DOUBLE * least(length(a.t), length(b.t)) / (length(a.t) + length(b.t)) >= 0.85",
+    "candidate_pair_count": """SELECT CAST((SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM described GROUP BY mp_name, coalesce(constituency, ''), signature))
+        + (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM described GROUP BY mp_name, coalesce(constituency, ''), end_signature))
+        - (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM described GROUP BY mp_name, coalesce(constituency, ''), signature, end_signature))
+        - (SELECT count(*) FROM pairs WHERE seats = 1) AS BIGINT) AS candidate_pairs_scanned""",
+    "document_candidate_pairs": """SELECT a.work_id AS work_id_a, b.work_id AS work_id_b, a.works AS works_a, b.works AS works_b
+        FROM doc_nodes a JOIN doc_nodes b ON a.lang = b.lang AND a.doc_id < b.doc_id AND (a.sig = b.sig OR a.end_sig = b.end_sig)
+        WHERE 1 - abs(a.n_chars - b.n_chars) / greatest(a.n_chars, b.n_chars) >= 0.95 AND a.t <> b.t AND 2.0::DOUBLE * least(length(a.t), length(b.t)) >= 0.85 * (length(a.t) + length(b.t))""",
 }
-STEPS["blocks"] = "SELECT mp_name, coalesce(constituency, '') AS block_seat, signature, count(*) AS n FROM described GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60"
 STEPS["doc_texts"] = (
-    "SELECT doc_id, work_id, lang, n_chars, array_to_string(toks, ' ') AS t, array_to_string(toks[1:4], ' ') AS sig FROM (SELECT doc_id, lang, n_chars, 'DOC/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS work_id, "
+    "SELECT doc_id, work_id, lang, n_chars, array_to_string(toks, ' ') AS t, array_to_string(toks[1:4], ' ') AS sig, array_to_string(toks[-4:], ' ') AS end_sig FROM (SELECT doc_id, lang, n_chars, 'DOC/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS work_id, "
     + TOKENS.format(text="text")
     + " AS toks FROM documents WHERE trim(text) <> '')"
 )
-STEPS["doc_small"] = "SELECT d.* FROM doc_texts d JOIN (SELECT lang, sig FROM doc_texts GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60) s ON d.lang = s.lang AND d.sig = s.sig WHERE n_chars > 0"
+STEPS["doc_nodes"] = "SELECT lang, t, n_chars, sig, end_sig, min(doc_id) AS doc_id, min(work_id) AS work_id, count(*) AS works FROM doc_texts WHERE n_chars > 0 GROUP BY ALL"
 
 _MONITORS = {
     "overruns": """SELECT work_id, overrun_determinable, is_overrun, overrun_basis,
@@ -623,7 +627,7 @@ _REPORTS = {
     "signal_frequency": f"SELECT split_part(reason, ':', 1) AS category, count(DISTINCT work_id) AS works FROM (SELECT work_id, unnest(risk_reasons) AS reason FROM scored WHERE {HIGH}) GROUP BY 1",
     "works_explorer": """SELECT work_id, risk_score, constituency, state FROM scored WHERE parliament_house = 'Lok Sabha' AND constituency = 'BUILDING' AND risk_level = 'REVIEW' AND risk_score BETWEEN 35 AND 55
       QUALIFY row_number() OVER (ORDER BY risk_score DESC, work_id) BETWEEN 101 AND 200""",
-    "works_search": "SELECT work_id, risk_score FROM scored WHERE contains(lower(work_id), '/1996/12') ORDER BY risk_score DESC, work_id LIMIT 200",
+    "works_search": "SELECT work_id, risk_score FROM scored WHERE contains(lower(work_id), '/1996/12') ORDER BY risk_score DESC, work_id LIMIT 500",
     "works_without_district": "SELECT work_id, risk_score FROM scored WHERE false",
     "critical_queue": "SELECT work_id, risk_score, stat_risk_score FROM scored WHERE risk_level = 'CRITICAL' QUALIFY row_number() OVER (ORDER BY stat_risk_score DESC, work_id) BETWEEN 26 AND 50",
     "spending_outliers": "SELECT work_id, round(abs(exp_robust_zscore), 9) AS abs_exp_robust_zscore, risk_score FROM scored WHERE exp_robust_zscore IS NOT NULL ORDER BY abs(exp_robust_zscore) DESC, risk_score DESC, work_id LIMIT 25",

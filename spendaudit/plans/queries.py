@@ -145,11 +145,15 @@ def total_row_filter(spark, folder):
 
 @query
 def amount_parsing(spark, folder):
+    """Amounts with currency, separators and white space of several kinds; number syntax of programming languages is no amount."""
     price, status = F.col("o_totalprice"), F.col("o_orderstatus")
     grouped = F.format_number(price, 2)
+    odd = F.array(*[F.lit(t) for t in ("12d", "7f", "0x1p3", "1_000", "inf", "NaN", "- 5", "\n", "1e", "\u00a0")])
     written = (
-        F.when(status == "F", F.concat(F.lit("Rs. "), grouped))
-        .when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit(" ₹"), grouped))
+        F.when(F.col("o_orderkey") % 11 == 0, odd[(F.col("o_custkey") % 10).cast("int")])
+        .when(status == "F", F.concat(F.lit("Rs. "), grouped))
+        .when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit(" ₹"), grouped, F.lit("\n")))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("\t"), grouped, F.lit("\u00a0")))
         .when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("abc "), grouped))
         .otherwise(grouped)
     )
@@ -159,13 +163,16 @@ def amount_parsing(spark, folder):
 
 @query
 def date_parsing(spark, folder):
+    """Dates in all accepted forms, with and without time of day; other text is no date."""
     day, priority = F.col("o_orderdate"), F.col("o_orderpriority")
+    forms = ["dd-MMM-yy", "yyyy/MM/dd", "d MMMM yyyy", "dd-MMMM-yyyy", "MMM d, yyyy", "MM.dd.yyyy", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss'Z'", "dd-MMM-yyyy hh:mm a", "MMMM d, yyyy", "d MMM yyyy", "MM/dd/yyyy", "MM-dd-yyyy"]
+    shown = F.array(*[F.date_format(day, form) for form in forms])
     written = (
         F.when(priority == "1-URGENT", F.date_format(day, "dd-MMM-yyyy"))
-        .when(priority == "2-HIGH", F.upper(F.date_format(day, "dd-MMM-yyyy")))
+        .when(priority == "2-HIGH", F.concat(F.lit("\t"), F.upper(F.date_format(day, "dd-MMM-yyyy")), F.lit("\n")))
         .when(priority == "3-MEDIUM", F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
         .when(priority == "5-LOW", F.concat(F.lit("on "), F.date_format(day, "yyyy-MM-dd")))
-        .otherwise(F.date_format(day, "yyyy-MM-dd"))
+        .otherwise(shown[(F.col("o_orderkey") % len(forms)).cast("int")])
     )
     return bindings.table(spark, folder, "orders").select("o_orderkey", text.parse_date(written).alias("day"))
 
@@ -192,7 +199,7 @@ def member_names(spark, folder):
 
 @query
 def state_names(spark, folder):
-    known = F.array(*[F.lit(s) for s in ("ORISSA", " jammu & kashmir", "Andaman & Nicobar Islands", "dadra & nagar haveli", "Odisha")])
+    known = F.array(*[F.lit(s) for s in ("ORISSA\n", " jammu & kashmir", "\tAndaman & Nicobar Islands", "dadra & nagar haveli\u00a0", "Odisha")])
     written = F.when(F.col("s_acctbal") < 0, F.lit(None)).when(F.col("s_nationkey") < 5, known[F.col("s_nationkey")]).otherwise(
         F.concat(F.lit("state "), "s_nationkey")
     )
@@ -204,7 +211,7 @@ def state_names(spark, folder):
 def key_tidying(spark, folder):
     """Load-time trimming of keys and parsing of date text."""
     df = bindings.table(spark, folder, "lineitem").select(
-        F.concat(F.lit("  "), "l_orderkey", F.lit(" ")).alias("work_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("completion_date")
+        F.concat(F.lit("\t "), "l_orderkey", F.lit(" \n")).alias("work_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("completion_date")
     )
     return tables.tidy_keys(df).groupBy("work_id").agg(F.count("*").alias("rows"), F.max("completion_date").alias("completion_date"))
 
@@ -327,19 +334,19 @@ def peer_statistics(spark, folder):
 
 @query
 def peer_group_quantiles(spark, folder):
-    """Quantiles per peer group by the bracketing method that large groups use."""
+    """Quantiles per peer group."""
     base = audit(spark, folder).features.select("peer_group", "total_expenditure", "recommended_amount")
     measures = {"spent": F.col("total_expenditure"), "asked": F.col("recommended_amount")}
-    found = quantiles.exact_quantiles(base, measures, [0.33, 0.5, 0.95], ["peer_group"], direct_limit=20, accuracy=100)
+    found = quantiles.exact_quantiles(base, measures, [0.33, 0.5, 0.95], ["peer_group"])
     return rounded(found)
 
 
 @query
 def population_quantiles(spark, folder):
-    """Thresholds over all works, again by bracketing."""
+    """Thresholds over all works."""
     done = audit(spark, folder).features
     measures = {c: F.col(c) for c in ("expenditure_to_sanction_ratio", "vendor_concentration_score", "sanctioned_amount", "total_expenditure")}
-    return rounded(quantiles.exact_quantiles(done, measures, [0.5, 0.9, 0.97], direct_limit=100, accuracy=1000))
+    return rounded(quantiles.exact_quantiles(done, measures, [0.5, 0.9, 0.97]))
 
 
 @query
@@ -380,9 +387,10 @@ def rank_percentiles(spark, folder):
 
 @lru_cache(maxsize=8)
 def _forest(app: str, spark: SparkSession, folder: str) -> DataFrame:
-    ruled = audit(spark, folder).ruled
-    model = forest.isolation_forest(audit(spark, folder).features, CONFIG)
-    return materialize(scoring.composite_scores(ruled.withColumns(model), CONFIG), "forest")
+    done = audit(spark, folder)
+    measured = materialize(done.features.withColumn("raw_score", forest.isolation_forest(done.features, CONFIG)), "forest_features")
+    ruled = rules.apply_rules(measured, rules.rule_limits(measured, CONFIG), CONFIG)
+    return materialize(scoring.composite_scores(ruled.withColumns(forest.normalized_scores(measured)), CONFIG), "forest")
 
 
 def forest_scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -434,7 +442,7 @@ def description_texts(spark, folder):
 def document_signatures(spark, folder):
     """Sorted words and signature of whole documents."""
     prepared = dup.prepare(bindings.document_works(spark, folder), CONFIG)
-    return prepared.select("work_id", F.md5("normtext").alias("text_md5"), F.length("normtext").cast("long").alias("chars"), "signature")
+    return prepared.select("work_id", F.md5("normtext").alias("text_md5"), F.length("normtext").cast("long").alias("chars"), "signature", "end_signature")
 
 
 @query
@@ -443,14 +451,26 @@ def duplicate_pairs(spark, folder):
     return pairs.select(
         "tier", "label", "similarity_score", joined("matching_fields").alias("matching_fields"),
         F.col("work_a.work_id").alias("id_a"), F.col("work_b.work_id").alias("id_b"),
-        F.col("work_a.risk_level").alias("level_a"), F.col("work_b.sanction_date").alias("date_b"), "recommended_action",
+        F.col("work_a.risk_level").alias("level_a"), F.col("work_b.sanction_date").alias("date_b"), "works_a", "works_b", "recommended_action",
     )
 
 
 @query
 def duplicate_batches(spark, folder):
     found = audit(spark, folder).duplicates.batches
-    return found.select("mp_name", "state", "constituency", "work_description", "sanctioned_amount", "sanction_date", "unit_count", joined("work_ids").alias("work_ids"))
+    return found.drop("place", "note")
+
+
+@query
+def duplicate_batch_works(spark, folder):
+    """Every work of every batch."""
+    return audit(spark, folder).duplicates.batch_works
+
+
+@query
+def duplicate_batch_list(spark, folder):
+    """A page of the batches, largest first."""
+    return dup.list_batches(audit(spark, folder).duplicates.batches, limit=20).select("batch_id", "unit_count")
 
 
 @query
@@ -466,19 +486,19 @@ def duplicate_list(spark, folder):
 
 @query
 def duplicate_work_ids(spark, folder):
-    return dup.duplicate_ids(audit(spark, folder).duplicates.pairs)
+    return dup.duplicate_ids(audit(spark, folder).duplicates.members)
 
 
 @query
 def candidate_pair_count(spark, folder):
-    return dup.candidate_count(dup.prepare(audit(spark, folder).scored, CONFIG), CONFIG)
+    return dup.candidate_count(dup.prepare(audit(spark, folder).scored, CONFIG))
 
 
 @query
 def document_candidate_pairs(spark, folder):
     """Pairs of documents in one block with close lengths and dates, before texts are compared."""
     prepared = materialize(dup.prepare(bindings.document_works(spark, folder), CONFIG), "documents")
-    return dup.candidate_pairs(prepared, CONFIG)
+    return dup.candidate_pairs(prepared, CONFIG).select("work_id_a", "work_id_b", "works_a", "works_b")
 
 
 @query
@@ -486,7 +506,7 @@ def similar_documents(spark, folder):
     """Tier B over whole document texts."""
     prepared = materialize(dup.prepare(bindings.document_works(spark, folder), CONFIG), "documents")
     found = dup.pair_record(dup.similar_pairs(prepared, CONFIG))
-    return found.select("label", "similarity_score", F.col("work_a.work_id").alias("id_a"), F.col("work_b.work_id").alias("id_b"), joined("matching_fields").alias("matching_fields"))
+    return found.select("label", "similarity_score", F.col("work_a.work_id").alias("id_a"), F.col("work_b.work_id").alias("id_b"), joined("matching_fields").alias("matching_fields"), "works_a", "works_b")
 
 
 # --- monitors ---------------------------------------------------------------------------------

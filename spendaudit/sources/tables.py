@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spendaudit import fixed_values as fixed
-from spendaudit.functions.text import member_id, parse_date
+from spendaudit.functions.text import member_id, parse_date, strip
 
 DATE_COLUMNS = [
     "recommended_date", "sanction_date", "completion_date", "first_payment_date", "last_payment_date",
@@ -55,7 +55,7 @@ def tidy_keys(df: DataFrame) -> DataFrame:
     types = dict(df.dtypes)
     changes: dict[str, Column] = {}
     if "work_id" in types:
-        changes["work_id"] = F.trim(F.col("work_id"))
+        changes["work_id"] = strip(F.col("work_id"))
     for c in DATE_COLUMNS:
         if types.get(c) == "string":
             changes[c] = parse_date(F.col(c))
@@ -85,7 +85,7 @@ def fill_from_master(scored: DataFrame, master: DataFrame) -> DataFrame:
     for f in fields:
         own = F.col(f) if f in types else F.lit(None)
         if types.get(f) == "string":
-            own = F.when(F.trim(own) != "", own)
+            own = F.when(strip(own) != "", own)
         filled[f] = F.coalesce(own, F.col(f"master_{f}"))
     return scored.join(extra, "work_id", "left").withColumns(filled).drop(*[f"master_{f}" for f in fields])
 

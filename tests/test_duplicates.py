@@ -7,7 +7,6 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from spendaudit import AuditConfig
 from spendaudit.fixed_values import DESCRIPTION_STOP_WORDS
 from spendaudit.operators import duplicates as dup
 
@@ -18,7 +17,7 @@ def words(text):
     return sorted(w for w in re.sub(r"[^a-z0-9 ]", " ", text.lower()).split() if w not in DESCRIPTION_STOP_WORDS and (w.isdigit() or len(w) > 2))
 
 
-def brute(rows, config=AuditConfig()):
+def brute(rows):
     """All tiers by comparing every work with every other one."""
     rows = [r for r in rows if r["work_description"] and r["work_description"].strip()]
     groups, blocks = {}, {}
@@ -27,24 +26,26 @@ def brute(rows, config=AuditConfig()):
         r["text"] = " ".join(r["words"])
         if r["text"] and r["sanctioned_amount"] is not None and r["sanction_date"]:
             groups.setdefault((r["mp_name"] or "", r["text"], r["sanctioned_amount"], r["sanction_date"]), []).append(r)
-        blocks.setdefault((r["mp_name"] or "", r["constituency"] or "", tuple(r["words"][:4])), []).append(r)
+        for kind, words_met in (("first", r["words"][:4]), ("last", r["words"][-4:])):
+            blocks.setdefault((r["mp_name"] or "", r["constituency"] or "", kind, tuple(words_met)), []).append(r)
     exact = {tuple(r["work_id"] for r in g) for g in groups.values() if len(g) == 2}
     batches = {tuple(r["work_id"] for r in g) for g in groups.values() if len(g) >= 3}
-    similar, scanned = {}, 0
-    for block in blocks.values():
-        if not 2 <= len(block) <= config.block_max:
+    met = {(a["work_id"], b["work_id"]): (a, b) for block in blocks.values() for a, b in combinations(block, 2)}
+    scanned = len(met.keys() - exact)
+    first = {}
+    for r in rows:
+        r["near"] = r["sanction_date"] or r["recommended_date"]
+        first.setdefault((r["mp_name"] or "", r["constituency"] or "", r["text"], r["sanctioned_amount"], r["near"]), r["work_id"])
+    similar = {}
+    for (i, j), (a, b) in met.items():
+        if i not in first.values() or j not in first.values():
+            continue  # shown by the first work of its node
+        ratio = SequenceMatcher(None, a["text"], b["text"]).ratio()
+        x, y = a["sanctioned_amount"], b["sanctioned_amount"]
+        if not 0.85 <= ratio < 0.999 or not x or not y or 1 - abs(x - y) / max(x, y) < 0.95:
             continue
-        for a, b in combinations(block, 2):
-            if (a["work_id"], b["work_id"]) in exact:
-                continue
-            scanned += 1
-            ratio = SequenceMatcher(None, a["text"], b["text"]).ratio()
-            x, y = a["sanctioned_amount"], b["sanctioned_amount"]
-            if not 0.85 <= ratio < 0.999 or x is None or y is None or max(x, y) <= 0 or 1 - abs(x - y) / max(x, y) < 0.95:
-                continue
-            da, db = a["sanction_date"] or a["recommended_date"], b["sanction_date"] or b["recommended_date"]
-            if da and db and abs((da - db).days) <= 30:
-                similar[(a["work_id"], b["work_id"])] = round(ratio * 100, 1)
+        if a["near"] and b["near"] and abs((a["near"] - b["near"]).days) <= 30:
+            similar[(i, j)] = round(ratio * 100, 1)
     return exact, batches, similar, scanned
 
 
@@ -58,7 +59,8 @@ def check(df, rows):
     pairs = found.pairs.persist()
     assert ids(pairs.filter("tier = 'A'")) == {p: 100.0 for p in exact}
     assert ids(pairs.filter("tier = 'B'")) == similar
-    assert {tuple(r.work_ids) for r in found.batches.collect()} == {b[:50] for b in batches}
+    assert {(r.batch_id, r.unit_count) for r in found.batches.collect()} == {(b[0], len(b)) for b in batches}
+    assert {(r.batch_id, r.work_id) for r in found.batch_works.collect()} == {(b[0], w) for b in batches for w in b}
     assert dup.candidate_count(dup.prepare(df)).first()[0] == scanned
     return found
 
@@ -85,22 +87,37 @@ def test_tiers_around_their_limits(make_works):
     assert ("b1", "b2") in pairs and ("b1", "b3") not in pairs and ("b1", "b4") in pairs and ("a1", "a2") in pairs
     assert pairs[("b1", "b2")].matching_fields[-1] == "Same constituency" and pairs[("a1", "a2")].label == "Potential Duplicate"
     assert len(pairs[("z1", "z2")].matching_fields) == 4  # a missing constituency is not the same one
-    assert {r.work_id for r in dup.duplicate_ids(found.pairs).collect()} >= {"a1", "a2", "b1", "b2"}
-    best = {r.work_id: r for r in dup.matches_per_work(found.pairs).collect()}
+    assert {r.work_id for r in dup.duplicate_ids(found.members).collect()} >= {"a1", "a2", "b1", "b2"}
+    best = {r.work_id: r for r in dup.matches_per_work(found.pairs, found.members).collect()}
     assert (best["a1"].other, best["a1"].tier, best["a1"].matches) == ("a2", "A", 1)
     summary = dup.duplicate_summary(found).first()
     assert (summary.potential_duplicate_pairs, summary.batch_pattern_groups, summary.works_in_batch_patterns) == (1, 1, 3)
 
 
-@pytest.mark.parametrize("size", [60, 61])
-def test_block_limit(make_works, size):
+@pytest.mark.parametrize("size", [60, 61, 200])
+def test_no_block_is_too_large(make_works, size):
     text = "Laying pipeline from school towards temple number"
     rows = [{"work_id": f"w{i:03d}", "work_description": f"{text} zone{chr(97 + i % 26)}{chr(97 + i // 26)}"} for i in range(size)]
-    works = make_works(*rows)
-    prepared = dup.prepare(works)
-    pairs = dup.candidate_pairs(prepared).count()
-    assert pairs == (60 * 59 // 2 if size == 60 else 0)
-    assert dup.candidate_count(prepared).first()[0] == pairs
+    prepared = dup.materialize(dup.prepare(make_works(*rows)), "prepared")
+    assert dup.candidate_pairs(prepared).count() == size * (size - 1) // 2
+    assert dup.candidate_count(prepared).first()[0] == size * (size - 1) // 2
+    assert dup.similar_pairs(prepared).count() == size * (size - 1) // 2
+
+
+def test_texts_that_differ_in_an_early_word_meet(make_works):
+    rows = [{"work_id": "w1", "work_description": "aaaa culvert library pipeline school temple"}, {"work_id": "w2", "work_description": "aaab culvert library pipeline school temple"}]
+    assert ids(dup.pair_record(dup.similar_pairs(dup.prepare(make_works(*rows))))).keys() == {("w1", "w2")}
+
+
+def test_alike_works_are_one_node(make_works):
+    text = "Laying pipeline from school towards temple zone"
+    rows = [{"work_id": f"{x}{i}", "work_description": text + x} for i in range(40) for x in "pq"]
+    found = dup.find_duplicates(make_works(*rows))
+    pair = found.pairs.filter("tier = 'B'").collect()
+    assert [(r.work_a.work_id, r.work_b.work_id, r.works_a, r.works_b) for r in pair] == [("p0", "q0", 40, 40)]
+    assert {r.work_id for r in dup.duplicate_ids(found.members).collect()} == {r["work_id"] for r in rows}
+    best = {r.work_id: (r.other, r.matches) for r in dup.matches_per_work(found.pairs, found.members).collect()}
+    assert best["p7"] == ("q0", 40) and best["q9"] == ("p0", 40)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -117,24 +134,24 @@ def test_against_brute_force(make_works, seed):
             "sanction_date": [None, D(2023, 1, 1) + dt.timedelta(days=int(rng.integers(0, 70)))][int(rng.random() < 0.8)], "recommended_date": D(2023, 1, 15),
         })
     works = make_works(*rows)
-    everything = AuditConfig(block_max=1000, similar_pairs_kept=100_000)
-    prepared = dup.prepare(works, everything)
-    _, _, similar, _ = brute([r.asDict() for r in works.orderBy("row_order").collect()], everything)
-    assert similar and ids(dup.pair_record(dup.similar_pairs(prepared, everything))) == similar
+    _, _, similar, _ = brute([r.asDict() for r in works.orderBy("row_order").collect()])
+    assert similar and ids(dup.pair_record(dup.similar_pairs(dup.prepare(works)))) == similar
 
 
 def test_candidate_search_reads_no_texts(make_works):
     prepared = dup.materialize(dup.prepare(make_works({"work_id": "a"}, {"work_id": "b"})), "prepared")
-    blocks = dup.candidate_blocks(prepared)._jdf.queryExecution().executedPlan().toString()
+    blocks = dup.nodes(prepared)._jdf.queryExecution().executedPlan().toString()
     pairs = dup.candidate_pairs(prepared)._jdf.queryExecution().executedPlan().toString()
     assert "normtext" not in blocks + pairs and "work_description" not in blocks + pairs
     assert "CartesianProduct" not in pairs and "NestedLoop" not in pairs
 
 
-def test_large_batch_keeps_first_ids(make_works):
-    rows = [{"work_id": f"w{i:03d}", "work_description": "LED poles"} for i in range(120)]
-    batch = dup.find_duplicates(make_works(*rows)).batches.first()
-    assert batch.unit_count == 120 and batch.work_ids == [f"w{i:03d}" for i in range(50)]
+def test_large_batches_are_listed_whole(make_works):
+    rows = [{"work_id": f"w{i:03d}", "work_description": "LED poles"} for i in range(120)] + [{"work_id": f"v{i}", "work_description": "Bench"} for i in range(3)]
+    found = dup.find_duplicates(make_works(*rows))
+    assert [(r.batch_id, r.unit_count) for r in dup.list_batches(found.batches).collect()] == [("w000", 120), ("v0", 3)]
+    assert [r.batch_id for r in dup.list_batches(found.batches, limit=1, offset=1).collect()] == ["v0"]
+    assert found.batch_works.filter("batch_id = 'w000'").count() == 120
 
 
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="no tables")

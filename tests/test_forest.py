@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendaudit import AuditConfig
-from spendaudit.operators.forest import MONEY_FEATURES, OTHER_FEATURES, average_path, feature_vector, isolation_forest
+from spendaudit.operators.forest import MONEY_FEATURES, OTHER_FEATURES, average_path, feature_vector, isolation_forest, normalized_scores
+from spendaudit.session import materialize
 
 CONFIG = AuditConfig(trees=60, sample_size=128)
 
@@ -24,7 +25,8 @@ def works(spark, n=1500, planted=15):
 
 
 def scores(df, config=CONFIG):
-    return {r.work_id: r for r in df.select("work_id", *[c.alias(n) for n, c in isolation_forest(df, config).items()]).collect()}
+    measured = materialize(df.select("work_id", isolation_forest(df, config).alias("raw_score")), "measured")
+    return {r.work_id: r for r in measured.select("work_id", *[c.alias(n) for n, c in normalized_scores(measured).items()]).collect()}
 
 
 def test_planted_outliers_rank_highest(spark):

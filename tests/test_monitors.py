@@ -146,10 +146,15 @@ def test_early_warnings(spark):
 
 def pairs(spark, *rows):
     """rows of (tier, ratio, id, id)"""
-    df = spark.createDataFrame([(t, r, {"work_id": a}, {"work_id": b}) for t, r, a, b in rows], "tier string, ratio double, work_a struct<work_id:string>, work_b struct<work_id:string>")
+    df = spark.createDataFrame([(t, r, {"work_id": a}, {"work_id": b}, 1, 1) for t, r, a, b in rows], "tier string, ratio double, work_a struct<work_id:string>, work_b struct<work_id:string>, works_a long, works_b long")
     return df.withColumn("similarity_score", F.round(F.col("ratio") * 100, 1))
 
 
+def members(found):
+    """Every node has its own work only."""
+    return found.selectExpr("tier", "explode(array(work_a.work_id, work_b.work_id)) AS node").distinct().selectExpr("tier", "node", "node AS work_id")
+
+
 def test_findings(spark):
     df = monitored(
         spark,
@@ -159,7 +164,7 @@ def test_findings(spark):
         {"risk_reasons": []},
     )
     found = pairs(spark, ("B", 0.912, "w5", "x1"), ("B", 0.95, "x2", "w5"), ("A", 1.0, "y", "z"))
-    got = {r.work_id: r for r in findings.explanations(df, found).collect()}
+    got = {r.work_id: r for r in findings.explanations(df, found, members(found)).collect()}
     first = got["w0"]
     assert [f.weight for f in first.key_findings] == [90, 55, 55, 45, 40] and first.total_signals_detected == 6
     assert [f.what_happened for f in first.key_findings] == ["over: much", "v", "f", "idle", "x"]
@@ -180,5 +185,6 @@ def test_findings(spark):
 
 def test_reason_without_category(spark):
     df = monitored(spark, {"risk_reasons": ["no colon here"]})
-    only = findings.explanations(df, pairs(spark, ("A", 1.0, "y", "z"))).first().key_findings[0]
+    found = pairs(spark, ("A", 1.0, "y", "z"))
+    only = findings.explanations(df, found, members(found)).first().key_findings[0]
     assert (only.headline, only.what_happened, only.weight, only.severity) == ("Audit rule triggered", "no colon here", 40, "Moderate concern")

@@ -23,7 +23,7 @@ def groups(seed):
     }
 
 
-@pytest.mark.parametrize("options", [{}, {"direct_limit": 50, "accuracy": 200}, {"direct_limit": 0, "accuracy": 1000}])
+@pytest.mark.parametrize("options", [{}, {"accuracy": 200}, {"accuracy": 1000}])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_group_quantiles_are_exact(spark, options, seed):
     data, probs = groups(seed), [0.0, 0.33, 0.5, 0.9, 0.95, 0.97, 1.0]

@@ -16,15 +16,30 @@ def apply(spark, fn, values):
 
 
 def test_amounts(spark):
-    written = ["4,05,67,400", "Rs. 12.5", "₹ 7", "Rs9", "abc", "", None, "Rs. 4,05,67,400.50", " 1e3 ", "nan", "-5"]
-    assert apply(spark, text.parse_amount, written) == [40567400.0, 12.5, 7.0, 9.0, None, None, None, 40567400.5, 1000.0, None, -5.0]
+    written = ["4,05,67,400", "Rs. 12.5", "₹ 7", "Rs9", "abc", "", None, "Rs. 4,05,67,400.50", " 1e3 ", "nan", "-5", "12d", "12f", "0x1p3", "1_000", "inf", "\t12\n", "\u00a0 7.", ".5", "+3"]
+    assert apply(spark, text.parse_amount, written) == [40567400.0, 12.5, 7.0, 9.0, None, None, None, 40567400.5, 1000.0, None, -5.0, None, None, None, None, None, 12.0, 7.0, 0.5, 3.0]
 
 
 def test_dates(spark):
     written = ["07-Dec-2025", "07-DEC-2025", " 7-dec-2025 ", "2025-12-07", "2025-12-7", "12/07/2025", "12-07-2025", "2025-12-07 10:11:12", "2025-12-07T10:11:12.5"]
     assert apply(spark, text.parse_date, written) == [dt.date(2025, 12, 7)] * 9
     assert apply(spark, text.parse_date, ["13/12/2025", "13-12-2025"]) == [dt.date(2025, 12, 13)] * 2
-    assert apply(spark, text.parse_date, ["junk", "", None, "2025-13-07", "31-Feb-2025", "on 2025-12-07", "07-Dec-25"]) == [None] * 7
+    assert apply(spark, text.parse_date, ["junk", "", None, "2025-13-07", "31-Feb-2025", "on 2025-12-07", "07-Dec-2"]) == [None] * 7
+
+
+def test_more_date_forms(spark):
+    written = [
+        "07-Dec-25", "2025/12/07", "7 December 2025", "07-December-2025", "Dec 7, 2025", "December 7, 2025", "12.07.2025", "20251207", "2025-12-07T10:11:12Z",
+        "07-Dec-2025 10:00 AM", "7 Dec 2025", "\t2025-12-07\n", "2025-12-07 10:11:12+05:30",
+    ]
+    assert apply(spark, text.parse_date, written) == [dt.date(2025, 12, 7)] * len(written)
+    assert apply(spark, text.parse_date, ["1-Jan-95", "1-Jan-69", "1-Jan-68"]) == [dt.date(y, 1, 1) for y in (1995, 1969, 2068)]
+    assert apply(spark, text.parse_date, ["13.12.2025", "1-May-2025", "1 May 2025", "May 1, 2025"]) == [dt.date(2025, 12, 13)] + [dt.date(2025, 5, 1)] * 3
+
+
+def test_white_space_of_all_kinds(spark):
+    assert apply(spark, text.normalize_state, ["Kerala\n", "\tKerala", "\u00a0kerala\u2003"]) == ["Kerala"] * 3
+    assert apply(spark, text.blank_to_null, [" \n ", "\u00a0", " x\ty\n"]) == [None, None, "x\ty"]
 
 
 def test_work_ids(spark):
