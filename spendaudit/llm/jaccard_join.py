@@ -26,6 +26,7 @@ texts are read whole; an empty table gives an empty table; other columns are not
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -44,11 +45,12 @@ SHINGLE_WORDS = 5
 UP, DOWN = 3, 4
 #: Hash functions for forming groups. More of them make fewer groups; the result is the same.
 ROUNDS = 4
-#: Members of a block, and shingles that a range of hashes should have.
+#: Members of a block; bytes of text whose shingles one task counts; bytes of packed rows that a task holds in memory.
 BLOCK_MEMBERS = 64
-RANGE_SHINGLES = 2_000_000
+RANGE_BYTES = 16 << 20
+SPOOL_BYTES = 32 << 20
 #: Words a worker remembers the hash of.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -103,28 +105,15 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
-def sizes_and_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key: number of shingles, and the digest of the set (null for the empty set)."""
-
-    def run(batches):
-        for part in _slices(batches):
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                ],
-                ["doc_id", "n", "key"],
-            )
-
-    return docs.mapInArrow(run, "doc_id long, n long, key binary")
+PACKED = "range long, slice long, docs binary, counts binary, hashes binary, n binary, keys binary"
 
 
 def packed_shingles(docs: DataFrame, ranges: int) -> DataFrame:
-    """slice, range, docs, counts, hashes: the shingles of a slice of documents that lie in one range of hashes.
+    """The shingles of slices of documents, packed by range of hashes: one row for each slice and range that has any.
 
-    ``docs`` and ``counts`` list the documents with a shingle there and how many they have. A slice has up to ``SLICE_ROWS``
-    documents. The name of a slice follows from its documents.
+    ``docs`` and ``counts`` list the documents with a shingle there and how many they have. One more row of each slice, with
+    ``keys``, lists all its documents, their numbers of shingles and 16-byte digests of their sets. A slice has up to
+    ``SLICE_ROWS`` documents; its name follows from their ids.
     """
 
     def run(batches):
@@ -132,33 +121,33 @@ def packed_shingles(docs: DataFrame, ranges: int) -> DataFrame:
             ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sets = [shingles(t) for t in part.column(1).to_pylist()]
             counts = np.array([len(s) for s in sets], np.int64)
-            if not counts.sum():
-                continue
-            hashes = np.concatenate(sets)
-            owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
-            at = _range_of(hashes, ranges)
-            order = np.argsort(at, kind="stable")
-            edges = np.searchsorted(at[order], np.arange(ranges + 1))
             name = xxhash.xxh3_64_intdigest(ids.tobytes()) >> 1
-            rows = []
-            for k in range(ranges):
-                some = order[edges[k] : edges[k + 1]]
-                if len(some):
-                    who, many = np.unique(owner[some], return_counts=True)
-                    rows.append((name, k, ids[who].tobytes(), many.astype(np.int32).tobytes(), hashes[some].tobytes()))
-            columns = zip(*rows)
-            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["slice", "range", "docs", "counts", "hashes"])
-
-    return docs.mapInArrow(run, "slice long, range int, docs binary, counts binary, hashes binary")
+            digests = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
+            rows = [(name % ranges, name, ids.tobytes(), None, None, counts.tobytes(), digests)]
+            hashes = np.concatenate(sets)
+            if len(hashes):
+                owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+                at = _range_of(hashes, ranges)
+                order = np.argsort(at, kind="stable")
+                at, hashes, owner = at[order], hashes[order], owner[order]
+                edges = np.flatnonzero(np.diff(at, prepend=-1, append=-1)).tolist()
+                for a, b in zip(edges, edges[1:]):
+                    first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+                    many = np.diff(first, append=b - a).astype(np.int32)
+                    rows.append((int(at[a]), name, ids[owner[a:b][first]].tobytes(), many.tobytes(), hashes[a:b].tobytes(), None, None))
+            types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
+            names = ["range", "slice", "docs", "counts", "hashes", "n", "keys"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return docs.mapInArrow(run, PACKED)
 
 
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)).astype(np.int64) * ranges) >> 24
+    return ((hashes >> np.uint64(32)).astype(np.int64) * ranges) >> 32
 
 
 class _Counts:
-    """Distinct hashes and their numbers, merged as packed rows arrive: memory follows the distinct hashes of a range."""
+    """Distinct hashes and their numbers, merged as packed rows arrive: memory follows the distinct hashes of a partition."""
 
     def __init__(self):
         self.keys, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -172,116 +161,107 @@ class _Counts:
 
     def merge(self) -> None:
         if self.waiting:
-            keys, where = np.unique(np.concatenate([self.keys, *self.waiting]), return_inverse=True)
-            n = np.bincount(where[len(self.keys) :], minlength=len(keys))
-            n[where[: len(self.keys)]] += self.n
-            self.keys, self.n, self.waiting, self.size = keys, n, [], 0
+            new, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            at = np.searchsorted(self.keys, new)
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == new if len(self.keys) else np.zeros(len(new), bool)
+            self.n[at[known]] += n[known]
+            self.keys, self.n = np.insert(self.keys, at[~known], new[~known]), np.insert(self.n, at[~known], n[~known])
+            self.waiting, self.size = [], 0
 
 
-def shared_counts(packed: DataFrame, partitions: int) -> DataFrame:
-    """range, hashes, counts: the shingles of each range that two documents or more have, streamed range by range."""
+def _frequency_class(n: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale, as 16 bits: it orders shingles, nothing is left out by it."""
+    return (np.log2(n) * 1000).astype(np.uint16)
 
-    def run(batches):
-        now, found = None, _Counts()
 
-        def done():
+def shared_shingles(packed: DataFrame, partitions: int) -> DataFrame:
+    """The packed rows with only those shingles that two documents or more have; ``n`` then holds their frequency classes.
+
+    Each partition's rows are counted as they arrive and kept in a spool that moves to the task's own temporary file when it
+    grows, then read once more: a shingle that a third of all documents have costs disk, not memory.
+    """
+
+    def run(batches):
+        found = _Counts()
+        with tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES) as spool:
+            writer = None
+            for batch in batches:
+                about = pa.array([k is not None for k in batch.column(6).to_pylist()], pa.bool_())
+                if about.true_count:
+                    yield batch.filter(about)
+                rows = batch.filter(pa.array([not x for x in about.to_pylist()], pa.bool_()))
+                if rows.num_rows:
+                    writer = writer or pa.ipc.new_stream(spool, rows.schema)
+                    writer.write_batch(rows)
+                    for data in rows.column(4):
+                        found.add(np.frombuffer(data.as_buffer(), np.uint64))
+            if writer is None:
+                return
+            writer.close()
             found.merge()
-            keep = found.n > 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([found.keys[keep].tobytes()], pa.binary()), pa.array([found.n[keep].tobytes()], pa.binary())],
-                ["range", "hashes", "counts"],
-            )
+            keys, classes = found.keys[found.n > 1], _frequency_class(found.n[found.n > 1])
+            if not len(keys):
+                return
+            spool.seek(0)
+            for batch in pa.ipc.open_stream(spool):
+                out = []
+                for k, name, docs, counts, hashes, _, _ in zip(*(c.to_pylist() for c in batch.columns)):
+                    mine = np.frombuffer(hashes, np.uint64)
+                    at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                    hit = keys[at] == mine
+                    if hit.any():
+                        many = np.add.reduceat(hit, np.cumsum([0, *np.frombuffer(counts, np.int32)[:-1]]), dtype=np.int32)
+                        out.append((k, name, docs, many.tobytes(), mine[hit].tobytes(), classes[at[hit]].tobytes(), None))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), batch.schema.types)], batch.schema.names)
 
-        for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if k != now:
-                    if now is not None:
-                        yield done()
-                    now, found = k, _Counts()
-                found.add(np.frombuffer(data, np.uint64))
-        if now is not None:
-            yield done()
+    return packed.repartition(partitions, "range").mapInArrow(run, PACKED)
 
-    by_range = packed.select("range", "hashes").repartition(partitions, "range").sortWithinPartitions("range")
-    return by_range.mapInArrow(run, "range int, hashes binary, counts binary")
 
+SETS = "doc_id long, n long, key binary, set binary, keys array<long>"
 
-def shared_sets(packed: DataFrame, shared: DataFrame, partitions: int) -> DataFrame:
-    """doc_id, hashes, counts: pieces of documents' shared shingles, by slice. The counts of a range come first, then its rows."""
 
-    def run(batches):
-        now, keys, n = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            out = []
-            for k, first, name, docs, counts, hashes in zip(*(c.to_pylist() for c in batch.columns)):
-                if first == 0:
-                    now, keys, n = k, np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.int64)
-                    continue
-                mine = np.frombuffer(hashes, np.uint64)
-                if k != now or not len(keys):
-                    continue
-                at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                hit = keys[at] == mine
-                owner = np.repeat(np.frombuffer(docs, np.int64), np.frombuffer(counts, np.int32))
-                if hit.any():
-                    who, many = np.unique(owner[hit], return_counts=True)
-                    sort = np.argsort(owner[hit], kind="stable")
-                    out.append((name, who.tobytes(), many.astype(np.int32).tobytes(), mine[hit][sort].tobytes(), n[at][hit][sort].astype(np.int64).tobytes()))
-            if out:
-                types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["slice", "docs", "counts", "hashes", "n"])
-
-    nothing = F.lit(None).cast("binary")
-    first = shared.select("range", F.lit(0).alias("first"), F.lit(None).cast("long").alias("slice"), nothing.alias("docs"), "counts", "hashes")
-    rows = packed.select("range", F.lit(1).alias("first"), "slice", "docs", "counts", "hashes")
-    sorted_rows = first.unionByName(rows).repartition(partitions, "range").sortWithinPartitions("range", "first")
-    return sorted_rows.mapInArrow(run, "slice long, docs binary, counts binary, hashes binary, n binary")
-
-
-SETS = "doc_id long, n long, set binary, keys array<long>"
-
-
-def assembled(pieces: DataFrame, reps: DataFrame) -> DataFrame:
-    """doc_id, n, set, keys of the documents that can have a link.
-
-    ``set`` holds the shared shingles ascending, followed by their counts; ``keys`` the least of each hash function.
-    A group is a slice of documents, so it is bounded.
+def assembled(pieces: DataFrame) -> DataFrame:
+    """doc_id, n, key, set, keys of all documents; ``set`` only where enough shingles are shared for a link.
+
+    ``set`` holds the shared shingles ascending, followed by their frequency classes; ``keys`` the least of each hash
+    function. A group is a slice of documents, so it is bounded. Documents without shingles have no key.
     """
 
     def gather(table: pa.Table) -> pa.Table:
         parts: dict[int, list] = {}
-        for docs, counts, hashes, n in zip(*(table.column(c).to_pylist() for c in ("docs", "counts", "hashes", "n"))):
-            ids, many = np.frombuffer(docs, np.int64), np.frombuffer(counts, np.int32)
-            ends = np.cumsum(many)
-            h, k = np.frombuffer(hashes, np.uint64), np.frombuffer(n, np.int64)
-            for doc, a, b in zip(ids.tolist(), (ends - many).tolist(), ends.tolist()):
-                parts.setdefault(doc, []).append((h[a:b], k[a:b]))
+        about = {}
+        for docs, counts, hashes, n, keys in zip(*(table.column(c).to_pylist() for c in ("docs", "counts", "hashes", "n", "keys"))):
+            ids = np.frombuffer(docs, np.int64).tolist()
+            if keys is not None:
+                about |= {doc: (m, keys[16 * i : 16 * i + 16]) for i, (doc, m) in enumerate(zip(ids, np.frombuffer(n, np.int64).tolist()))}
+                continue
+            ends = np.cumsum(np.frombuffer(counts, np.int32)).tolist()
+            h, k = np.frombuffer(hashes, np.uint64), np.frombuffer(n, np.uint16)
+            for doc, a, b in zip(ids, [0, *ends], ends):
+                if a < b:
+                    parts.setdefault(doc, []).append((h[a:b], k[a:b]))
         rows = []
-        for doc, some in parts.items():
-            h, k = np.concatenate([a for a, _ in some]), np.concatenate([b for _, b in some])
-            h, at = np.unique(h, return_index=True)  # a row that repeats an id repeats its shingles
-            rows.append((doc, len(h), h.tobytes() + k[at].tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int64(), pa.binary()])], ["doc_id", "m", "set"]) if rows else pa.table({"doc_id": pa.array([], pa.int64()), "m": pa.array([], pa.int64()), "set": pa.array([], pa.binary())})
-
-    sets = pieces.groupBy("slice").applyInArrow(gather, "doc_id long, m long, set binary")
-    able = sets.join(reps, "doc_id").filter(F.col("m") * DOWN >= F.col("n") * UP)
-
-    def keyed(batches):
-        for part in _slices(batches):
-            keys = []
-            for data in part.column(2).to_pylist():
-                h, _ = unpacked(data)
-                keys.append([int(_mixed(h * _MIX[r] + _MIX[r]).min() >> np.uint64(1)) for r in range(ROUNDS)])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "set", "keys"])
-
-    return able.select("doc_id", "n", "set").mapInArrow(keyed, SETS).dropDuplicates(["doc_id"])
+        for doc, (n, key) in about.items():
+            packed, least = None, None
+            if n and sum(len(h) for h, _ in parts.get(doc, ())) * DOWN >= n * UP:
+                h, at = np.unique(np.concatenate([h for h, _ in parts[doc]]), return_index=True)  # a repeated row repeats its shingles
+                k = np.concatenate([k for _, k in parts[doc]])[at]
+                if len(h) * DOWN >= n * UP:
+                    packed = h.tobytes() + k.tobytes()
+                    least = [int(_mixed(h * _MIX[r] + _MIX[r]).min() >> np.uint64(1)) for r in range(ROUNDS)]
+            rows.append((doc, n, key if n else None, packed, least))
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        columns = list(zip(*rows)) or [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n", "key", "set", "keys"])
+
+    return pieces.groupBy("slice").applyInArrow(gather, SETS)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles and their counts."""
-    both = np.frombuffer(data, np.uint64)
-    half = len(both) // 2
-    return both[:half], both[half:].view(np.int64)
+    """Shingles and their frequency classes."""
+    n = len(data) // 10
+    return np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint16, n, 8 * n)
 
 
 def shingles_of(data: bytes) -> np.ndarray:
@@ -388,15 +368,14 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     """Two tables: doc_id, n, rep of every document (rep: the least id with an equal set, null without shingles), and linked
     pairs (a, b) of representatives that join all linked documents."""
     texts = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    sizes = materialize(sizes_and_keys(texts), "set-sizes")
-    classes = materialize(sizes.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "n")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_SHINGLES))
-    partitions = min(ranges, 100_000)
-    shared = materialize(shared_counts(packed_shingles(texts, ranges), partitions), "shared-shingles")
-    pieces = shared_sets(packed_shingles(texts, ranges), shared, partitions)
-    sets = materialize(assembled(pieces, reps), "shared-sets")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(1, -(-size // RANGE_BYTES))
+    pieces = shared_shingles(packed_shingles(texts, 8 * partitions), partitions)
+    every = materialize(assembled(pieces), "shingle-sets")
+    classes = materialize(every.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    sizes = every.select("doc_id", "n", "key")
+    sets = every.filter("set is not null").join(classes, "key").filter("doc_id = rep").select("doc_id", "n", "set", "keys")
+    sets = materialize(sets.dropDuplicates(["doc_id"]), "shared-sets")
 
     keyed = sets.select("doc_id", F.posexplode("keys").alias("round", "key"))
     firsts = materialize(keyed.groupBy("round", "key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("latest")).filter("b < latest").drop("latest"), "firsts")
