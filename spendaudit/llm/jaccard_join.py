@@ -7,12 +7,13 @@ least 3/4. The join is exact:
 2. A shingle that no other document has can be in no intersection. Shingles are counted over all documents, packed by range of
    their hash; a document with fewer than 3/4 of its shingles shared has no link and leaves.
 3. The others are partitioned into groups of similar documents: documents with an equal least hash, under several hash
-   functions, are compared with the earliest of them, and connected ones form a group.
+   functions, are compared with the most central of them, and connected ones form a group.
 4. The matrix holds, for each shingle, the groups in whose members' index prefixes it lies, with the sizes of these members.
    Shingles are ordered from rare to frequent; a document asks with the shingles of its probe prefix, and meets every group
    that could hold a link of at most its own size.
-5. A met group's members lie in blocks, each with the union of its members' shingles. A block of which the union overlaps the
-   document by less than 3/4 holds no link and stays closed; the members of the others are compared.
+5. The document is compared with the group's most central member. If that is no link, the group's blocks are taken in waves,
+   each with the union of its members' shingles: a block whose union overlaps the document by less than 3/4 holds no link and
+   stays closed; the members of the others are compared, until the two are joined or no block is left.
 6. Links and groups together make the components.
 
 One document or group meets another at most once per group, not per member: thousands of near copies are one group, found
@@ -44,9 +45,9 @@ SHINGLE_WORDS = 5
 #: Least similarity as a fraction.
 UP, DOWN = 3, 4
 #: Hash functions for forming groups. More of them make fewer groups; the result is the same.
-ROUNDS = 4
+ROUNDS = 5
 #: Members of a block; bytes of text whose shingles one task counts; bytes of packed rows that a task holds in memory.
-BLOCK_MEMBERS = 64
+BLOCK_MEMBERS = 16
 RANGE_BYTES = 16 << 20
 SPOOL_BYTES = 32 << 20
 #: Words a worker remembers the hash of.
@@ -105,15 +106,28 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
-PACKED = "range long, slice long, docs binary, counts binary, hashes binary, n binary, keys binary"
+PACKED = "range long, slice long, owners binary, hashes binary, n binary, docs binary, keys binary"
+#: Bytes of a hash that travel and are compared. Numbers of shingles and digests of sets come from all eight.
+HASH_BYTES = 6
+
+
+def packed(hashes: np.ndarray) -> bytes:
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def unpacked_hashes(data: bytes) -> np.ndarray:
+    n = len(data) // HASH_BYTES
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(n, HASH_BYTES)
+    return wide.reshape(-1).view(np.uint64)
 
 
 def packed_shingles(docs: DataFrame, ranges: int) -> DataFrame:
     """The shingles of slices of documents, packed by range of hashes: one row for each slice and range that has any.
 
-    ``docs`` and ``counts`` list the documents with a shingle there and how many they have. One more row of each slice, with
-    ``keys``, lists all its documents, their numbers of shingles and 16-byte digests of their sets. A slice has up to
-    ``SLICE_ROWS`` documents; its name follows from their ids.
+    ``owners`` has the place in the slice of each shingle's document. One more row of each slice, with ``keys``, lists its
+    documents, their numbers of shingles and 16-byte digests of their sets. A slice has up to ``SLICE_ROWS`` documents; its
+    name follows from its ids and sets.
     """
 
     def run(batches):
@@ -121,29 +135,26 @@ def packed_shingles(docs: DataFrame, ranges: int) -> DataFrame:
             ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sets = [shingles(t) for t in part.column(1).to_pylist()]
             counts = np.array([len(s) for s in sets], np.int64)
-            name = xxhash.xxh3_64_intdigest(ids.tobytes()) >> 1
             digests = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
-            rows = [(name % ranges, name, ids.tobytes(), None, None, counts.tobytes(), digests)]
+            name = xxhash.xxh3_64_intdigest(ids.tobytes() + digests) >> 1
+            rows = [(name % ranges, name, None, None, counts.tobytes(), ids.tobytes(), digests)]
             hashes = np.concatenate(sets)
             if len(hashes):
-                owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+                owner = np.repeat(np.arange(len(ids), dtype=np.uint8), counts)
                 at = _range_of(hashes, ranges)
                 order = np.argsort(at, kind="stable")
                 at, hashes, owner = at[order], hashes[order], owner[order]
                 edges = np.flatnonzero(np.diff(at, prepend=-1, append=-1)).tolist()
-                for a, b in zip(edges, edges[1:]):
-                    first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-                    many = np.diff(first, append=b - a).astype(np.int32)
-                    rows.append((int(at[a]), name, ids[owner[a:b][first]].tobytes(), many.tobytes(), hashes[a:b].tobytes(), None, None))
+                rows += [(int(at[a]), name, owner[a:b].tobytes(), packed(hashes[a:b]), None, None, None) for a, b in zip(edges, edges[1:])]
             types = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
-            names = ["range", "slice", "docs", "counts", "hashes", "n", "keys"]
+            names = ["range", "slice", "owners", "hashes", "n", "docs", "keys"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return docs.mapInArrow(run, PACKED)
 
 
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)).astype(np.int64) * ranges) >> 32
+    return (((hashes >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.int64) * ranges) >> 32
 
 
 class _Counts:
@@ -174,7 +185,7 @@ def _frequency_class(n: np.ndarray) -> np.ndarray:
     return (np.log2(n) * 1000).astype(np.uint16)
 
 
-def shared_shingles(packed: DataFrame, partitions: int) -> DataFrame:
+def shared_shingles(rows: DataFrame, partitions: int) -> DataFrame:
     """The packed rows with only those shingles that two documents or more have; ``n`` then holds their frequency classes.
 
     Each partition's rows are counted as they arrive and kept in a spool that moves to the task's own temporary file when it
@@ -193,8 +204,8 @@ def shared_shingles(packed: DataFrame, partitions: int) -> DataFrame:
                 if rows.num_rows:
                     writer = writer or pa.ipc.new_stream(spool, rows.schema)
                     writer.write_batch(rows)
-                    for data in rows.column(4):
-                        found.add(np.frombuffer(data.as_buffer(), np.uint64))
+                    for data in rows.column(3).to_pylist():
+                        found.add(unpacked_hashes(data))
             if writer is None:
                 return
             writer.close()
@@ -205,63 +216,66 @@ def shared_shingles(packed: DataFrame, partitions: int) -> DataFrame:
             spool.seek(0)
             for batch in pa.ipc.open_stream(spool):
                 out = []
-                for k, name, docs, counts, hashes, _, _ in zip(*(c.to_pylist() for c in batch.columns)):
-                    mine = np.frombuffer(hashes, np.uint64)
+                for k, name, owners, hashes in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                    mine = unpacked_hashes(hashes)
                     at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                     hit = keys[at] == mine
                     if hit.any():
-                        many = np.add.reduceat(hit, np.cumsum([0, *np.frombuffer(counts, np.int32)[:-1]]), dtype=np.int32)
-                        out.append((k, name, docs, many.tobytes(), mine[hit].tobytes(), classes[at[hit]].tobytes(), None))
+                        owner = np.frombuffer(owners, np.uint8)[hit]
+                        out.append((k, name, owner.tobytes(), packed(mine[hit]), classes[at[hit]].tobytes(), None, None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), batch.schema.types)], batch.schema.names)
 
-    return packed.repartition(partitions, "range").mapInArrow(run, PACKED)
+    return rows.repartition(partitions, "range").mapInArrow(run, PACKED)
 
 
-SETS = "doc_id long, n long, key binary, set binary, keys array<long>"
+SETS = "doc_id long, n long, key binary, set binary, keys array<long>, central double"
 
 
 def assembled(pieces: DataFrame) -> DataFrame:
-    """doc_id, n, key, set, keys of all documents; ``set`` only where enough shingles are shared for a link.
+    """doc_id, n, key, set, keys, central of all documents; ``set`` only where enough shingles are shared for a link.
 
     ``set`` holds the shared shingles ascending, followed by their frequency classes; ``keys`` the least of each hash
-    function. A group is a slice of documents, so it is bounded. Documents without shingles have no key.
+    function; ``central`` is the mean frequency class, highest where a document has few edits of its own. A group is a slice of documents, so it is bounded. Documents without shingles have no key.
     """
 
     def gather(table: pa.Table) -> pa.Table:
-        parts: dict[int, list] = {}
-        about = {}
-        for docs, counts, hashes, n, keys in zip(*(table.column(c).to_pylist() for c in ("docs", "counts", "hashes", "n", "keys"))):
-            ids = np.frombuffer(docs, np.int64).tolist()
-            if keys is not None:
-                about |= {doc: (m, keys[16 * i : 16 * i + 16]) for i, (doc, m) in enumerate(zip(ids, np.frombuffer(n, np.int64).tolist()))}
-                continue
-            ends = np.cumsum(np.frombuffer(counts, np.int32)).tolist()
-            h, k = np.frombuffer(hashes, np.uint64), np.frombuffer(n, np.uint16)
-            for doc, a, b in zip(ids, [0, *ends], ends):
-                if a < b:
-                    parts.setdefault(doc, []).append((h[a:b], k[a:b]))
+        owners, hashes, classes, about = [], [], [], {}
+        for owner, some, n, docs, keys in zip(*(table.column(c).to_pylist() for c in ("owners", "hashes", "n", "docs", "keys"))):
+            if keys is not None:  # a slice that came twice, because its rows repeat, tells the same twice
+                sizes = np.frombuffer(n, np.int64).tolist()
+                about = {i: (doc, m, keys[16 * i : 16 * i + 16]) for i, (doc, m) in enumerate(zip(np.frombuffer(docs, np.int64).tolist(), sizes))}
+            else:
+                owners.append(np.frombuffer(owner, np.uint8))
+                hashes.append(unpacked_hashes(some))
+                classes.append(np.frombuffer(n, np.uint16))
+        empty = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+        owner, every, rank = (np.concatenate(x or e) for x, e in zip((owners, hashes, classes), empty))
+        order = np.lexsort((every, owner))
+        owner, every, rank = owner[order], every[order], rank[order]
+        edges = np.searchsorted(owner, np.arange(len(about) + 1))
         rows = []
-        for doc, (n, key) in about.items():
-            packed, least = None, None
-            if n and sum(len(h) for h, _ in parts.get(doc, ())) * DOWN >= n * UP:
-                h, at = np.unique(np.concatenate([h for h, _ in parts[doc]]), return_index=True)  # a repeated row repeats its shingles
-                k = np.concatenate([k for _, k in parts[doc]])[at]
+        for i, (doc, n, key) in about.items():
+            data, least, central = None, None, None
+            h, k = every[edges[i] : edges[i + 1]], rank[edges[i] : edges[i + 1]]
+            if n and len(h) * DOWN >= n * UP:
+                h, at = np.unique(h, return_index=True)
                 if len(h) * DOWN >= n * UP:
-                    packed = h.tobytes() + k.tobytes()
+                    data = packed(h) + k[at].tobytes()
                     least = [int(_mixed(h * _MIX[r] + _MIX[r]).min() >> np.uint64(1)) for r in range(ROUNDS)]
-            rows.append((doc, n, key if n else None, packed, least))
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-        columns = list(zip(*rows)) or [()] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n", "key", "set", "keys"])
+                    central = float(k[at].sum()) / n
+            rows.append((doc, n, key if n else None, data, least, central))
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
+        columns = list(zip(*rows)) or [()] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n", "key", "set", "keys", "central"])
 
     return pieces.groupBy("slice").applyInArrow(gather, SETS)
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Shingles and their frequency classes."""
-    n = len(data) // 10
-    return np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint16, n, 8 * n)
+    n = len(data) // (HASH_BYTES + 2)
+    return unpacked_hashes(data[: HASH_BYTES * n]), np.frombuffer(data, np.uint16, n, HASH_BYTES * n)
 
 
 def shingles_of(data: bytes) -> np.ndarray:
@@ -290,47 +304,52 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def prefix_rows(sets: DataFrame) -> DataFrame:
-    """doc_id, n, hash, index: shared shingles of the probe prefix; ``index`` marks those of the index prefix.
+    """doc_id, n, hash, reach: shared shingles of the probe prefix; ``reach`` is the largest size of a partner with which the
+    first common shingle can be this one.
 
-    The order is by count, then by hash. A document's unshared shingles come before all others and take their places.
+    The order is by count, then by hash. A document's unshared shingles come before all others and take their places. With
+    ``p`` shingles before the first common one, at most n - p are common; a partner of m needs 3/7 of n + m.
     """
 
     def run(batches):
         for part in _slices(batches):
-            ids, sizes, hashes, index = [], [], [], []
+            ids, sizes, hashes, reach = [], [], [], []
             for doc, n, data in zip(*(c.to_pylist() for c in part.columns)):
-                h, counts = unpacked(data)
+                h, classes = unpacked(data)
                 alone = n - len(h)
                 probe = n - least_shared(n) + 1 - alone
-                # A partner of at most this size n needs 2t/(1+t) of it in common: 6/7 for 3/4.
-                inner = n - -(-2 * UP * n // (UP + DOWN)) + 1 - alone
-                first = h[np.lexsort((h, counts))[:probe]].view(np.int64)
+                first = h[np.lexsort((h, classes))[:probe]].view(np.int64)
                 ids.append(np.full(len(first), doc, np.int64))
                 sizes.append(np.full(len(first), n, np.int64))
                 hashes.append(first)
-                index.append(np.arange(len(first)) < inner)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in (ids, sizes, hashes, index)], ["doc_id", "n", "hash", "indexed"]
-            )
+                reach.append((UP + DOWN) * (n - alone - np.arange(len(first), dtype=np.int64)) // UP - n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, sizes, hashes, reach)], ["doc_id", "n", "hash", "reach"])
 
-    return sets.select("doc_id", "n", "set").mapInArrow(run, "doc_id long, n long, hash long, indexed boolean")
+    return sets.select("doc_id", "n", "set").mapInArrow(run, "doc_id long, n long, hash long, reach long")
 
 
 def group_candidates(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """query, group: groups, not the query's own, in which a member of at most the query's size could be linked to it."""
     rows = materialize(prefix_rows(sets).join(groups, "doc_id"), "prefixes")
-    matrix = rows.filter("indexed").groupBy("hash", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # The smaller partner (or either of equal ones) is met, the larger asks.
+    indexed = F.col("reach") >= F.col("n")
     # A shingle that only one group has, in either prefix, opens nothing.
-    between = rows.groupBy("hash").agg(F.min("group").alias("one"), F.max("group").alias("other"), F.max("indexed").alias("indexed"))
+    between = rows.groupBy("hash").agg(F.min("group").alias("one"), F.max("group").alias("other"), F.max(indexed).alias("indexed"))
     open_hashes = materialize(between.filter("one != other and indexed").select("hash"), "open-shingles")
-    matrix = materialize(matrix.join(open_hashes, "hash", "left_semi"), "matrix").withColumnRenamed("group", "met")
-    probes = materialize(rows.join(open_hashes, "hash", "left_semi").select("doc_id", "n", "hash", "group"), "probes")
-    fits = (F.col("met") != F.col("group")) & (F.col("least") <= F.col("n")) & (F.col("most") * DOWN >= F.col("n") * UP)
-    return probes.join(matrix, "hash").filter(fits).select(F.col("doc_id").alias("query"), F.col("met").alias("group")).distinct()
-
-
-def open_blocks(candidates: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """a, b: query and member for every member of a block whose union overlaps the query enough."""
+    open_rows = materialize(rows.join(open_hashes, "hash", "left_semi"), "open-prefixes")
+    matrix = open_rows.filter(indexed).groupBy("hash", F.col("group").alias("met")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("met_reach")
+    )
+    fits = (
+        (F.col("met") != F.col("group")) & (F.col("least") <= F.least("n", "reach")) & (F.col("met_reach") >= F.col("n"))
+        & (F.col("most") * DOWN >= F.col("n") * UP)
+    )
+    met = open_rows.join(materialize(matrix, "matrix"), "hash").filter(fits)
+    return met.select(F.col("doc_id").alias("query"), F.col("met").alias("group")).distinct()
+
+
+def group_blocks(sets: DataFrame, groups: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of the met groups (group, block, doc_id), and each block's sizes and union of shingles."""
     members = sets.join(groups, "doc_id").join(candidates.select("group").distinct(), "group", "left_semi")
     many = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
     placed = members.join(many, "group").select("group", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), "doc_id", "n", "set")
@@ -341,27 +360,57 @@ def open_blocks(candidates: DataFrame, sets: DataFrame, groups: DataFrame) -> Da
         n = table.column("n").to_pylist()
         return pa.table({
             "group": table.column("group").slice(0, 1), "block": table.column("block").slice(0, 1), "least": pa.array([min(n)], pa.int64()),
-            "most": pa.array([max(n)], pa.int64()), "every": pa.array([every.tobytes()], pa.binary()),
+            "most": pa.array([max(n)], pa.int64()), "every": pa.array([packed(every)], pa.binary()),
         })
 
-    unions = materialize(placed.groupBy("group", "block").applyInArrow(union, "group long, block long, least long, most long, every binary"), "unions")
+    unions = placed.groupBy("group", "block").applyInArrow(union, "group long, block long, least long, most long, every binary")
+    return placed.select("group", "block", "doc_id"), materialize(unions, "unions")
+
+
+def open_blocks(candidates: DataFrame, sets: DataFrame, members: DataFrame, unions: DataFrame) -> DataFrame:
+    """a, b: query and member for every member of a block whose union overlaps the query enough."""
     asked = candidates.join(sets.select(F.col("doc_id").alias("query"), "n"), "query")
     fits = (F.col("least") <= F.col("n")) & (F.col("most") * DOWN >= F.col("n") * UP)
-    narrow = asked.join(unions.drop("every"), "group").filter(fits).select("query", "group", "block")
+    narrow = asked.join(unions.drop("every"), "group").filter(fits).select("query", "group", "block", "least")
     both = narrow.join(sets.select(F.col("doc_id").alias("query"), "n", "set"), "query").join(unions.select("group", "block", "every"), ["group", "block"])
 
     def bound(batches):
         for part in _slices(batches):
-            n, own, every = (part.column(k).to_pylist() for k in (3, 4, 5))
-            keep = [
-                len(np.intersect1d(shingles_of(s), np.frombuffer(u, np.uint64), assume_unique=True)) >= least_shared(m) for m, s, u in zip(n, own, every)
-            ]
-            keep = pa.array(keep, pa.bool_())
+            n, least, own, every = (part.column(k).to_pylist() for k in (3, 4, 5, 6))
+            overlaps = [len(np.intersect1d(shingles_of(s), unpacked_hashes(u), assume_unique=True)) for s, u in zip(own, every)]
+            # A member of m shingles has 3/7 of n + m in common with the query if it is linked, and m is at least the least.
+            keep = pa.array([o >= least_shared(a) and (UP + DOWN) * o >= UP * (a + b) for o, a, b in zip(overlaps, n, least)], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(k).filter(keep) for k in range(3)], ["query", "group", "block"])
 
-    ordered = both.select("query", "group", "block", "n", "set", "every")
+    ordered = both.select("query", "group", "block", "n", "least", "set", "every")
     opened = ordered.mapInArrow(bound, "query long, group long, block long")
-    return opened.join(placed.select("group", "block", "doc_id"), ["group", "block"]).select(F.col("query").alias("a"), F.col("doc_id").alias("b"))
+    return opened.join(members, ["group", "block"]).select(F.col("query").alias("a"), F.col("doc_id").alias("b"))
+
+
+def links_across(candidates: DataFrame, sets: DataFrame, groups: DataFrame, inside: DataFrame) -> DataFrame:
+    """Links between groups, enough of them to join all linked documents.
+
+    A query is compared with the most central member of a met group first, then with blocks, in waves of four times as many.
+    After each wave the components are made anew, and candidates whose query and group have met leave: a group of thousands
+    of near copies is opened by few of its like, and a group without a link to the query is opened whole.
+    """
+    heads = groups.join(sets.select("doc_id", "central"), "doc_id").groupBy("group").agg(F.max_by("doc_id", "central").alias("b"))
+    tried = candidates.join(heads, "group").select(F.col("query").alias("a"), "b")
+    found = materialize(inside.unionByName(verified(tried, sets)), "links")
+    members, unions = group_blocks(sets, groups, candidates)
+    first, end = 0, 1
+    while True:
+        labels = component_labels(found)
+        of = {side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")) for side in ("query", "group")}
+        left = candidates.join(of["query"], "query", "left").join(of["group"], "group", "left")
+        apart = F.coalesce("query_in", "query") != F.coalesce("group_in", "group")
+        candidates = materialize(left.filter(apart).select("query", "group"), "candidates")
+        some = unions.filter((F.col("block") >= first) & (F.col("block") < end))
+        if not candidates.join(unions.filter(F.col("block") >= first), "group", "left_semi").limit(1).count():
+            return found
+        opened = materialize(open_blocks(candidates, sets, members, some).distinct(), "opened")
+        found = materialize(found.unionByName(verified(opened, sets)), "links")
+        first, end = end, 4 * end + 1
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -370,15 +419,16 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     texts = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(1, -(-size // RANGE_BYTES))
-    pieces = shared_shingles(packed_shingles(texts, 8 * partitions), partitions)
+    pieces = shared_shingles(packed_shingles(texts, 4 * partitions), partitions)
     every = materialize(assembled(pieces), "shingle-sets")
     classes = materialize(every.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     sizes = every.select("doc_id", "n", "key")
-    sets = every.filter("set is not null").join(classes, "key").filter("doc_id = rep").select("doc_id", "n", "set", "keys")
+    sets = every.filter("set is not null").join(classes, "key").filter("doc_id = rep").select("doc_id", "n", "set", "keys", "central")
     sets = materialize(sets.dropDuplicates(["doc_id"]), "shared-sets")
 
-    keyed = sets.select("doc_id", F.posexplode("keys").alias("round", "key"))
-    firsts = materialize(keyed.groupBy("round", "key").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("latest")).filter("b < latest").drop("latest"), "firsts")
+    keyed = sets.select("doc_id", "central", F.posexplode("keys").alias("round", "key"))
+    firsts = keyed.groupBy("round", "key").agg(F.max_by("doc_id", "central").alias("b"), F.count("*").alias("many"))
+    firsts = materialize(firsts.filter("many > 1").select("round", "key", "b"), "firsts")
     near = keyed.join(firsts, ["round", "key"]).filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
     inside = materialize(verified(near, sets), "links-in-groups")
     labels = component_labels(inside)
@@ -386,8 +436,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     groups = materialize(groups.select("doc_id", F.coalesce("component", "doc_id").alias("group")), "groups")
 
     candidates = materialize(group_candidates(sets, groups), "candidates")
-    across = verified(materialize(open_blocks(candidates, sets, groups), "opened").distinct(), sets)
-    found = materialize(inside.unionByName(across), "links")
+    found = links_across(candidates, sets, groups, inside)
     of_class = sizes.join(classes.select("key", "rep"), "key", "left").groupBy("doc_id").agg(F.max("n").alias("n"), F.min("rep").alias("rep"))
     return of_class, found
 
