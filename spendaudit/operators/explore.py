@@ -70,6 +70,18 @@ def page_of(df: DataFrame, order: list[Column], page: int, page_size: int, tie:
     return ordered.offset((page - 1) * page_size).limit(page_size)
 
 
+def page_total(df: DataFrame, page_size: int) -> DataFrame:
+    """One row: number of rows of a list, and of its pages."""
+    return df.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / page_size))
+
+
+def page_after(df: DataFrame, score: str, last_score: float, last_id: str, page_size: int, tie: str = "work_id") -> DataFrame:
+    """The page that follows a row, by descending score and ascending id. The filter reaches the files, and only one
+    page is ranked: unlike an offset, the cost does not grow with the depth of the page."""
+    later = (F.col(score) < last_score) | ((F.col(score) == last_score) & (F.col(tie) > last_id))
+    return df.filter(later).orderBy(F.desc(score), tie).limit(page_size)
+
+
 def works_explorer(works: DataFrame, page: int = 1, page_size: int = 50, **filters) -> DataFrame:
     return page_of(filter_works(works, **filters), [F.col("risk_score").desc_nulls_last()], page, page_size)
 
@@ -303,10 +315,26 @@ def work_record(works: DataFrame) -> DataFrame:
     return works.withColumns({"duration_days": duration_days(), "state_display": display_state(F.col("state"))}).withColumns(shown)
 
 
+EVIDENCE = [
+    "risk_reasons", "stat_risk_score", "sanc_robust_zscore", "exp_robust_zscore", "statistical_anomaly_available", "ml_anomaly_score",
+    "ml_anomaly_percentile",
+]
+
+
+def work_evidence(works: DataFrame) -> DataFrame:
+    """What a work's level rests on: the rules' reasons, the comparison with peers, and the model."""
+    return works.select("work_id", *EVIDENCE)
+
+
 def work_dossier(work_id: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Everything known about one work: a filter on each finished table, pushed down to its files."""
-    found = {n: df.filter(F.col("work_id") == work_id) for n, df in tables.items() if n != "pairs"}
+    found = {n: df.filter(F.col("work_id") == work_id) for n, df in tables.items() if n not in ("pairs", "members")}
     if "pairs" in tables:
-        either = (F.col("work_a.work_id") == work_id) | (F.col("work_b.work_id") == work_id)
-        found["pairs"] = tables["pairs"].filter(either)
+        # a pair of the work itself, or of the group of alike works that it belongs to
+        own = tables["members"].filter(F.col("work_id") == work_id).select("tier", "node")
+        sides = F.explode(F.array("work_a.work_id", "work_b.work_id")).alias("node")
+        mine = tables["pairs"].select("*", sides).join(own, ["tier", "node"], "left_semi")
+        found["pairs"] = mine.drop("node").dropDuplicates(["tier", "work_a", "work_b"])
+    if "work" in found:
+        found["evidence"] = work_evidence(found["work"])
     return found

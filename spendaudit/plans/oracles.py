@@ -568,11 +568,14 @@ _MONITORS = {
 
 _TRENDS = {
     "sanctions_by_month": "SELECT strftime(sanction_date, '%Y-%m') AS month, count(*) AS works, sum(sanctioned_amount) AS sanctioned_amount FROM scored WHERE sanction_date IS NOT NULL GROUP BY 1",
+    "expenditure_by_month_of_all": "SELECT strftime(expenditure_date, '%Y-%m') AS month, count(*) AS payments, sum(amount) AS amount FROM ledger WHERE expenditure_date IS NOT NULL AND work_id IN (SELECT work_id FROM works) GROUP BY 1",
+    "completions_by_month_of_all": "SELECT strftime(completion_date, '%Y-%m') AS month, count(*) AS works_completed, sum(completion_amount) AS completion_amount FROM scored WHERE completion_date IS NOT NULL GROUP BY 1",
     "expenditure_by_month": "SELECT strftime(expenditure_date, '%Y-%m') AS month, count(*) AS payments, sum(amount) AS amount FROM ledger WHERE work_id IN (SELECT work_id FROM works WHERE parliament_house = 'Lok Sabha') GROUP BY 1",
     "completions_by_month": "SELECT strftime(completion_date, '%Y-%m') AS month, count(*) AS works_completed, sum(completion_amount) AS completion_amount FROM scored WHERE completion_date IS NOT NULL AND state = 'NATION_7' GROUP BY 1",
     "risk_by_month": f"SELECT strftime(sanction_date, '%Y-%m') AS month, {LEVEL_COUNTS} FROM scored WHERE sanction_date IS NOT NULL GROUP BY 1",
 }
 
+WORST_WORK = "(SELECT work_id FROM scored ORDER BY risk_score DESC, work_id LIMIT 1)"
 _REPORTS = {
     "overview": OVERVIEW,
     "overview_of_chamber": OVERVIEW + " WHERE parliament_house = 'Rajya Sabha'",
@@ -600,6 +603,8 @@ _REPORTS = {
     "score_range": "SELECT min(risk_score) AS score_min, max(risk_score) AS score_max FROM scored WHERE parliament_house = 'Lok Sabha'",
     "state_performance": f"""SELECT state, count(*) AS total_works, sum(coalesce(sanctioned_amount, 0)) AS total_sanctioned, sum(total_expenditure) AS total_expenditure,
         count(*) FILTER (WHERE {HIGH}) AS high_critical_risk_works FROM scored GROUP BY state""",
+    "kpi_row_of_all": """SELECT count(*) AS total_works, sum(sanctioned_amount) AS total_sanctioned, count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk, count(*) FILTER (WHERE risk_level = 'CRITICAL') AS critical,
+        CAST(sum(duplicate_payment_count) AS BIGINT) AS duplicate_payments, (SELECT sum(amount) FROM ledger) AS total_expenditure FROM scored""",
     "kpi_row": """SELECT count(*) AS total_works, sum(sanctioned_amount) AS total_sanctioned, count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk, count(*) FILTER (WHERE risk_level = 'CRITICAL') AS critical,
         CAST(sum(duplicate_payment_count) AS BIGINT) AS duplicate_payments, (SELECT sum(amount) FROM ledger WHERE parliament_house = 'Rajya Sabha') AS total_expenditure FROM scored WHERE parliament_house = 'Rajya Sabha'""",
     "top_spending_states": "SELECT state, sum(total_expenditure) AS total_expenditure FROM scored GROUP BY state ORDER BY total_expenditure DESC, state LIMIT 10",
@@ -627,6 +632,9 @@ _REPORTS = {
     "signal_frequency": f"SELECT split_part(reason, ':', 1) AS category, count(DISTINCT work_id) AS works FROM (SELECT work_id, unnest(risk_reasons) AS reason FROM scored WHERE {HIGH}) GROUP BY 1",
     "works_explorer": """SELECT work_id, risk_score, constituency, state FROM scored WHERE parliament_house = 'Lok Sabha' AND constituency = 'BUILDING' AND risk_level = 'REVIEW' AND risk_score BETWEEN 35 AND 55
       QUALIFY row_number() OVER (ORDER BY risk_score DESC, work_id) BETWEEN 101 AND 200""",
+    "works_explorer_total": "SELECT count(*) AS total, CAST(ceil(count(*) / 100) AS BIGINT) AS pages FROM scored WHERE parliament_house = 'Lok Sabha' AND risk_level = 'REVIEW'",
+    "works_explorer_after": "SELECT work_id, risk_score FROM scored WHERE risk_score < 40 OR risk_score = 40 AND work_id > 'WS/MP5' ORDER BY risk_score DESC, work_id LIMIT 300",
+    "works_of_district": "SELECT work_id, risk_score, concat_ws(' ', state, work_category) AS district FROM scored WHERE concat_ws(' ', state, work_category) = 'NATION_3 2-HIGH'",
     "works_search": "SELECT work_id, risk_score FROM scored WHERE contains(lower(work_id), '/1996/12') ORDER BY risk_score DESC, work_id LIMIT 500",
     "works_without_district": "SELECT work_id, risk_score FROM scored WHERE false",
     "critical_queue": "SELECT work_id, risk_score, stat_risk_score FROM scored WHERE risk_level = 'CRITICAL' QUALIFY row_number() OVER (ORDER BY stat_risk_score DESC, work_id) BETWEEN 26 AND 50",
@@ -638,12 +646,18 @@ _REPORTS = {
     "dossier_work": """SELECT work_id, risk_score, round(overrun_pct, 4) AS overrun_pct, compliance_status, review_priority, ml_anomaly_percentile, round(exp_robust_zscore, 4) AS exp_robust_zscore
       FROM monitored ORDER BY risk_score DESC, work_id LIMIT 1""",
     "dossier_payments": "SELECT expenditure_id, expenditure_date, vendor_name, payment_status, amount FROM ledger WHERE work_id = (SELECT work_id FROM scored ORDER BY risk_score DESC, work_id LIMIT 1)",
+    "dossier_warning": f"SELECT work_id, severity, signal_count, array_to_string(list_sort(found), ' | ') AS signals FROM warnings WHERE work_id = {WORST_WORK}",
+    "dossier_evidence": f"""SELECT work_id, array_to_string(risk_reasons, ' | ') AS risk_reasons, round(stat_risk_score, 4) AS stat_risk_score, round(sanc_robust_zscore, 4) AS sanc_robust_zscore,
+        round(exp_robust_zscore, 4) AS exp_robust_zscore, (sanc_robust_zscore IS NOT NULL OR exp_robust_zscore IS NOT NULL) AS statistical_anomaly_available, round(ml_anomaly_score, 4) AS ml_anomaly_score, round(ml_anomaly_percentile, 4) AS ml_anomaly_percentile
+      FROM scored WHERE work_id = {WORST_WORK}""",
+    "dossier_pairs": "SELECT 'A' AS tier, ids[1] AS id_a, ids[2] AS id_b, 100.0::DOUBLE AS similarity_score FROM pairs WHERE list_contains(ids, (SELECT min(work_id) FROM dup_ids))",
 }
 
 COUNT = "coalesce(n, 0)"
 LEVEL_TEXT = " ".join(f"WHEN risk_level = '{v}' THEN {fill(t, count=COUNT)}" for v, t in fixed.SUMMARY_BY_LEVEL.items())
 _FINDINGS = {
     "work_findings": "SELECT work_id, CAST(place AS INTEGER) AS place, weight, source, headline, what_happened, severity, recommended_action FROM top_findings",
+    "all_work_findings": "SELECT work_id, weight, source, headline, severity FROM finding_rows",
     "finding_reasons": "SELECT source, headline, why_it_matters, count(*) AS findings FROM top_findings GROUP BY ALL",
     "work_assessments": f"""SELECT m.work_id, {case_of("risk_level", fixed.LEVEL_DISPLAY)} AS display_level, {case_of("risk_level", fixed.LEVEL_HEADLINES)} AS assessment_headline,
         {case_of("risk_level", fixed.LEVEL_WEIGHTS)} AS assessment_weight, CASE WHEN risk_level = 'NORMAL' OR {COUNT} = 0 THEN {q(fixed.SUMMARY_NONE)} {LEVEL_TEXT} END AS assessment_summary,
@@ -652,6 +666,8 @@ _FINDINGS = {
         SELECT work_id, recommended_action, min(place) AS first_place, count(*) AS n, max(total) AS total FROM top_findings GROUP BY work_id, recommended_action) GROUP BY work_id) f USING (work_id)""",
 }
 
+_FINDINGS["dossier_explanation"] = f"SELECT work_id, display_level, assessment_summary, recommended_actions FROM ({_FINDINGS['work_assessments']}) WHERE work_id = {WORST_WORK}"
+
 ORACLES = {
     name: sql(statement)
     for group in (_RAW, _CLEAN, _FEATURES, _SCORES, _DUPLICATES, _MONITORS, _TRENDS, _REPORTS, _FINDINGS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -621,12 +622,24 @@ def expenditure_by_month(spark, folder):
     return trends.trend("expenditure", done.scored, done.ledger, chamber=fixed.LOWER_HOUSE)
 
 
+@query
+def expenditure_by_month_of_all(spark, folder):
+    done = audit(spark, folder)
+    return trends.trend("expenditure", done.scored, done.ledger)
+
+
 @query
 def completions_by_month(spark, folder):
     done = audit(spark, folder)
     return trends.trend("completions", done.scored, done.ledger, state="NATION_7")
 
 
+@query
+def completions_by_month_of_all(spark, folder):
+    done = audit(spark, folder)
+    return trends.trend("completions", done.scored, done.ledger)
+
+
 @query
 def risk_by_month(spark, folder):
     done = audit(spark, folder)
@@ -686,14 +699,12 @@ def member_profiles(spark, folder):
     return explore.member_profile(audit(spark, folder).scored, "row_order").drop("nodal_district", "party", "photo_url")
 
 
-def _one_member() -> Column:
-    return text.member_id(F.lit(fixed.LOWER_HOUSE), F.lit("BUILDING NATION_1"))
+def _one_member() -> str:
+    return "MP-" + hashlib.sha1(f"{fixed.LOWER_HOUSE}|BUILDING NATION_1".encode()).hexdigest()[:10].upper()
 
 
 def _member_parts(spark, folder):
-    scored = audit(spark, folder).scored
-    mp_id = spark.range(1).select(_one_member()).first()[0]
-    return explore.member_detail(scored, mp_id)
+    return explore.member_detail(audit(spark, folder).scored, _one_member())
 
 
 @query
@@ -745,6 +756,12 @@ def kpi_row(spark, folder):
     return reports.kpi_row(explore.filter_works(done.scored, chamber=fixed.UPPER_HOUSE), done.ledger)
 
 
+@query
+def kpi_row_of_all(spark, folder):
+    done = audit(spark, folder)
+    return reports.kpi_row(done.scored, done.ledger)
+
+
 @query
 def top_spending_states(spark, folder):
     return reports.top_spending_states(audit(spark, folder).scored)
@@ -824,6 +841,26 @@ def works_explorer(spark, folder):
     return df.select("work_id", "risk_score", "constituency", "state")
 
 
+@query
+def works_explorer_total(spark, folder):
+    """Rows and pages of a filtered list."""
+    return explore.page_total(explore.filter_works(audit(spark, folder).scored, chamber=fixed.LOWER_HOUSE, risk="REVIEW"), page_size=100)
+
+
+@query
+def works_explorer_after(spark, folder):
+    """The page after a given row, found by its score and id."""
+    df = explore.page_after(audit(spark, folder).scored, "risk_score", 40.0, "WS/MP5", page_size=300)
+    return df.select("work_id", "risk_score")
+
+
+@query
+def works_of_district(spark, folder):
+    """A district filter on a table that has districts."""
+    works = audit(spark, folder).scored.withColumn("district", F.concat_ws(" ", "state", "work_category"))
+    return explore.filter_works(works, district="NATION_3 2-HIGH").select("work_id", "risk_score", "district")
+
+
 @query
 def works_search(spark, folder):
     df = explore.works_explorer(audit(spark, folder).scored, page_size=500, text="/1996/12")
@@ -863,11 +900,16 @@ def work_records(spark, folder):
     return explore.work_record(audit(spark, folder).scored).select("work_id", "duration_days", "recommended_date", "sanction_date", "completion_date", "state_display", "mp_id")
 
 
-def _dossier(spark, folder) -> dict[str, DataFrame]:
+def _dossier(spark, folder, work_id: str | None = None) -> dict[str, DataFrame]:
+    """Of the given work, else of the one with the highest score."""
     done = audit(spark, folder)
-    worst = explore.works_explorer(done.scored, page_size=1).first().work_id
+    work_id = work_id or explore.works_explorer(done.scored, page_size=1).first().work_id
     return explore.work_dossier(
-        worst, {"work": done.monitored, "payments": done.ledger, "warning": done.warnings, "explanation": done.explained, "pairs": done.duplicates.pairs}
+        work_id,
+        {
+            "work": done.monitored, "payments": done.ledger, "warning": done.warnings, "explanation": done.explained,
+            "pairs": done.duplicates.pairs, "members": done.duplicates.members,
+        },
     )
 
 
@@ -882,6 +924,32 @@ def dossier_payments(spark, folder):
     return _dossier(spark, folder)["payments"].select("expenditure_id", "expenditure_date", "vendor_name", "payment_status", "amount")
 
 
+@query
+def dossier_warning(spark, folder):
+    df = _dossier(spark, folder)["warning"]
+    return df.select("work_id", "severity", F.col("signal_count").cast("long").alias("signal_count"), joined(F.array_sort("signals")).alias("signals"))
+
+
+@query
+def dossier_explanation(spark, folder):
+    df = _dossier(spark, folder)["explanation"]
+    return df.select("work_id", "display_level", "assessment_summary", joined("recommended_actions").alias("recommended_actions"))
+
+
+@query
+def dossier_evidence(spark, folder):
+    df = _dossier(spark, folder)["evidence"]
+    return rounded(df.withColumn("risk_reasons", joined("risk_reasons")), 4)
+
+
+@query
+def dossier_pairs(spark, folder):
+    """Duplicate pairs of the first paired work."""
+    first = dup.duplicate_ids(audit(spark, folder).duplicates.members).orderBy("work_id").first()
+    df = _dossier(spark, folder, first.work_id if first else "none")["pairs"]
+    return df.select("tier", F.col("work_a.work_id").alias("id_a"), F.col("work_b.work_id").alias("id_b"), "similarity_score")
+
+
 # --- findings ---------------------------------------------------------------------------------
 
 
@@ -892,6 +960,13 @@ def work_findings(spark, folder):
     return listed.select("work_id", "place", "f.weight", "f.source", "f.headline", "f.what_happened", "f.severity", "f.recommended_action")
 
 
+@query
+def all_work_findings(spark, folder):
+    """All findings of every work, not only the heaviest."""
+    listed = audit(spark, folder).explained.select("work_id", F.explode("findings").alias("f"))
+    return listed.select("work_id", "f.weight", "f.source", "f.headline", "f.severity")
+
+
 @query
 def work_assessments(spark, folder):
     return audit(spark, folder).explained.select(
