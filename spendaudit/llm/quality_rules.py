@@ -38,8 +38,8 @@ class BandRules:
     level: int = 3
     chunk_bytes: int = 4096
     bands: tuple[Band, ...] = (
-        Band(256, 1.05, 4.0), Band(512, 1.15, 4.5), Band(1024, 1.25, 5.0), Band(2048, 1.35, 5.5), Band(4096, 1.45, 6.0),
-        Band(16384, 1.5, 8.0), Band(65536, 1.5, 12.0),
+        Band(256, 1.1, 3.0), Band(512, 1.2, 3.2), Band(1024, 1.3, 3.6), Band(2048, 1.4, 4.0), Band(4096, 1.5, 4.5),
+        Band(16384, 1.6, 5.0), Band(65536, 1.7, 6.0),
     )
     bad_chunk_share: float = 0.5
 

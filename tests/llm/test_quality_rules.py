@@ -54,8 +54,8 @@ def test_bands_reject_repetitive_and_incompressible_texts(make_docs):
 def test_chunks_see_a_bad_stretch():
     from spendaudit.llm.quality_rules import judge
 
-    row = judge(BandRules(bad_chunk_share=0.2))
-    good = prose(5, 2000)
+    row = judge(BandRules(bad_chunk_share=0.1))
+    good = prose(5, 8000)
     stretch = " ".join(f"zzzzzzzzzzzzzzzzzzzzzzzzzz{i}" for i in range(600))
     assert row(0, good)[-1] is None
     assert row(0, good + " " + stretch)[-1] == "repetitive chunks"
@@ -64,7 +64,7 @@ def test_chunks_see_a_bad_stretch():
 def test_lengths_choose_the_band():
     rules = BandRules()
     assert rules.verdict(100, 50.0) == 0 and rules.verdict(300, 50.0) == 1 and rules.verdict(300, 1.0) == -1
-    assert rules.verdict(70_000, 11.0) == 0 and rules.verdict(20_000, 11.0) == 1
+    assert rules.verdict(70_000, 5.5) == 0 and rules.verdict(20_000, 5.5) == 1
 
 
 def test_repeats():
