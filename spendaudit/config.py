@@ -53,6 +53,8 @@ class AuditConfig:
 
     # duplicate-work screening
     signature_tokens: int = 4
+    # "ratio" compares whole texts character by character, "words" the sets of their words
+    text_measure: str = "ratio"
     similarity_min: float = 0.85
     similarity_max: float = 0.999
     amount_similarity_min: float = 0.95

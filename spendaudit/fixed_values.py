@@ -467,3 +467,33 @@ SUMMARY_BY_LEVEL = {
         "the evidence is not strong enough to call it high risk."
     ),
 }
+
+# --- fixed values: names of columns that reports and tables share --------------------------------
+TABLE_DATES = [
+    "recommended_date", "sanction_date", "completion_date", "first_payment_date", "last_payment_date",
+]
+MASTER_FIELDS = [
+    "work_description", "work_status_raw", "lifecycle_status", "recommended_date", "sanction_date",
+    "first_payment_date", "last_payment_date", "completion_date", "recommended_amount", "sanctioned_amount",
+    "completion_amount", "work_category", "state", "constituency", "mp_name", "parliament_house",
+    "elected_nominated", "district", "nodal_district", "party", "photo_url",
+]
+DEFAULT_COLUMNS = {
+    "total_expenditure": None,
+    "sanctioned_amount": None,
+    "completion_amount": None,
+    "risk_score": None,
+    "risk_level": "NORMAL",
+    "primary_reason": NOT_AVAILABLE,
+    "work_category": NOT_AVAILABLE,
+    "lifecycle_status": NOT_AVAILABLE,
+}
+SEARCH_COLUMNS = ["work_id", "mp_name", "work_description", "constituency", "vendor_name"]
+CRITICAL_SORTS = ["risk_score", "rule_score", "stat_risk_score", "ml_anomaly_percentile"]
+MEMBER_SORTS = [
+    "mp_name", "state", "constituency", "total_works", "risk_count", "critical_count", "high_risk_count",
+    "total_expenditure",
+]
+COMPLIANCE_STATUSES = {
+    "unknown": "INSUFFICIENT DATA", "full": "COMPLIANT", "partial": "PARTIALLY COMPLIANT", "review": "REQUIRES REVIEW",
+}

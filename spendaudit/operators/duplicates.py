@@ -57,7 +57,8 @@ def prepare(works: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
         F.array_join("tokens", " ").alias("normtext"),
         # groups are formed on the digest, so that whole texts are not shuffled
         F.unhex(F.sha2(F.array_join("tokens", " "), 256)).alias("text_key"),
-        F.length(F.array_join("tokens", " ")).alias("chars"),
+        # what the text measure counts: characters, or different words
+        (F.length(F.array_join("tokens", " ")) if config.text_measure == "ratio" else F.size(F.array_distinct("tokens"))).alias("length"),
         F.array_join(F.slice("tokens", 1, config.signature_tokens), " ").alias("signature"),
         F.array_join(F.slice("tokens", F.greatest(F.size("tokens") - (config.signature_tokens - 1), F.lit(1)), config.signature_tokens), " ").alias("end_signature"),
         F.coalesce("sanction_date", "recommended_date").alias("near_date"),
@@ -143,7 +144,7 @@ def nodes(prepared: DataFrame) -> DataFrame:
         F.count("*").alias("works"),
         F.min("place").alias("place"),
         F.min_by("work_id", "place").alias("work_id"),
-        F.min("chars").alias("chars"),
+        F.min("length").alias("length"),
         *[F.min(c).alias(c) for c in SIGNATURES],
     )
 
@@ -178,7 +179,7 @@ def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) ->
         "works",
         F.col("sanctioned_amount").alias("amount"),
         "near_date",
-        "chars",
+        "length",
         "text_key",
         F.floor(F.log("sanctioned_amount") / width).alias("amount_bin"),
         F.floor(F.unix_date("near_date") / (config.date_gap_max + 1)).alias("date_bin"),
@@ -192,12 +193,12 @@ def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) ->
     keys = [*BLOCK_KEY, "amount_bin", "date_bin"]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        own = ["work_id", "place", "works", "amount", "near_date", "chars", "text_key"]
+        own = ["work_id", "place", "works", "amount", "near_date", "length", "text_key"]
         return df.select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in own])
 
     low, high = F.least("amount_a", "amount_b"), F.greatest("amount_a", "amount_b")
-    # 2 x shorter / (both) is the most that the ratio can be; as a product, because both may be empty
-    reachable = 2.0 * F.least("chars_a", "chars_b") >= config.similarity_min * (F.col("chars_a") + F.col("chars_b"))
+    # 2 x shorter / (both) is the most that either measure can be; as a product, because both may be empty
+    reachable = 2.0 * F.least("length_a", "length_b") >= config.similarity_min * (F.col("length_a") + F.col("length_b"))
     return (
         side(near, "a")
         .join(side(binned, "b"), keys)
@@ -227,6 +228,13 @@ def text_ratio(a: str, b: str, least: float) -> Column:
     return ratio(a, b)
 
 
+def word_ratio(a: str, b: str) -> Column:
+    """Dice similarity of the sets of words of two normalized texts, inside the JVM."""
+    left, right = (F.array_distinct(F.array_remove(F.split(t, " "), "")) for t in (a, b))
+    both = F.size(left) + F.size(right)
+    return F.when(both > 0, 2.0 * F.size(F.array_intersect(left, right)) / both).otherwise(0.0)
+
+
 def text_pair_ratios(found: DataFrame, prepared: DataFrame, config: AuditConfig) -> DataFrame:
     """Ratio of every distinct pair of texts (in order) among the candidates: each is compared once,
     however many works have these texts."""
@@ -238,11 +246,16 @@ def text_pair_ratios(found: DataFrame, prepared: DataFrame, config: AuditConfig)
     def side(name: str) -> DataFrame:
         return texts.select(F.col("text_key").alias(f"text_key_{name}"), F.col("normtext").alias(f"normtext_{name}"))
 
+    both = distinct.join(side("a"), "text_key_a").join(side("b"), "text_key_b")
+    high = F.col("ratio") < config.similarity_max
+    if config.text_measure == "words":
+        rated = both.select("text_key_a", "text_key_b", word_ratio("normtext_a", "normtext_b").alias("ratio"))
+        return rated.filter((F.col("ratio") >= config.similarity_min) & high)
     # comparing texts is slow for the size of the data, so the pairs are dealt out widely, the more the more there are
     tasks = max(4 * prepared.sparkSession.sparkContext.defaultParallelism, distinct.count() // 2000)
-    both = distinct.join(side("a"), "text_key_a").join(side("b"), "text_key_b").repartition(tasks, "text_key_a", "text_key_b")
-    rated = both.select("text_key_a", "text_key_b", text_ratio("normtext_a", "normtext_b", config.similarity_min).alias("ratio"))
-    return rated.filter((F.col("ratio") >= config.similarity_min) & (F.col("ratio") < config.similarity_max))
+    dealt = both.repartition(tasks, "text_key_a", "text_key_b")
+    rated = dealt.select("text_key_a", "text_key_b", text_ratio("normtext_a", "normtext_b", config.similarity_min).alias("ratio"))
+    return rated.filter((F.col("ratio") >= config.similarity_min) & high)
 
 
 def similar_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:

@@ -13,16 +13,10 @@ from spendaudit.functions.text import display_state, state_from_display
 from spendaudit.operators.monitors import severity_rank
 
 ALL = "All"
-SEARCH_COLUMNS = ["work_id", "mp_name", "work_description", "constituency", "vendor_name"]
-CRITICAL_SORTS = ["risk_score", "rule_score", "stat_risk_score", "ml_anomaly_percentile"]
 MEMBER_KEY = ["mp_id", "mp_name", "parliament_house", "state", "constituency"]
-MEMBER_SORTS = [
-    "mp_name", "state", "constituency", "total_works", "risk_count", "critical_count", "high_risk_count",
-    "total_expenditure",
-]
 
 
-def contains_text(df: DataFrame, text: str, columns: list[str] = SEARCH_COLUMNS) -> DataFrame:
+def contains_text(df: DataFrame, text: str, columns: list[str] = fixed.SEARCH_COLUMNS) -> DataFrame:
     """Rows with the text, taken literally and in any case, in one of the columns that exist."""
     wanted = text.lower().strip()
     hits = [F.lower(c).contains(F.lit(wanted)) for c in columns if c in df.columns]
@@ -87,7 +81,7 @@ def works_explorer(works: DataFrame, page: int = 1, page_size: int = 50, **filte
 
 
 def critical_queue(works: DataFrame, page: int = 1, page_size: int = 25, sort: str = "risk_score", **filters) -> DataFrame:
-    by = sort if sort in CRITICAL_SORTS else "risk_score"
+    by = sort if sort in fixed.CRITICAL_SORTS else "risk_score"
     return page_of(filter_works(works, risk="CRITICAL", **filters), [F.col(by).desc_nulls_last()], page, page_size)
 
 
@@ -266,7 +260,7 @@ def member_directory(works: DataFrame, sort: str = "mp_name", descending: bool =
             "state_display": display_state(F.col("state")),
         }
     )
-    key = F.col(sort if sort in MEMBER_SORTS else "mp_name")
+    key = F.col(sort if sort in fixed.MEMBER_SORTS else "mp_name")
     first = key.desc_nulls_last() if descending else key.asc_nulls_last()
     ties = [F.col(c).asc_nulls_last() for c in ("mp_id", "state", "constituency")]
     return grouped.orderBy(first, *ties).limit(limit)

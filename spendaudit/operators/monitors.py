@@ -177,11 +177,12 @@ def compliance(df: DataFrame, limits: MonitorLimits) -> DataFrame:
     ok, bad = F.size("checks_passed"), F.size("checks_failed")
     total = ok + bad + F.size("checks_missing")
     df = df.withColumns({"checks_total": total, "compliance_score": F.when(ok + bad > 0, ok / (ok + bad))})
+    words = fixed.COMPLIANCE_STATUSES
     status = (
-        F.when(~sanctioned | (ok + bad == 0) | ((ok + bad) < F.col("checks_total") * 0.5), "INSUFFICIENT DATA")
-        .when(bad == 0, "COMPLIANT")
-        .when(F.col("compliance_score") >= 0.7, "PARTIALLY COMPLIANT")
-        .otherwise("REQUIRES REVIEW")
+        F.when(~sanctioned | (ok + bad == 0) | ((ok + bad) < F.col("checks_total") * 0.5), words["unknown"])
+        .when(bad == 0, words["full"])
+        .when(F.col("compliance_score") >= 0.7, words["partial"])
+        .otherwise(words["review"])
     )
     return df.withColumn("compliance_status", status)
 
@@ -292,7 +293,7 @@ def early_warnings(monitored: DataFrame) -> DataFrame:
         "risk": F.coalesce(level.isin("HIGH", "CRITICAL"), F.lit(False)),
         "duplicate": F.col("in_duplicates"),
         "overrun": F.coalesce(F.col("is_overrun") & band.isin("MEDIUM", "HIGH"), F.lit(False)),
-        "compliance": F.coalesce(F.col("compliance_status") == "REQUIRES REVIEW", F.lit(False)),
+        "compliance": F.coalesce(F.col("compliance_status") == fixed.COMPLIANCE_STATUSES["review"], F.lit(False)),
         "stalled": _flag("is_stalled_work"),
     }
     inserts = {"risk": {"level": level}, "overrun": {"band": band}}
@@ -301,11 +302,8 @@ def early_warnings(monitored: DataFrame) -> DataFrame:
     actions = F.array_distinct(_texts(*[F.when(fires[s], fixed.SIGNAL_ACTIONS[s]) for s in fixed.SIGNALS]))
     df = monitored.withColumns({"found": signals, "reasons": reasons, "recommended_actions": actions})
     count = F.size("found")
-    severity = (
-        F.when((level == "CRITICAL") | (count >= 3), "Immediate Review")
-        .when((level == "HIGH") | (count >= 2), "Priority Review")
-        .otherwise("Monitor")
-    )
+    immediate, priority, other = fixed.SEVERITIES
+    severity = F.when((level == "CRITICAL") | (count >= 3), immediate).when((level == "HIGH") | (count >= 2), priority).otherwise(other)
     return df.filter(count > 0).select(
         "work_id",
         "mp_name",

@@ -143,6 +143,29 @@ def calamity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def similar_works(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as works whose descriptions differ in none, one or two words; real order dates, some dates, seats and amounts missing."""
+    early = F.array(*[F.lit(w) for w in ("amber", "azure", "beige", "black", "brown")])
+    late = F.array(*[F.lit(w) for w in ("violet", "walnut", "wheat", "white", "willow", "yellow", "zinc")])
+    day = F.col("o_orderdate").cast("date")
+    known = F.col("o_orderstatus") != "P"
+    described = F.concat_ws(
+        " ", F.lit("Culvert, pipeline; drainage"), F.lower("c_mktsegment"), early[(F.col("o_custkey") % 5).cast("int")], F.lit("SCHOOL of temple at Phase"),
+        late[(F.col("o_orderkey") % 7).cast("int")],
+    )
+    return orders_with_people(spark, folder).select(
+        F.concat(F.lit("SIM/"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("work_id"),
+        member_name().alias("mp_name"),
+        F.col("n_name").alias("state"),
+        F.when(is_lower(), F.col("c_mktsegment")).alias("constituency"),
+        described.alias("work_description"),
+        F.when(F.col("o_custkey") % 31 != 0, (F.floor(F.col("o_totalprice") / 10000) + 1) * 10000.0).alias("sanctioned_amount"),
+        F.when(known, day).alias("sanction_date"),
+        F.when(F.col("o_custkey") % 29 != 0, day).alias("recommended_date"),
+        F.col("o_orderkey").alias("row_order"),
+    )
+
+
 def document_works(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as works: whole texts as descriptions, language as member, length as amount."""
     docs = table(spark, folder, "documents")

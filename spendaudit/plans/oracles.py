@@ -537,6 +537,42 @@ STEPS["doc_texts"] = (
 )
 STEPS["doc_nodes"] = "SELECT lang, t, n_chars, sig, end_sig, min(doc_id) AS doc_id, min(work_id) AS work_id, count(*) AS works FROM doc_texts WHERE n_chars > 0 GROUP BY ALL"
 
+STEPS["sim_works"] = """SELECT 'SIM/' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS work_id, o_orderkey AS place, c_mktsegment || ' ' || n_name AS member,
+        CASE WHEN n_regionkey < 3 THEN c_mktsegment END AS constituency, CASE WHEN o_custkey % 31 <> 0 THEN (floor(o_totalprice / 10000) + 1) * 10000.0 END AS amount,
+        CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS sanction_date, CASE WHEN o_orderstatus <> 'P' OR o_custkey % 29 <> 0 THEN CAST(o_orderdate AS DATE) END AS near_date,
+        list_sort(list_filter(['culvert', 'pipeline', 'drainage', lower(c_mktsegment), ['amber', 'azure', 'beige', 'black', 'brown'][o_custkey % 5 + 1], 'school', 'temple', 'phase',
+          ['violet', 'walnut', 'wheat', 'white', 'willow', 'yellow', 'zinc'][o_orderkey % 7 + 1]], lambda w: w <> 'building')) AS toks
+      FROM orders JOIN people ON o_custkey = c_custkey"""
+STEPS["sim_exact"] = """SELECT arg_min(work_id, place) AS id_a, arg_max(work_id, place) AS id_b FROM sim_works WHERE amount IS NOT NULL AND sanction_date IS NOT NULL
+      GROUP BY member, toks, amount, sanction_date HAVING count(*) = 2"""
+STEPS["sim_nodes"] = """SELECT member, coalesce(constituency, '') AS seat, toks, amount, near_date, min(place) AS place, min(work_id) AS node, count(*) AS works, any_value(constituency) AS constituency
+      FROM sim_works WHERE amount > 0 AND near_date IS NOT NULL GROUP BY ALL"""
+STEPS["sim_pairs"] = """SELECT a.node AS id_a, b.node AS id_b, a.works AS works_a, b.works AS works_b, a.constituency AS seat_of_both, 2.0::DOUBLE * len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks)) AS ratio
+      FROM sim_nodes a JOIN sim_nodes b ON a.member = b.member AND a.seat = b.seat AND a.place < b.place AND a.toks <> b.toks AND (a.toks[1:4] = b.toks[1:4] OR a.toks[-4:] = b.toks[-4:])
+      WHERE 1 - abs(a.amount - b.amount) / greatest(a.amount, b.amount) >= 0.95 AND abs(date_diff('day', a.near_date, b.near_date)) <= 30
+        AND 2.0::DOUBLE * len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks)) >= 0.85"""
+STEPS["sim_members"] = """SELECT 'A' AS tier, unnest([id_a, id_b]) AS node, unnest([id_a, id_b]) AS work_id FROM sim_exact
+      UNION SELECT 'B', n.node, w.work_id FROM sim_nodes n JOIN (SELECT unnest([id_a, id_b]) AS node FROM sim_pairs) p USING (node)
+        JOIN sim_works w ON w.member = n.member AND coalesce(w.constituency, '') = n.seat AND w.toks = n.toks AND w.amount = n.amount AND w.near_date = n.near_date"""
+STEPS["sim_sides"] = """SELECT 'A' AS tier, unnest([id_a, id_b]) AS node, 1.0::DOUBLE AS ratio, 1::BIGINT AS n FROM sim_exact
+      UNION ALL SELECT 'B', id_a, ratio, works_b FROM sim_pairs UNION ALL SELECT 'B', id_b, ratio, works_a FROM sim_pairs"""
+_DUPLICATES |= {
+    "similar_work_pairs": f"""SELECT 'Possible Duplicate' AS label, {printed("ratio * 100", 1)} AS similarity_score, id_a, id_b, works_a, works_b,
+        {q(" | ".join(fixed.PAIR_FIELDS_SIMILAR))} || CASE WHEN seat_of_both IS NOT NULL THEN {q(" | " + fixed.PAIR_FIELD_CONSTITUENCY)} ELSE '' END AS matching_fields FROM sim_pairs""",
+    "similar_work_members": "SELECT DISTINCT work_id FROM sim_members",
+    "similar_work_matches": f"""SELECT work_id, arg_min(tier, (-score, tier)) AS tier, max(score) AS similarity_score, CAST(sum(n) AS BIGINT) AS matches
+      FROM (SELECT m.work_id, m.tier, {printed("s.ratio * 100", 1)} AS score, s.n FROM sim_members m JOIN sim_sides s ON s.tier = m.tier AND s.node = m.node) GROUP BY work_id""",
+    "similar_work_summary": """SELECT (SELECT count(*) FROM sim_exact) AS potential_duplicate_pairs, (SELECT count(*) FROM sim_pairs) AS possible_duplicate_pairs,
+        count(*) AS batch_pattern_groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS works_in_batch_patterns
+      FROM (SELECT count(*) AS n FROM sim_works WHERE amount IS NOT NULL AND sanction_date IS NOT NULL GROUP BY member, toks, amount, sanction_date HAVING count(*) >= 3)""",
+    "similar_documents_by_words": f"""SELECT {printed("ratio * 100", 1)} AS similarity_score, id_a, id_b, works_a, works_b FROM (
+        SELECT a.work_id AS id_a, b.work_id AS id_b, a.works AS works_a, b.works AS works_b, 2.0::DOUBLE * len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words)) AS ratio
+        FROM (SELECT *, list_distinct(list_filter(string_split(t, ' '), lambda w: w <> '')) AS words FROM doc_nodes) a
+        JOIN (SELECT *, list_distinct(list_filter(string_split(t, ' '), lambda w: w <> '')) AS words FROM doc_nodes) b
+          ON a.lang = b.lang AND a.doc_id < b.doc_id AND (a.sig = b.sig OR a.end_sig = b.end_sig)
+        WHERE 1 - abs(a.n_chars - b.n_chars) / greatest(a.n_chars, b.n_chars) >= 0.95 AND a.t <> b.t AND len(a.words) + len(b.words) > 0) WHERE ratio >= 0.85 AND ratio < 0.999""",
+}
+
 _MONITORS = {
     "overruns": """SELECT work_id, overrun_determinable, is_overrun, overrun_basis,
         CASE WHEN overrun_determinable THEN CASE overrun_basis WHEN 'completion_amount_vs_sanctioned_amount' THEN completion_amount ELSE total_expenditure END END AS compared_amount,

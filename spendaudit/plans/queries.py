@@ -510,6 +510,54 @@ def similar_documents(spark, folder):
     return found.select("label", "similarity_score", F.col("work_a.work_id").alias("id_a"), F.col("work_b.work_id").alias("id_b"), joined("matching_fields").alias("matching_fields"), "works_a", "works_b")
 
 
+WORDS = AuditConfig(as_of=dt.date(2002, 1, 1), text_measure="words")
+
+
+@lru_cache(maxsize=8)
+def _similar(app: str, spark: SparkSession, folder: str) -> dup.Duplicates:
+    return dup.find_duplicates(materialize(bindings.similar_works(spark, folder), "similar_works"), WORDS)
+
+
+def similar(spark: SparkSession, folder: str) -> dup.Duplicates:
+    return _similar(spark.sparkContext.applicationId, spark, folder)
+
+
+@query
+def similar_work_pairs(spark, folder):
+    """Tier B with the word measure: works whose descriptions differ by a word, close in amount and date."""
+    found = similar(spark, folder).pairs.filter("tier = 'B'")
+    return found.select(
+        "label", "similarity_score", F.col("work_a.work_id").alias("id_a"), F.col("work_b.work_id").alias("id_b"), "works_a", "works_b",
+        joined("matching_fields").alias("matching_fields"),
+    )
+
+
+@query
+def similar_work_members(spark, folder):
+    """All works that are in a pair of either tier."""
+    return dup.duplicate_ids(similar(spark, folder).members)
+
+
+@query
+def similar_work_matches(spark, folder):
+    """Best match and number of matches of every paired work."""
+    found = similar(spark, folder)
+    return dup.matches_per_work(found.pairs, found.members).select("work_id", "tier", "similarity_score", "matches")
+
+
+@query
+def similar_work_summary(spark, folder):
+    return dup.duplicate_summary(similar(spark, folder))
+
+
+@query
+def similar_documents_by_words(spark, folder):
+    """Tier B over whole document texts with the word measure."""
+    prepared = materialize(dup.prepare(bindings.document_works(spark, folder), WORDS), "documents")
+    found = dup.pair_record(dup.similar_pairs(prepared, WORDS))
+    return found.select("similarity_score", F.col("work_a.work_id").alias("id_a"), F.col("work_b.work_id").alias("id_b"), "works_a", "works_b")
+
+
 # --- monitors ---------------------------------------------------------------------------------
 
 

@@ -11,26 +11,6 @@ from pyspark.sql import functions as F
 from spendaudit import fixed_values as fixed
 from spendaudit.functions.text import member_id, parse_date, strip
 
-DATE_COLUMNS = [
-    "recommended_date", "sanction_date", "completion_date", "first_payment_date", "last_payment_date",
-]
-MASTER_FIELDS = [
-    "work_description", "work_status_raw", "lifecycle_status", "recommended_date", "sanction_date",
-    "first_payment_date", "last_payment_date", "completion_date", "recommended_amount", "sanctioned_amount",
-    "completion_amount", "work_category", "state", "constituency", "mp_name", "parliament_house",
-    "elected_nominated", "district", "nodal_district", "party", "photo_url",
-]
-DEFAULT_COLUMNS = {
-    "total_expenditure": None,
-    "sanctioned_amount": None,
-    "completion_amount": None,
-    "risk_score": None,
-    "risk_level": "NORMAL",
-    "primary_reason": fixed.NOT_AVAILABLE,
-    "work_category": fixed.NOT_AVAILABLE,
-    "lifecycle_status": fixed.NOT_AVAILABLE,
-}
-
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A required table (Parquet, or CSV with a header when the name says so)."""
@@ -56,7 +36,7 @@ def tidy_keys(df: DataFrame) -> DataFrame:
     changes: dict[str, Column] = {}
     if "work_id" in types:
         changes["work_id"] = strip(F.col("work_id"))
-    for c in DATE_COLUMNS:
+    for c in fixed.TABLE_DATES:
         if types.get(c) == "string":
             changes[c] = parse_date(F.col(c))
         elif types.get(c, "date") != "date":
@@ -76,7 +56,7 @@ def fill_from_master(scored: DataFrame, master: DataFrame) -> DataFrame:
 
     Scored values always win; a field the scored table lacks is taken over whole.
     """
-    fields = [f for f in MASTER_FIELDS if f in master.columns]
+    fields = [f for f in fixed.MASTER_FIELDS if f in master.columns]
     if not fields or "work_id" not in master.columns:
         return scored
     types = dict(scored.dtypes)
@@ -94,7 +74,7 @@ def with_defaults(scored: DataFrame) -> DataFrame:
     """Defaults for columns the table lacks, and the member id."""
     absent = {
         c: F.lit(v) if v is not None else F.lit(None).cast("double")
-        for c, v in DEFAULT_COLUMNS.items()
+        for c, v in fixed.DEFAULT_COLUMNS.items()
         if c not in scored.columns
     }
     return scored.withColumns({**absent, "mp_id": member_id(F.col("parliament_house"), F.col("mp_name"))})
