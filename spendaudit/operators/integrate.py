@@ -16,6 +16,7 @@ from spendaudit.functions.text import (
     parse_amount,
     parse_date,
 )
+from spendaudit.session import materialize
 
 # stage order of the merge; the position of a stage also orders its records
 STAGES = ["recommended", "sanctioned", "completed", "expenditure"]
@@ -117,17 +118,27 @@ def lifecycle_status() -> Column:
 
 
 def merge_stages(records: DataFrame) -> DataFrame:
-    """One row per work from all stage records, in a single aggregation.
+    """One row per work from all stage records.
 
     The earliest record describes the work. Within a stage the latest record sets that stage's amount
     and date, even to null. A sanction that opens a work also gives its recommendation date. Names are
     normalized afterwards, once per work instead of once per record.
+
+    Payments, by far the most records, come last of all stages: they only say that a work was paid, or
+    open it if no other stage does. They are reduced to each work's first position by a hash aggregation
+    of numbers, and only the records that open a work are fetched and sorted with the other stages.
     """
     order = F.col("row_order")
 
     def of(stage: str) -> Column:
         return F.col("stage") == stage
 
+    payments, others = records.filter(of("expenditure")), records.filter(~of("expenditure"))
+    paid = materialize(payments.groupBy("work_id").agg(F.min(order).alias("row_order")), "first_payments")
+    opening = paid.join(others.select("work_id"), "work_id", "left_anti")
+    records = others.unionByName(payments.join(opening, ["work_id", "row_order"], "left_semi").select(others.columns))
+    paid = paid.select("work_id", F.lit(True).alias("paid"))
+
     def last(stage: str, *fields: str) -> Column:
         return F.max_by(F.struct(*fields), F.when(of(stage), order))
 
@@ -136,9 +147,10 @@ def merge_stages(records: DataFrame) -> DataFrame:
         last("recommended", "amount", "date").alias("rec"),
         last("sanctioned", "amount", "date", "status").alias("sanc"),
         last("completed", "amount", "date").alias("comp"),
-        *[F.bool_or(of(s)).alias(f"seen_{s}") for s in STAGES],
+        *[F.bool_or(of(s)).alias(f"seen_{s}") for s in STAGES if s != "expenditure"],
         F.min(order).alias("row_order"),
     )
+    merged = merged.join(paid, "work_id", "left").withColumn("seen_expenditure", F.col("paid").isNotNull())
     opened_by = F.col("opened.stage")
     opening_date = F.when(opened_by == "sanctioned", F.col("opened.also_recommended"))
     status = (
