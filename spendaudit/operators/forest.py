@@ -1,7 +1,7 @@
 """Isolation forest: hash-sampled trees grown in parallel, scored map-only.
 
-Follows the published algorithm (Liu, Ting, Zhou 2008). Sampling depends on the work id only, so the
-forest is the same for any partitioning of the works.
+Follows the published algorithm (Liu, Ting, Zhou 2008). All draws come from md5 digests of seed, tree, node
+and work id, so the forest is the same for any partitioning of the works and can be regrown in SQL.
 """
 
 from __future__ import annotations
@@ -47,28 +47,31 @@ def feature_vector(features: DataFrame, **options) -> list[Column]:
     return [*logged, *[filled[c].alias(c) for c in OTHER_FEATURES], lower.alias("is_lower_house")]
 
 
+def digest(*parts: Column) -> Column:
+    """Hexadecimal digits that any engine can draw from the same parts."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))
+
+
 def tree_samples(vectors: DataFrame, rows: int, key: str, config: AuditConfig) -> DataFrame:
-    """Up to ``sample_size`` rows for each tree, chosen by hash.
+    """Up to ``sample_size`` rows for each tree, chosen by digests of the key.
 
-    One cheap hash drops almost all rows of a large table; the survivors draw their trees. The hash
-    thresholds leave each tree about twice the rows it needs, and the lowest hashes are kept.
+    Of a large table one digest drops almost all rows; the others draw as many trees each as leave every
+    tree about twice the rows it needs, and the lowest digests are kept. A small table is drawn whole.
     """
-    per_tree = min(1.0, 2.0 * config.sample_size / max(rows, 1))
-    pool = min(1.0, per_tree * config.trees)
-    unit = 2.0**63
-
-    def fraction(*parts: Column) -> Column:
-        return (F.xxhash64(*parts).cast("double") / unit + 1.0) / 2.0
-
-    def draw(tree: Column) -> Column:
-        return fraction(F.col(key), tree, F.lit(config.seed + 1))
-
-    chosen = vectors.filter(fraction(F.col(key), F.lit(config.seed)) < pool) if pool < 1 else vectors
-    trees = F.sequence(F.lit(0), F.lit(config.trees - 1))
-    if per_tree < pool:
-        trees = F.filter(trees, lambda t: draw(t) < per_tree / pool)
-    drawn = chosen.select("*", F.explode(trees).alias("tree"))
-    first = Window.partitionBy("tree").orderBy(draw(F.col("tree")), key)
+    wanted = 2 * config.sample_size * config.trees
+    seed, name = F.lit(config.seed), F.col(key)
+    if rows > wanted:
+        limit = format(int(wanted / rows * 16**12), "012x")
+        vectors = vectors.filter(F.substring(digest(seed, F.lit("pool"), name), 1, 12) < limit)
+    draws = min(config.trees, -(-wanted // max(rows, 1)))
+    numbers = F.sequence(F.lit(0), F.lit(draws - 1))
+
+    def tree_of(draw: Column) -> Column:
+        return F.conv(F.substring(digest(seed, F.lit("draw"), draw, name), 1, 8), 16, 10).cast("long") % config.trees
+
+    trees = numbers if draws == config.trees else F.array_distinct(F.transform(numbers, tree_of))
+    drawn = vectors.select("*", F.explode(trees.cast("array<int>")).alias("tree"))
+    first = Window.partitionBy("tree").orderBy(digest(seed, F.lit("order"), F.col("tree"), name), key)
     return drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= config.sample_size)
 
 
@@ -81,41 +84,48 @@ def average_path(size: float) -> float:
     return 2.0 * (math.log(size - 1) + np.euler_gamma) - 2.0 * (size - 1) / size
 
 
-def depth_limit(config: AuditConfig) -> int:
-    return max(1, math.ceil(math.log2(config.sample_size)))
+#: Path lengths are counted in whole millionths, so that their sums do not depend on the order of the trees.
+PATH_UNIT = 1_000_000
+
 
+def depth_limit(sample: int) -> int:
+    return max(1, math.ceil(math.log2(max(sample, 1))))
 
-def grow_forest(samples: DataFrame, names: list[str], config: AuditConfig) -> DataFrame:
+
+def grow_forest(samples: DataFrame, names: list[str], config: AuditConfig, limit: int) -> DataFrame:
     """One small group per tree (at most ``sample_size`` rows), grown on the executors.
 
-    The function sent to them refers to nothing of this package, so they need not have it installed.
+    Feature and cut of a node are drawn from a digest of seed, tree and place of the node. The function sent
+    to the executors refers to nothing of this package, so they need not have it installed.
     """
-    limit = depth_limit(config)
-    seed = config.seed
-    rest = [average_path(n) for n in range(config.sample_size + 1)]
+    seed, unit = config.seed, PATH_UNIT
+    rest = [round(average_path(n) * unit) for n in range(config.sample_size + 1)]
 
     def one_tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        import hashlib
+
         tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
         nodes: list = []
 
-        def grow(rows: np.ndarray, depth: int) -> int:
+        def grow(rows: np.ndarray, depth: int, heap: int) -> int:
             place = len(nodes)
-            nodes.append(None)
+            # a leaf leads to itself, so that scoring needs no test for leaves
+            nodes.append((0, np.inf, place, place, float(depth * unit + rest[len(rows)])))
             low, high = rows.min(axis=0), rows.max(axis=0)
             usable = np.flatnonzero(high > low)
             if depth >= limit or len(rows) <= 1 or not usable.size:
-                # a leaf leads to itself, so that scoring needs no test for leaves
-                nodes[place] = (0, np.inf, place, place, depth + rest[len(rows)])
                 return place
-            feature = int(rng.choice(usable))
-            cut = float(rng.uniform(low[feature], high[feature]))
+            drawn = hashlib.md5(f"{seed}|node|{tree}|{heap}".encode()).hexdigest()
+            feature = int(usable[int(drawn[:8], 16) % len(usable)])
+            cut = float(low[feature] + int(drawn[8:16], 16) / 2**32 * (high[feature] - low[feature]))
+            if cut >= high[feature]:
+                return place
             goes_left = rows[:, feature] <= cut
-            left = grow(rows[goes_left], depth + 1)
-            nodes[place] = (feature, cut, left, grow(rows[~goes_left], depth + 1), 0.0)
+            left = grow(rows[goes_left], depth + 1, 2 * heap)
+            nodes[place] = (feature, cut, left, grow(rows[~goes_left], depth + 1, 2 * heap + 1), 0.0)
             return place
 
-        grow(pdf.sort_values("place")[names].to_numpy(dtype=float), 0)
+        grow(pdf.sort_values("place")[names].to_numpy(dtype=float), 0, 1)
         out = pd.DataFrame(nodes, columns=["feature", "cut", "left", "right", "length"])
         out.insert(0, "node", range(len(out)))
         out.insert(0, "tree", tree)
@@ -133,7 +143,7 @@ def forest_score(nodes: pd.DataFrame, inputs: list[Column], steps: int, sample_s
         tuple(g[c].to_numpy() for c in ("feature", "cut", "left", "right", "length"))
         for _, g in nodes.sort_values(["tree", "node"]).groupby("tree")
     ]
-    expected = average_path(sample_size) or 1.0
+    expected = (average_path(sample_size) or 1.0) * PATH_UNIT
 
     @F.pandas_udf(DoubleType())
     def score(*columns: pd.Series) -> pd.Series:
@@ -177,10 +187,11 @@ def isolation_forest(features: DataFrame, config: AuditConfig = AuditConfig(), k
     rows = features.count()
     samples = tree_samples(vectors, rows, key, config)
     # at most trees x (2 x sample_size - 1) rows, whatever the size of the table
-    nodes = grow_forest(samples, names, config).toPandas()
+    sample = min(config.sample_size, rows)
+    nodes = grow_forest(samples, names, config, depth_limit(sample)).toPandas()
     if nodes.empty:
         return F.lit(None).cast("double")
-    return forest_score(nodes, inputs, depth_limit(config), min(config.sample_size, rows))
+    return forest_score(nodes, inputs, depth_limit(sample), sample)
 
 
 def ranking_model(column: str):

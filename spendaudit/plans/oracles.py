@@ -344,17 +344,65 @@ STEPS = {
 }
 
 
-def sql(statement: str) -> str:
-    """The statement with all steps it refers to, in order."""
+def forest_steps(trees: int = 150, sample: int = 256, seed: int = 42) -> dict[str, str]:
+    """The isolation forest, grown level by level from the same digests as in the audit."""
+    wanted, levels = 2 * sample * trees, 8
+    logged = [f"ln(1 + greatest(0, coalesce({c}, (SELECT median({c}) FROM features))))" for c in ("sanctioned_amount", "total_expenditure", "completion_amount")]
+    plain_ones = [
+        f"coalesce({c}, (SELECT median({c}) FROM features))::DOUBLE"
+        for c in ("payment_count", "vendor_count", "vendor_concentration_score", "largest_payment_ratio", "duplicate_payment_count", "sanc_robust_zscore", "exp_robust_zscore")
+    ]
+    x = [*logged, *plain_ones, "CASE WHEN parliament_house = 'Lok Sabha' THEN 1.0::DOUBLE ELSE 0 END"]
+    ends = [", ".join(f"{f}(x[{i}])" for i in range(1, len(x) + 1)) for f in ("min", "max")]
+    rest = "CASE WHEN n <= 1 THEN 0 WHEN n = 2 THEN 1 ELSE 2 * (ln(n - 1) + 0.5772156649015329) - 2.0::DOUBLE * (n - 1) / n END"
+    steps = {
+        "forest_x": f"SELECT work_id, [{', '.join(x)}] AS x, count(*) OVER () AS total FROM features",
+        "forest_drawn": f"""SELECT DISTINCT work_id, unnest(CASE WHEN {wanted} > (total * {trees - 1}) THEN range({trees}) ELSE list_transform(range(CAST(ceil({wanted} / total) AS BIGINT)),
+            lambda r: ('0x' || substr(md5('{seed}|draw|' || r || '|' || work_id), 1, 8))::BIGINT % {trees}) END) AS tree
+          FROM forest_x WHERE total <= {wanted} OR substr(md5('{seed}|pool|' || work_id), 1, 12) < format('{{:012x}}', CAST(floor({wanted} / total * 281474976710656) AS BIGINT))""",
+        "forest_rows0": f"""SELECT tree, 1 AS node, x FROM (SELECT work_id, tree FROM forest_drawn
+            QUALIFY row_number() OVER (PARTITION BY tree ORDER BY md5('{seed}|order|' || tree || '|' || work_id), work_id) <= {sample}) JOIN forest_x USING (work_id)""",
+    }
+    for level in range(levels + 1):
+        steps[f"forest_nodes{level}"] = f"SELECT tree, node, count(*) AS n, [{ends[0]}] AS lo, [{ends[1]}] AS hi FROM forest_rows{level} GROUP BY tree, node"
+        if level == levels:
+            break
+        steps[f"forest_cuts{level}"] = f"""SELECT tree, node, feature, lo[feature] + u * (hi[feature] - lo[feature]) AS cut FROM (
+            SELECT *, usable[('0x' || substr(drawn, 1, 8))::BIGINT % len(usable) + 1] AS feature, ('0x' || substr(drawn, 9, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+            FROM (SELECT *, md5('{seed}|node|' || tree || '|' || node) AS drawn, list_filter(range(1, {len(x) + 1}), lambda i: hi[i] > lo[i]) AS usable FROM forest_nodes{level}) WHERE n > 1 AND len(usable) > 0)
+          WHERE lo[feature] + u * (hi[feature] - lo[feature]) < hi[feature]"""
+        steps[f"forest_rows{level + 1}"] = f"SELECT r.tree, 2 * r.node + CAST(x[feature] > cut AS INTEGER) AS node, x FROM forest_rows{level} r JOIN forest_cuts{level} USING (tree, node)"
+    leaves = [f"SELECT tree, node, {level} AS depth, n FROM forest_nodes{level}" for level in range(levels + 1)]
+    cuts = " UNION ALL ".join(f"SELECT tree, node FROM forest_cuts{level}" for level in range(levels))
+    steps["forest_leaves"] = f"SELECT tree, node, depth * 1000000 + CAST(round_even(({rest}) * 1000000, 0) AS BIGINT) AS length FROM ({' UNION ALL '.join(leaves)}) ANTI JOIN ({cuts}) USING (tree, node)"
+    walk = f"SELECT work_id, CAST(tree AS BIGINT) AS tree, 1 AS node, x FROM forest_x, range({trees}) t(tree)"
+    for level in range(levels):
+        walk = f"SELECT w.work_id, w.tree, CASE WHEN cut IS NULL THEN w.node ELSE 2 * w.node + CAST(x[feature] > cut AS INTEGER) END AS node, x FROM ({walk}) w LEFT JOIN forest_cuts{level} USING (tree, node)"
+    steps["forest_scores"] = f"""SELECT work_id, pow(2, -sum(length)::DOUBLE / {trees} / ((SELECT {rest} FROM (SELECT least({sample}, max(total)) AS n FROM forest_x)) * 1000000)) AS raw
+      FROM ({walk}) JOIN forest_leaves USING (tree, node) GROUP BY work_id"""
+    return steps
+
+
+_at = list(STEPS).index("ranked")  # steps stand in the order in which they need each other
+STEPS = dict([*list(STEPS.items())[:_at], *forest_steps().items(), *list(STEPS.items())[_at:]])
+FOREST_RANKED = """SELECT r.*, round_even((raw - min(raw) OVER ()) / greatest(max(raw) OVER () - min(raw) OVER (), 1e-6), 4) AS ml_anomaly_score,
+    round_even((rank() OVER (ORDER BY raw) + (count(*) OVER (PARTITION BY raw) - 1) / 2) / count(*) OVER () * 100, 1) AS ml_anomaly_percentile
+  FROM ruled r JOIN forest_scores USING (work_id)"""
+
+
+def sql(statement: str, **instead: str) -> str:
+    """The statement with all steps it refers to, in order; ``instead`` replaces steps."""
+    steps = {**STEPS, **instead}
     needed: set[str] = set()
     todo = [statement]
     while todo:
         words = set(re.findall(r"\w+", todo.pop()))
-        for name in words & STEPS.keys() - needed:
+        for name in words & steps.keys() - needed:
             needed.add(name)
-            todo.append(STEPS[name])
-    steps = [f"{name} AS ({STEPS[name]})" for name in STEPS if name in needed]
-    return ("WITH " + ",\n".join(steps) + "\n" if steps else "") + statement
+            todo.append(steps[name])
+    # the forest's steps are read several times
+    told = [f"{name} AS {'MATERIALIZED ' if name.startswith('forest_') else ''}({steps[name]})" for name in steps if name in needed]
+    return ("WITH " + ",\n".join(told) + "\n" if told else "") + statement
 
 
 LEVEL_COUNTS = ", ".join(f"count(*) FILTER (WHERE risk_level = '{v}') AS \"{v}\"" for v in fixed.RISK_LEVELS)
@@ -709,3 +757,12 @@ ORACLES = {
     for group in (_RAW, _CLEAN, _FEATURES, _SCORES, _DUPLICATES, _MONITORS, _TRENDS, _REPORTS, _FINDINGS)
     for name, statement in group.items()
 }
+ORACLES |= {
+    name: sql(statement, ranked=FOREST_RANKED)
+    for name, statement in {
+        "isolation_forest": "SELECT work_id, ml_anomaly_score, ml_anomaly_percentile FROM scored",
+        "forest_risk_levels": "SELECT risk_level, count(*) AS works, round(avg(risk_score), 1) AS mean_score FROM scored GROUP BY 1",
+        "forest_direction": _REPORTS["model_direction"],
+        "forest_reasons": "SELECT work_id, array_to_string(risk_reasons, ' | ') AS risk_reasons FROM scored",
+    }.items()
+}

@@ -410,6 +410,12 @@ def forest_risk_levels(spark, folder):
     return forest_scored(spark, folder).groupBy("risk_level").agg(F.count("*").alias("works"), F.round(F.avg("risk_score"), 1).alias("mean_score"))
 
 
+@query
+def forest_reasons(spark, folder):
+    """Stated reasons of all works when the forest supplies the model percentile."""
+    return forest_scored(spark, folder).select("work_id", joined("risk_reasons").alias("risk_reasons"))
+
+
 @query
 def forest_direction(spark, folder):
     """The least and most unusual works by the forest, with the amounts behind them."""
