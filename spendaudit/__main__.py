@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from spendaudit.plans.audit import audit_folder
+from spendaudit.session import remove_intermediate
 
 
 def main() -> None:
@@ -20,6 +21,7 @@ def main() -> None:
     audit = audit_folder(spark, given.raw, multi_line=not given.split_lines)
     for name, path in audit.export(given.output, given.csv).items():
         print(name, path)
+    remove_intermediate(spark)
 
 
 if __name__ == "__main__":

@@ -245,6 +245,22 @@ def calamity_consents(raw: dict[tuple[str, str], DataFrame]) -> DataFrame:
     return _union([one(code) for code in fixed.HOUSE_CODES])
 
 
+def unreadable_cells(raw: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """house, kind, column, unreadable: cells of date and amount columns that hold text which is no date or amount.
+
+    One pass over each export. A column in a form that is not known shows here, instead of only losing its values.
+    """
+    found = []
+    for (code, kind), df in raw.items():
+        columns = [n for n in df.columns if n != "row_pos" and any(t in n.lower() for t in ("date", "amount"))]
+        read = {n: parse_date if "date" in n.lower() else parse_amount for n in columns}
+        cells = [F.col(f"`{n}`") for n in columns]
+        counts = [F.count_if(c.isNotNull() & read[n](c).isNull()) for n, c in zip(columns, cells)]
+        entry = F.array(*[F.struct(F.lit(n).alias("column"), c.alias("unreadable")) for n, c in zip(columns, counts)])
+        found.append(df.agg(entry.alias("found")).select(F.lit(code).alias("house"), F.lit(kind).alias("kind"), F.inline("found")))
+    return _union(found)
+
+
 def integrate(raw: dict[tuple[str, str], DataFrame]) -> Integrated:
     """All four canonical tables from the twelve cleaned exports."""
     return Integrated(works_master(raw), ledger_records(raw), allocations(raw), calamity_consents(raw))

@@ -438,7 +438,15 @@ RAW_MEMBER = "upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' ' || 'Natio
 RAW_STATE = "'Nation' || n_name[7:]"
 HOUSE_CODE = "CASE WHEN n_regionkey < 3 THEN 'LS' ELSE 'RS' END"
 
+_DATED = {"recommended": "Recommended date", "sanctioned": "Sanction Date", "completed": "Completion Date", "expenditure": "Expenditure Date", "calamity": "Date of Consent"}
+_PAID = {
+    "recommended": "Recommended AMOUNT ( ₹ )", "sanctioned": "Sanction AMOUNT ( ₹ )", "completed": "Amount Disbursed ( ₹ )",
+    "expenditure": "Fund Disbursed Amount ( ₹ )", "allocation": "Allocated AMOUNT ( ₹ )", "calamity": "Consent Amount ( ₹ )",
+}
 _RAW = {
+    "unreadable_cells": "SELECT house, kind, name AS column, 0::BIGINT AS unreadable FROM (VALUES "
+    + ", ".join(f"('{kind}', '{name}')" for names in (_DATED, _PAID) for kind, name in names.items())
+    + ") n(kind, name), (VALUES ('LS'), ('RS')) h(house)",
     "raw_export_rows": f"""SELECT house, kind, count(*) AS rows, 1::BIGINT AS first, count(*) AS last, count(*) AS positions FROM (
         SELECT {HOUSE_CODE} AS house, 'recommended' AS kind FROM staged WHERE has_recommended
         UNION ALL SELECT {HOUSE_CODE}, 'sanctioned' FROM staged WHERE has_sanctioned

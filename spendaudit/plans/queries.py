@@ -86,6 +86,12 @@ def raw_export_rows(spark, folder):
     return out
 
 
+@query
+def unreadable_cells(spark, folder):
+    """Non-blank dates and amounts of the exports that can't be read, per file and column."""
+    return integrate.unreadable_cells(raw_exports(spark, folder))
+
+
 @query
 def integrated_works(spark, folder):
     """works_master rebuilt from the untidy exports; positional ids are left out by the status."""

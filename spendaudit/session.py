@@ -45,3 +45,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_intermediate(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. DataFrames that read them can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from spendaudit import fixed_values as fixed
-from spendaudit.operators.integrate import find_column, integrate
+from spendaudit.operators.integrate import find_column, integrate, unreadable_cells
 from spendaudit.sources.raw import load_raw
 
 MEMBER, STATE = "Hon'ble Members of Parliament", "State"
@@ -153,3 +153,10 @@ def test_positions_over_many_files_and_blocks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == count and all(r.row_pos == r.id + 1 for r in rows)
+
+
+def test_unreadable_cells_are_counted(spark):
+    rows = [("1", "2025-12-07", "Rs. 5"), ("2", "someday", "12d"), ("3", None, "x"), ("4", "07-Dec-25", None)]
+    df = spark.createDataFrame(rows, "Work string, `Sanction Date` string, `Sanction AMOUNT` string")
+    found = {(r.house, r.kind, r.column): r.unreadable for r in unreadable_cells({("LS", "sanctioned"): df}).collect()}
+    assert found == {("LS", "sanctioned", "Sanction Date"): 1, ("LS", "sanctioned", "Sanction AMOUNT"): 2}
