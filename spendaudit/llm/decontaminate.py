@@ -5,9 +5,9 @@ characters beyond ASCII separates words) and cut into windows of consecutive wor
 window. One automaton holds all windows, each between spaces, and each document's normalised text is scanned once; a match's
 place is turned into words, and words into places of the original text.
 
-The automaton is broadcast. Its size is bounded: windows beyond ``most_bytes`` of text go to further automata, and the
-documents are then scanned once for each (a benchmark of 64 MB of windows is about a million questions). The windows of one
-automaton pass through the driver at a time.
+The windows are broadcast and each worker builds the automaton. Its size is bounded: windows beyond ``most_bytes`` of text (an
+automaton takes some 40 bytes for each byte) go to further automata, and the rows pass these one after the other. The windows of
+one automaton pass through the driver at a time.
 
 Results for odd input: null and empty texts have no words and no hits; null items and items without words match nothing; an
 item given twice counts once; equal documents get equal results, one row each; very long texts are scanned whole; empty tables
@@ -27,7 +27,7 @@ from spendaudit.llm.common import id_and_text, map_rows
 from spendaudit.session import materialize
 
 WINDOW_WORDS = 10
-MOST_BYTES = 64 << 20
+MOST_BYTES = 8 << 20
 
 #: Every byte as it stands in normalised text: lower case, or a space where no word character is.
 _NORMAL = bytes(
@@ -78,7 +78,8 @@ SPANS = "array<struct<start:int,end:int,items:array<long>>>"
 
 def scan(rows: DataFrame, windows: list[tuple[str, int]], last: bool) -> DataFrame:
     """Add one automaton's hits to the rows (doc_id, text, ranges); the last scan makes the result and drops the text."""
-    sent = rows.sparkSession.sparkContext.broadcast(windows)
+    name = hashlib.sha256(repr(windows).encode("utf-8", "surrogatepass")).hexdigest()
+    sent = rows.sparkSession.sparkContext.broadcast((name, windows))
 
     def make() -> Callable[..., tuple]:
         found = _automaton_of(sent)
@@ -118,8 +119,7 @@ _BUILT: dict[str, object] = {}
 
 def _automaton_of(sent):
     """The automaton of a broadcast list, built once per Python worker."""
-    windows = sent.value
-    key = hashlib.sha256(repr(windows).encode("utf-8", "surrogatepass")).hexdigest()
+    key, windows = sent.value
     if key not in _BUILT:
         while len(_BUILT) >= 2:
             _BUILT.pop(next(iter(_BUILT)))

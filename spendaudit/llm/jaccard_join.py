@@ -450,7 +450,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that have an earlier one in their component; all columns as they were."""
+    """The documents without those that have an earlier one in their component; all columns as they were.
+
+    Rows that repeat an id are one document and stay or go together; rows without an id stay."""
     gone = f"_{uuid.uuid4().hex}"
     later = similar_classes(docs, id_col, text_col).filter("component_id != doc_id").select(F.col("doc_id").alias(gone))
     return docs.join(later, F.col(f"`{id_col}`").cast("long") == F.col(gone), "left_anti")
