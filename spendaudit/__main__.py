@@ -15,10 +15,9 @@ def main() -> None:
     options.add_argument("raw", help="folder of the raw exports")
     options.add_argument("output", help="folder for the finished tables")
     options.add_argument("--csv", action="store_true", help="write CSV instead of Parquet")
-    options.add_argument("--split-lines", action="store_true", help="cells hold no line breaks, so large files may be split")
     given = options.parse_args()
     spark = SparkSession.builder.appName("spendaudit").getOrCreate()
-    audit = audit_folder(spark, given.raw, multi_line=not given.split_lines)
+    audit = audit_folder(spark, given.raw)
     for name, path in audit.export(given.output, given.csv).items():
         print(name, path)
     remove_intermediate(spark)

@@ -148,13 +148,42 @@ def test_positions_over_many_files_and_blocks(spark, tmp_path):
         (folder / f"part-{part}.csv").write_text("id,text\n" + "\n".join(rows) + "\nGrand Total, \n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        df = number_rows(clean_rows(read_raw_csv(spark, str(folder), multi_line=False)), "positions")
+        df = number_rows(clean_rows(read_raw_csv(spark, str(folder))), "positions")
         rows = df.selectExpr("cast(id as long) id", "row_pos").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == count and all(r.row_pos == r.id + 1 for r in rows)
 
 
+@pytest.mark.parametrize("block", ["64", "300", "1000000"])
+def test_quoted_line_breaks_in_any_blocks(spark, tmp_path, block):
+    """Records with line breaks, quotes, commas and blank lines read like a whole-file reader does, however a file is cut."""
+    import csv
+    import random
+
+    from spendaudit.sources.raw import number_rows, read_raw_csv
+
+    pick, pieces, want = random.Random(5), ["a", "b c", '"', ",", "\n", "\n\n", "x\ny,z", '"q"', "\"\n\"", ""], []
+    folder = tmp_path / "export"
+    folder.mkdir()
+    for part in range(2):
+        rows = [[f"{part}-{i}", "".join(pick.choices(pieces, k=pick.randrange(6))).strip(), "end"] for i in range(150)]
+        with open(folder / f"p{part}.csv", "w", newline="") as f:
+            f.write("id,text,last\r\n" if part else "id,text,last\n")
+            csv.writer(f, lineterminator="\r\n" if part else "\n").writerows(rows)
+            f.write("\n")
+        want += [(r[0], r[1] or None, r[2]) for r in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        df = number_rows(read_raw_csv(spark, str(folder)), "breaks")
+        got = [(r.id, r.text or None, r["last"]) for r in df.orderBy("row_pos").collect()]
+        places = sorted(r.row_pos for r in df.select("row_pos").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [g[0] for g in got] == [w[0] for w in want] and places == list(range(1, 301))
+    assert got == want
+
+
 def test_unreadable_cells_are_counted(spark):
     rows = [("1", "2025-12-07", "Rs. 5"), ("2", "someday", "12d"), ("3", None, "x"), ("4", "07-Dec-25", None)]
     df = spark.createDataFrame(rows, "Work string, `Sanction Date` string, `Sanction AMOUNT` string")
