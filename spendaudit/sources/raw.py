@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,8 @@ from spendaudit.session import materialize
 # where a row came from: file, first byte of the block that was read, and number of the record in the file
 ORIGIN = ["file_path", "file_block_start", "record"]
 BLOCK = ORIGIN[:2]
+# exports loaded at a time
+AT_ONCE = 4
 
 # a line read from outside a quoted cell that leaves its last cell open
 _OPENS = r'^(?>(?:"(?:[^"]|"")*+"(?!")|[^",][^,]*+)?+,)*+"(?:[^"]|"")*+$'
@@ -149,8 +152,15 @@ def load_raw(
     paths: dict[tuple[str, str], str] | None = None,
     strict_totals: bool = False,
 ) -> dict[tuple[str, str], DataFrame]:
-    """The twelve cleaned and numbered exports, keyed by (chamber code, kind)."""
-    return {
-        (code, kind): number_rows(clean_rows(read_raw_csv(spark, path), strict_totals), f"raw_{code}_{kind}")
-        for (code, kind), path in (paths or raw_paths(folder)).items()
-    }
+    """The twelve cleaned and numbered exports, keyed by (chamber code, kind).
+
+    The exports don't depend on each other; a few are loaded at a time, so that small ones fill the cores together.
+    """
+
+    def one(item: tuple[tuple[str, str], str]) -> DataFrame:
+        (code, kind), path = item
+        return number_rows(clean_rows(read_raw_csv(spark, path), strict_totals), f"raw_{code}_{kind}")
+
+    found = paths or raw_paths(folder)
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return dict(zip(found, pool.map(one, found.items())))

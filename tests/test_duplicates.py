@@ -162,3 +162,10 @@ def test_whole_documents_against_brute_force(spark):
     rows = [r.asDict() for r in works.orderBy("row_order").collect()]
     _, _, similar, _ = brute(rows)
     assert similar and ids(dup.pair_record(dup.similar_pairs(dup.prepare(works)))) == similar
+
+
+def test_word_measure_stays_in_the_jvm(spark):
+    df = spark.createDataFrame([("a b c", "a b d"), ("", ""), ("a a b", "b a"), ("x", "y")], "l string, r string")
+    rated = df.select(dup.word_ratio("l", "r").alias("ratio"))
+    assert [r.ratio for r in rated.collect()] == [2 / 3, 0.0, 1.0, 0.0]
+    assert "Python" not in rated._jdf.queryExecution().executedPlan().toString()

@@ -93,3 +93,16 @@ def test_reports(spark, works):
     assert sum(r.works for r in bins) == 61 and {r.bin: r.works for r in bins}[29] == 3 and len(bins) == 30
     assert reports.duration_histogram(spark.createDataFrame([(5,), (5,)], "days int"), "days").first().works == 2
     assert reports.duration_histogram(spark.createDataFrame([], "days int"), "days").count() == 0
+
+
+def test_pages_by_key_equal_pages_by_number(spark):
+    df = spark.createDataFrame([(f"w{i:03d}", float(i % 7)) for i in range(95)], "work_id string, risk_score double")
+    listed = [(r.risk_score, r.work_id) for r in df.orderBy(F.desc("risk_score"), "work_id").collect()]
+    total = explore.page_total(df, 10).first()
+    assert (total.total, total.pages) == (95, 10)
+    walked, last = [], (float("inf"), "")
+    for _ in range(total.pages):
+        page = [(r.risk_score, r.work_id) for r in explore.page_after(df, "risk_score", *last, page_size=10).collect()]
+        walked += page
+        last = page[-1]
+    assert walked == listed
