@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at a time, whatever the size of the Arrow batches.
@@ -23,17 +28,33 @@ def sha256_hex(data: bytes) -> str:
 BATCH_ROWS = 512
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Bound the rows of Arrow batches in this session, unless it sets a bound of its own."""
+def on_workers(df: DataFrame) -> DataFrame:
+    """Make ready for Python in tasks: send this package to the workers, and bound the rows of Arrow batches in this
+    session, unless it sets a bound of its own."""
+    spark = df.sparkSession
     name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-    if df.sparkSession.conf.get(name, default) == default:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(BATCH_ROWS))
+    _send_package(spark.sparkContext.applicationId)
     return df
 
 
+@lru_cache(maxsize=64)
+def _send_package(application: str) -> None:
+    """Once per application: workers need not have the package installed. Spark sends the file from the driver to them."""
+    root = Path(__file__).parents[1]
+    if not root.is_dir():  # the package came to the driver as a file already, and so to the workers
+        return
+    target = Path(tempfile.mkdtemp(prefix="spendaudit-package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    SparkContext.getOrCreate().addPyFile(str(target))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads; other columns, whatever their names, stay behind."""
-    return small_batches(docs).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return on_workers(docs).select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
@@ -71,7 +92,3 @@ def _arrow_schema(schema: str) -> list[pa.DataType]:
     from pyspark.sql.types import _parse_datatype_string
 
     return list(to_arrow_schema(_parse_datatype_string(schema)).types)
-
-
-def long_or_null(name: str) -> Column:
-    return F.col(name).cast("long")

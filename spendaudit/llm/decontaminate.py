@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendaudit.llm.common import id_and_text, map_rows
+from spendaudit.llm.common import id_and_text, map_rows, on_workers
 from spendaudit.session import materialize
 
 WINDOW_WORDS = 10
@@ -136,7 +136,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width:
             pairs = sorted((w, i) for i, t in zip(*(c.to_pylist() for c in batch.columns)) if i is not None for w in item_windows(t, width))
             yield pa.RecordBatch.from_arrays([pa.array([i for _, i in pairs], pa.int64()), pa.array([w for w, _ in pairs], pa.string())], ["item", "phrase"])
 
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    items = on_workers(benchmark).select(F.col(f"`{item_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return items.mapInArrow(run, "item long, phrase string").distinct()
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from spendaudit.llm.common import SLICE_ROWS, small_batches
+from spendaudit.llm.common import SLICE_ROWS, on_workers
 from spendaudit.session import materialize
 
 #: Words that a common block must have, and holders up to which a line is rare.
@@ -174,7 +174,7 @@ def dedup_lines(
     """The documents with their texts edited, all columns as they were; ``flag`` names a column for the number of lines cut."""
     text = F.col(f"`{text_col}`")
     own_id, own_key, key, cut = (f"_{uuid.uuid4().hex}" for _ in range(4))  # no column of the documents has such a name
-    keyed = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text.cast("string")).alias("text_key"), text.cast("string").alias("text"))
+    keyed = on_workers(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text.cast("string")).alias("text_key"), text.cast("string").alias("text"))
     sequence = materialize(sequences(keyed.filter("doc_id is not null and text is not null")), "line-sequences")
     pairs = materialize(open_pairs(sequence, least_words, rare_holders), "line-pairs")
     cuts = aligned_cuts(sequence, pairs, least_words).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(key), F.col("cut").alias(cut))

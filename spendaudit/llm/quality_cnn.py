@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendaudit.llm.common import id_and_text, map_rows, small_batches
+from spendaudit.llm.common import id_and_text, map_rows, on_workers
 from spendaudit.session import materialize
 
 WIDTH = 6
@@ -211,4 +211,4 @@ def keep_good(docs: DataFrame, network: Network, threshold: float = THRESHOLD, t
         for batch in batches:
             yield batch.filter(pa.array([score(t.as_py()) >= threshold for t in batch.column(at)], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return on_workers(docs).mapInArrow(run, docs.schema)

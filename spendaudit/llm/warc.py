@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendaudit.llm.common import on_workers
 from spendaudit.session import materialize, work_folder
 
 LEAST_BYTES = 1000
@@ -131,7 +132,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     """
     html = F.col(f"`{html_col}`").cast("string")
     payload = F.coalesce(html, F.lit("")).cast("binary")
-    texts = pages.select(
+    texts = on_workers(pages).select(
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"),
         F.col(f"`{url_col}`").cast("string").alias("url"), html.alias("html"),
     )
@@ -161,6 +162,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
 
 def dealt(archives: DataFrame) -> DataFrame:
     """The names of the archives, dealt over the cluster: a task should have one or a few."""
+    on_workers(archives)
     at_most = 20 * archives.sparkSession.sparkContext.defaultParallelism
     return archives.select("archive").repartition(max(1, min(archives.count(), at_most)))
 

@@ -1,5 +1,6 @@
 import importlib
 import os
+import subprocess
 import sys
 
 import pytest
@@ -54,6 +55,23 @@ def test_run_equals_the_stages_and_an_empty_table_stays_empty(spark, folder, tmp
         assert docs.count() == 0, name
 
 
+def test_workers_get_the_package(tmp_path):
+    """A program elsewhere that only its driver can import the package from."""
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from spendaudit.llm.license_rules import license_scan
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
+print("found", license_scan(docs).first().licences)
+"""
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=120)
+    assert "found MIT" in done.stdout, done.stderr[-2000:]
+
+
 @pytest.mark.skipif(not os.path.exists(FOLDER), reason="no tables")
 def test_entry_works_without_the_package(monkeypatch):
     import __spark_entry__ as entry
