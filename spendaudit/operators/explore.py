@@ -317,18 +317,21 @@ EVIDENCE = [
 
 def work_evidence(works: DataFrame) -> DataFrame:
     """What a work's level rests on: the rules' reasons, the comparison with peers, and the model."""
-    return works.select("work_id", *EVIDENCE)
+    return works.select("work_id", *[c for c in EVIDENCE if c in works.columns])
 
 
 def work_dossier(work_id: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Everything known about one work: a filter on each finished table, pushed down to its files."""
     found = {n: df.filter(F.col("work_id") == work_id) for n, df in tables.items() if n not in ("pairs", "members")}
     if "pairs" in tables:
-        # a pair of the work itself, or of the group of alike works that it belongs to
-        own = tables["members"].filter(F.col("work_id") == work_id).select("tier", "node")
-        sides = F.explode(F.array("work_a.work_id", "work_b.work_id")).alias("node")
-        mine = tables["pairs"].select("*", sides).join(own, ["tier", "node"], "left_semi")
-        found["pairs"] = mine.drop("node").dropDuplicates(["tier", "work_a", "work_b"])
+        # pairs of the work itself, or of the node of alike works that it belongs to
+        sides = F.array("work_a.work_id", "work_b.work_id")
+        if "members" in tables:
+            own = tables["members"].filter(F.col("work_id") == work_id).select("tier", "node")
+            mine = tables["pairs"].select("*", F.explode(sides).alias("node")).join(own, ["tier", "node"], "left_semi")
+            found["pairs"] = mine.drop("node").dropDuplicates(["tier", "work_a", "work_b"])
+        else:
+            found["pairs"] = tables["pairs"].filter(F.array_contains(sides, work_id))
     if "work" in found:
         found["evidence"] = work_evidence(found["work"])
     return found
