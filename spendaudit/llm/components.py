@@ -17,6 +17,8 @@ def component_labels(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
     both = materialize(both, "edges")
+    if not both.limit(1).count():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), "labels")
     while True:
         told = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))

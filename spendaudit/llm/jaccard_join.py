@@ -46,12 +46,14 @@ SHINGLE_WORDS = 5
 UP, DOWN = 3, 4
 #: Hash functions for forming groups. More of them make fewer groups; the result is the same.
 ROUNDS = 5
-#: Members of a block; bytes of text whose shingles one task counts; bytes of packed rows that a task holds in memory.
+#: Members of a block, and blocks of a group opened in the first wave.
 BLOCK_MEMBERS = 16
-RANGE_BYTES = 16 << 20
-SPOOL_BYTES = 32 << 20
+BLOCKS_FIRST = 4
+#: Bytes of text whose shingles one task counts, and bytes of packed rows that a task holds in memory.
+RANGE_BYTES = 8 << 20
+SPOOL_BYTES = 16 << 20
 #: Words a worker remembers the hash of.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -286,18 +288,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
-    sized = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
-    able = sized.filter((F.least("n_a", "n_b") * DOWN >= F.greatest("n_a", "n_b") * UP)).select("a", "b")
-    both = able.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "set_a", "set_b")
+
+    def hit(n, m, x, y) -> bool:
+        return DOWN * min(n, m) >= UP * max(n, m) and linked(len(np.intersect1d(shingles_of(x), shingles_of(y), assume_unique=True)), n, m)
 
     def run(batches):
         for part in _slices(batches):
-            a, b, n_a, n_b, set_a, set_b = (c.to_pylist() for c in part.columns)
-            hit = [
-                linked(len(np.intersect1d(shingles_of(x), shingles_of(y), assume_unique=True)), n, m)
-                for n, m, x, y in zip(n_a, n_b, set_a, set_b)
-            ]
-            keep = pa.array(hit, pa.bool_())
+            keep = pa.array([hit(*row) for row in zip(*(part.column(k).to_pylist() for k in range(2, 6)))], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -387,42 +385,53 @@ def open_blocks(candidates: DataFrame, sets: DataFrame, members: DataFrame, unio
     return opened.join(members, ["group", "block"]).select(F.col("query").alias("a"), F.col("doc_id").alias("b"))
 
 
-def links_across(candidates: DataFrame, sets: DataFrame, groups: DataFrame, inside: DataFrame) -> DataFrame:
-    """Links between groups, enough of them to join all linked documents.
+def with_links(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """The labels (node, component) after these links (a, b) have joined components; only components are joined anew."""
+    of = {side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")) for side in ("a", "b")}
+    named = found.join(of["a"], "a", "left").join(of["b"], "b", "left")
+    named = materialize(named.select("a", "b", F.coalesce("a_in", "a").alias("a_in"), F.coalesce("b_in", "b").alias("b_in")), "joined-links")
+    joined = component_labels(named.select(F.col("a_in").alias("a"), F.col("b_in").alias("b")).distinct())
+    fresh = named.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.unionByName(fresh.withColumn("component", F.col("node")))
+    moved = every.join(joined.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+    return materialize(moved.select("node", F.coalesce("into", "component").alias("component")), "labels")
+
+
+def components_across(candidates: DataFrame, sets: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels after all links between groups that join components have been found.
 
-    A query is compared with the most central member of a met group first, then with blocks, in waves of four times as many.
-    After each wave the components are made anew, and candidates whose query and group have met leave: a group of thousands
-    of near copies is opened by few of its like, and a group without a link to the query is opened whole.
+    A query is compared with the most central member of a met group first, then with blocks, in waves of eight times as many.
+    After a wave that joined components, candidates whose query and group have met leave: a group of thousands of near copies
+    is opened by few of its like, and a group without a link to the query is opened whole.
     """
     heads = groups.join(sets.select("doc_id", "central"), "doc_id").groupBy("group").agg(F.max_by("doc_id", "central").alias("b"))
-    tried = candidates.join(heads, "group").select(F.col("query").alias("a"), "b")
-    found = materialize(inside.unionByName(verified(tried, sets)), "links")
+    found = materialize(verified(candidates.join(heads, "group").select(F.col("query").alias("a"), "b"), sets), "links")
     members, unions = group_blocks(sets, groups, candidates)
-    first, end = 0, 1
+    first, end = 0, BLOCKS_FIRST
     while True:
-        labels = component_labels(found)
-        of = {side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")) for side in ("query", "group")}
-        left = candidates.join(of["query"], "query", "left").join(of["group"], "group", "left")
-        apart = F.coalesce("query_in", "query") != F.coalesce("group_in", "group")
-        candidates = materialize(left.filter(apart).select("query", "group"), "candidates")
-        some = unions.filter((F.col("block") >= first) & (F.col("block") < end))
+        if found.limit(1).count():
+            labels = with_links(labels, found)
+            of = {side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in")) for side in ("query", "group")}
+            left = candidates.join(of["query"], "query", "left").join(of["group"], "group", "left")
+            apart = F.coalesce("query_in", "query") != F.coalesce("group_in", "group")
+            candidates = materialize(left.filter(apart).select("query", "group"), "candidates")
         if not candidates.join(unions.filter(F.col("block") >= first), "group", "left_semi").limit(1).count():
-            return found
+            return labels
+        some = unions.filter((F.col("block") >= first) & (F.col("block") < end))
         opened = materialize(open_blocks(candidates, sets, members, some).distinct(), "opened")
-        found = materialize(found.unionByName(verified(opened, sets)), "links")
-        first, end = end, 4 * end + 1
+        found = materialize(verified(opened, sets), "links")
+        first, end = end, 9 * end
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables: doc_id, n, rep of every document (rep: the least id with an equal set, null without shingles), and linked
-    pairs (a, b) of representatives that join all linked documents."""
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links, itself included) of every document."""
     texts = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(1, -(-size // RANGE_BYTES))
     pieces = shared_shingles(packed_shingles(texts, 4 * partitions), partitions)
     every = materialize(assembled(pieces), "shingle-sets")
+    # Documents with equal sets become one, with the smallest id.
     classes = materialize(every.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    sizes = every.select("doc_id", "n", "key")
     sets = every.filter("set is not null").join(classes, "key").filter("doc_id = rep").select("doc_id", "n", "set", "keys", "central")
     sets = materialize(sets.dropDuplicates(["doc_id"]), "shared-sets")
 
@@ -430,21 +439,13 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     firsts = keyed.groupBy("round", "key").agg(F.max_by("doc_id", "central").alias("b"), F.count("*").alias("many"))
     firsts = materialize(firsts.filter("many > 1").select("round", "key", "b"), "firsts")
     near = keyed.join(firsts, ["round", "key"]).filter("doc_id != b").select(F.col("doc_id").alias("a"), "b").distinct()
-    inside = materialize(verified(near, sets), "links-in-groups")
-    labels = component_labels(inside)
+    labels = component_labels(materialize(verified(near, sets), "links-in-groups"))
     groups = sets.select("doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     groups = materialize(groups.select("doc_id", F.coalesce("component", "doc_id").alias("group")), "groups")
 
     candidates = materialize(group_candidates(sets, groups), "candidates")
-    found = links_across(candidates, sets, groups, inside)
-    of_class = sizes.join(classes.select("key", "rep"), "key", "left").groupBy("doc_id").agg(F.max("n").alias("n"), F.min("rep").alias("rep"))
-    return of_class, found
-
-
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links, itself included) of every document."""
-    of_class, found = links(docs, id_col, text_col)
-    labels = component_labels(found).withColumnRenamed("node", "rep")
+    labels = components_across(candidates, sets, groups, labels).withColumnRenamed("node", "rep")
+    of_class = every.select("doc_id", "n", "key").join(classes, "key", "left").groupBy("doc_id").agg(F.max("n").alias("n"), F.min("rep").alias("rep"))
     named = of_class.join(labels, "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
