@@ -67,7 +67,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         *[F.col(f"_metadata.{c}").alias(c) for c in BLOCK], F.monotonically_increasing_id().alias("line"),
-        F.regexp_replace("value", "\r$", "").alias("value"),
+        F.regexp_replace("value", "^\uFEFF|\r$", "").alias("value"),
     )
     opens = F.col("value").rlike(_OPENS)
     rest = F.regexp_replace(F.regexp_replace("value", _CLOSES, ""), "^,", "")

@@ -189,3 +189,12 @@ def test_unreadable_cells_are_counted(spark):
     df = spark.createDataFrame(rows, "Work string, `Sanction Date` string, `Sanction AMOUNT` string")
     found = {(r.house, r.kind, r.column): r.unreadable for r in unreadable_cells({("LS", "sanctioned"): df}).collect()}
     assert found == {("LS", "sanctioned", "Sanction Date"): 1, ("LS", "sanctioned", "Sanction AMOUNT"): 2}
+
+
+def test_byte_order_mark_before_quoted_header(spark, tmp_path):
+    from spendaudit.sources.raw import read_raw_csv
+
+    path = tmp_path / "bom.csv"
+    path.write_text('﻿"id","a\nlong name"\n"1","x"\n"2","y\nz"\n', encoding="utf-8")
+    rows = read_raw_csv(spark, str(path)).orderBy("record").collect()
+    assert [(r[0], r[1]) for r in rows] == [("1", "x"), ("2", "y\nz")]
