@@ -117,16 +117,15 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def allocation(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per customer in credit; one market segment has no allocation rows."""
-    people = _people(spark, folder).filter((F.col("c_acctbal") >= 0) & (F.col("c_mktsegment") != "BUILDING"))
-    return people.select(
+    """One row per customer; the rows of one market segment name no member, so its members have no known limit."""
+    return _people(spark, folder).select(
         F.concat(F.lit("MP_"), "c_custkey").alias("mp_id"),
         house().alias("parliament_house"),
-        member_name().alias("mp_name"),
+        F.when(F.col("c_mktsegment") != "BUILDING", member_name()).alias("mp_name"),
         F.col("n_name").alias("state"),
         F.when(is_lower(), F.col("c_mktsegment")).alias("constituency"),
         F.when(~is_lower(), "Elected MP").alias("elected_nominated"),
-        (F.floor("c_acctbal") * 1000.0).alias("allocated_amount"),
+        (F.floor(F.abs("c_acctbal")) * 1000.0).alias("allocated_amount"),
     )
 
 

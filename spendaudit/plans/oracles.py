@@ -503,7 +503,7 @@ _CLEAN = {
       UNION ALL SELECT 'reasons_csv', CAST(sum(len(risk_reasons)) AS BIGINT), count(*)::DOUBLE FROM scored UNION ALL SELECT 'absent', 0, 0""",
     "data_quality": """SELECT 'works_master' AS dataset, (SELECT count(*) FROM works) AS records, 'Clean & Integrated' AS status
       UNION ALL SELECT 'expenditures', (SELECT count(*) FROM ledger), 'Clean & Disbursed Ledger'
-      UNION ALL SELECT 'mp_allocation', (SELECT count(*) FROM people WHERE c_acctbal >= 0 AND c_mktsegment <> 'BUILDING'), 'Clean Allocation Limits'
+      UNION ALL SELECT 'mp_allocation', (SELECT count(*) FROM people), 'Clean Allocation Limits'
       UNION ALL SELECT 'calamity', (SELECT count(*) FROM events), 'Clean Calamity Consents'
       UNION ALL SELECT 'work_features', (SELECT count(*) FROM works), 'Engineered Analytical Table'
       UNION ALL SELECT 'anomaly_results', (SELECT count(*) FROM works), 'Scored & Explainable Anomaly Table'""",
@@ -707,7 +707,7 @@ _REPORTS = {
     "completion_histogram": histogram("sanction_to_completion_days"),
     "fund_utilization": """SELECT mp_name, coalesce(allocated, 147000000) AS allocated_amount, sanctioned_amount, expenditure, round(CASE WHEN coalesce(allocated, 147000000) > 0 THEN expenditure / coalesce(allocated, 147000000) * 100 ELSE 0 END, 4) AS utilization_rate
       FROM (SELECT mp_name, coalesce(sum(sanctioned_amount), 0) AS sanctioned_amount, sum(total_expenditure) AS expenditure FROM scored GROUP BY mp_name)
-      LEFT JOIN (SELECT c_mktsegment || ' ' || n_name AS mp_name, sum(floor(c_acctbal) * 1000) AS allocated FROM people WHERE c_acctbal >= 0 AND c_mktsegment <> 'BUILDING' GROUP BY 1) USING (mp_name)""",
+      LEFT JOIN (SELECT c_mktsegment || ' ' || n_name AS mp_name, sum(floor(abs(c_acctbal)) * 1000) AS allocated FROM people WHERE c_mktsegment <> 'BUILDING' GROUP BY 1) USING (mp_name)""",
     "risk_distribution": """SELECT risk_level, count(*) AS count, min(risk_score) AS min_score, max(risk_score) AS max_score, round(avg(risk_score), 4) AS mean_score, round(median(risk_score), 4) AS median_score,
         round(quantile_cont(risk_score, 0.95), 4) AS p95_score, round(avg(rule_score) * 0.5, 4) AS mean_rule_contrib, round(avg(ml_anomaly_percentile) * 0.3, 4) AS mean_ml_contrib,
         round(avg(stat_risk_score) * 0.2, 4) AS mean_stat_contrib, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM scored), 4) AS percentage FROM scored GROUP BY risk_level""",

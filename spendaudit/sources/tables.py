@@ -45,10 +45,11 @@ def tidy_keys(df: DataFrame) -> DataFrame:
 
 
 def first_per_work(master: DataFrame, fields: list[str]) -> DataFrame:
-    """Earliest row of each work (by ``row_order`` when present), constant state per key."""
-    order = F.col("row_order") if "row_order" in master.columns else F.lit(0)
-    picked = master.groupBy("work_id").agg(F.min_by(F.struct(*fields), order).alias("m"))
-    return picked.select("work_id", "m.*")
+    """Earliest row of each work by ``row_order``, constant state per key. Without an order the least row is taken,
+    so that the result does not depend on how the table is read."""
+    row = F.struct(*fields)
+    first = F.min_by(row, F.col("row_order")) if "row_order" in master.columns else F.min(row)
+    return master.groupBy("work_id").agg(first.alias("m")).select("work_id", "m.*")
 
 
 def fill_from_master(scored: DataFrame, master: DataFrame) -> DataFrame:
