@@ -672,7 +672,7 @@ _REPORTS = {
     "overview": OVERVIEW,
     "overview_of_chamber": OVERVIEW + " WHERE parliament_house = 'Rajya Sabha'",
     "by_state": """SELECT state, state AS state_display, count(*) AS total_works, count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk, count(*) FILTER (WHERE risk_level = 'CRITICAL') AS critical,
-        count(*) FILTER (WHERE risk_level = 'REVIEW') AS review, count(*) FILTER (WHERE risk_level = 'NORMAL') AS normal, sum(total_expenditure) AS expenditure, round(avg(risk_score), 4) AS risk_score FROM scored GROUP BY state""",
+        count(*) FILTER (WHERE risk_level = 'REVIEW') AS review, count(*) FILTER (WHERE risk_level = 'NORMAL') AS normal, sum(total_expenditure) AS expenditure, round(avg(risk_score), 9) AS risk_score FROM scored GROUP BY state""",
     "top_states": "SELECT state AS state_display, sum(total_expenditure) AS expenditure, count(*) AS total_works FROM scored WHERE parliament_house = 'Lok Sabha' GROUP BY state ORDER BY expenditure DESC, state LIMIT 6",
     "state_summary": f"SELECT {SUMMARY} FROM scored WHERE state = 'NATION_5'",
     "state_members": STATE_5,
@@ -769,7 +769,7 @@ ORACLES |= {
     name: sql(statement, ranked=FOREST_RANKED)
     for name, statement in {
         "isolation_forest": "SELECT work_id, ml_anomaly_score, ml_anomaly_percentile FROM scored",
-        "forest_risk_levels": "SELECT risk_level, count(*) AS works, round(avg(risk_score), 1) AS mean_score FROM scored GROUP BY 1",
+        "forest_risk_levels": "SELECT risk_level, count(*) AS works, round(avg(risk_score), 9) AS mean_score FROM scored GROUP BY 1",
         "forest_direction": _REPORTS["model_direction"],
         "forest_reasons": "SELECT work_id, array_to_string(risk_reasons, ' | ') AS risk_reasons FROM scored",
     }.items()

@@ -413,7 +413,7 @@ def isolation_forest(spark, folder):
 @query
 def forest_risk_levels(spark, folder):
     """Levels of all works when the forest supplies the model percentile."""
-    return forest_scored(spark, folder).groupBy("risk_level").agg(F.count("*").alias("works"), F.round(F.avg("risk_score"), 1).alias("mean_score"))
+    return forest_scored(spark, folder).groupBy("risk_level").agg(F.count("*").alias("works"), F.round(F.avg("risk_score"), 9).alias("mean_score"))
 
 
 @query
@@ -721,7 +721,7 @@ def overview_of_chamber(spark, folder):
 
 @query
 def by_state(spark, folder):
-    return rounded(explore.by_state(audit(spark, folder).scored), 4)
+    return rounded(explore.by_state(audit(spark, folder).scored))
 
 
 @query
