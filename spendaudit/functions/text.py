@@ -54,8 +54,7 @@ def round_scaled(value: Column, places: int) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind around it (line breaks, tabs and no-break spaces included)."""
-    space = r"[\s\p{Z}\x{1C}-\x{1F}\x{85}]+"
-    return F.regexp_replace(text, f"^{space}|{space}$", "")
+    return F.btrim(text, F.lit(fixed.WHITE_SPACE))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -188,7 +188,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def works_master(raw: dict[tuple[str, str], DataFrame]) -> DataFrame:
     frames = [stage_records(raw[(code, kind)], code, kind) for kind in STAGES for code in fixed.HOUSE_CODES]
-    return merge_stages(_union(frames))
+    # read three times by the merge, parsed once
+    return merge_stages(materialize(_union(frames), "stage_records"))
 
 
 def ledger_records(raw: dict[tuple[str, str], DataFrame]) -> DataFrame:
