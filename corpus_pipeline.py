@@ -32,7 +32,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = f"_{uuid.uuid4().hex}"
-    edited = dedup_lines(docs, flag=cut)
+    edited = dedup_lines(docs, flag=cut, every_block=True)
     return edited.filter((F.col(cut) == 0) | (F.col("text") != "")).drop(cut)
 
 

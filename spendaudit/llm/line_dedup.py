@@ -1,16 +1,20 @@
 """Line dedup by pairwise alignment.
 
-Every line with a word is hashed. A line that several documents hold opens a pair between each later holder and its earliest
-holder: on its own if the line is rare, together with the pair's other shared lines if it is frequent and could be boilerplate
-(then the shared lines must have ``least_words`` words, without which no block could). Each pair is aligned by patience diff:
-lines that occur once on either side and stand in the same order are anchors, the gaps between them are aligned the same way,
-and equal lines next to anchors join them. Aligned runs of at least ``least_words`` words are common blocks; the later
-document loses them.
-
-A line opens one pair per holder, never pairs among its holders, so thousands of copies of a document, or a line that a third
+Every line with a word is hashed, and every shortest run of lines that has ``least_words`` words: one run starts and one ends
+at each line. A run that several documents hold opens a pair between each later holder and its earliest holder. Every common
+block of ``least_words`` words is made of such runs, so each of its lines is in a run that some opened pair shares, whichever
+documents hold its lines singly. Each pair is aligned by patience diff: lines that occur once on either side and stand in the
+same order are anchors, the gaps between them are aligned the same way, and equal lines next to anchors join them. Aligned
+runs of at least ``least_words`` words are common blocks; the later document loses them.
+
+A run opens one pair per holder, never pairs among its holders, so thousands of copies of a document, or a line that a third
 of all documents hold, cost as much as their rows: frequent lines are neither dropped nor capped. What is compared are hashes;
 texts move once, when blocks are cut out.
 
+That is ``every_block=True``, as the registered query and the pipeline call it. Without it, pairs are opened by single lines, each with the
+earliest holder of that line only: on its own if at most ``rare_holders`` documents hold it, else together with other lines of
+that holder. That misses blocks whose lines stood singly in older documents.
+
 Results for odd input: later means a larger id; rows that repeat an id are never compared with each other; null and empty
 texts, and texts without words, stay as they are, as do rows without an id; blank lines stay and do not break a block; a copy
 of an earlier document is emptied if it has ``least_words`` words; very long documents are aligned whole; an empty table gives
@@ -23,6 +27,7 @@ import uuid
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -106,6 +111,28 @@ def common_lines(later: list[int], earlier: list[int], words: list[int], least_w
     return cut
 
 
+def least_runs(words: list[int], least_words: int) -> list[tuple[int, int]]:
+    """(first, behind the last) line of the shortest runs with enough words that start or end at a line."""
+    runs, total, start = set(), 0, 0
+    for i, n in enumerate(words):
+        total += n
+        while total - words[start] >= least_words:
+            total -= words[start]
+            start += 1
+        if total >= least_words:
+            runs.add((start, i + 1))
+    total, stop = 0, 0
+    for i, n in enumerate(words):
+        while stop < len(words) and total < least_words:
+            total += words[stop]
+            stop += 1
+        if total < least_words:
+            break
+        runs.add((i, stop))
+        total -= n
+    return sorted(runs)
+
+
 def sequences(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, hashes, words: one row for each distinct document with a line."""
 
@@ -135,6 +162,28 @@ def open_pairs(sequence: DataFrame, least_words: int, rare_holders: int) -> Data
     return evidence.filter((F.col("rare") == 1) | (F.col("words") >= least_words)).drop("words", "rare")
 
 
+def open_run_pairs(sequence: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, text_key, earlier_id: each later holder of a run with enough words, and the run's earliest holder."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                rows, found = [], []
+                for k, (hashes, words) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
+                    packed = np.array(hashes, "<i8").tobytes()
+                    runs = {xxhash.xxh3_64_intdigest(packed[8 * i : 8 * j]) - (1 << 63) for i, j in least_runs(words, least_words)}
+                    rows += [k] * len(runs)
+                    found += runs
+                at_rows = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at_rows), part.column(1).take(at_rows), pa.array(found, pa.int64())], ["doc_id", "text_key", "run"])
+
+    runs = sequence.select("doc_id", "text_key", "hashes", "words").mapInArrow(run, "doc_id long, text_key long, run long")
+    shared = runs.groupBy("run").agg(F.min("doc_id").alias("earlier_id"), F.max("doc_id").alias("latest"))
+    shared = materialize(shared.filter("earlier_id < latest").drop("latest"), "shared-runs")
+    return runs.join(shared, "run").filter("earlier_id < doc_id").select("doc_id", "text_key", "earlier_id").distinct()
+
+
 def aligned_cuts(sequence: DataFrame, pairs: DataFrame, least_words: int) -> DataFrame:
     """doc_id, text_key, cut: the places of the lines that a document loses to any earlier one."""
 
@@ -169,14 +218,16 @@ def cut_lines(text: str, cut) -> str:
 
 def dedup_lines(
     docs: DataFrame, least_words: int = LEAST_WORDS, rare_holders: int = RARE_HOLDERS, id_col: str = "doc_id", text_col: str = "text",
-    flag: str | None = None,
+    flag: str | None = None, every_block: bool = False,
 ) -> DataFrame:
-    """The documents with their texts edited, all columns as they were; ``flag`` names a column for the number of lines cut."""
+    """The documents with their texts edited, all columns as they were; ``flag`` names a column for the number of lines cut.
+    ``every_block`` opens pairs by runs of lines, and ``rare_holders`` has no effect then."""
     text = F.col(f"`{text_col}`")
     own_id, own_key, key, cut = (f"_{uuid.uuid4().hex}" for _ in range(4))  # no column of the documents has such a name
     keyed = on_workers(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text.cast("string")).alias("text_key"), text.cast("string").alias("text"))
     sequence = materialize(sequences(keyed.filter("doc_id is not null and text is not null")), "line-sequences")
-    pairs = materialize(open_pairs(sequence, least_words, rare_holders), "line-pairs")
+    pairs = open_run_pairs(sequence, least_words) if every_block else open_pairs(sequence, least_words, rare_holders)
+    pairs = materialize(pairs, "line-pairs")
     cuts = aligned_cuts(sequence, pairs, least_words).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(key), F.col("cut").alias(cut))
     keyed_docs = docs.select("*", F.xxhash64(text.cast("string")).alias(own_key))
     joined = keyed_docs.join(cuts, (F.col(f"`{id_col}`").cast("long") == F.col(own_id)) & (F.col(own_key) == F.col(key)), "left")

@@ -40,7 +40,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, flag="n_lines_cut").select("doc_id", "n_lines_cut", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+    return dedup_lines(docs, flag="n_lines_cut", every_block=True).select("doc_id", "n_lines_cut", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

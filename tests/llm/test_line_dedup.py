@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spendaudit.llm.line_dedup import common_lines, cut_lines, dedup_lines, line_hashes, patience
+from spendaudit.llm.line_dedup import common_lines, cut_lines, dedup_lines, least_runs, line_hashes, patience
 from tests.llm.conftest import prose
 
 
@@ -90,3 +90,38 @@ def test_long_document_and_empty_table(make_docs):
     assert dedup_lines(make_docs()).collect() == []
     assert dedup_lines(make_docs("a")).columns == ["doc_id", "text", "lang", "score"]
     assert dedup_lines(make_docs().withColumn("hash", F.lit(1)).withColumn("cut", F.lit(2))).columns[-2:] == ["hash", "cut"]
+
+
+def test_blocks_go_whoever_holds_their_lines_singly(make_docs):
+    a, b = prose(600, 12), prose(601, 12)
+    short = [prose(620 + k, 4) for k in range(4)]
+    docs = {1: a, 2: b, 3: f"x\n{a}\n{b}", 4: f"{b}\ny\n{a}"} | {
+        11: "\n".join([*short[2:], "z", *short[:2]]), 12: "\n".join(short), 13: "\n".join([*short, "w"]),
+        31: prose(630, 5), 32: prose(631, 5), 33: prose(630, 5) + "\n" + prose(631, 5), 34: prose(630, 5) + "\n" + prose(631, 5) + "\nv",
+    }
+    got = {i: r.text for i, r in run(make_docs(*docs.items()), every_block=True).items()}
+    assert got[3] == "x" and got[4] == "y"  # each line is a block of its own
+    assert got[12] == docs[12] and got[13] == "w"  # 11 has the lines in another order and in pieces under ten words
+    assert got[33] == docs[33] and got[34] == "v"  # 31 and 32 have the lines singly
+
+
+def test_least_runs_match_brute_force():
+    pick = random.Random(1)
+    for _ in range(500):
+        n = [pick.randrange(1, 14) for _ in range(pick.randrange(12))]
+        spans = [(i, j) for i in range(len(n)) for j in range(i + 1, len(n) + 1) if sum(n[i:j]) >= 10]
+        starts, ends = {i for i, _ in spans}, {j for _, j in spans}
+        want = {(i, min(j for k, j in spans if k == i)) for i in starts} | {(max(i for i, k in spans if k == j), j) for j in ends}
+        assert least_runs(n, 10) == sorted(want)
+
+
+def test_lines_of_many_holders_and_odd_rows_with_every_block(make_docs):
+    line, copy = prose(50, 15), prose(5, 40)
+    got = run(make_docs(*[f"{line}\n{prose(1000 + i, 20)}" for i in range(300)]), every_block=True)
+    assert got[0].n_cut == 0 and all(got[i].text == prose(1000 + i, 20) for i in range(1, 300))
+    docs = make_docs((1, copy), (1, copy), (2, copy), (None, copy), (3, None), (4, ""), (5, "\n \n"), (7, "a b"), (8, "a b"))
+    rows = dedup_lines(docs, flag="n_cut", every_block=True).collect()
+    assert sorted((r.doc_id or -1, r.text or "", r.n_cut) for r in rows) == [
+        (-1, copy, 0), (1, copy, 0), (1, copy, 0), (2, "", 1), (3, "", 0), (4, "", 0), (5, "\n \n", 0), (7, "a b", 0), (8, "a b", 0),
+    ]
+    assert dedup_lines(make_docs(), every_block=True).collect() == []
