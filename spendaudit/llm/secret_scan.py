@@ -1,13 +1,14 @@
 """Secret scans: fixed patterns, and zstandard novelty for strings in a sensitive context.
 
-A candidate is an unbroken string of letters, digits and ``+/_=-`` that follows a sensitive word on its line (a string that goes on from
-the word itself is a name, not a value). It is compressed
-with a dictionary made of common identifiers and of the text around it; the bytes that it adds, over its length, are its
-novelty. Names, paths and repeated values are in the dictionary and add few bytes; keys add nearly all of theirs.
+A candidate is an unbroken string of letters, digits and ``+/_=-`` that follows a sensitive word on its line, or on the next one if
+the line ends in a mark that leaves a value open (``key:``, ``key =``, ``-----``). A string that goes on from the word itself is a
+name up to its first ``=``, and what is behind that is the candidate. It is compressed with a dictionary made of common identifiers
+and of the text around it, without the candidate's own copies; the bytes that it adds, over its length, are its novelty. Names and
+paths are in the dictionary and add few bytes; keys add nearly all of theirs.
 
 Results for odd input: null and empty texts have no spans; overlapping spans of different kinds are all kept, but a candidate
-that a fixed pattern covers is not reported again; a string that occurs again in the surroundings is not new there, the fixed
-patterns still report it; very long texts are read whole, with a bounded surrounding for each candidate; equal rows get equal
+that a fixed pattern covers is not reported again; a string that occurs again in the surroundings is reported at each place that
+follows a sensitive word; very long texts are read whole, with a bounded surrounding for each candidate; equal rows get equal
 results, one row each; an empty table gives an empty table; other columns are not read.
 """
 
@@ -29,6 +30,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones need no look
 _SENSITIVE = re.compile(r"passw|secret|token|api_?key|credential|private|bearer|auth", re.IGNORECASE | re.ASCII)
 _STRING = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Marks at the end of a line that leave a value open, to stand on the next one.
+_OPEN = tuple("-:=|>\\([{,+")
 
 # Words that code and settings use for secrets and around them; the dictionary's first part.
 IDENTIFIERS = (
@@ -70,28 +73,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], rules: NoveltyRules) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of incompressible strings that follow a sensitive word on its line and that no fixed pattern covers."""
+    """(start, 3, end) of incompressible strings that follow a sensitive word and that no fixed pattern covers."""
     found, after, covered = [], 0, _Cover(taken)
     for word in _SENSITIVE.finditer(text):
         if word.end() < after:
             continue
-        line = text.find("\n", word.end(), word.end() + rules.reach)
-        end = word.end() + rules.reach if line < 0 else line
+        end = _reach(text, word.end(), rules.reach)
         for m in _STRING.finditer(text, word.end(), end):
             # A string is taken whole, even where it goes on beyond the reach or begins before the word's end.
             start, stop = m.start(), _STRING.match(text, m.start()).end()
-            if start < after or (start == word.end() and _STRING.match(text, start - 1)):
+            if start < after:
                 continue
             after = stop
+            if start == word.end():  # it goes on from the word: a name, and perhaps its value
+                name = text.find("=", start, stop)
+                start = stop if name < 0 else name
+                while start < stop and text[start] == "=":
+                    start += 1
             string = text[start:stop]
             if len(string) < rules.least_length or sum(c.isdigit() for c in string) < rules.least_digits or covered(start, stop):
                 continue
-            surrounding = text[max(0, start - rules.around) : start] + text[stop : stop + rules.around]
+            surrounding = _surrounding(text, start, stop, rules)
             if novelty(string.encode(), surrounding.encode("utf-8", "surrogatepass"), rules.level) >= rules.least_novelty:
                 found.append((start, 3, stop))
     return found
 
 
+def _reach(text: str, start: int, most: int) -> int:
+    """Where the reach of a sensitive word that ends at ``start`` ends: at a line break, unless a value is left open there."""
+    line = text.find("\n", start, start + most)
+    while line >= 0:
+        if not text[start:line].rstrip(" \t\r").endswith(_OPEN):
+            return line
+        line = text.find("\n", line + 1, start + most)
+    return start + most
+
+
+def _surrounding(text: str, start: int, stop: int, rules: NoveltyRules) -> str:
+    """The text on both sides without copies of the candidate, or of its part behind a ``=``, those that only reach into it included."""
+    string, wide = text[start:stop], rules.around + stop - start
+    value = string.partition("=")[2]
+    copy = value if len(value) >= rules.least_length else string
+    before, behind = (part.replace(copy, " " * len(copy)) for part in (text[max(0, start - wide) : start], text[stop : stop + wide]))
+    return before[max(0, len(before) - rules.around) :] + behind[: rules.around]
+
+
 class _Cover:
     """Whether a span touches one of the given ones."""
 
