@@ -5,7 +5,9 @@ at each line. A run that several documents hold opens a pair between each later
 block of ``least_words`` words is made of such runs, so each of its lines is in a run that some opened pair shares, whichever
 documents hold its lines singly. Each pair is aligned by patience diff: lines that occur once on either side and stand in the
 same order are anchors, the gaps between them are aligned the same way, and equal lines next to anchors join them. Aligned
-runs of at least ``least_words`` words are common blocks; the later document loses them.
+runs of at least ``least_words`` words are common blocks; the later document loses them. It also loses each run of lines with
+``least_words`` words that the earlier document has anywhere: blocks in another order, blocks whose lines repeat on a side, and
+every repeat of a block, so that no common block is left.
 
 A run opens one pair per holder, never pairs among its holders, so thousands of copies of a document, or a line that a third
 of all documents hold, cost as much as their rows: frequent lines are neither dropped nor capped. What is compared are hashes;
@@ -13,7 +15,8 @@ texts move once, when blocks are cut out.
 
 That is ``every_block=True``, as the registered query and the pipeline call it. Without it, pairs are opened by single lines, each with the
 earliest holder of that line only: on its own if at most ``rare_holders`` documents hold it, else together with other lines of
-that holder. That misses blocks whose lines stood singly in older documents.
+that holder; and only aligned blocks go. That misses blocks whose lines stood singly in older documents, blocks in another order
+and repeats.
 
 Results for odd input: later means a larger id; rows that repeat an id are never compared with each other; null and empty
 texts, and texts without words, stay as they are, as do rows without an id; blank lines stay and do not break a block; a copy
@@ -26,6 +29,7 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +115,21 @@ def common_lines(later: list[int], earlier: list[int], words: list[int], least_w
     return cut
 
 
+def every_common_line(later: list[int], earlier: list[int], words: list[int], least_words: int) -> list[int]:
+    """Places in the later document of all lines in runs with enough words that the earlier one has, in order or not."""
+    cut = set(common_lines(later, earlier, words, least_words))
+    left: dict[int, list[int]] = {}  # first lines of the runs that are not cut yet, by number of lines
+    for i, j in least_runs(words, least_words):
+        if not cut.issuperset(range(i, j)):
+            left.setdefault(j - i, []).append(i)
+    for n, starts in left.items():
+        held = set(zip(*(earlier[k:] for k in range(n))))
+        for i in starts:
+            if tuple(later[i : i + n]) in held:
+                cut.update(range(i, i + n))
+    return sorted(cut)
+
+
 def least_runs(words: list[int], least_words: int) -> list[tuple[int, int]]:
     """(first, behind the last) line of the shortest runs with enough words that start or end at a line."""
     runs, total, start = set(), 0, 0
@@ -184,14 +203,14 @@ def open_run_pairs(sequence: DataFrame, least_words: int) -> DataFrame:
     return runs.join(shared, "run").filter("earlier_id < doc_id").select("doc_id", "text_key", "earlier_id").distinct()
 
 
-def aligned_cuts(sequence: DataFrame, pairs: DataFrame, least_words: int) -> DataFrame:
+def aligned_cuts(sequence: DataFrame, pairs: DataFrame, least_words: int, common: Callable[..., list[int]] = common_lines) -> DataFrame:
     """doc_id, text_key, cut: the places of the lines that a document loses to any earlier one."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 rows = batch.slice(at, SLICE_ROWS).to_pylist()
-                out = [(r["doc_id"], r["text_key"], common_lines(r["hashes"], r["other"], r["words"], least_words)) for r in rows]
+                out = [(r["doc_id"], r["text_key"], common(r["hashes"], r["other"], r["words"], least_words)) for r in rows]
                 out = [x for x in out if x[2]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))],
@@ -221,14 +240,14 @@ def dedup_lines(
     flag: str | None = None, every_block: bool = False,
 ) -> DataFrame:
     """The documents with their texts edited, all columns as they were; ``flag`` names a column for the number of lines cut.
-    ``every_block`` opens pairs by runs of lines, and ``rare_holders`` has no effect then."""
+    ``every_block`` opens pairs by runs of lines and leaves no common block; ``rare_holders`` has no effect then."""
     text = F.col(f"`{text_col}`")
     own_id, own_key, key, cut = (f"_{uuid.uuid4().hex}" for _ in range(4))  # no column of the documents has such a name
     keyed = on_workers(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text.cast("string")).alias("text_key"), text.cast("string").alias("text"))
     sequence = materialize(sequences(keyed.filter("doc_id is not null and text is not null")), "line-sequences")
     pairs = open_run_pairs(sequence, least_words) if every_block else open_pairs(sequence, least_words, rare_holders)
     pairs = materialize(pairs, "line-pairs")
-    cuts = aligned_cuts(sequence, pairs, least_words).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(key), F.col("cut").alias(cut))
+    cuts = aligned_cuts(sequence, pairs, least_words, every_common_line if every_block else common_lines).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(key), F.col("cut").alias(cut))
     keyed_docs = docs.select("*", F.xxhash64(text.cast("string")).alias(own_key))
     joined = keyed_docs.join(cuts, (F.col(f"`{id_col}`").cast("long") == F.col(own_id)) & (F.col(own_key) == F.col(key)), "left")
     schema = StructType([*docs.schema.fields, *([StructField(flag, LongType())] if flag is not None else [])])

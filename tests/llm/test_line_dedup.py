@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spendaudit.llm.line_dedup import common_lines, cut_lines, dedup_lines, least_runs, line_hashes, patience
+from spendaudit.llm.line_dedup import common_lines, cut_lines, dedup_lines, every_common_line, least_runs, line_hashes, patience
 from tests.llm.conftest import prose
 
 
@@ -125,3 +125,36 @@ def test_lines_of_many_holders_and_odd_rows_with_every_block(make_docs):
         (-1, copy, 0), (1, copy, 0), (1, copy, 0), (2, "", 1), (3, "", 0), (4, "", 0), (5, "\n \n", 0), (7, "a b", 0), (8, "a b", 0),
     ]
     assert dedup_lines(make_docs(), every_block=True).collect() == []
+
+
+def every_block(texts, least=10):
+    """Every stretch of lines with enough words that any earlier document has, by comparing all stretches."""
+    lines = {i: line_hashes(t) for i, t in texts.items()}
+    seen, out = set(), {}
+    for i in sorted(texts):
+        hashes, words = lines[i]
+        spans = [(a, b) for a in range(len(hashes)) for b in range(a + 1, len(hashes) + 1) if sum(words[a:b]) >= least]
+        cut = {k for a, b in spans if tuple(hashes[a:b]) in seen for k in range(a, b)}
+        out[i] = cut_lines(texts[i], cut) if cut else texts[i]
+        seen |= {tuple(hashes[a:b]) for a, b in spans}
+    return out
+
+
+def test_no_common_block_is_left(make_docs):
+    pick = random.Random(8)
+    pool = [prose(100 + k, pick.randrange(1, 14)) for k in range(60)]
+    texts = {i: "\n".join(pick.choice(pool) for _ in range(pick.randrange(1, 12))) for i in range(120)}
+    texts |= {200 + k: texts[9 * k] for k in range(14)}
+    few = [prose(300 + k, pick.randrange(2, 7)) for k in range(6)]  # lines that repeat on both sides
+    texts |= {300 + i: "\n".join(pick.choice(few) for _ in range(12)) for i in range(30)}
+    got = {i: r.text for i, r in run(make_docs(*texts.items()), every_block=True).items()}
+    assert got == every_block(texts)
+
+
+def test_other_orders_and_repeats_of_blocks(make_docs):
+    a, b, c = (prose(640 + k, 12) for k in range(3))
+    docs = make_docs((1, f"{a}\n{b}\n{c}"), (2, f"{c}\nx\n{b}\n{a}"), (3, "\n".join([a] * 3)), (4, f"{c}\n{c}\ny\n{c}"), (5, f"{a}\n{b}\n{c}"))
+    got = {i: r.text for i, r in run(docs, every_block=True).items()}
+    assert got[2] == "x" and got[3] == "" and got[4] == "y" and got[5] == ""
+    hashes = list(range(500))  # far more blocks than one rising chain
+    assert every_common_line(hashes[::-1], hashes, [10] * 500, 10) == hashes
