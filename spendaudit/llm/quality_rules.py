@@ -2,7 +2,9 @@
 
 A text's zstandard ratio (bytes over compressed bytes) falls in a band that depends on how long the text is: below it the
 text is incompressible (random bytes, encoded data), above it repetitive. The ratio is taken over the whole document and over
-fixed chunks, so that one bad stretch in a long document is seen as well.
+fixed chunks, so that one bad stretch in a long document is seen as well: chunks outside their band reject a document if a few
+follow each other, or if there are more than the square root of the number of chunks, or than half of them. A stretch of 20 KB
+always holds four whole chunks, however long the document is.
 
 Results for odd input: a null or empty text has no words, fails the base rules, and has ratio 0 and no chunks; a very long
 text is compressed as a stream, chunk by chunk; equal rows get equal results, one row each; an empty table gives an empty
@@ -42,6 +44,12 @@ class BandRules:
         Band(16384, 1.6, 5.0), Band(65536, 1.7, 6.0),
     )
     bad_chunk_share: float = 0.5
+    bad_chunk_root: float = 1.0
+    bad_run: int = 4
+
+    def too_many(self, bad: int, longest_run: int, n_chunks: int) -> bool:
+        """Whether so many chunks outside their band, or so many one after the other, reject a document."""
+        return longest_run >= self.bad_run or bad > min(self.bad_chunk_share * n_chunks, self.bad_chunk_root * n_chunks**0.5)
 
     def verdict(self, size: int, ratio: float) -> int:
         """-1 incompressible, 1 repetitive, 0 in its band or too short to tell."""
@@ -96,7 +104,7 @@ def judge(rules: BandRules):
         words = data.split()  # bytes split at exactly the six ASCII white-space characters
         n_words, n_repeat = len(words), repeated_words(words)
         base_failed = n_words < 50 or 100 * n_repeat > 50 * n_words
-        whole, low, high, n_chunks = ratio_of(data), 0, 0, 0
+        whole, low, high, n_chunks, run, longest_run = ratio_of(data), 0, 0, 0, 0, 0
         view = memoryview(data)
         for at in range(0, len(data), rules.chunk_bytes):
             chunk = view[at : at + rules.chunk_bytes]
@@ -104,14 +112,16 @@ def judge(rules: BandRules):
             n_chunks += 1
             low += found < 0
             high += found > 0
+            run = run + 1 if found else 0
+            longest_run = max(longest_run, run)
         found = rules.verdict(len(data), whole)
         reason = (
             "base" if base_failed
             else "incompressible" if found < 0
             else "repetitive" if found > 0
-            else "incompressible chunks" if low > rules.bad_chunk_share * n_chunks
-            else "repetitive chunks" if high > rules.bad_chunk_share * n_chunks
-            else None
+            else None if not rules.too_many(low + high, longest_run, n_chunks)
+            else "incompressible chunks" if low >= high
+            else "repetitive chunks"
         )
         return (
             doc_id, n_words, len(text) - sum(map(text.count, WHITE_SPACE)), sum(map(text.count, SYMBOLS)), repeated_lines(text),

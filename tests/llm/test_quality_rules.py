@@ -1,10 +1,12 @@
+import base64
 import os
+import random
 import re
 from collections import Counter
 
 import zstandard
 
-from spendaudit.llm.quality_rules import BandRules, compression_bands, repeated_lines, repeated_words
+from spendaudit.llm.quality_rules import BandRules, compression_bands, judge, repeated_lines, repeated_words
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,6 +63,30 @@ def test_chunks_see_a_bad_stretch():
     assert row(0, good + " " + stretch)[-1] == "repetitive chunks"
 
 
+def test_bad_stretches_in_long_documents():
+    row = judge(BandRules())
+    pick = random.Random(4)
+    good = prose(6, 55_000)
+    noise = base64.b64encode(pick.randbytes(400_000)).decode()
+    loop = "extraordinarily longwinded considerations notwithstanding everything " * 8_000
+    assert len(good) > 400_000 and row(0, good)[-1] is None
+    for share in (0.05, 0.1, 0.2, 0.3, 0.4, 0.45):
+        n = int(len(good) * share / (1 - share))
+        for stretch, reason in ((noise[:n], "incompressible chunks"), (loop[:n], "repetitive chunks")):
+            for at in (0, len(good) // 3, len(good)):
+                assert row(0, f"{good[:at]} {stretch} {good[at:]}")[-1] == reason
+    assert row(0, good + " " + noise[:6000])[-1] is None  # one short stretch
+    words = good.split()
+    scattered = " ".join(" ".join([*words[k : k + 2750], noise[2 * k : 2 * k + 8200]]) for k in range(0, 55_000, 2750))
+    assert row(0, scattered)[-1] == "incompressible chunks"  # 20 stretches of 8 KB, none of four chunks
+
+
+def test_limits_of_bad_chunks():
+    rules = BandRules()
+    assert rules.too_many(2, 2, 3) and not rules.too_many(1, 1, 3) and not rules.too_many(2, 2, 4)
+    assert rules.too_many(11, 1, 100) and not rules.too_many(10, 3, 100) and rules.too_many(4, 4, 100_000)
+
+
 def test_lengths_choose_the_band():
     rules = BandRules()
     assert rules.verdict(100, 50.0) == 0 and rules.verdict(300, 50.0) == 1 and rules.verdict(300, 1.0) == -1
