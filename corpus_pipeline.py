@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendaudit.llm.decontaminate import decontaminate
+from spendaudit.llm.decontaminate import keep_clean
 from spendaudit.llm.jaccard_join import keep_first
 from spendaudit.llm.line_dedup import dedup_lines
 from spendaudit.llm.quality_cnn import keep_good, train
@@ -41,10 +41,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = f"_{uuid.uuid4().hex}"
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
-    found = materialize(found.select(F.col("doc_id").alias(gone)).distinct(), "contaminated")
-    return docs.join(found, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendaudit.llm.common import id_and_text, map_rows, on_workers
+from spendaudit.llm.common import SLICE_ROWS, id_and_text, map_rows, on_workers
 from spendaudit.session import materialize
 
 WINDOW_WORDS = 10
@@ -140,20 +141,65 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width:
     return items.mapInArrow(run, "item long, phrase string").distinct()
 
 
+def window_parts(benchmark: DataFrame, item_col: str, text_col: str, width: int, most_bytes: int) -> tuple[DataFrame, int]:
+    """The benchmark's windows, and the number of automata for them."""
+    windows = materialize(benchmark_windows(benchmark, item_col, text_col, width), "benchmark-windows")
+    size = windows.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
+    return windows, max(1, -(-size // most_bytes))
+
+
+def windows_of(windows: DataFrame, part: int, parts: int) -> list[tuple[str, int]]:
+    some = windows.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part)
+    return sorted((r.phrase, r.item) for r in some.collect())
+
+
+def _clean_of(docs: DataFrame, windows: list[tuple[str, int]], text_col: str) -> DataFrame:
+    """The rows in whose text one automaton finds nothing."""
+    import pyarrow as pa
+
+    name = hashlib.sha256(repr(windows).encode("utf-8", "surrogatepass")).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast((name, windows))
+    names = docs.columns
+
+    def run(batches):
+        found = _automaton_of(sent)
+
+        def clean(text) -> bool:
+            words = normal_words(text)
+            return not words or found is None or next(found.iter(" " + b" ".join(words).decode("utf-8", "surrogatepass") + " "), None) is None
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                kept = part.filter(pa.array([clean(t) for t in part.column(len(names)).to_pylist()], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(kept.columns[: len(names)], names)
+
+    text = F.col(f"`{text_col}`").cast("string").alias(f"_{uuid.uuid4().hex}")
+    return on_workers(docs).select("*", text).mapInArrow(run, docs.schema)
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, most_bytes: int = MOST_BYTES,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted array), spans (start, end, items in the original text) of every document."""
-    windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, width), "benchmark-windows")
-    size = windows.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
-    parts = max(1, -(-size // most_bytes))
+    windows, parts = window_parts(benchmark, item_col, item_text_col, width, most_bytes)
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text", F.array().cast(RANGES).alias("ranges"))
     for k in range(parts):
-        some = windows.filter(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == k)
-        rows = scan(rows, sorted((r.phrase, r.item) for r in some.collect()), k == parts - 1)
+        rows = scan(rows, windows_of(windows, k, parts), k == parts - 1)
     return rows
 
 
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, most_bytes: int = MOST_BYTES,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The documents without a hit, all columns as they were; each row by its own text, whatever its id."""
+    windows, parts = window_parts(benchmark, item_col, item_text_col, width, most_bytes)
+    for k in range(parts):
+        docs = _clean_of(docs, windows_of(windows, k, parts), text_col)
+    return docs
+
+
 def items_digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()

@@ -6,6 +6,7 @@ import sys
 import pytest
 
 import corpus_pipeline
+from spendaudit.llm.decontaminate import keep_clean
 from tests.llm.conftest import prose
 
 FOLDER = "/root/testdata/sf0.001"
@@ -47,6 +48,18 @@ def test_stages_take_effect(spark, folder):
     assert set(encoded) == set(clean) and all(r.round_trip for r in encoded.values())
 
 
+def test_decontamination_goes_by_the_row(spark, folder):
+    """Rows without an id, and rows that share one, stay or go by their own texts."""
+    clean, hit = prose(210, 60), prose(211, 30) + " " + ITEM
+    rows = [(None, hit, "a"), (None, clean, "b"), (7, hit, "c"), (7, clean, "d"), (8, None, "e"), (9, "", "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hash string")
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, folder)
+    assert kept.columns == docs.columns and sorted(r.hash for r in kept.collect()) == ["b", "d", "e", "f"]
+    assert {tuple(r) for r in kept.collect()} == {r for r in rows if r[1] != hit}
+    several = keep_clean(docs, spark.read.parquet(f"{folder}/benchmark.parquet"), most_bytes=300)  # more than one automaton
+    assert sorted(r.hash for r in several.collect()) == ["b", "d", "e", "f"]
+
+
 def test_run_equals_the_stages_and_an_empty_table_stays_empty(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 55
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
