@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spendaudit.llm import license_rules
 from spendaudit.llm.chat_format import format_chats
+from spendaudit.llm.collocations import collocations
 from spendaudit.llm.decontaminate import decontaminate
 from spendaudit.llm.jaccard_join import similar_classes
 from spendaudit.llm.license_rules import license_scan
@@ -90,11 +91,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_compression_bands, op2_sentencepiece, op3_line_dedup, op4_quality_cnn, op5_chat_format, op6_jaccard_join,
-        op7_decontaminate, op8_warc, op9_license_rules, op10_secret_scan,
+        op7_decontaminate, op8_warc, op9_license_rules, op10_secret_scan, op11_collocations,
     )
 }
 
@@ -187,8 +192,37 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(letters, '') AS s
 FROM documents LEFT JOIN met USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+phrases AS (
+  SELECT lang, 1 AS size, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM words
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM words),
+f AS (SELECT lang, size, phrase, count(*)::HUGEINT AS a FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+found AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
+cuts AS (
+  SELECT lang, size, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+  FROM found, (VALUES (1), (2)) AS places(k) WHERE k < size),
+scored AS (
+  SELECT c.lang, c.phrase, c.size, c.a, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score, c.k
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.size = c.k AND x.phrase = c.head
+              JOIN f y ON y.lang = c.lang AND y.size = c.size - c.k AND y.phrase = c.rest),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, part AS phrase, max(a) AS longer
+  FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM found WHERE size = 3) GROUP BY ALL),
+kept AS (SELECT s.* FROM weakest s LEFT JOIN longer USING (lang, phrase) WHERE size = 3 OR longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+       r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
 
 ORACLES = {
     "op5_chat_format": CHATS, "op6_jaccard_join": JACCARD, "op7_decontaminate": DECONTAMINATION, "op8_warc": WARC,
-    "op9_license_rules": licences_sql(),
+    "op9_license_rules": licences_sql(), "op11_collocations": COLLOCATIONS,
 }
