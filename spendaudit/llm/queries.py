@@ -14,6 +14,7 @@ from spendaudit.llm.decontaminate import decontaminate
 from spendaudit.llm.jaccard_join import similar_classes
 from spendaudit.llm.license_rules import license_scan
 from spendaudit.llm.line_dedup import dedup_lines
+from spendaudit.llm.merkle_manifest import merkle_manifest
 from spendaudit.llm.quality_cnn import held_out, score_documents, train
 from spendaudit.llm.quality_rules import compression_bands
 from spendaudit.llm.secret_scan import secret_scan
@@ -95,11 +96,18 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    claimed = F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle_manifest(table(spark, sf_dir, "documents"), claimed_text=claimed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_compression_bands, op2_sentencepiece, op3_line_dedup, op4_quality_cnn, op5_chat_format, op6_jaccard_join,
         op7_decontaminate, op8_warc, op9_license_rules, op10_secret_scan, op11_collocations,
+        op12_merkle_manifest,
     )
 }
 
@@ -222,7 +230,60 @@ FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 """
 
 
+def merkle_sql(levels: int = 11, source_levels: int = 7) -> str:
+    """Level by level, for up to 3 ** ``levels`` rows a source and 3 ** ``source_levels`` sources; a complete tree stays as it is.
+    The crc32 of the decimal id is worked out bit by bit."""
+
+    def digested(text: str) -> str:
+        fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+        return "sha256(concat(" + ", ".join(f"coalesce(strlen({f})::VARCHAR || ':' || {f}, '-')" for f in fields) + "))"
+
+    def tree(name: str, lowest: str, key: str, height: int) -> str:
+        """CTEs ``name_k`` (key, pos, n, d) of every level and ``name_run_k`` (key, run, n, ds) of their runs."""
+        parts = [f"{name}_0 AS ({lowest})"]
+        for k in range(height):
+            parts.append(f"{name}_run_{k} AS MATERIALIZED (SELECT {key}, pos // 3 AS run, any_value(n) AS n, list(d ORDER BY pos) AS ds FROM {name}_{k} GROUP BY {key}, pos // 3)")
+            parts.append(f"{name}_{k + 1} AS (SELECT {key}, run AS pos, (n + 2) // 3 AS n, CASE WHEN n > 1 THEN sha256(array_to_string(ds, '')) ELSE ds[1] END AS d FROM {name}_run_{k})")
+        return ",\n".join(parts)
+
+    def climb(name: str, before: str, key: str, height: int) -> str:
+        """CTEs that add the siblings of every level to ``proof`` and fold ``folded`` up to the tree's root."""
+        parts = []
+        for k in range(height):
+            slot = f"pos // {3**k} % 3"
+            left, right = f"array_to_string(ds[1:{slot}], '')", f"array_to_string(ds[{slot} + 2:], '')"
+            parts.append(
+                f"{name}_climb_{k} AS (SELECT c.* REPLACE (CASE WHEN r.n > 1 THEN proof || {left} || {right} ELSE proof END AS proof, "
+                f"CASE WHEN r.n > 1 THEN sha256({left} || folded || {right}) ELSE folded END AS folded) "
+                f"FROM {before} c JOIN {name}_run_{k} r ON r.{key} = c.{key} AND r.run = c.pos // {3 ** (k + 1)})"
+            )
+            before = f"{name}_climb_{k}"
+        return ",\n".join(parts)
+
+    bit = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = "list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)"
+    even = f"list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {bit}) & 1 = 1"  # the last step inverts all bits
+    leaves = "SELECT tree, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, d FROM claims WINDOW w AS (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d)"
+    tops = f"SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, d FROM source_{levels}"
+    return f"""
+WITH claims AS MATERIALIZED (
+  SELECT coalesce('=' || source, '') AS tree, doc_id, {digested("text")} AS d,
+         {digested(f"(CASE WHEN {even} THEN replace(text, chr(10), '') ELSE text END)")} AS claimed FROM documents),
+{tree("source", leaves, "tree", levels)},
+{tree("top", tops, "tree", source_levels)},
+placed AS (
+  SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS pos, doc_id, d AS leaf, claimed AS folded, '' AS proof FROM claims),
+{climb("source", "placed", "tree", levels)},
+ranked AS (SELECT tree, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos FROM source_{levels}),
+outer_placed AS (SELECT c.doc_id, c.leaf, c.folded, c.proof, r.subroot, r.pos, 0 AS tree FROM source_climb_{levels - 1} c JOIN ranked r USING (tree)),
+{climb("top", "outer_placed", "tree", source_levels)}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = d AS verified
+FROM top_climb_{source_levels - 1}, top_{source_levels}
+"""
+
+
 ORACLES = {
     "op5_chat_format": CHATS, "op6_jaccard_join": JACCARD, "op7_decontaminate": DECONTAMINATION, "op8_warc": WARC,
     "op9_license_rules": licences_sql(), "op11_collocations": COLLOCATIONS,
+    "op12_merkle_manifest": merkle_sql(),
 }
