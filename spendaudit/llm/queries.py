@@ -17,6 +17,7 @@ from spendaudit.llm.line_dedup import dedup_lines
 from spendaudit.llm.merkle_manifest import merkle_manifest
 from spendaudit.llm.quality_cnn import held_out, score_documents, train
 from spendaudit.llm.quality_rules import compression_bands
+from spendaudit.llm.scaled_sketch import compare_with_next
 from spendaudit.llm.secret_scan import secret_scan
 from spendaudit.llm.sentencepiece_codec import encode_documents
 from spendaudit.llm.warc import normalise, read_records, shared_folder, write_archives
@@ -102,12 +103,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"), claimed_text=claimed)
 
 
+def op13_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_compression_bands, op2_sentencepiece, op3_line_dedup, op4_quality_cnn, op5_chat_format, op6_jaccard_join,
         op7_decontaminate, op8_warc, op9_license_rules, op10_secret_scan, op11_collocations,
-        op12_merkle_manifest,
+        op12_merkle_manifest, op13_scaled_sketch,
     )
 }
 
