@@ -21,13 +21,14 @@ own next one; very long texts are read whole; an empty table gives an empty tabl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendaudit.llm.common import SLICE_ROWS, id_and_text, map_rows, sha256_hex
+from spendaudit.llm.common import SLICE_ROWS, id_and_text, map_rows
 from spendaudit.llm.jaccard_join import SHINGLE_WORDS, shingles
 from spendaudit.session import materialize
 
@@ -51,9 +52,13 @@ def sketch(text: str | None, width: int = SHINGLE_WORDS, scale: int = SCALE, lea
     return threshold, np.unique(hashes[:kept])
 
 
+def packed(of: Sketch) -> bytes:
+    """Six bytes for each hash."""
+    return of[1].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
 def fingerprint(of: Sketch) -> str:
-    digits = of[1].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes().hex()
-    return f"{of[0]:x}:{digits}"
+    return f"{of[0]:x}:{packed(of).hex()}"
 
 
 def parsed(written: str) -> Sketch:
@@ -119,11 +124,13 @@ def group_sketches(docs: DataFrame, group_col: str, text_col: str = "text") -> D
     return rows.mapInArrow(run, f"group {docs.schema[group_col].dataType.simpleString()}, hash long").distinct()
 
 
-RESULT = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
-    "held_edited double, held_next double"
+#: Rows as they are stored between the jobs: digests and hashes as bytes, half the size of their digits.
+STORED = (
+    "doc_id long, n_chars long, edited_sha256 binary, threshold long, hashes binary, edited_threshold long, edited_hashes binary, "
+    "near_edited double, near_next double, held_edited double, held_next double"
 )
-_NAMES = [c.split(" ")[0] for c in RESULT.split(", ")]
+_NAMES = [c.split(" ")[0] for c in STORED.split(", ")]
+_TYPES = [{"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[c.split(" ")[1]] for c in STORED.split(", ")]
 _FINISHED, _FIRST, _LAST = 0, 1, 2
 
 
@@ -137,7 +144,7 @@ def _compared(doc_id: int | None, text: str, own: Sketch, following: str, of_fol
     edited = edited_text(text, following)
     of_edited = sketch(edited)
     return (
-        doc_id, len(text), sha256_hex(edited.encode("utf-8", "surrogatepass")), fingerprint(own), fingerprint(of_edited),
+        doc_id, len(text), sha256(edited.encode("utf-8", "surrogatepass")).digest(), own[0], packed(own), of_edited[0], packed(of_edited),
         likeness(own, of_edited), likeness(own, of_following), containment(own, of_edited), containment(own, of_following),
     )
 
@@ -152,15 +159,14 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("range"), "doc_id", "text")
-    types = [*(pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()), *[pa.float64()] * 4]
-    schema = f"kind int, range int, {RESULT}, text string"
+    schema = f"kind int, range int, {STORED}, text string"
     names = ["kind", "range", *_NAMES, "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = None, None  # the document whose next one is yet to come
 
         def one_row(kind: int, doc_id: int | None, text: str) -> pa.RecordBatch:
-            values = [pa.array([None], t) for t in types[1:]]
+            values = [pa.array([None], t) for t in _TYPES[1:]]
             return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([at], pa.int32()), pa.array([doc_id], pa.int64()), *values, pa.array([text], pa.string())], names)
 
         for batch in batches:
@@ -175,7 +181,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     held = new
                 if out:
                     n = len(out)
-                    values = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+                    values = [pa.array(c, t) for c, t in zip(zip(*out), _TYPES)]
                     yield pa.RecordBatch.from_arrays([pa.array([_FINISHED] * n, pa.int32()), pa.array([at] * n, pa.int32()), *values, pa.nulls(n, pa.string())], names)
         if held is not None:
             yield one_row(_LAST, *held[:2])
@@ -191,4 +197,12 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def make():
         return lambda doc_id, text, following: _compared(doc_id, text, sketch(text), following, sketch(following))
 
-    return finished.unionByName(map_rows(edges, make, RESULT))
+    found = finished.unionByName(map_rows(edges, make, STORED))
+
+    def written(threshold: str, hashes: str) -> Column:
+        return F.lower(F.concat(F.hex(threshold), F.lit(":"), F.hex(hashes)))
+
+    return found.select(
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), written("threshold", "hashes").alias("fingerprint"),
+        written("edited_threshold", "edited_hashes").alias("edited_fingerprint"), "near_edited", "near_next", "held_edited", "held_next",
+    )
