@@ -247,7 +247,9 @@ def dedup_lines(
     sequence = materialize(sequences(keyed.filter("doc_id is not null and text is not null")), "line-sequences")
     pairs = open_run_pairs(sequence, least_words) if every_block else open_pairs(sequence, least_words, rare_holders)
     pairs = materialize(pairs, "line-pairs")
-    cuts = aligned_cuts(sequence, pairs, least_words, every_common_line if every_block else common_lines).select(F.col("doc_id").alias(own_id), F.col("text_key").alias(key), F.col("cut").alias(cut))
+    # written, so that its size is known: a short list of cuts goes to the texts, which then stay where they are
+    cuts = materialize(aligned_cuts(sequence, pairs, least_words, every_common_line if every_block else common_lines), "line-cuts")
+    cuts = cuts.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(key), F.col("cut").alias(cut))
     keyed_docs = docs.select("*", F.xxhash64(text.cast("string")).alias(own_key))
     joined = keyed_docs.join(cuts, (F.col(f"`{id_col}`").cast("long") == F.col(own_id)) & (F.col(own_key) == F.col(key)), "left")
     schema = StructType([*docs.schema.fields, *([StructField(flag, LongType())] if flag is not None else [])])
@@ -256,13 +258,15 @@ def dedup_lines(
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            cuts = batch.column(len(names)).to_pylist()
-            edited = [t if c is None else cut_lines(t, c) for t, c in zip(texts, cuts)]
-            columns = list(batch.columns[: len(names)])
-            columns[at] = pa.array(edited, batch.column(at).type)
-            if flag is not None:
-                columns.append(pa.array([len(c or ()) for c in cuts], pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, [*names, *([flag] if flag is not None else [])])
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                columns = list(part.columns[: len(names)])
+                cuts = part.column(len(names)).to_pylist()
+                if any(cuts):
+                    edited = [t if c is None else cut_lines(t, c) for t, c in zip(part.column(at).to_pylist(), cuts)]
+                    columns[at] = pa.array(edited, part.column(at).type)
+                if flag is not None:
+                    columns.append(pa.array([len(c or ()) for c in cuts], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, [*names, *([flag] if flag is not None else [])])
 
     return joined.select(*(docs[f"`{n}`"] for n in names), cut).mapInArrow(run, schema)
