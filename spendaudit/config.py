@@ -53,8 +53,14 @@ class AuditConfig:
 
     # duplicate-work screening
     signature_tokens: int = 4
-    # "ratio" compares whole texts character by character, "words" the sets of their words
-    text_measure: str = "ratio"
+    # which texts meet: those that agree in their first or last words ("blocks"), those whose sets of words overlap ("words"),
+    # or those that do either ("both")
+    meet: str = "words"
+    # "edits" counts the edits that make one text of the other, if their words overlap; "words" compares the sets of their
+    # words; "ratio" finds the longest matching stretches, in Python
+    text_measure: str = "edits"
+    # least Dice similarity of the sets of words of texts that meet by words or are compared by edits
+    word_overlap_min: float = 0.70
     similarity_min: float = 0.85
     similarity_max: float = 0.999
     amount_similarity_min: float = 0.95

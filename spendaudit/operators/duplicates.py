@@ -57,8 +57,8 @@ def prepare(works: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
         F.array_join("tokens", " ").alias("normtext"),
         # groups are formed on the digest, so that whole texts are not shuffled
         F.unhex(F.sha2(F.array_join("tokens", " "), 256)).alias("text_key"),
-        # what the text measure counts: characters, or different words
-        (F.length(F.array_join("tokens", " ")) if config.text_measure == "ratio" else F.size(F.array_distinct("tokens"))).alias("length"),
+        # what the text measure counts: different words, or characters
+        (F.size(F.array_distinct("tokens")) if config.text_measure == "words" else F.length(F.array_join("tokens", " "))).alias("length"),
         F.array_join(F.slice("tokens", 1, config.signature_tokens), " ").alias("signature"),
         F.array_join(F.slice("tokens", F.greatest(F.size("tokens") - (config.signature_tokens - 1), F.lit(1)), config.signature_tokens), " ").alias("end_signature"),
         F.coalesce("sanction_date", "recommended_date").alias("near_date"),
@@ -161,69 +161,135 @@ def open_blocks(blocked: DataFrame) -> DataFrame:
     return ends.filter("one != other").select(*BLOCK_KEY)
 
 
-def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
-    """Pairs of nodes (named by their first works, earlier first) that pass every cheap test of tier B.
+def _binned(df: DataFrame, config: AuditConfig) -> DataFrame:
+    """Adds the logarithmic bin of the amount and the bin of the date."""
+    width = -math.log(config.amount_similarity_min) * 1.001
+    return df.withColumns({
+        "amount_bin": F.floor(F.log("sanctioned_amount") / width), "date_bin": F.floor(F.unix_date("near_date") / (config.date_gap_max + 1)),
+    })
+
+
+def _close_pairs(binned: DataFrame, key: list[str], own: list[str], config: AuditConfig) -> DataFrame:
+    """Pairs of rows that agree in ``key``, with close amounts and dates and different texts, earlier first.
 
     Amounts within 5 % lie in the same or neighbouring logarithmic bins, dates within 30 days in the
-    same or neighbouring 31-day bins. Joining on block and bins meets each such pair once and never
-    forms the others. Two texts whose lengths differ too much cannot reach the similarity, and equal
-    texts are similar beyond the upper limit, so both are left out here. No block is too large: blocks
-    of one text only are left out, others are split by amount and date.
+    same or neighbouring 31-day bins. Joining on key and bins meets each such pair once and never
+    forms the others.
     """
-    width = -math.log(config.amount_similarity_min) * 1.001
-    blocked = _blocked(materialize(nodes(prepared), "nodes"))
-    narrow = blocked.join(materialize(open_blocks(blocked), "open_blocks"), BLOCK_KEY).select(
-        *BLOCK_KEY,
-        "work_id",
-        "place",
-        "works",
-        F.col("sanctioned_amount").alias("amount"),
-        "near_date",
-        "length",
-        "text_key",
-        F.floor(F.log("sanctioned_amount") / width).alias("amount_bin"),
-        F.floor(F.unix_date("near_date") / (config.date_gap_max + 1)).alias("date_bin"),
-    )
-    # written because it is read from both sides of the join; it holds no texts
-    binned = materialize(narrow, "blocked_works")
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     near = binned.select("*", F.inline(steps)).withColumns(
         {"amount_bin": F.col("amount_bin") + F.col("i"), "date_bin": F.col("date_bin") + F.col("j")}
     )
-    keys = [*BLOCK_KEY, "amount_bin", "date_bin"]
+    keys = [*key, "amount_bin", "date_bin"]
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        own = ["work_id", "place", "works", "amount", "near_date", "length", "text_key"]
-        return df.select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in own])
+        fields = ["work_id", "place", "works", "sanctioned_amount", "near_date", "text_key", *own]
+        return df.select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in fields])
 
-    low, high = F.least("amount_a", "amount_b"), F.greatest("amount_a", "amount_b")
-    # 2 x shorter / (both) is the most that either measure can be; as a product, because both may be empty
-    reachable = 2.0 * F.least("length_a", "length_b") >= config.similarity_min * (F.col("length_a") + F.col("length_b"))
+    low, high = (f("sanctioned_amount_a", "sanctioned_amount_b") for f in (F.least, F.greatest))
     return (
         side(near, "a")
         .join(side(binned, "b"), keys)
         .filter(F.col("place_a") < F.col("place_b"))
         .filter(F.lit(1.0) - (high - low) / high >= config.amount_similarity_min)
         .filter(F.abs(F.datediff("near_date_a", "near_date_b")) <= config.date_gap_max)
-        .filter((F.col("text_key_a") != F.col("text_key_b")) & reachable)
-        .select("work_id_a", "work_id_b", "works_a", "works_b", "text_key_a", "text_key_b")
-        .distinct()  # a pair may agree in both signatures
+        .filter(F.col("text_key_a") != F.col("text_key_b"))
     )
 
 
-def text_ratio(a: str, b: str, least: float) -> Column:
-    """Ratcliff-Obershelp similarity of whole texts, earlier work first.
+PAIR = ["work_id_a", "work_id_b", "works_a", "works_b", "text_key_a", "text_key_b"]
+
 
-    0 for a pair whose upper bound (shared characters in any order) is already below ``least``.
+def candidate_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
+    """Pairs of nodes (named by their first works, earlier first) in one block that pass every cheap test of tier B.
+
+    Two texts whose lengths differ too much cannot reach the similarity, and equal texts are similar
+    beyond the upper limit, so both are left out here. No block is too large: blocks of one text only
+    are left out, others are split by amount and date.
     """
+    blocked = _blocked(materialize(nodes(prepared), "nodes"))
+    # written because it is read from both sides of the join; it holds no texts
+    binned = materialize(_binned(blocked.join(materialize(open_blocks(blocked), "open_blocks"), BLOCK_KEY), config), "blocked_works")
+    # 2 x shorter / (both) is the most that any measure can be; as a product, because both may be empty
+    reachable = 2.0 * F.least("length_a", "length_b") >= config.similarity_min * (F.col("length_a") + F.col("length_b"))
+    return _close_pairs(binned, BLOCK_KEY, ["length"], config).filter(reachable).select(*PAIR).distinct()  # a pair may agree in both signatures
+
+
+def least_common(size: str, least: float) -> Column:
+    """How many of its words a set of this size must share with any set that is as similar."""
+    return F.ceil(F.col(size) * F.lit(least / (2 - least)) - 1e-9)
+
+
+def rare_words(prepared: DataFrame, least: float) -> DataFrame:
+    """member, seat, text_key, size, word, at: the rarest words of every distinct text that another text can have as well.
+
+    Sets with a Dice similarity of ``least`` share so many words that, with all words in one order, each has
+    one of them among its first ``size - least_common + 1``. The order is from rare to frequent within member
+    and seat, so frequent words are left to texts that have no others. ``at`` is a word's place in that order.
+    """
+    usable = prepared.filter((F.col("sanctioned_amount") > 0) & F.col("near_date").isNotNull() & (F.col("normtext") != ""))
+    texts = usable.select("member", "seat", "text_key", "normtext").dropDuplicates(["member", "seat", "text_key"])
+    words = texts.select("member", "seat", "text_key", F.explode(F.array_distinct(F.split("normtext", " "))).alias("word"))
+    words = materialize(words, "words_of_texts")
+    counts = words.groupBy("member", "seat", "word").agg(F.count("*").alias("texts"))
+    ordered = words.join(counts, ["member", "seat", "word"]).groupBy("member", "seat", "text_key").agg(
+        F.array_sort(F.collect_list(F.struct("texts", "word"))).alias("words")
+    )
+    ordered = ordered.withColumn("size", F.size("words"))
+    first = F.slice("words", F.lit(1), (F.col("size") - least_common("size", least) + 1).cast("int"))
+    placed = ordered.select("member", "seat", "text_key", "size", F.posexplode(first).alias("at", "found"))
+    return placed.filter("found.texts > 1").select("member", "seat", "text_key", "size", "found.word", "at")
+
+
+def overlapping_pairs(prepared: DataFrame, least: float, config: AuditConfig = AuditConfig()) -> DataFrame:
+    """All pairs of nodes with close amounts and dates whose sets of words may have a Dice similarity of ``least``.
+
+    Pairs meet in a rare word of both texts. A pair whose sizes differ too much, or that has too few words
+    left behind its first common one, is left out; none that reaches ``least`` is.
+    """
+    found = nodes(prepared).drop(*SIGNATURES, "length").join(rare_words(prepared, least), ["member", "seat", "text_key"])
+    binned = materialize(_binned(found, config), "rare_words")
+    both = F.col("size_a") + F.col("size_b")
+    left = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    pairs = _close_pairs(binned, ["member", "seat", "word"], ["size", "at"], config)
+    return pairs.filter(2.0 * left >= least * both - 1e-9).select(*PAIR).distinct()
+
+
+def meeting_pairs(prepared: DataFrame, config: AuditConfig) -> DataFrame:
+    """The pairs of nodes whose texts are compared, by ``config.meet``."""
+    least = config.similarity_min if config.text_measure == "words" else config.word_overlap_min
+    if config.meet == "blocks":
+        return candidate_pairs(prepared, config)
+    if config.meet == "words":
+        return overlapping_pairs(prepared, least, config)
+    return candidate_pairs(prepared, config).unionByName(overlapping_pairs(prepared, least, config)).distinct()
+
+
+#: What a normalized text is made of.
+LETTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def letter_counts(text: str) -> Column:
+    """How often each character occurs in a normalized text."""
+    return F.array(*[F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit(""))) for c in LETTERS])
+
+
+def common_letters(a: str, b: str) -> Column:
+    """Characters that two texts share in any order, from their letter counts."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda total, n: total + n)
+
+
+def edits(a: str, b: str, most: Column) -> Column:
+    """Number of edits, or -1 beyond ``most``. Spark takes the limit as a column in SQL only."""
+    return F.call_function("levenshtein", F.col(a), F.col(b), most.cast("int"))
+
+
+def text_ratio(a: str, b: str) -> Column:
+    """Ratcliff-Obershelp similarity of whole texts, earlier work first."""
 
     @F.pandas_udf(DoubleType())
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        found = []
-        for x, y in zip(left, right):
-            matcher = SequenceMatcher(None, x, y)
-            found.append(matcher.ratio() if matcher.quick_ratio() >= least else 0.0)
-        return pd.Series(found, dtype=float)
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)], dtype=float)
 
     return ratio(a, b)
 
@@ -236,31 +302,54 @@ def word_ratio(a: str, b: str) -> Column:
 
 
 def text_pair_ratios(found: DataFrame, prepared: DataFrame, config: AuditConfig) -> DataFrame:
-    """Ratio of every distinct pair of texts (in order) among the candidates: each is compared once,
-    however many works have these texts."""
+    """Similarity of every distinct pair of texts (in order) among the candidates: each is compared once,
+    however many works have these texts.
+
+    Texts are compared by characters only if the characters that they share in any order could reach the similarity. The edit
+    measure, 1 - edits / longer length, is for texts that share words as well (``word_overlap_min``), so that it is not spent on
+    whole texts that have nothing but their alphabet in common; it stops counting where the similarity can't be reached.
+    """
     distinct = materialize(found.select("text_key_a", "text_key_b").distinct(), "text_pairs")
     wanted = distinct.select(F.explode(F.array("text_key_a", "text_key_b")).alias("text_key")).distinct()
     texts = prepared.join(wanted, "text_key", "left_semi").select("text_key", "normtext").dropDuplicates(["text_key"])
-    texts = materialize(texts, "paired_texts")
+    by_words = config.text_measure == "words"
+    texts = materialize(texts if by_words else texts.withColumn("letters", letter_counts("normtext")), "paired_texts")
 
     def side(name: str) -> DataFrame:
-        return texts.select(F.col("text_key").alias(f"text_key_{name}"), F.col("normtext").alias(f"normtext_{name}"))
+        return texts.select(*[F.col(c).alias(f"{c}_{name}") for c in texts.columns])
 
     both = distinct.join(side("a"), "text_key_a").join(side("b"), "text_key_b")
-    high = F.col("ratio") < config.similarity_max
-    if config.text_measure == "words":
-        rated = both.select("text_key_a", "text_key_b", word_ratio("normtext_a", "normtext_b").alias("ratio"))
-        return rated.filter((F.col("ratio") >= config.similarity_min) & high)
+    least, high = config.similarity_min, F.col("ratio") < config.similarity_max
+    keys = ["text_key_a", "text_key_b"]
+    if by_words:
+        rated = both.select(*keys, word_ratio("normtext_a", "normtext_b").alias("ratio"))
+        return rated.filter((F.col("ratio") >= least) & high)
+    lengths = [F.length("normtext_a"), F.length("normtext_b")]
+    shared = common_letters("letters_a", "letters_b")
     # comparing texts is slow for the size of the data, so the pairs are dealt out widely, the more the more there are
     tasks = max(4 * prepared.sparkSession.sparkContext.defaultParallelism, distinct.count() // 2000)
-    dealt = both.repartition(tasks, "text_key_a", "text_key_b")
-    rated = dealt.select("text_key_a", "text_key_b", text_ratio("normtext_a", "normtext_b", config.similarity_min).alias("ratio"))
-    return rated.filter((F.col("ratio") >= config.similarity_min) & high)
+    if config.text_measure == "edits":
+        longer = F.greatest(*lengths)
+        near = word_ratio("normtext_a", "normtext_b") >= config.word_overlap_min
+        possible = both.filter(shared >= least * longer - 1e-9).filter(near)
+    else:
+        possible = both.filter(2.0 * shared >= least * (lengths[0] + lengths[1]) - 1e-9)
+    dealt = possible.drop("letters_a", "letters_b").repartition(tasks, *keys)
+    # no filter passes the number of the task, so that pairs are compared once, and behind the exchange
+    task = F.spark_partition_id().alias("task")
+    if config.text_measure == "edits":
+        counted = edits("normtext_a", "normtext_b", F.floor((1 - least) * longer + 1e-9)).alias("edits")
+        rated = dealt.select(*keys, longer.alias("longer"), counted, task).filter("edits >= 0 AND task >= 0")
+        rated = rated.select(*keys, (F.lit(1.0) - F.col("edits") / F.col("longer")).alias("ratio"))
+    else:
+        rated = dealt.select(*keys, task, "normtext_a", "normtext_b").filter("task >= 0")
+        rated = rated.select(*keys, text_ratio("normtext_a", "normtext_b").alias("ratio"))
+    return rated.filter((F.col("ratio") >= least) & high)
 
 
 def similar_pairs(prepared: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
     """Tier B: all pairs of nodes with similar texts, close amounts and dates."""
-    found = materialize(candidate_pairs(prepared, config), "candidate_pairs")
+    found = materialize(meeting_pairs(prepared, config), "candidate_pairs")
     rated = found.join(text_pair_ratios(found, prepared, config), ["text_key_a", "text_key_b"])
     rated = materialize(rated.select("work_id_a", "work_id_b", "works_a", "works_b", "ratio"), "rated_pairs")
     same_seat = F.col("work_a.constituency") == F.col("work_b.constituency")

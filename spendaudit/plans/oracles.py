@@ -607,12 +607,29 @@ STEPS["sim_pairs"] = """SELECT a.node AS id_a, b.node AS id_b, a.works AS works_
       FROM sim_nodes a JOIN sim_nodes b ON a.member = b.member AND a.seat = b.seat AND a.place < b.place AND a.toks <> b.toks AND (a.toks[1:4] = b.toks[1:4] OR a.toks[-4:] = b.toks[-4:])
       WHERE 1 - abs(a.amount - b.amount) / greatest(a.amount, b.amount) >= 0.95 AND abs(date_diff('day', a.near_date, b.near_date)) <= 30
         AND 2.0::DOUBLE * len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks)) >= 0.85"""
+_CLOSE = "1 - abs(a.{0} - b.{0}) / greatest(a.{0}, b.{0}) >= 0.95"
+# all pairs of a member and seat, by nothing but the definition
+STEPS["sim_all"] = f"""SELECT a.node AS id_a, b.node AS id_b, a.works AS works_a, b.works AS works_b, array_to_string(a.toks, ' ') AS t_a, array_to_string(b.toks, ' ') AS t_b,
+        2.0::DOUBLE * len(list_intersect(a.toks, b.toks)) / (len(a.toks) + len(b.toks)) AS dice
+      FROM sim_nodes a JOIN sim_nodes b ON a.member = b.member AND a.seat = b.seat AND a.place < b.place AND a.toks <> b.toks
+      WHERE {_CLOSE.format("amount")} AND abs(date_diff('day', a.near_date, b.near_date)) <= 30"""
+STEPS["doc_words"] = "SELECT *, list_distinct(list_filter(string_split(t, ' '), lambda w: w <> '')) AS words FROM doc_nodes"
+STEPS["doc_all"] = f"""SELECT a.work_id AS id_a, b.work_id AS id_b, a.works AS works_a, b.works AS works_b, a.t AS t_a, b.t AS t_b, a.sig = b.sig OR a.end_sig = b.end_sig AS blocked,
+        2.0::DOUBLE * len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words)) AS dice
+      FROM doc_words a JOIN doc_words b ON a.lang = b.lang AND a.doc_id < b.doc_id AND a.t <> b.t
+      WHERE {_CLOSE.format("n_chars")} AND 2 * least(len(a.words), len(b.words)) >= 0.69 * (len(a.words) + len(b.words)) AND len(a.words) > 0"""
+_BY_EDITS = """(SELECT *, 1.0::DOUBLE - levenshtein(t_a, t_b) / greatest(length(t_a), length(t_b)) AS ratio FROM {0} WHERE dice >= 0.7)"""
 STEPS["sim_members"] = """SELECT 'A' AS tier, unnest([id_a, id_b]) AS node, unnest([id_a, id_b]) AS work_id FROM sim_exact
       UNION SELECT 'B', n.node, w.work_id FROM sim_nodes n JOIN (SELECT unnest([id_a, id_b]) AS node FROM sim_pairs) p USING (node)
         JOIN sim_works w ON w.member = n.member AND coalesce(w.constituency, '') = n.seat AND w.toks = n.toks AND w.amount = n.amount AND w.near_date = n.near_date"""
 STEPS["sim_sides"] = """SELECT 'A' AS tier, unnest([id_a, id_b]) AS node, 1.0::DOUBLE AS ratio, 1::BIGINT AS n FROM sim_exact
       UNION ALL SELECT 'B', id_a, ratio, works_b FROM sim_pairs UNION ALL SELECT 'B', id_b, ratio, works_a FROM sim_pairs"""
 _DUPLICATES |= {
+    "similar_works_of_all": f"SELECT {printed('dice * 100', 1)} AS similarity_score, id_a, id_b, works_a, works_b FROM sim_all WHERE dice >= 0.85 AND dice < 0.999",
+    "similar_works_by_edits": f"SELECT {printed('ratio * 100', 1)} AS similarity_score, id_a, id_b, works_a, works_b FROM {_BY_EDITS.format('sim_all')} WHERE ratio >= 0.85 AND ratio < 0.999",
+    "similar_documents_of_all": f"SELECT {printed('dice * 100', 1)} AS similarity_score, id_a, id_b, works_a, works_b FROM doc_all WHERE dice >= 0.85 AND dice < 0.999",
+    "similar_documents": f"""SELECT 'Possible Duplicate' AS label, {printed("ratio * 100", 1)} AS similarity_score, id_a, id_b, {q(" | ".join(fixed.PAIR_FIELDS_SIMILAR))} AS matching_fields, works_a, works_b
+        FROM {_BY_EDITS.format("(SELECT * FROM doc_all WHERE blocked)")} WHERE ratio >= 0.85 AND ratio < 0.999""",
     "similar_work_pairs": f"""SELECT 'Possible Duplicate' AS label, {printed("ratio * 100", 1)} AS similarity_score, id_a, id_b, works_a, works_b,
         {q(" | ".join(fixed.PAIR_FIELDS_SIMILAR))} || CASE WHEN seat_of_both IS NOT NULL THEN {q(" | " + fixed.PAIR_FIELD_CONSTITUENCY)} ELSE '' END AS matching_fields FROM sim_pairs""",
     "similar_work_members": "SELECT DISTINCT work_id FROM sim_members",

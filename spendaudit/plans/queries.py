@@ -514,15 +514,18 @@ def document_candidate_pairs(spark, folder):
     return dup.candidate_pairs(prepared, CONFIG).select("work_id_a", "work_id_b", "works_a", "works_b")
 
 
+EDITS = AuditConfig(as_of=dt.date(2002, 1, 1), text_measure="edits", meet="blocks")
+
+
 @query
 def similar_documents(spark, folder):
-    """Tier B over whole document texts."""
-    prepared = materialize(dup.prepare(bindings.document_works(spark, folder), CONFIG), "documents")
-    found = dup.pair_record(dup.similar_pairs(prepared, CONFIG))
+    """Tier B over whole document texts, with the edit measure."""
+    prepared = materialize(dup.prepare(bindings.document_works(spark, folder), EDITS), "documents")
+    found = dup.pair_record(dup.similar_pairs(prepared, EDITS))
     return found.select("label", "similarity_score", F.col("work_a.work_id").alias("id_a"), F.col("work_b.work_id").alias("id_b"), joined("matching_fields").alias("matching_fields"), "works_a", "works_b")
 
 
-WORDS = AuditConfig(as_of=dt.date(2002, 1, 1), text_measure="words")
+WORDS = AuditConfig(as_of=dt.date(2002, 1, 1), text_measure="words", meet="blocks")
 
 
 @lru_cache(maxsize=8)
@@ -570,6 +573,32 @@ def similar_documents_by_words(spark, folder):
     return found.select("similarity_score", F.col("work_a.work_id").alias("id_a"), F.col("work_b.work_id").alias("id_b"), "works_a", "works_b")
 
 
+def _similar_by(prepared: DataFrame, config: AuditConfig) -> DataFrame:
+    found = dup.pair_record(dup.similar_pairs(prepared, config))
+    return found.select("similarity_score", F.col("work_a.work_id").alias("id_a"), F.col("work_b.work_id").alias("id_b"), "works_a", "works_b")
+
+
+@query
+def similar_works_of_all(spark, folder):
+    """Tier B with the word measure, among all works of a member and seat, wherever their texts differ."""
+    config = AuditConfig(as_of=dt.date(2002, 1, 1), text_measure="words", meet="words")
+    return _similar_by(materialize(dup.prepare(bindings.similar_works(spark, folder), config), "similar_works"), config)
+
+
+@query
+def similar_works_by_edits(spark, folder):
+    """Tier B as the audit finds it: texts that share words, and few edits apart."""
+    config = AuditConfig(as_of=dt.date(2002, 1, 1))
+    return _similar_by(materialize(dup.prepare(bindings.similar_works(spark, folder), config), "similar_works"), config)
+
+
+@query
+def similar_documents_of_all(spark, folder):
+    """Tier B over whole document texts with the word measure, among all documents of a language."""
+    config = AuditConfig(as_of=dt.date(2002, 1, 1), text_measure="words", meet="words")
+    return _similar_by(materialize(dup.prepare(bindings.document_works(spark, folder), config), "documents"), config)
+
+
 # --- monitors ---------------------------------------------------------------------------------
 
 

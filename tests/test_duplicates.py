@@ -7,10 +7,13 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from spendaudit.config import AuditConfig
 from spendaudit.fixed_values import DESCRIPTION_STOP_WORDS
 from spendaudit.operators import duplicates as dup
 
 D = dt.date
+#: Texts meet in blocks and are compared by their matching stretches.
+BLOCKS = AuditConfig(meet="blocks", text_measure="ratio")
 
 
 def words(text):
@@ -54,14 +57,14 @@ def ids(df):
 
 
 def check(df, rows):
-    found = dup.find_duplicates(df)
+    found = dup.find_duplicates(df, BLOCKS)
     exact, batches, similar, scanned = brute(rows)
     pairs = found.pairs.persist()
     assert ids(pairs.filter("tier = 'A'")) == {p: 100.0 for p in exact}
     assert ids(pairs.filter("tier = 'B'")) == similar
     assert {(r.batch_id, r.unit_count) for r in found.batches.collect()} == {(b[0], len(b)) for b in batches}
     assert {(r.batch_id, r.work_id) for r in found.batch_works.collect()} == {(b[0], w) for b in batches for w in b}
-    assert dup.candidate_count(dup.prepare(df)).first()[0] == scanned
+    assert dup.candidate_count(dup.prepare(df, BLOCKS)).first()[0] == scanned
     return found
 
 
@@ -98,21 +101,21 @@ def test_tiers_around_their_limits(make_works):
 def test_no_block_is_too_large(make_works, size):
     text = "Laying pipeline from school towards temple number"
     rows = [{"work_id": f"w{i:03d}", "work_description": f"{text} zone{chr(97 + i % 26)}{chr(97 + i // 26)}"} for i in range(size)]
-    prepared = dup.materialize(dup.prepare(make_works(*rows)), "prepared")
+    prepared = dup.materialize(dup.prepare(make_works(*rows), BLOCKS), "prepared")
     assert dup.candidate_pairs(prepared).count() == size * (size - 1) // 2
     assert dup.candidate_count(prepared).first()[0] == size * (size - 1) // 2
-    assert dup.similar_pairs(prepared).count() == size * (size - 1) // 2
+    assert dup.similar_pairs(prepared, BLOCKS).count() == size * (size - 1) // 2
 
 
 def test_texts_that_differ_in_an_early_word_meet(make_works):
     rows = [{"work_id": "w1", "work_description": "aaaa culvert library pipeline school temple"}, {"work_id": "w2", "work_description": "aaab culvert library pipeline school temple"}]
-    assert ids(dup.pair_record(dup.similar_pairs(dup.prepare(make_works(*rows))))).keys() == {("w1", "w2")}
+    assert ids(dup.pair_record(dup.similar_pairs(dup.prepare(make_works(*rows), BLOCKS), BLOCKS))).keys() == {("w1", "w2")}
 
 
 def test_alike_works_are_one_node(make_works):
     text = "Laying pipeline from school towards temple zone"
     rows = [{"work_id": f"{x}{i}", "work_description": text + x} for i in range(40) for x in "pq"]
-    found = dup.find_duplicates(make_works(*rows))
+    found = dup.find_duplicates(make_works(*rows), BLOCKS)
     pair = found.pairs.filter("tier = 'B'").collect()
     assert [(r.work_a.work_id, r.work_b.work_id, r.works_a, r.works_b) for r in pair] == [("p0", "q0", 40, 40)]
     assert {r.work_id for r in dup.duplicate_ids(found.members).collect()} == {r["work_id"] for r in rows}
@@ -135,7 +138,7 @@ def test_against_brute_force(make_works, seed):
         })
     works = make_works(*rows)
     _, _, similar, _ = brute([r.asDict() for r in works.orderBy("row_order").collect()])
-    assert similar and ids(dup.pair_record(dup.similar_pairs(dup.prepare(works)))) == similar
+    assert similar and ids(dup.pair_record(dup.similar_pairs(dup.prepare(works, BLOCKS), BLOCKS))) == similar
 
 
 def test_candidate_search_reads_no_texts(make_works):
@@ -148,7 +151,7 @@ def test_candidate_search_reads_no_texts(make_works):
 
 def test_large_batches_are_listed_whole(make_works):
     rows = [{"work_id": f"w{i:03d}", "work_description": "LED poles"} for i in range(120)] + [{"work_id": f"v{i}", "work_description": "Bench"} for i in range(3)]
-    found = dup.find_duplicates(make_works(*rows))
+    found = dup.find_duplicates(make_works(*rows), BLOCKS)
     assert [(r.batch_id, r.unit_count) for r in dup.list_batches(found.batches).collect()] == [("w000", 120), ("v0", 3)]
     assert [r.batch_id for r in dup.list_batches(found.batches, limit=1, offset=1).collect()] == ["v0"]
     assert found.batch_works.filter("batch_id = 'w000'").count() == 120
@@ -161,7 +164,7 @@ def test_whole_documents_against_brute_force(spark):
     works = document_works(spark, "/root/testdata/sf0.001")
     rows = [r.asDict() for r in works.orderBy("row_order").collect()]
     _, _, similar, _ = brute(rows)
-    assert similar and ids(dup.pair_record(dup.similar_pairs(dup.prepare(works)))) == similar
+    assert similar and ids(dup.pair_record(dup.similar_pairs(dup.prepare(works, BLOCKS), BLOCKS))) == similar
 
 
 def test_word_measure_stays_in_the_jvm(spark):
@@ -169,3 +172,91 @@ def test_word_measure_stays_in_the_jvm(spark):
     rated = df.select(dup.word_ratio("l", "r").alias("ratio"))
     assert [r.ratio for r in rated.collect()] == [2 / 3, 0.0, 1.0, 0.0]
     assert "Python" not in rated._jdf.queryExecution().executedPlan().toString()
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(above + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def brute_of_all(rows, measure):
+    """All pairs of first works of nodes within member and seat, by nothing but the definition."""
+    first = {}
+    for r in rows:
+        r["words"] = words(r["work_description"] or "")
+        r["near"] = r["sanction_date"] or r["recommended_date"]
+        if (r["work_description"] or "").strip() and (r["sanctioned_amount"] or 0) > 0 and r["near"]:
+            first.setdefault((r["mp_name"] or "", r["constituency"] or "", tuple(r["words"]), r["sanctioned_amount"], r["near"]), r)
+    found = {}
+    for a, b in combinations(first.values(), 2):
+        x, y = set(a["words"]), set(b["words"])
+        s, t = " ".join(a["words"]), " ".join(b["words"])
+        close = 1 - abs(a["sanctioned_amount"] - b["sanctioned_amount"]) / max(a["sanctioned_amount"], b["sanctioned_amount"]) >= 0.95
+        if (a["mp_name"], a["constituency"] or "") != (b["mp_name"], b["constituency"] or "") or not close or abs((a["near"] - b["near"]).days) > 30 or s == t or not x or not y:
+            continue
+        ratio = dice = 2 * len(x & y) / (len(x) + len(y))
+        if measure == "edits":
+            ratio = 1 - edit_distance(s, t) / max(len(s), len(t)) if dice >= 0.7 else 0
+        if 0.85 <= ratio < 0.999:
+            found[(a["work_id"], b["work_id"])] = round(ratio * 100, 1)
+    return found
+
+
+@pytest.mark.parametrize("measure", ["words", "edits"])
+def test_all_similar_texts_meet(make_works, measure):
+    """Texts of all lengths that differ at the start, in the middle and at the end; frequent and rare words; repeated works."""
+    rng = np.random.default_rng(5)
+    common, rare = ["pipeline", "school", "temple", "culvert", "drain", "library"], [f"zone{i}x" for i in range(40)]
+    rows = []
+    for i in range(320):
+        if i < 20 or rng.random() < 0.3:
+            text = [*rng.choice(common, rng.integers(0, 6), replace=False), *rng.choice(rare, rng.integers(0, 9), replace=False)]
+        else:
+            text = list(rows[rng.integers(0, len(rows))]["words"])
+            for _ in range(rng.integers(0, 3)):
+                at = rng.integers(0, len(text) + 1)
+                text[at : at + rng.integers(0, 2)] = [[], [str(rng.choice(rare))], ["aaab"], ["zzzy"]][rng.integers(0, 4)]
+            if text and rng.random() < 0.4:
+                text[0] = text[0] + "s"
+        rows.append({
+            "work_id": f"w{i:03d}", "words": text, "mp_name": str(rng.choice(["M", "N"])), "constituency": [None, "C"][int(rng.random() < 0.7)],
+            "sanctioned_amount": float(rng.choice([1000.0, 980.0, 951.0, 0.0])), "sanction_date": D(2023, 1, 1) + dt.timedelta(days=int(rng.integers(0, 40))),
+        })
+    works = make_works(*[{**{k: v for k, v in r.items() if k != "words"}, "work_description": " ".join(r["words"])} for r in rows])
+    config = AuditConfig(text_measure=measure)
+    assert config.meet == "words"
+    wanted = brute_of_all([r.asDict() for r in works.orderBy("row_order").collect()], measure)
+    prepared = dup.materialize(dup.prepare(works, config), "prepared")
+    assert len(wanted) > 40 and ids(dup.pair_record(dup.similar_pairs(prepared, config))) == wanted
+    blocks = AuditConfig(text_measure=measure, meet="blocks")
+    assert len(ids(dup.pair_record(dup.similar_pairs(dup.prepare(works, blocks), blocks)))) < len(wanted)  # what the blocks miss
+    both = AuditConfig(text_measure=measure, meet="both")
+    assert ids(dup.pair_record(dup.similar_pairs(prepared, both))) == wanted
+
+
+def test_the_audit_compares_texts_in_the_jvm(make_works):
+    rows = [{"work_id": f"w{i}", "work_description": f"Laying pipeline from school towards temple number zone{c}"} for i, c in enumerate("abc")]
+    prepared = dup.materialize(dup.prepare(make_works(*rows)), "prepared")
+    found = dup.materialize(dup.meeting_pairs(prepared, AuditConfig()), "found")
+    plan = dup.text_pair_ratios(found, prepared, AuditConfig())
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and text.count("levenshtein") == 1 and len(plan.collect()) == 3  # each pair is compared once
+    met = dup.overlapping_pairs(prepared, 0.85)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in met and "CartesianProduct" not in met and "NestedLoop" not in met
+
+
+def test_a_frequent_word_brings_no_texts_together(make_works):
+    """Texts that have only frequent words in common don't meet."""
+    rows = [{"work_id": f"w{i:03d}", "work_description": f"pipeline school temple unique{i} other{i} third{i} fourth{i} fifth{i}"} for i in range(300)]
+    prepared = dup.materialize(dup.prepare(make_works(*rows)), "prepared")
+    assert dup.overlapping_pairs(prepared, 0.85).count() == 0 and dup.rare_words(prepared, 0.85).count() == 0
+
+
+def test_letter_bounds(spark):
+    df = spark.createDataFrame([("abca 1", "cab 12"), ("", "a")], "l string, r string")
+    counts = df.select(dup.letter_counts("l").alias("x"), dup.letter_counts("r").alias("y"))
+    assert [r.n for r in counts.select(dup.common_letters("x", "y").alias("n")).collect()] == [5, 0]
