@@ -1,28 +1,22 @@
-"""Raw CSV exports: all-string reading in blocks, cleaning, and a stable row position."""
+"""Raw CSV exports: all-string reading, cleaning, and a stable row position."""
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendaudit import fixed_values as fixed
 from spendaudit.functions.text import blank_to_null, is_total_row
 from spendaudit.session import materialize
 
-# where a row came from: file, first byte of the block that was read, and number of the record in the file
-ORIGIN = ["file_path", "file_block_start", "record"]
-BLOCK = ORIGIN[:2]
+# where a row came from: file, and a number that grows with the place in it
+ORIGIN = ["file_path", "record"]
 # exports loaded at a time
 AT_ONCE = 4
 
-# a line read from outside a quoted cell that leaves its last cell open
-_OPENS = r'^(?>(?:"(?:[^"]|"")*+"(?!")|[^",][^,]*+)?+,)*+"(?:[^"]|"")*+$'
-# the rest of a quoted cell and its closing quote
-_CLOSES = r'^(?:[^"]|"")*+"(?!")'
-
 
 def prefix_sums(table: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """``before_<value>``: sum of each value over all rows that come earlier by the keys.
@@ -41,78 +35,22 @@ def prefix_sums(table: DataFrame, keys: list[str], values: list[str]) -> DataFra
     return ranged.join(offsets, "slice").withColumns(sums).drop("slice", *[f"slice_{v}" for v in values])
 
 
-def _with_states(df: DataFrame, group: Window, order: str, at_start: dict[str, Column]) -> DataFrame:
-    """For each named state at the group's start, whether a line (or block) begins inside a quoted cell.
-
-    ``after_out`` and ``after_in`` tell the state that a line leaves after beginning outside or inside. One that
-    leaves the same state in either case settles the matter; the lines after it keep or swap that state.
-    """
-    earlier = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out, inside = F.col("after_out"), F.col("after_in")
-    df = df.withColumn("swaps", F.coalesce(F.sum((out & ~inside).cast("int")).over(earlier), F.lit(0)))
-    settled = F.when(out == inside, F.struct(out.alias("state"), "swaps"))
-    df = df.withColumn("settled", F.last(settled, ignorenulls=True).over(earlier))
-    swapped = F.pmod(F.col("swaps") - F.coalesce("settled.swaps", F.lit(0)), F.lit(2)) == 1
-    found = {name: F.coalesce("settled.state", start) != swapped for name, start in at_start.items()}
-    return df.withColumns(found).drop("swaps", "settled")
-
-
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """file_path, file_block_start, record, text: one row per CSV record, quoted line breaks included.
-
-    Files are read in blocks of lines. Whether a line begins inside a quoted cell follows from what all
-    lines before it do to the quoting state; this is carried over lines within a block and over blocks
-    within a file. Records of one line, nearly all, are taken as they are; the lines of others are put
-    together, also across blocks. A group is one record, or the lines of one block.
-    """
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        *[F.col(f"_metadata.{c}").alias(c) for c in BLOCK], F.monotonically_increasing_id().alias("line"),
-        F.regexp_replace("value", "^\uFEFF|\r$", "").alias("value"),
-    )
-    opens = F.col("value").rlike(_OPENS)
-    rest = F.regexp_replace(F.regexp_replace("value", _CLOSES, ""), "^,", "")
-    closed = F.col("value").rlike(_CLOSES)
-    lines = lines.withColumns({"after_out": opens, "after_in": ~closed | rest.rlike(_OPENS)})
-    in_block = Window.partitionBy(*BLOCK)
-    states = {"in_if_out": F.lit(False), "in_if_in": F.lit(True)}
-    lines = materialize(_with_states(lines, in_block, "line", states), "raw_lines")
-
-    def after(state: str) -> Column:
-        return F.when(F.col(state), F.col("after_in")).otherwise(F.col("after_out"))
-
-    blocks = lines.groupBy(*BLOCK).agg(
-        F.max_by(after("in_if_out"), "line").alias("after_out"), F.max_by(after("in_if_in"), "line").alias("after_in"),
-        F.count_if(~F.col("in_if_out")).alias("starts_out"), F.count_if(~F.col("in_if_in")).alias("starts_in"),
-    )
-    in_file = Window.partitionBy("file_path")
-    blocks = _with_states(blocks, in_file, "file_block_start", {"begins_in": F.lit(False)})
-    starts = F.when(F.col("begins_in"), F.col("starts_in")).otherwise(F.col("starts_out"))
-    earlier = in_file.orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum(starts).over(earlier), F.lit(0)))
-    placed = lines.join(materialize(blocks.select(*BLOCK, "begins_in", "before"), "raw_blocks"), BLOCK)
-    inside = F.when(F.col("begins_in"), F.col("in_if_in")).otherwise(F.col("in_if_out"))
-    begun = F.sum((~F.col("inside")).cast("int")).over(in_block.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    placed = placed.withColumn("inside", inside).withColumn("record", F.col("before") + begun)
-    placed = materialize(placed.select(*ORIGIN, "line", "inside", "value", F.when(F.col("inside"), F.col("after_in")).otherwise(F.col("after_out")).alias("open")), "raw_placed")
-    whole = placed.filter("NOT inside AND NOT open").select(*ORIGIN, F.col("value").alias("text"))
-    parts = placed.filter("inside OR open").groupBy("file_path", "record").agg(
-        F.min("file_block_start").alias("file_block_start"), F.array_sort(F.collect_list(F.struct("file_block_start", "line", "value"))).alias("lines")
-    )
-    joined = parts.select(*ORIGIN, F.array_join(F.col("lines.value"), "\n").alias("text"))
-    return whole.unionByName(joined)
-
-
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """One raw export with every column as text, plus the origin of each row.
 
-    A missing path fails here: a run must not go on without one of its inputs. Every file has a header;
-    the names are those of the first. Large files are read in blocks, with or without quoted line breaks.
+    A missing path fails here: a run must not go on without one of its inputs. Every file has a header; the names are those
+    of the first. A file is read by one task, because cells may hold line breaks; exports of many files are read side by
+    side, and a cell that is never closed takes no more than the rest of its own file. Lines of white space only are left out.
     """
-    names = spark.read.option("header", True).option("escape", '"').csv(path).columns
-    schema = ", ".join("`{}` string".format(n.replace("`", "``")) for n in names)
-    found = records(spark, path).filter((F.col("record") > 1) & (F.trim("text") != ""))
-    cells = F.from_csv("text", F.lit(schema), {"escape": '"'})
-    return found.select(*ORIGIN, cells.alias("cells")).select("cells.*", *ORIGIN)
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    schema = ", ".join("`{}` string".format(n.replace("`", "``")) for n in reader.csv(path).columns)
+    found = reader.schema(schema).csv(path)
+    first, *others = (F.col("`{}`".format(n.replace("`", "``"))) for n in found.columns)
+    blank = first.isNotNull() & (F.trim(first) == "")
+    for cell in others:
+        blank &= cell.isNull()
+    place = [F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("record")]
+    return found.filter(~blank).select("*", *place)
 
 
 def clean_rows(df: DataFrame, strict_totals: bool = False) -> DataFrame:
@@ -127,15 +65,19 @@ def clean_rows(df: DataFrame, strict_totals: bool = False) -> DataFrame:
 
 
 def number_rows(cleaned: DataFrame, name: str) -> DataFrame:
-    """Adds ``row_pos`` = 1, 2, 3, … in file order without a global sort or a single task.
+    """Adds ``row_pos`` = 1, 2, 3, … in file order, without sorting or ranking rows.
 
-    The rows of each file block are ranked by record; the counts of the blocks, added up over the
-    cluster, give every block its starting position.
+    The rows are written once. Those of one export file lie one behind the other in a written file, whose row numbers
+    Parquet knows; what comes before them is summed over files only.
     """
-    stored = materialize(cleaned, name)
-    blocks = prefix_sums(stored.groupBy(*BLOCK).agg(F.count("*").alias("rows")), BLOCK, ["rows"]).drop("rows")
-    rank = F.row_number().over(Window.partitionBy(*BLOCK).orderBy("record"))
-    return stored.withColumn("rank", rank).join(blocks, BLOCK).withColumn("row_pos", F.col("before_rows") + F.col("rank")).drop(*ORIGIN, "rank", "before_rows")
+    columns = [c for c in cleaned.columns if c != "record"]
+    stored = materialize(cleaned.select(*[F.col("`{}`".format(c.replace("`", "``"))) for c in columns]), name)
+    written = stored.select("*", F.col("_metadata.file_name").alias("written_file"), F.col("_metadata.row_index").alias("written_row"))
+    keys = ["file_path", "written_file"]
+    files = written.groupBy(*keys).agg(F.count("*").alias("rows"), F.min("written_row").alias("first_row"))
+    files = prefix_sums(files, keys, ["rows"])
+    starts = materialize(files.select(*keys, (F.col("before_rows") - F.col("first_row") + 1).alias("start")), f"{name}-files")
+    return written.join(starts, keys).withColumn("row_pos", F.col("start") + F.col("written_row")).drop(*keys, "written_row", "start")
 
 
 def raw_paths(folder: str) -> dict[tuple[str, str], str]:

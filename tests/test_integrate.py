@@ -198,3 +198,26 @@ def test_byte_order_mark_before_quoted_header(spark, tmp_path):
     path.write_text('﻿"id","a\nlong name"\n"1","x"\n"2","y\nz"\n', encoding="utf-8")
     rows = read_raw_csv(spark, str(path)).orderBy("record").collect()
     assert [(r[0], r[1]) for r in rows] == [("1", "x"), ("2", "y\nz")]
+
+
+def test_an_unclosed_quote_costs_its_own_file_only(spark, tmp_path):
+    """Also rows of white space, missing and surplus cells, and files that tasks share in another order than their names."""
+    from spendaudit.sources.raw import clean_rows, number_rows, read_raw_csv
+
+    texts = {"a": "1,x\n2,y\n", "b": '3,z\n4,"never closed\n5,x\n6,y\n', "c": "   \n,\n7\n8,u,surplus\n" + "9,v\n" * 300, "d": ""}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text("id,text\n" + text)
+    df = number_rows(clean_rows(read_raw_csv(spark, str(tmp_path))), "unclosed")
+    rows = [(r.row_pos, r.id, r.text) for r in df.orderBy("row_pos").collect()]
+    assert [r[0] for r in rows] == list(range(1, 308))
+    assert [r[1:] for r in rows[:4]] == [("1", "x"), ("2", "y"), ("3", "z"), ("4", "never closed\n5,x\n6,y")]
+    assert [r[1:] for r in rows[4:8]] == [(None, None), ("7", None), ("8", "u"), ("9", "v")]
+
+
+def test_exports_are_written_once(spark, tmp_path):
+    """One scan of the files, no window and no sort of rows, before they are stored."""
+    from spendaudit.sources.raw import clean_rows, read_raw_csv
+
+    (tmp_path / "a.csv").write_text("id,text\n1,x\n")
+    plan = clean_rows(read_raw_csv(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan and plan.count("FileScan csv") == 1
