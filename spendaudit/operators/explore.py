@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
@@ -76,6 +79,59 @@ def page_after(df: DataFrame, score: str, last_score: float, last_id: str, page_
     return df.filter(later).orderBy(F.desc(score), tie).limit(page_size)
 
 
+@dataclass(frozen=True)
+class PageDirectory:
+    """Where the parts of an ordered list begin: the number of rows before each part, and the score and id of its first row."""
+
+    score: str
+    tie: str
+    total: int
+    before: list[int]
+    first: list[tuple[float | None, str]]
+
+
+def page_directory(df: DataFrame, score: str = "risk_score", tie: str = "work_id", rows_of_part: int = 100_000) -> PageDirectory:
+    """The directory of a list by descending score and ascending id, for pages by number.
+
+    Score and id are ranged over the cluster once, in parts of about ``rows_of_part`` rows; equal scores are parted by
+    the id, so no part grows with the ties. One row for each part comes to the driver. Ids must not be missing.
+    """
+    total = df.count()
+    parts = max(1, -(-total // rows_of_part))
+    ranged = df.select(F.col(score).cast("double").alias("s"), F.col(tie).alias("t")).repartitionByRange(parts, F.col("s").desc_nulls_last(), "t")
+    place = F.struct(F.col("s").isNull().alias("unscored"), (-F.col("s")).alias("falling"), "t")
+    found = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("rows"), F.min(place).alias("first")).orderBy("part").collect()
+    before = [0, *accumulate(r.rows for r in found)][:-1] if found else []
+    return PageDirectory(score, tie, total, before, [(None if r.first.unscored else -r.first.falling, r.first.t) for r in found])
+
+
+def _from(directory: PageDirectory, part: int) -> Column:
+    """Whether a row comes with or after the first one of a part."""
+    score, tie = F.col(directory.score), F.col(directory.tie)
+    at, first = directory.first[part]
+    if at is None:
+        return score.isNull() & (tie >= first)
+    return F.coalesce((score < at) | ((score == at) & (tie >= first)), F.lit(True))
+
+
+def numbered_page(df: DataFrame, directory: PageDirectory, page: int, page_size: int) -> DataFrame:
+    """A page by its number, as ``page_of`` gives it by descending score and ascending id. Only the parts that hold the page
+    are ranked, whatever its number; the directory must be of the same list."""
+    start = (page - 1) * page_size
+    part = bisect_right(directory.before, start) - 1
+    if part < 0 or start >= directory.total:
+        return df.limit(0)
+    behind = bisect_left(directory.before, start + page_size)
+    score = F.col(directory.score)
+    if behind < len(directory.before):
+        df = df.filter(~_from(directory, behind))
+        if directory.first[behind][0] is not None:  # all of the page has a score: in plain form, the filters reach the files
+            df = df.filter((score >= directory.first[behind][0]) & (score <= directory.first[part][0]))
+    if part > 0:
+        df = df.filter(_from(directory, part))
+    return df.orderBy(score.desc_nulls_last(), directory.tie).offset(start - directory.before[part]).limit(page_size)
+
+
 def works_explorer(works: DataFrame, page: int = 1, page_size: int = 50, **filters) -> DataFrame:
     return page_of(filter_works(works, **filters), [F.col("risk_score").desc_nulls_last()], page, page_size)
 

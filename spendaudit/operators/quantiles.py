@@ -17,6 +17,9 @@ from spendaudit.session import materialize
 
 # a sliver holds about this many rank errors of the sketch: a safe margin on both sides of the quantile
 SLIVER_SHARE = 16
+# different values that one task ranks, and parts that a sliver with more of them is divided into
+RANKED_AT_ONCE = 1_000_000
+PARTS = 64
 
 
 def exact_quantiles(
@@ -25,6 +28,7 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     accuracy: int = 10_000,
+    ranked_at_once: int = RANKED_AT_ONCE,
 ) -> DataFrame:
     """Linear-interpolated quantiles of several measures per group, as a small written table.
 
@@ -32,17 +36,54 @@ def exact_quantiles(
 
     A mergeable sketch first brackets each quantile (its rank error is at most n / accuracy), values
     outside the bracket are only counted, and just the bracketed sliver is ranked: a share of
-    16 / accuracy of a group, ties counted together. Groups of all sizes take this one way.
+    16 / accuracy of a group, ties counted together. A sliver with more than ``ranked_at_once`` different
+    values is bracketed again within itself until none has, so that no task ranks more, however large a group is.
     """
     by = list(by)
     pairs = F.array(
         *[F.struct(F.lit(m).alias("measure"), c.cast("double").alias("value")) for m, c in measures.items()]
     )
     values = df.select(*by, F.inline(pairs)).filter("value IS NOT NULL")
-    return materialize(_bracketed(values, [*by, "measure"], probs, accuracy), "quantiles")
+    return materialize(_bracketed(values, [*by, "measure"], probs, accuracy, ranked_at_once), "quantiles")
 
 
-def _bracketed(values, keys, probs, accuracy):
+def _narrowed(values: DataFrame, keys: list[str], brackets: DataFrame, accuracy: int, ranked_at_once: int) -> DataFrame:
+    """The brackets, drawn in until each holds few different values.
+
+    Of ``PARTS`` equal parts of the values within a bracket, the position's own and one more on either side
+    stay: the sketch's rank error is far smaller than a part.
+    """
+    grid = [i / PARTS for i in range(PARTS + 1)]
+    while True:
+        wide = brackets.filter("lo < hi")
+        inside = (
+            values.join(wide, keys)
+            .filter("value <= hi")
+            .groupBy(*keys, "prob_no")
+            .agg(
+                F.count_if(F.col("value") < F.col("lo")).alias("below"),
+                F.count_if(F.col("value") >= F.col("lo")).alias("rows"),
+                F.approx_count_distinct(F.when(F.col("value") >= F.col("lo"), F.col("value"))).alias("different"),
+                F.percentile_approx(F.when(F.col("value") >= F.col("lo"), F.col("value")), grid, max(accuracy, 100 * PARTS)).alias("grid"),
+            )
+        )
+        # a part must hold more than the two rows that a position lies between
+        inside = inside.filter((F.col("different") > ranked_at_once) & (F.col("rows") > 4 * PARTS))
+        inside = materialize(inside, "wide_brackets")
+        drawn = brackets.join(inside, [*keys, "prob_no"])
+        at = (F.floor("position") - F.col("below")) / F.col("rows") * PARTS
+        first, last = F.floor(at).cast("int") - 1, F.ceil(at).cast("int") + 1
+        lo = F.when(first > 0, F.greatest("lo", F.get("grid", first))).otherwise(F.col("lo"))
+        hi = F.when(last < PARTS, F.least("hi", F.get("grid", last))).otherwise(F.col("hi"))
+        drawn = drawn.select(*keys, "n", "prob_no", "position", lo.alias("lo"), hi.alias("hi"), F.col("lo").alias("was_lo"), F.col("hi").alias("was_hi"))
+        drawn = materialize(drawn, "drawn_brackets")
+        if drawn.filter("lo > was_lo OR hi < was_hi").isEmpty():
+            return brackets
+        rest = brackets.join(drawn.select(*keys, "prob_no"), [*keys, "prob_no"], "left_anti")
+        brackets = materialize(rest.unionByName(drawn.drop("was_lo", "was_hi")), "brackets")
+
+
+def _bracketed(values, keys, probs, accuracy, ranked_at_once):
     margin = SLIVER_SHARE / 2 / accuracy
     edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
     sketch = values.groupBy(*keys).agg(
@@ -65,6 +106,9 @@ def _bracketed(values, keys, probs, accuracy):
         ]
     )
     brackets = materialize(sketch.select(*keys, "n", F.inline(targets)), "brackets")
+    largest = brackets.agg(F.max("n")).first()[0] or 0
+    if largest * SLIVER_SHARE > ranked_at_once * accuracy:  # else no sliver can hold so many values
+        brackets = _narrowed(values, keys, brackets, accuracy, ranked_at_once)
 
     group = [*keys, "prob_no", "n", "position"]
     sliver = (

@@ -936,6 +936,14 @@ def works_explorer_total(spark, folder):
     return explore.page_total(explore.filter_works(audit(spark, folder).scored, chamber=fixed.LOWER_HOUSE, risk="REVIEW"), page_size=100)
 
 
+@query
+def works_by_page_number(spark, folder):
+    """A page far down a filtered list, found through the directory of its parts."""
+    works = explore.filter_works(audit(spark, folder).scored, chamber=fixed.LOWER_HOUSE)
+    directory = explore.page_directory(works, rows_of_part=500)
+    return explore.numbered_page(works, directory, page=9, page_size=70).select("work_id", "risk_score")
+
+
 @query
 def works_explorer_after(spark, folder):
     """The page after a given row, found by its score and id."""

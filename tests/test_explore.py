@@ -106,3 +106,31 @@ def test_pages_by_key_equal_pages_by_number(spark):
         walked += page
         last = page[-1]
     assert walked == listed
+
+
+@pytest.mark.parametrize("rows_of_part", [7, 1000])
+def test_pages_through_the_directory_equal_pages_by_offset(spark, tmp_path, rows_of_part):
+    """Many equal scores, missing scores at the end, pages that cross parts, pages behind the end."""
+    rows = [(f"w{i:03d}", None if i % 11 == 0 else float([1, 5, 5, 5, 5, 9, 3.25][i % 7])) for i in range(150)]
+    spark.createDataFrame(rows, "work_id string, risk_score double").repartition(5).write.parquet(str(tmp_path / "works"))
+    df = spark.read.parquet(str(tmp_path / "works"))
+    directory = explore.page_directory(df, rows_of_part=rows_of_part)
+    assert directory.total == 150 and len(directory.before) == (1 if rows_of_part > 150 else len(directory.first)) and directory.before == sorted(directory.before)
+    for size in (1, 10, 64):
+        for page in [1, 2, *range(3, 150 // size + 3, 4)]:
+            by_offset = explore.page_of(df, [F.desc_nulls_last("risk_score")], page, size).collect()
+            assert explore.numbered_page(df, directory, page, size).collect() == by_offset, (page, size)
+    assert explore.numbered_page(df.limit(0), explore.page_directory(df.limit(0)), 1, 5).collect() == []
+
+
+def test_a_deep_page_ranks_its_parts_only(spark, tmp_path):
+    spark.range(20_000).select(F.format_string("w%06d", "id").alias("work_id"), (F.col("id") % 997 / 10.0).alias("risk_score")).write.parquet(str(tmp_path / "works"))
+    df = spark.read.parquet(str(tmp_path / "works"))
+    directory = explore.page_directory(df, rows_of_part=200)
+    page = explore.numbered_page(df, directory, 1000, 10)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
+    assert "LessThanOrEqual(risk_score" in pushed and "GreaterThanOrEqual(risk_score" in pushed
+    limit = page._jdf.queryExecution().optimizedPlan().toString()
+    offset = int(limit.split("Offset ")[1].split()[0])
+    assert offset < 1000 and page.collect() == explore.page_of(df, [F.desc("risk_score")], 1000, 10).collect()

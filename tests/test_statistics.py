@@ -56,3 +56,28 @@ def test_rank_percentile_like_average_rank(spark, partitions):
 def test_rank_percentile_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "v double")
     assert df.select(percentile_rank(df, "v")).first()[0] is None
+
+
+@pytest.mark.parametrize("ranked_at_once", [3, 100, 1000])
+def test_slivers_are_drawn_in(spark, ranked_at_once):
+    """Every window ranks few values, with the same results; groups of one value, of few, and of many."""
+    data, probs = groups(4), [0.0, 0.33, 0.5, 0.9, 0.97, 1.0]
+    found = exact_quantiles(frame(spark, data), {"v": F.col("v")}, probs, ["g"], accuracy=200, ranked_at_once=ranked_at_once).collect()
+    assert len(found) == len(data)
+    for row in found:
+        np.testing.assert_allclose([row[f"q{i}"] for i in range(len(probs))], np.quantile(data[row.g], probs), rtol=1e-12, atol=1e-12)
+
+
+def test_one_large_group_with_a_low_limit(spark):
+    """Three million values of one group; at most a thousand are ranked in a task."""
+    from spendaudit.operators import quantiles
+
+    n = 3_000_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n).cast("double").alias("v"))
+    wide = quantiles.exact_quantiles(df, {"v": F.col("v")}, [0.25, 0.5, 0.9]).first()
+    low = quantiles.exact_quantiles(df, {"v": F.col("v")}, [0.25, 0.5, 0.9], ranked_at_once=1000).first()
+    assert wide == low and [low.q0, low.q1, low.q2] == [pytest.approx((n - 1) * p) for p in (0.25, 0.5, 0.9)]
+    values = df.select(F.lit("v").alias("measure"), F.col("v").alias("value"))
+    bracket = spark.createDataFrame([("v", n, 0, 0.5 * (n - 1), 0.0, float(n - 1))], "measure string, n long, prob_no int, position double, lo double, hi double")
+    drawn = quantiles._narrowed(values, ["measure"], bracket, 10_000, 1000).first()
+    assert drawn.lo <= 0.5 * (n - 1) <= drawn.hi and drawn.hi - drawn.lo < 1100
