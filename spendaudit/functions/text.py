@@ -87,6 +87,16 @@ def parse_date(text: Column) -> Column:
     return found
 
 
+def numeric_date(text: Column, day_first: bool) -> Column:
+    """Date of a text of three numbers with the year last, in the one order or the other; null for all other texts."""
+    day = F.regexp_replace(strip(text), fixed.TIME_OF_DAY_PATTERN, "")
+    found = F.lit(None).cast("date")
+    for shape, formats in fixed.DATE_SHAPES:
+        if len(formats) == 2 and formats[1].startswith("d"):
+            found = F.when(day.rlike(shape), _date(day, formats[day_first])).otherwise(found)
+    return found
+
+
 def _date(day: Column, form: str) -> Column:
     """Date in one format; years of two digits from 69 on are of the last century."""
     found = F.try_to_date(day, form)

@@ -47,6 +47,17 @@ def feature_vector(features: DataFrame, **options) -> list[Column]:
     return [*logged, *[filled[c].alias(c) for c in OTHER_FEATURES], lower.alias("is_lower_house")]
 
 
+def robust_scaled(vectors: DataFrame, columns: list[str], **options) -> list[Column]:
+    """Columns less their median, in units of the distance between their quartiles (1 where that is 0).
+
+    The forest needs no scaling (see ``feature_vector``); measures of distance do. Three quantiles for each column
+    come to the driver.
+    """
+    rows = exact_quantiles(vectors, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75], **options).collect()
+    found = {r.measure: (r.q1, (r.q2 - r.q0) or 1.0) for r in rows}
+    return [((F.col(c) - found[c][0]) / found[c][1] if c in found else F.col(c).cast("double")).alias(c) for c in columns]
+
+
 def digest(*parts: Column) -> Column:
     """Hexadecimal digits that any engine can draw from the same parts."""
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary"))

@@ -485,6 +485,8 @@ _CLEAN = {
     "total_row_filter": """SELECT CAST(p_partkey AS VARCHAR) AS part, CASE WHEN p_size = 21 THEN 'Totally ' || p_name WHEN p_size NOT IN (30, 31) THEN p_name END AS label, p_type AS type
       FROM part WHERE p_size NOT IN (7, 13)""",
     "amount_parsing": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderstatus <> 'F' AND o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice END AS amount FROM orders",
+    "date_order_of_files": """SELECT o_orderkey AS row_pos, CAST(o_orderdate AS DATE) AS sanction_date, CAST(o_orderdate AS DATE) AS completion_date,
+        CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS date_of_consent FROM orders""",
     "date_parsing": "SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
     "work_id_extraction": """SELECT o_orderkey, CASE o_orderstatus
         WHEN 'F' THEN 'WS/MP' || o_custkey || '/' || year(o_orderdate) || '-' || (year(o_orderdate) + 1) || '/' || o_orderkey
@@ -549,6 +551,16 @@ _FEATURES = {
     "rule_limits": "SELECT * FROM limits",
 }
 
+_MONEY = ("sanctioned_amount", "total_expenditure", "completion_amount")
+_OTHER = ("payment_count", "vendor_count", "vendor_concentration_score", "largest_payment_ratio", "duplicate_payment_count", "sanc_robust_zscore", "exp_robust_zscore")
+STEPS["vectors"] = (
+    "SELECT work_id, "
+    + ", ".join(f"ln(1 + greatest(0, coalesce({c}, (SELECT median({c}) FROM features)))) AS {c}" for c in _MONEY)
+    + ", "
+    + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM features))::DOUBLE AS {c}" for c in _OTHER)
+    + ", CASE WHEN parliament_house = 'Lok Sabha' THEN 1.0::DOUBLE ELSE 0 END AS is_lower_house FROM features"
+)
+
 _SCORES = {
     "audit_rules": "SELECT work_id, rule_score, array_to_string(rule_reasons, ' | ') AS rule_reasons FROM ruled",
     "rule_hits": " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) AS works, count(*) * {p} AS points FROM ruled WHERE {c} HAVING count(*) > 0" for n, c, p, _ in RULES),
@@ -557,6 +569,9 @@ _SCORES = {
     + ", "
     + ", ".join(f"round(coalesce({c}, (SELECT median({c}) FROM features)), 9)::DOUBLE AS {c}" for c in ("payment_count", "vendor_count", "vendor_concentration_score", "largest_payment_ratio", "duplicate_payment_count", "sanc_robust_zscore", "exp_robust_zscore"))
     + ", CASE WHEN parliament_house = 'Lok Sabha' THEN 1.0::DOUBLE ELSE 0 END AS is_lower_house FROM features",
+    "scaled_model_inputs": "SELECT work_id, "
+    + ", ".join(f"round(({c} - (SELECT quantile_cont({c}, 0.5) FROM vectors)) / (SELECT coalesce(nullif(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 0), 1) FROM vectors), 6) AS {c}" for c in (*_MONEY, *_OTHER, "is_lower_house"))
+    + " FROM vectors",
     "rank_percentiles": "SELECT work_id, ml_anomaly_score, ml_anomaly_percentile FROM ranked",
     "composite_scores": """SELECT work_id, stat_risk_score, risk_score, risk_level, rule_score > 0 AS has_rule_evidence, rule_score >= 75 AS has_strong_rule_evidence,
         stat_risk_score >= 70 AS has_strong_statistical_evidence, ml_anomaly_percentile >= 95 AS has_strong_ml_evidence FROM scored""",

@@ -184,6 +184,18 @@ def date_parsing(spark, folder):
     return bindings.table(spark, folder, "orders").select("o_orderkey", text.parse_date(written).alias("day"))
 
 
+@query
+def date_order_of_files(spark, folder):
+    """Dates of exports that write the day first, the month first, and the day first with a time, each read in its own order."""
+    day = F.col("o_orderdate")
+    export = bindings.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("row_pos"), F.date_format(day, "dd/MM/yyyy").alias("Sanction Date"), F.date_format(day, "M/d/yyyy").alias("Completion Date"),
+        F.when(F.col("o_custkey") % 5 != 0, F.date_format(day, "d.M.yyyy HH:mm")).otherwise("someday").alias("Date of Consent"),
+    )
+    settled = raw.settle_date_order(export)
+    return settled.select("row_pos", *[text.parse_date(F.col(f"`{c}`")).alias(c.lower().replace(" ", "_")) for c in settled.columns[1:]])
+
+
 @query
 def work_id_extraction(spark, folder):
     """Ids written in several ways inside other text."""
@@ -387,6 +399,14 @@ def model_inputs(spark, folder):
     return rounded(done.select("work_id", *forest.feature_vector(done)))
 
 
+@query
+def scaled_model_inputs(spark, folder):
+    """The model's columns around their medians, in units of the distance between their quartiles."""
+    done = audit(spark, folder).features
+    vectors = materialize(done.select("work_id", *forest.feature_vector(done)), "vectors")
+    return rounded(vectors.select("work_id", *forest.robust_scaled(vectors, vectors.columns[1:])), 6)
+
+
 @query
 def rank_percentiles(spark, folder):
     return audit(spark, folder).scored.select("work_id", "ml_anomaly_score", "ml_anomaly_percentile")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendaudit import fixed_values as fixed
-from spendaudit.functions.text import blank_to_null, is_total_row
+from spendaudit.functions.text import blank_to_null, is_total_row, numeric_date
 from spendaudit.session import materialize
 
 # where a row came from: file, and a number that grows with the place in it
@@ -80,6 +80,26 @@ def number_rows(cleaned: DataFrame, name: str) -> DataFrame:
     return written.join(starts, keys).withColumn("row_pos", F.col("start") + F.col("written_row")).drop(*keys, "written_row", "start")
 
 
+def settle_date_order(df: DataFrame) -> DataFrame:
+    """Date columns of an export in which the day comes first, rewritten with the year first; others as they are.
+
+    Texts like 07/12/2025 don't tell which number is the day. The order of a column is the one in which more of its texts
+    are dates, month first where both are as good: one day above 12 settles it for the whole file. One count for each column
+    and order comes to the driver.
+    """
+    dates = [c for c in df.columns if "date" in c.lower()]
+    cells = [F.col("`{}`".format(c.replace("`", "``"))) for c in dates]
+    if not cells:
+        return df
+    read = [F.count(numeric_date(c, day_first)).alias(f"{i}_{day_first:d}") for i, c in enumerate(cells) for day_first in (False, True)]
+    counts = df.agg(*read).first()
+    turned = {
+        name: F.coalesce(F.date_format(numeric_date(cell, True), "yyyy-MM-dd"), cell)
+        for i, (name, cell) in enumerate(zip(dates, cells)) if counts[f"{i}_1"] > counts[f"{i}_0"]
+    }
+    return df.withColumns(turned) if turned else df
+
+
 def raw_paths(folder: str) -> dict[tuple[str, str], str]:
     return {
         (code, kind): f"{folder}/{fixed.RAW_FOLDERS[code]}/{name}"
@@ -101,7 +121,7 @@ def load_raw(
 
     def one(item: tuple[tuple[str, str], str]) -> DataFrame:
         (code, kind), path = item
-        return number_rows(clean_rows(read_raw_csv(spark, path), strict_totals), f"raw_{code}_{kind}")
+        return settle_date_order(number_rows(clean_rows(read_raw_csv(spark, path), strict_totals), f"raw_{code}_{kind}"))
 
     found = paths or raw_paths(folder)
     with ThreadPoolExecutor(AT_ONCE) as pool:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spendaudit import AuditConfig
-from spendaudit.operators.forest import MONEY_FEATURES, OTHER_FEATURES, average_path, feature_vector, isolation_forest, normalized_scores
+from spendaudit.operators.forest import MONEY_FEATURES, OTHER_FEATURES, average_path, feature_vector, isolation_forest, normalized_scores, robust_scaled
 from spendaudit.session import materialize
 
 CONFIG = AuditConfig(trees=60, sample_size=128)
@@ -62,3 +62,14 @@ def test_small_and_empty_tables(spark):
 def test_average_path():
     assert [average_path(n) for n in (0, 1, 2)] == [0.0, 0.0, 1.0]
     assert average_path(256) == pytest.approx(10.244, abs=0.001)
+
+
+def test_robust_scaling(spark):
+    rng = np.random.default_rng(2)
+    values = np.column_stack([rng.lognormal(size=501), rng.integers(0, 9, 501), np.full(501, 3.0)])
+    df = spark.createDataFrame(values.tolist(), "a double, b double, c double")
+    got = np.array(df.select(*robust_scaled(df, ["a", "b", "c"])).collect())
+    low, middle, high = np.quantile(values, [0.25, 0.5, 0.75], axis=0)
+    np.testing.assert_allclose(got, (values - middle) / np.where(high > low, high - low, 1.0), rtol=1e-12, atol=1e-12)
+    nothing = spark.createDataFrame([(None,)], "a double")
+    assert nothing.select(*robust_scaled(nothing, ["a"])).collect()[0].a is None

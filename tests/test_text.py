@@ -144,3 +144,20 @@ def test_round_scaled_like_numpy(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r[0] for r in df.select(text.round_scaled(F.col("v"), 1)).collect()]
     assert got == np.round(np.array(values), 1).tolist()
+
+
+@pytest.mark.parametrize("written, wanted", [
+    (["13/07/2025", "07/12/2025", "1/2/2025 10:30"], ["2025-07-13", "2025-12-07", "2025-02-01"]),  # one day above 12 settles it
+    (["07/13/2025", "07/12/2025", "1-2-2025"], ["2025-07-13", "2025-07-12", "2025-01-02"]),
+    (["07/12/2025", "1.2.2025", "x"], ["2025-07-12", "2025-01-02", None]),  # both orders are as good
+    (["13/07/2025", "07/13/2025", "1/2/2025"], ["2025-07-13", "2025-07-13", "2025-01-02"]),  # the other order is tried, too
+    (["2025-01-02", "02-Jan-2025", None], ["2025-01-02", "2025-01-02", None]),
+])
+def test_order_of_dates_by_file(spark, written, wanted):
+    from spendaudit.sources.raw import settle_date_order
+
+    df = spark.createDataFrame([(i, t, "07/12/2025") for i, t in enumerate(written)], "row_pos long, `Sanction Date` string, status string")
+    settled = settle_date_order(df)
+    found = settled.select(text.parse_date(F.col("`Sanction Date`")).cast("string").alias("d"), "status").collect()
+    assert [r.d for r in found] == wanted and settled.columns == df.columns and {r.status for r in found} == {"07/12/2025"}
+    assert settle_date_order(df.limit(0)).collect() == [] and settle_date_order(df.select("status")).columns == ["status"]
