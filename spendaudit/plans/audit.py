@@ -25,6 +25,7 @@ from spendaudit.operators.monitors import (
 )
 from spendaudit.operators.rules import apply_rules, rule_limits
 from spendaudit.operators.scoring import composite_scores
+from spendaudit.operators.summary import work_summary
 from spendaudit.session import materialize
 from spendaudit.sources.raw import load_raw
 from spendaudit.sources.tables import data_quality, with_defaults, write_tables
@@ -87,6 +88,11 @@ class Audit:
     def explained(self) -> DataFrame:
         return materialize(explanations(self.monitored, self.duplicates.pairs, self.duplicates.members), "explained")
 
+    @cached_property
+    def summary(self) -> DataFrame:
+        """Sums and counts by chamber, state, category and level; overviews and reports of groups read this small table."""
+        return work_summary(self.scored)
+
     def quality_report(self) -> DataFrame:
         tables = {
             "works_master": (self.works, "Clean & Integrated"),

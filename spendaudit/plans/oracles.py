@@ -703,8 +703,19 @@ WORST_WORK = "(SELECT work_id FROM scored ORDER BY risk_score DESC, work_id LIMI
 _REPORTS = {
     "overview": OVERVIEW,
     "overview_of_chamber": OVERVIEW + " WHERE parliament_house = 'Rajya Sabha'",
+    "overview_from_summary": OVERVIEW + " WHERE parliament_house = 'Rajya Sabha'",
+    "work_summary": """SELECT parliament_house, state, work_category, risk_level, CAST(grouping(parliament_house, state, work_category, risk_level) AS INTEGER) AS cut, count(*) AS total_works,
+        count(work_id) AS named_works, round(coalesce(sum(sanctioned_amount), 0), 4) AS sanctioned, round(coalesce(sum(total_expenditure), 0), 4) AS expenditure,
+        round(coalesce(sum(completion_amount), 0), 4) AS completion, CAST(coalesce(sum(duplicate_payment_count), 0) AS BIGINT) AS duplicate_payment_count,
+        round(coalesce(sum(risk_score), 0), 4) AS score_sum, count(risk_score) AS scored_works, count(*) FILTER (WHERE coalesce(risk_level, 'NORMAL') = 'NORMAL') AS level_normal,
+        count(*) FILTER (WHERE risk_level = 'REVIEW') AS level_review, count(*) FILTER (WHERE risk_level = 'HIGH') AS level_high, count(*) FILTER (WHERE risk_level = 'CRITICAL') AS level_critical,
+        count(*) FILTER (WHERE risk_level IS NULL) AS level_missing, count(DISTINCT mp_id) AS members, count(DISTINCT state) AS states
+      FROM scored GROUP BY GROUPING SETS ((), (parliament_house), (state), (parliament_house, state), (work_category), (parliament_house, work_category),
+        (risk_level), (parliament_house, risk_level), (state, risk_level))""",
     "by_state": """SELECT state, state AS state_display, count(*) AS total_works, count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk, count(*) FILTER (WHERE risk_level = 'CRITICAL') AS critical,
         count(*) FILTER (WHERE risk_level = 'REVIEW') AS review, count(*) FILTER (WHERE risk_level = 'NORMAL') AS normal, sum(total_expenditure) AS expenditure, round(avg(risk_score), 9) AS risk_score FROM scored GROUP BY state""",
+    "by_state_from_summary": """SELECT state, state AS state_display, count(*) AS total_works, count(*) FILTER (WHERE risk_level = 'HIGH') AS high_risk, count(*) FILTER (WHERE risk_level = 'CRITICAL') AS critical,
+        count(*) FILTER (WHERE risk_level = 'REVIEW') AS review, count(*) FILTER (WHERE risk_level = 'NORMAL') AS normal, sum(total_expenditure) AS expenditure, round(avg(risk_score), 9) AS risk_score FROM scored GROUP BY state""",
     "top_states": "SELECT state AS state_display, sum(total_expenditure) AS expenditure, count(*) AS total_works FROM scored WHERE parliament_house = 'Lok Sabha' GROUP BY state ORDER BY expenditure DESC, state LIMIT 6",
     "state_summary": f"SELECT {SUMMARY} FROM scored WHERE state = 'NATION_5'",
     "state_members": STATE_5,

@@ -14,7 +14,7 @@ from spendaudit import fixed_values as fixed
 from spendaudit.config import AuditConfig
 from spendaudit.functions import text
 from spendaudit.operators import duplicates as dup
-from spendaudit.operators import explore, findings, forest, integrate, monitors, payments, quantiles, reports, rules, scoring, trends
+from spendaudit.operators import explore, findings, forest, integrate, monitors, payments, quantiles, reports, rules, scoring, summary, trends
 from spendaudit.plans import bindings
 from spendaudit.plans.audit import Audit
 from spendaudit.session import materialize, work_folder
@@ -773,6 +773,22 @@ def by_state(spark, folder):
     return rounded(explore.by_state(audit(spark, folder).scored))
 
 
+@query
+def work_summary(spark, folder):
+    """Sums and counts of every cut by chamber, state, category and level."""
+    return rounded(audit(spark, folder).summary, 4)
+
+
+@query
+def overview_from_summary(spark, folder):
+    return summary.overview(audit(spark, folder).summary, fixed.UPPER_HOUSE)
+
+
+@query
+def by_state_from_summary(spark, folder):
+    return rounded(summary.by_state(audit(spark, folder).summary))
+
+
 @query
 def top_states(spark, folder):
     return explore.top_states(audit(spark, folder).scored, fixed.LOWER_HOUSE).select("state_display", "expenditure", "total_works")

@@ -134,3 +134,40 @@ def test_a_deep_page_ranks_its_parts_only(spark, tmp_path):
     limit = page._jdf.queryExecution().optimizedPlan().toString()
     offset = int(limit.split("Offset ")[1].split()[0])
     assert offset < 1000 and page.collect() == explore.page_of(df, [F.desc("risk_score")], 1000, 10).collect()
+
+
+def test_reports_from_the_summary_equal_those_from_the_works(works):
+    """Missing states, levels, amounts and chambers included; one scan of the works."""
+    from spendaudit.operators import summary
+
+    works = works.withColumn("work_category", F.when(F.col("work_id") != "w2", F.concat(F.lit("Roads"), F.col("risk_level"))))
+    table = summary.work_summary(works)
+
+    def same(a, b):
+        assert sorted(map(repr, (r.asDict() for r in a.collect()))) == sorted(map(repr, (r.asDict() for r in b.select(*a.columns).collect())))
+
+    for chamber in (explore.ALL, LS, RS, "Neither"):
+        same(summary.overview(table, chamber), explore.overview(works, chamber))
+        same(summary.by_state(table, chamber), explore.by_state(works, chamber))
+        same(summary.top_states(table, chamber, 2), explore.top_states(works, chamber, 2))
+        chosen = explore.filter_works(works, chamber=chamber)
+        for column in ("state", "work_category", "risk_level"):
+            assert summary.frequencies(table, column, chamber).collect() == reports.frequencies(chosen, column).collect()
+    assert summary.state_performance(table).collect() == reports.state_performance(works).select(*summary.state_performance(table).columns).collect()
+    empty = summary.work_summary(works.limit(0))
+    same(summary.overview(empty), explore.overview(works.limit(0)))
+
+
+def test_the_summary_scans_the_works_once(works, tmp_path):
+    from spendaudit.operators import summary
+
+    works.withColumn("work_category", F.lit("Roads")).write.parquet(str(tmp_path / "works"))
+    stored = works.sparkSession.read.parquet(str(tmp_path / "works"))
+    seen = []
+    kept, summary.materialize = summary.materialize, lambda df, name: seen.append(df) or df
+    try:
+        summary.work_summary(stored)
+    finally:
+        summary.materialize = kept
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "work_description" not in plan
