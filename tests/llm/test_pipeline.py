@@ -1,5 +1,7 @@
+import hashlib
 import importlib
 import os
+import re
 import subprocess
 import sys
 
@@ -7,6 +9,9 @@ import pytest
 
 import corpus_pipeline
 from spendaudit.llm.decontaminate import keep_clean
+from spendaudit.llm.line_dedup import cut_lines, line_hashes
+from spendaudit.llm.quality_cnn import THRESHOLD, scorer, train
+from spendaudit.llm.queries import model_file
 from tests.llm.conftest import prose
 
 FOLDER = "/root/testdata/sf0.001"
@@ -60,6 +65,101 @@ def test_decontamination_goes_by_the_row(spark, folder):
     assert sorted(r.hash for r in several.collect()) == ["b", "d", "e", "f"]
 
 
+def brute_lines(rows, least=10):
+    """Every stretch of lines with enough words that a document with a smaller id has is cut; what is only such stretches goes."""
+    stretches, out = {}, []
+    for doc_id, text in rows:
+        hashes, words = line_hashes(text or "") if doc_id is not None else ([], [])
+        spans = [(a, b) for a in range(len(hashes)) for b in range(a + 1, len(hashes) + 1) if sum(words[a:b]) >= least]
+        for a, b in spans:
+            key = tuple(hashes[a:b])
+            stretches[key] = min(stretches.get(key, doc_id), doc_id)
+        out.append((doc_id, text, hashes, spans))
+    kept = []
+    for doc_id, text, hashes, spans in out:
+        cut = {k for a, b in spans if stretches[tuple(hashes[a:b])] < doc_id for k in range(a, b)}
+        edited = cut_lines(text, cut) if cut else text
+        if not cut or edited:
+            kept.append((doc_id, edited))
+    return kept
+
+
+def brute_near(rows):
+    """All pairs compared; of each component, the rows of its least id stay."""
+
+    def shingle_set(text):
+        words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [(doc_id, shingle_set(text)) for doc_id, text in rows if doc_id is not None]
+    into = {doc_id: doc_id for doc_id, _ in sets}
+
+    def root(i):
+        while into[i] != i:
+            i = into[i]
+        return i
+
+    for i, x in sets:
+        for j, y in sets:
+            if i < j and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                a, b = sorted((root(i), root(j)))
+                into[b] = a
+    return [(doc_id, text) for doc_id, text in rows if doc_id is None or root(doc_id) == doc_id]
+
+
+def brute_clean(rows, items):
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    windows = {tuple(w[i : i + 10]) for w in map(words, items) if w for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+
+    def hit(text):
+        w = words(text)
+        return any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+
+    return [(doc_id, text) for doc_id, text in rows if not hit(text)]
+
+
+def test_run_equals_brute_force(spark, folder, tmp_path):
+    """All five stages restated, over null and repeated ids, repeated rows, empty texts and columns with clashing names."""
+    import sentencepiece
+
+    block = "\n".join(prose(800 + k, 6) for k in range(4))  # lines too short to be a block on their own
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    rows += [(None, prose(300, 80)), (None, prose(301, 30) + " " + ITEM.upper()), (None, None), (None, prose(5, 120))]
+    rows += [(310, prose(310, 90)), (310, prose(311, 90)), (310, prose(311, 90))]  # an id with several texts, and a repeated row
+    rows += [(320, f"{prose(320, 40)}\n{block}"), (321, f"{block}\n{prose(321, 40)}"), (322, f"{prose(322, 60)}\n{prose(800, 6)}"), (323, block)]
+    chain = prose(330, 200).split()
+    rows += [(330 + k, " ".join(chain[8 * k :] + prose(340 + k, 8 * k).split())) for k in range(4)]  # each near the one before
+    rows += [(350, "\n".join([prose(350, 12)] * 3)), (351, f"x y\n{prose(350, 12)}\nz"), (352, " \n\t"), (353, "short text")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, hash long, cut string, score double, label int, component_id long"
+    target = str(tmp_path / "odd")
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or ""), 7, "c", 0.5, 1, 3) for i, t in rows], schema)
+    docs.repartition(6).write.parquet(f"{target}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{target}/{name}.parquet")
+    stored = spark.read.parquet(f"{target}/documents.parquet")
+    score = scorer(train(stored.select("doc_id", "text"), spark.read.parquet(f"{target}/labels.parquet")))
+    stages = [[(i, t) for i, t in rows if score(t) >= THRESHOLD]]
+    stages.append(brute_lines(stages[-1]))
+    stages.append(brute_near(stages[-1]))
+    stages.append(brute_clean(stages[-1], [ITEM]))
+    assert len(rows) > len(stages[0]) > len(stages[1]) > len(stages[2]) > len(stages[3]) > 60  # each stage decides something
+    library = sentencepiece.SentencePieceProcessor(model_file=model_file())
+    wanted = []
+    for doc_id, text in stages[-1]:
+        ids = library.encode(text or "")
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), library.decode(ids))]
+        wanted.append((doc_id, len(ids), *digests, ids))
+    found = [(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, list(r.ids)) for r in corpus_pipeline.run(spark, target).collect()]
+    assert sorted(found, key=repr) == sorted(wanted, key=repr)
+    seen = stored
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stage(spark, seen, target)
+        assert seen.columns == stored.columns, name
+
+
 def test_run_equals_the_stages_and_an_empty_table_stays_empty(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() > 55
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
