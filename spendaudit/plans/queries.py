@@ -14,7 +14,7 @@ from spendaudit import fixed_values as fixed
 from spendaudit.config import AuditConfig
 from spendaudit.functions import text
 from spendaudit.operators import duplicates as dup
-from spendaudit.operators import explore, findings, forest, integrate, monitors, payments, quantiles, reports, rules, scoring, summary, trends
+from spendaudit.operators import explore, findings, forest, integrate, monitors, payments, quantiles, reports, rules, scoring, search, summary, trends
 from spendaudit.plans import bindings
 from spendaudit.plans.audit import Audit
 from spendaudit.session import materialize, work_folder
@@ -987,6 +987,13 @@ def works_explorer_after(spark, folder):
     return df.select("work_id", "risk_score")
 
 
+@query
+def works_by_trigrams(spark, folder):
+    """All works with a text in their ids, names or descriptions, found through a table of trigrams."""
+    works = audit(spark, folder).scored
+    return search.search(works, search.trigram_table(works), "/1996/12").select("work_id", "risk_score")
+
+
 @query
 def works_of_district(spark, folder):
     """A district filter on a table that has districts."""

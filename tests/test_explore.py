@@ -171,3 +171,35 @@ def test_the_summary_scans_the_works_once(works, tmp_path):
         summary.materialize = kept
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "work_description" not in plan
+
+
+def test_search_by_trigrams_equals_the_scan(spark, tmp_path):
+    from spendaudit.operators import search
+
+    words = ["Road 100% done", "Übergang ROAD", "ro", "", None, "a_b*c (x)", "日本語の道", "ad done", "roadroadroad"]
+    rows = [(f"W/{i}", words[i % 9], ["Ann", None, "Roa Dd"][i % 3]) for i in range(60)]
+    df = spark.createDataFrame([*rows, ("W/1", "road twice", "x")], "work_id string, work_description string, mp_name string")
+    table = search.trigram_table(df)
+    for text in ("road", " ROAD ", "100%", "übergang", "a_b*c (", "日本語", "ro", "", "w/1", "nowhere", "roadx", "d done", "dro"):
+        got = sorted(map(repr, search.search(df, table, text).collect()))
+        assert got == sorted(map(repr, explore.contains_text(df, text, table.columns).collect())), text
+    empty = search.trigram_table(df.limit(0))
+    assert search.search(df.limit(0), empty, "road").collect() == []
+
+
+def test_a_search_reads_the_folders_of_its_trigrams(spark):
+    from spendaudit.operators import search
+
+    df = spark.range(3000).select(F.concat(F.lit("W/"), F.sha2(F.col("id").cast("string"), 256)).alias("work_id"))
+    table = search.trigram_table(df)
+    wanted = df.first().work_id[10:20]
+    found = search.search(df, table, wanted)
+    assert [r.work_id[10:20] for r in found.collect()] == [wanted]
+    grams = {wanted[i : i + 3] for i in range(8)}
+    counts = {r.gram: r.works for r in table.counts.collect() if r.gram in grams}
+    files = {r.folder: r.files for r in table.postings.groupBy("folder").agg(F.count_distinct(F.col("_metadata.file_path")).alias("files")).collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan parquet" in line]
+    assert any("folder" in s[s.index("PartitionFilters") :].split("]")[0] and "In(gram" in s for s in scans)
+    rarest = sorted(grams, key=lambda g: (counts[g], g))[:3]
+    assert len({search.crc32(g.encode()) % search.FOLDERS for g in rarest}) <= 3 < len(files)
