@@ -772,7 +772,7 @@ _REPORTS = {
     "works_of_district": "SELECT work_id, risk_score, concat_ws(' ', state, work_category) AS district FROM scored WHERE concat_ws(' ', state, work_category) = 'NATION_3 2-HIGH'",
     "works_search": "SELECT work_id, risk_score FROM scored WHERE contains(lower(work_id), '/1996/12') ORDER BY risk_score DESC, work_id LIMIT 500",
     "works_by_trigrams": "SELECT work_id, risk_score FROM scored WHERE " + " OR ".join(f"contains(lower({c}), '/1996/12')" for c in ("work_id", "mp_name", "work_description", "constituency")),
-    "works_without_district": "SELECT work_id, risk_score FROM scored WHERE false",
+    "works_without_district": "SELECT state, 0::BIGINT AS of_district, count(*) AS of_all FROM scored GROUP BY state",
     "works_by_page_number": "SELECT work_id, risk_score FROM scored WHERE parliament_house = 'Lok Sabha' QUALIFY row_number() OVER (ORDER BY scored.risk_score DESC NULLS LAST, work_id) BETWEEN 561 AND 630",
     "critical_queue": "SELECT work_id, risk_score, stat_risk_score FROM scored WHERE risk_level = 'CRITICAL' QUALIFY row_number() OVER (ORDER BY stat_risk_score DESC, work_id) BETWEEN 26 AND 50",
     "spending_outliers": "SELECT work_id, round(abs(exp_robust_zscore), 9) AS abs_exp_robust_zscore, risk_score FROM scored WHERE exp_robust_zscore IS NOT NULL ORDER BY abs(exp_robust_zscore) DESC, risk_score DESC, work_id LIMIT 25",

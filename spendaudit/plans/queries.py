@@ -1009,8 +1009,11 @@ def works_search(spark, folder):
 
 @query
 def works_without_district(spark, folder):
-    """A district filter on a table without districts finds nothing."""
-    return explore.works_explorer(audit(spark, folder).scored, district="Anywhere").select("work_id", "risk_score")
+    """A district filter on a table without districts finds nothing: works by state, of the district and of all."""
+    works = audit(spark, folder).scored
+    chosen = explore.filter_works(works, district="Anywhere").groupBy("state").agg(F.count("*").alias("of_district"))
+    every = works.groupBy("state").agg(F.count("*").alias("of_all"))
+    return every.join(chosen, "state", "left").select("state", F.coalesce("of_district", F.lit(0)).cast("long").alias("of_district"), "of_all")
 
 
 @query
