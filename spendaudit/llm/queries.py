@@ -235,6 +235,35 @@ FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 """
 
 
+# Every least run of lines with ten words that a smaller id holds goes, whichever pair of documents was aligned for it.
+_BLANK = "[\\x20\\x09-\\x0D]+"
+LINE_DEDUP = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS spot
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+worded AS (
+  SELECT doc_id, spot, regexp_replace(line, '^{_BLANK}|{_BLANK}$', '', 'g') AS line, len(list_filter(regexp_split_to_array(line, '{_BLANK}'), lambda w: w <> '')) AS n
+  FROM lines),
+placed AS (
+  SELECT doc_id, spot, line, row_number() OVER w AS i, sum(n) OVER w AS stop, sum(n) OVER w - n AS start
+  FROM worded WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY spot)),
+texts AS (SELECT doc_id, list(line ORDER BY i) AS ls FROM placed GROUP BY doc_id),
+runs AS (
+  SELECT a.doc_id, a.i AS i, b.i AS j FROM placed a ASOF JOIN placed b ON a.doc_id = b.doc_id AND a.start + 10 <= b.stop
+  UNION SELECT b.doc_id, a.i, b.i FROM placed b ASOF JOIN placed a ON a.doc_id = b.doc_id AND b.stop - 10 >= a.start),
+named AS (SELECT doc_id, i, j, md5(array_to_string(ls[i:j], chr(10))) AS run FROM runs JOIN texts USING (doc_id)),
+held AS (SELECT run, min(doc_id) AS first FROM named GROUP BY run),
+cut AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM named JOIN held USING (run) WHERE first < doc_id),
+gone AS (SELECT doc_id, spot FROM cut JOIN placed USING (doc_id, i)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY spot) AS text FROM lines ANTI JOIN gone USING (doc_id, spot) GROUP BY doc_id),
+edited AS (
+  SELECT g.doc_id, g.n, CASE WHEN g.n < len(t.ls) THEN k.text ELSE '' END AS text
+  FROM (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g JOIN texts t USING (doc_id) LEFT JOIN kept k USING (doc_id)),
+result AS (SELECT d.doc_id, coalesce(e.n, 0) AS n, CASE WHEN e.n IS NULL THEN d.text ELSE e.text END AS text FROM documents d LEFT JOIN edited e USING (doc_id))
+SELECT doc_id, n::BIGINT AS n_lines_cut, length(text)::BIGINT AS n_chars_kept, sha256(text) AS text_sha256 FROM result
+"""
+
+
 def merkle_sql(levels: int = 11, source_levels: int = 7) -> str:
     """Level by level, for up to 3 ** ``levels`` rows a source and 3 ** ``source_levels`` sources; a complete tree stays as it is.
     The crc32 of the decimal id is worked out bit by bit."""
@@ -288,7 +317,7 @@ FROM top_climb_{source_levels - 1}, top_{source_levels}
 
 
 ORACLES = {
-    "op5_chat_format": CHATS, "op6_jaccard_join": JACCARD, "op7_decontaminate": DECONTAMINATION, "op8_warc": WARC,
+    "op3_line_dedup": LINE_DEDUP, "op5_chat_format": CHATS, "op6_jaccard_join": JACCARD, "op7_decontaminate": DECONTAMINATION, "op8_warc": WARC,
     "op9_license_rules": licences_sql(), "op11_collocations": COLLOCATIONS,
     "op12_merkle_manifest": merkle_sql(),
 }
