@@ -101,3 +101,47 @@ def test_repeats():
 
 def test_empty_table(make_docs):
     assert compression_bands(make_docs()).collect() == []
+
+
+def brute_verdict(text):
+    """kept and the kind of rejection, from a table of limits by length."""
+    limits = {256: (1.1, 3.0), 512: (1.2, 3.2), 1024: (1.3, 3.6), 2048: (1.4, 4.0), 4096: (1.5, 4.5), 16384: (1.6, 5.0), 65536: (1.7, 6.0)}
+
+    def side(data):
+        least = max((n for n in limits if n <= len(data)), default=None)
+        if least is None:
+            return "ok"
+        ratio = len(data) / len(zstandard.compress(data, 3))
+        return "low" if ratio < limits[least][0] else "high" if ratio > limits[least][1] else "ok"
+
+    data = (text or "").encode()
+    if brute(text)[-1]:
+        return False, "base"
+    if side(data) != "ok":
+        return False, {"low": "incompressible", "high": "repetitive"}[side(data)]
+    sides = [side(data[i : i + 4096]) for i in range(0, len(data), 4096)]
+    bad = sum(s != "ok" for s in sides)
+    in_a_row = any(all(s != "ok" for s in sides[i : i + 4]) for i in range(len(sides) - 3))
+    if in_a_row or bad > len(sides) / 2 or bad * bad > len(sides):
+        return False, "incompressible chunks" if sides.count("low") >= sides.count("high") else "repetitive chunks"
+    return True, None
+
+
+def test_verdict_equals_brute_force(make_docs):
+    """Prose with stretches of random, encoded and looped text of all lengths and places, and lengths around every limit."""
+    pick = random.Random(11)
+    texts = [None, "", *(prose(i, 400)[:n] for i, n in enumerate([255, 256, 257, 511, 512, 1023, 1024, 2047, 2048]))]
+    for i in range(160):
+        parts = []
+        for _ in range(pick.randrange(1, 7)):
+            kind, size = pick.randrange(4), pick.choice([300, 1500, 5000, 9000, 30_000])
+            noise = base64.b64encode(pick.randbytes(size)).decode()[:size]
+            looped = prose(i, 30) * (size // 100)
+            spaced = " ".join(noise[k : k + 9] for k in range(0, size, 9))
+            parts.append([prose(i * 10 + len(parts), size // 8), noise, looped[:size], spaced][kind])
+        texts.append(" ".join(parts))
+    counted = [" ".join("y" * 40 + str(k) for k in range(n)) for n in (60, 200, 900)]  # no words repeat, most of their letters do
+    texts += [*counted, prose(900, 9000) + " " + counted[1], prose(901, 9000) + " " + counted[2]]
+    got = {r.doc_id: (r.kept, r.reason) for r in compression_bands(make_docs(*texts)).collect()}
+    want = {i: brute_verdict(t) for i, t in enumerate(texts)}
+    assert got == want and {w[1] for w in want.values()} == {None, "base", "incompressible", "repetitive", "incompressible chunks", "repetitive chunks"}

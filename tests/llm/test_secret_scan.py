@@ -85,3 +85,61 @@ def test_values_on_the_next_line():
 
 def test_empty_table(make_docs):
     assert secret_scan(make_docs()).collect() == []
+
+
+def brute_novel(text):
+    """Every string of the text against every sensitive word, in order; each place is taken once."""
+    import zstandard
+
+    from spendaudit.llm.secret_scan import IDENTIFIERS
+
+    strings = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text)]
+    words = [m.end() for m in re.finditer(r"(?ia)passw|secret|token|api_?key|credential|private|bearer|auth", text)]
+    base = [m.span() for m in re.finditer(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
+    base += [m.span() for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18] + [m.span() for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    found, taken = [], 0
+    for end in words:
+        if end < taken:
+            continue
+        reach = end + 64
+        for k in range(end, min(len(text), end + 64)):
+            if text[k] == "\n" and not (text[end:k].rstrip(" \t\r") or " ")[-1] in "-:=|>\\([{,+":
+                reach = k
+                break
+        for a, b in strings:
+            start = max(a, end)
+            if b <= start or start >= reach or start < taken:
+                continue
+            taken = b
+            if start == end:
+                rest = text[start:b]
+                start += len(rest) - len(rest[rest.index("=") :].lstrip("=")) if "=" in rest else len(rest)
+            string = text[start:b]
+            if len(string) < 16 or sum(c in "0123456789" for c in string) < 2 or any(x < b and start < y for x, y in base):
+                continue
+            behind_name = string.partition("=")[2]
+            copy = behind_name if len(behind_name) >= 16 else string
+            blank = " " * len(copy)
+            before = text[max(0, start - 512 - len(string)) : start].replace(copy, blank)
+            after = text[b : b + 512 + len(string)].replace(copy, blank)
+            prior = IDENTIFIERS + b"\n" + (before[-512:] + after[:512]).encode()
+            tool = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(prior, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+            if len(tool.compress(string.encode())) - len(tool.compress(b"")) >= 0.7 * len(string):
+                found.append((start, b))
+    return found
+
+
+def test_novel_spans_equal_brute_force():
+    """Words, names, keys, hexadecimal and base64 strings, copies, marks and line breaks in any order."""
+    pick = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(pick.choice(letters) for _ in range(pick.randrange(12, 45))) for _ in range(30)]
+    parts = ["token", "private", "Bearer ", "auth", "AUTH_KEY=", "secret = ", "password", "credential", "api_key: ", "connection_string_default_1_2", "Ünïcode", "x", "AKIA", "0123456789abcdef0123"]
+    marks = [" ", " ", " ", "\n", ":\n", "=", "==", ": ", "-----\n", "\r\n", ", ", "_", '"']
+    several = 0
+    for _ in range(400):
+        text = "".join(pick.choice([*parts, *pick.sample(keys, 6)]) + pick.choice(marks) for _ in range(pick.randrange(1, 60)))
+        got = [(s["start"], s["end"]) for s in find_secrets(NoveltyRules())(0, text)[-1] if s["kind"] == "novel"]
+        assert sorted(got) == sorted(brute_novel(text)), text
+        several += len(got) > 1
+    assert several > 100
