@@ -290,7 +290,9 @@ def phrase_counts(texts: DataFrame, width: int, told, least_count: int) -> DataF
         yield from emitted()
 
     found = texts.mapInArrow(run, ", ".join(f"{n} {'string' if n == 'lang' else 'long'}" for n in names))
-    return found.groupBy(*names[:-1]).agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
+    # each task's counts are summed already, so a second sum before the shuffle would only hold them all in memory
+    dealt = found.repartition(*names[:-1])
+    return dealt.groupBy(*names[:-1]).agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
 def frequent_words(texts: DataFrame, least_count: int, keys=word_counts) -> tuple[DataFrame, DataFrame, int]:
