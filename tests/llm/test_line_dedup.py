@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spendaudit.llm.line_dedup import common_lines, cut_lines, dedup_lines, every_common_line, least_runs, line_hashes, patience
+from spendaudit.llm.line_dedup import common_lines, common_runs, cut_lines, dedup_lines, least_runs, line_hashes, patience
 from tests.llm.conftest import prose
 
 
@@ -10,22 +10,6 @@ def run(docs, **options):
     return {r.doc_id: r for r in dedup_lines(docs, flag="n_cut", **options).collect()}
 
 
-def brute(texts, least=10):
-    """Every pair of a document and the earliest holder of one of its lines, with the same alignment."""
-    lines = {i: line_hashes(t) for i, t in texts.items() if t}
-    holders = {}
-    for i in sorted(lines):
-        for h in lines[i][0]:
-            holders.setdefault(h, []).append(i)
-    out = {}
-    for i, t in texts.items():
-        cut = set()
-        for e in {holders[h][0] for h in lines.get(i, ([], []))[0]} - {i}:
-            cut |= set(common_lines(lines[i][0], lines[e][0], lines[i][1], least))
-        out[i] = cut_lines(t, cut) if cut else t
-    return out
-
-
 def test_patience_aligns_unique_lines_in_order():
     assert patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert patience([5, 1, 5, 2, 5], [1, 5, 2]) == [(1, 0), (2, 1), (3, 2)]
@@ -60,20 +44,67 @@ def test_odd_rows(make_docs):
     rows = dedup_lines(docs, flag="n_cut").collect()
     got = sorted((r.doc_id or -1, r.text, r.n_cut) for r in rows if r.text is not None)
     assert [r.text for r in rows if r.doc_id == 3] == [None] and len(rows) == 10
-    assert got == [(-1, copy, 0), (1, copy, 0), (1, copy, 0), (2, "", 1), (4, "", 0), (5, "\n \n", 0), (6, copy + "\n" + copy, 1), (7, "a b", 0), (8, "a b", 0)]
+    assert got == [(-1, copy, 0), (1, copy, 0), (1, copy, 0), (2, "", 1), (4, "", 0), (5, "\n \n", 0), (6, "", 3), (7, "a b", 0), (8, "a b", 0)]
 
 
-def test_random_documents_match_brute_force(make_docs):
+def test_random_documents_match_brute_force_whatever_is_rare(make_docs):
     pick = random.Random(8)
     pool = [prose(100 + k, pick.randrange(1, 14)) for k in range(60)]
     texts = {i: "\n".join(pick.choice(pool) for _ in range(pick.randrange(1, 12))) for i in range(120)}
     copied = [texts[k] for k in range(0, 120, 9)]
     texts |= {200 + k: t for k, t in enumerate(copied)}
-    docs = make_docs(*texts.items())
-    want = brute(texts)
-    assert {i: r.text for i, r in run(docs, rare_holders=1000).items()} == want
-    frequent = {i: r.text for i, r in run(docs, rare_holders=0).items()}  # only pairs with enough shared words
-    assert all(len(frequent[i]) >= len(want[i]) for i in want)
+    docs, want = make_docs(*texts.items()), every_block(texts)
+    for rare_holders in (1000, 6, 0):  # pairs by single lines only, by both, by runs only
+        assert {i: r.text for i, r in run(docs, rare_holders=rare_holders).items()} == want
+
+
+def test_common_runs_match_brute_force():
+    pick = random.Random(4)
+    for _ in range(300):
+        a, b = ([pick.randrange(4) for _ in range(pick.randrange(14))] for _ in range(2))
+        words = [pick.randrange(1, 6) for _ in a]
+        held = {tuple(b[i:j]) for i in range(len(b)) for j in range(i + 1, len(b) + 1)}
+        want = {}
+        for j in range(1, len(a) + 1):
+            if starts := [i for i in range(j) if tuple(a[i:j]) in held]:
+                want[j] = starts[0]
+        got = common_runs(a, b, words)
+        assert {i + n: i for _, i, _, n, _ in got} == want
+        for w, i, j, n, kind in got:
+            assert a[i : i + n] == b[j : j + n] and w == sum(words[i : i + n])
+            assert all((tuple(a[i : i + n]) == tuple(a[k : k + m])) == (kind == other) for _, k, _, m, other in got)
+
+
+def test_alignment_leaves_no_common_block():
+    pick = random.Random(5)
+    for _ in range(2000):
+        size = pick.choice((3, 6, 20))
+        a, b = ([pick.randrange(size) for _ in range(pick.randrange(25))] for _ in range(2))
+        weight = [pick.randrange(1, 13) for _ in range(size)]
+        words = [weight[h] for h in a]
+        held = {tuple(b[i:j]) for i in range(len(b)) for j in range(i + 1, len(b) + 1)}
+        spans = [(i, j) for i in range(len(a)) for j in range(i + 1, len(a) + 1) if sum(words[i:j]) >= 10]
+        assert common_lines(a, b, words, 10) == sorted({k for i, j in spans if tuple(a[i:j]) in held for k in range(i, j)})
+        found = patience(a, b, words, 10)
+        assert all(a[i] == b[j] for i, j in found) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
+
+
+def test_every_cut_comes_from_an_alignment(monkeypatch):
+    hashes, words = [7, 8, 9, 7, 8], [10] * 5
+    assert common_lines(hashes, [9, 7, 8], words, 10) == [0, 1, 2, 3, 4]
+    calls = []
+    monkeypatch.setattr("spendaudit.llm.line_dedup.patience", lambda *given: calls.append(given) or patience(*given))
+    assert common_lines([1, 2, 3, 4], [3, 4, 1, 2], [10] * 4, 10) == [0, 1, 2, 3] and len(calls) == 2  # once more for the other order
+    assert patience([1, 2, 1, 2, 3, 3], [3, 3, 1, 2, 1, 2], [10] * 6, 10) == [(0, 2), (1, 3), (2, 4), (3, 5)]  # a gap without unique lines
+
+
+def test_long_documents_in_other_orders_and_with_repeats():
+    lines = list(range(4000))
+    random.Random(2).shuffle(lines)
+    assert len(common_lines(lines, list(range(4000)), [10] * 4000, 10)) == 4000
+    assert len(common_lines(lines[::-1], lines, [10] * 4000, 10)) == 4000
+    assert len(common_lines([1] * 20_000, [1] * 300, [10] * 20_000, 10)) == 20_000
+    assert len(common_lines([1, 2] * 10_000, [0, 1, 2], [5] * 20_000, 10)) == 20_000
 
 
 def test_one_line_in_every_document(make_docs):
@@ -99,7 +130,7 @@ def test_blocks_go_whoever_holds_their_lines_singly(make_docs):
         11: "\n".join([*short[2:], "z", *short[:2]]), 12: "\n".join(short), 13: "\n".join([*short, "w"]),
         31: prose(630, 5), 32: prose(631, 5), 33: prose(630, 5) + "\n" + prose(631, 5), 34: prose(630, 5) + "\n" + prose(631, 5) + "\nv",
     }
-    got = {i: r.text for i, r in run(make_docs(*docs.items()), every_block=True).items()}
+    got = {i: r.text for i, r in run(make_docs(*docs.items())).items()}
     assert got[3] == "x" and got[4] == "y"  # each line is a block of its own
     assert got[12] == docs[12] and got[13] == "w"  # 11 has the lines in another order and in pieces under ten words
     assert got[33] == docs[33] and got[34] == "v"  # 31 and 32 have the lines singly
@@ -115,16 +146,16 @@ def test_least_runs_match_brute_force():
         assert least_runs(n, 10) == sorted(want)
 
 
-def test_lines_of_many_holders_and_odd_rows_with_every_block(make_docs):
+def test_lines_of_many_holders_and_rows_that_repeat_an_id(make_docs):
     line, copy = prose(50, 15), prose(5, 40)
-    got = run(make_docs(*[f"{line}\n{prose(1000 + i, 20)}" for i in range(300)]), every_block=True)
+    got = run(make_docs(*[f"{line}\n{prose(1000 + i, 20)}" for i in range(300)]))
     assert got[0].n_cut == 0 and all(got[i].text == prose(1000 + i, 20) for i in range(1, 300))
     docs = make_docs((1, copy), (1, copy), (2, copy), (None, copy), (3, None), (4, ""), (5, "\n \n"), (7, "a b"), (8, "a b"))
-    rows = dedup_lines(docs, flag="n_cut", every_block=True).collect()
+    rows = dedup_lines(docs, flag="n_cut").collect()
     assert sorted((r.doc_id or -1, r.text or "", r.n_cut) for r in rows) == [
         (-1, copy, 0), (1, copy, 0), (1, copy, 0), (2, "", 1), (3, "", 0), (4, "", 0), (5, "\n \n", 0), (7, "a b", 0), (8, "a b", 0),
     ]
-    assert dedup_lines(make_docs(), every_block=True).collect() == []
+    assert dedup_lines(make_docs()).collect() == []
 
 
 def every_block(texts, least=10):
@@ -147,14 +178,14 @@ def test_no_common_block_is_left(make_docs):
     texts |= {200 + k: texts[9 * k] for k in range(14)}
     few = [prose(300 + k, pick.randrange(2, 7)) for k in range(6)]  # lines that repeat on both sides
     texts |= {300 + i: "\n".join(pick.choice(few) for _ in range(12)) for i in range(30)}
-    got = {i: r.text for i, r in run(make_docs(*texts.items()), every_block=True).items()}
+    got = {i: r.text for i, r in run(make_docs(*texts.items())).items()}
     assert got == every_block(texts)
 
 
 def test_other_orders_and_repeats_of_blocks(make_docs):
     a, b, c = (prose(640 + k, 12) for k in range(3))
     docs = make_docs((1, f"{a}\n{b}\n{c}"), (2, f"{c}\nx\n{b}\n{a}"), (3, "\n".join([a] * 3)), (4, f"{c}\n{c}\ny\n{c}"), (5, f"{a}\n{b}\n{c}"))
-    got = {i: r.text for i, r in run(docs, every_block=True).items()}
+    got = {i: r.text for i, r in run(docs).items()}
     assert got[2] == "x" and got[3] == "" and got[4] == "y" and got[5] == ""
     hashes = list(range(500))  # far more blocks than one rising chain
-    assert every_common_line(hashes[::-1], hashes, [10] * 500, 10) == hashes
+    assert common_lines(hashes[::-1], hashes, [10] * 500, 10) == hashes
