@@ -4,8 +4,9 @@ Encoding keeps an agenda of adjacent symbol pairs, ordered by the score of the p
 pair is merged, its new neighbours enter the agenda, until no pair forms a piece. Symbols that are no piece fall back to byte
 pieces. No piece of such a vocabulary holds the space mark after another character (checked when the vocabulary is loaded), so
 no merge crosses from a word into the next space: texts are cut there, and a word that a Python worker has met before is not
-encoded again. In every Arrow batch the words new to the worker, and every text with runs of spaces or marks as a whole, are
-compared with the sentencepiece library, ids and decoded text; a difference raises an error.
+encoded again. A new word is cut where signs and other characters meet that share no piece of the vocabulary,
+and only parts that the worker has not met go through the agenda. In every Arrow batch the words new to the worker, and every text with runs of spaces or marks as a whole, are
+compared with the sentencepiece library, ids and decoded text (a word's is the library's own); a difference raises an error.
 
 Results for odd input: a null text counts as empty; an empty text has no ids, the digest of the empty string, and decodes to
 the empty string; very long texts are cut at spaces like all others, and a stretch without spaces takes n log n steps; equal
@@ -14,8 +15,12 @@ rows give equal results, one row each; an empty table gives an empty table; othe
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import repeat
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +30,10 @@ from spendaudit.llm.common import SLICE_ROWS, id_and_text, sha256_hex
 
 MARK = "▁"
 
-#: Words whose ids a worker remembers in each of two generations. Memory only: no result depends on it.
+#: Words are cut between these, with the characters that share a piece with one of them, and all other characters.
+SIGNS = frozenset(chr(c) for c in range(128) if not chr(c).isalnum())
+
+#: Words and parts whose ids a worker remembers in each of two generations. Memory only: no result depends on it.
 REMEMBERED = 250_000
 #: Longer words are encoded each time, and with a heap; the agenda of shorter ones is a plain list.
 SHORT = 40
@@ -51,7 +59,9 @@ class Vocabulary:
         if sp.decode(sp.encode(" a  ﬁ")) != " a  ﬁ":
             raise ValueError("only vocabularies that leave the text as it is")
         self.byte_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
-        self.words = Memory(self)
+        self.cut = parts_pattern(self.ids).findall
+        self.new: dict[str, list[int]] = {}
+        self.parts, self.words = Memory(self.encode_stretch), Memory(self.encode_word)
 
     def pieces(self, stretch: str) -> list[str]:
         """Merge the best-scored adjacent pair, leftmost first, until none forms a piece."""
@@ -59,7 +69,7 @@ class Vocabulary:
 
     def _by_list(self, symbols: list[str]) -> list[str]:
         cost, never = self.costs.get, float("inf")
-        agenda = [cost(a + b, never) for a, b in zip(symbols, symbols[1:])]
+        agenda = list(map(cost, map(add, symbols, symbols[1:]), repeat(never)))
         while agenda:
             best = min(agenda)
             if best == never:
@@ -105,6 +115,14 @@ class Vocabulary:
                 ids.append(found)
         return ids
 
+    def encode_word(self, word: str) -> str:
+        """Ids of a word without marks, joined by commas."""
+        ids: list[int] = []
+        for part in self.cut(MARK + word):
+            ids += self.parts[part]
+        self.new[word] = ids
+        return ",".join(map(str, ids))
+
     def decode(self, ids: list[int]) -> str:
         """Pieces put together, byte pieces read as UTF-8, marks as spaces, without the mark before the text."""
         data = b"".join(self.byte_of.get(i) or self.names[i].encode("utf-8") for i in ids)
@@ -132,36 +150,44 @@ class Vocabulary:
 
     def compare_new(self) -> None:
         """Hold the words met since the last call against the library."""
-        new, self.words.new = self.words.new, {}
+        new, self.new = self.new, {}
         if new:
             known = self.library.encode(list(new), num_threads=1)
             decoded = self.library.decode(known)
             for (word, ids), theirs, back in zip(new.items(), known, decoded):
-                if ids != theirs or self.decode(ids) != back or back != word:
+                if ids != theirs or back != word:
                     raise AssertionError(f"the agenda and the library disagree on {word[:80]!r}")
 
 
 class Memory(dict):
-    """Word to its ids joined by commas; when full, the words of the generation before last are forgotten."""
+    """Results of ``make`` by text; when full, those of the generation before last are forgotten."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, make: Callable):
         super().__init__()
-        self.vocabulary, self.older, self.new = vocabulary, {}, {}
+        self.make, self.older = make, {}
 
-    def __missing__(self, word: str) -> str:
-        found = self.older.get(word)
+    def __missing__(self, text: str):
+        found = self.older.get(text)
         if found is None:
-            ids = self.vocabulary.encode_stretch(MARK + word)
-            self.new[word] = ids
-            found = ",".join(map(str, ids))
-        if len(word) <= SHORT:
+            found = self.make(text)
+        if len(text) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
                 self.clear()
-            self[word] = found
+            self[text] = found
         return found
 
 
+def parts_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Runs of signs, and of other characters with the mark before them, such that no piece reaches from one into the next."""
+    pairs = {pair for piece in pieces for pair in zip(piece, piece[1:]) if MARK not in pair}
+    signs = set(SIGNS)
+    while joined := {c for pair in pairs if len(signs.intersection(pair)) == 1 for c in pair} - signs:
+        signs |= joined
+    kind = "".join(map(re.escape, sorted(signs - {MARK})))
+    return re.compile(f"{MARK}?[^{kind}{MARK}]+|{MARK}?[{kind}]+|{MARK}")
+
+
 def _stretches(marked: str) -> list[str]:
     """Cut before every run of marks: no piece reaches from another character into a mark."""
     cut, start = [], 0

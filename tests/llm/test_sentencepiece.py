@@ -3,6 +3,7 @@ import hashlib
 import pytest
 import sentencepiece
 
+from spendaudit.llm import sentencepiece_codec
 from spendaudit.llm.queries import model_file
 from spendaudit.llm.sentencepiece_codec import Vocabulary, encode_documents
 from tests.llm.conftest import prose
@@ -54,3 +55,19 @@ def test_forgetting_changes_nothing(monkeypatch):
 
 def test_empty_table(make_docs):
     assert encode_documents(make_docs(), model_file()).collect() == []
+
+
+def test_words_that_differ_in_their_marks_share_parts(monkeypatch):
+    pieces = Vocabulary(model_file())
+    seen = []
+    monkeypatch.setattr(pieces.parts, "make", lambda part: seen.append(part) or pieces.encode_stretch(part))
+    for text in ("word word, word. word,word\nword_x1 #word", "(word) ...word\tword!? _word_ 3word"):
+        assert [int(i) for i in pieces.encode(text)[0].split(",")] == pieces.library.encode(text)
+        pieces.compare_new()
+    assert seen.count("▁word") == 1 and seen.count("word") == 1
+
+
+def test_no_piece_reaches_across_a_cut():
+    assert sentencepiece_codec.parts_pattern(["▁a", "ab", "..", "."]).findall("▁ab..a") == ["▁ab", "..", "a"]
+    assert sentencepiece_codec.parts_pattern(["▁a", "².", "."]).findall("▁ab².a") == ["▁ab", "².", "a"]
+    assert sentencepiece_codec.parts_pattern(["▁a", "a.", "ab"]).findall("▁ab.a") == ["▁ab.a"]
