@@ -260,3 +260,22 @@ def test_letter_bounds(spark):
     df = spark.createDataFrame([("abca 1", "cab 12"), ("", "a")], "l string, r string")
     counts = df.select(dup.letter_counts("l").alias("x"), dup.letter_counts("r").alias("y"))
     assert [r.n for r in counts.select(dup.common_letters("x", "y").alias("n")).collect()] == [5, 0]
+
+
+@pytest.mark.parametrize("config", [BLOCKS, AuditConfig(meet="words", text_measure="words"), AuditConfig(meet="both")])
+def test_pairs_of_nodes_are_formed_once_and_never_made_distinct(make_works, config):
+    """Texts that meet in many words and in both signatures; works on both sides of the borders between bins."""
+    text = "aaaa bbbb cccc culvert library pipeline school temple wall yard"
+    rows = [
+        {"work_id": f"w{i:03d}", "work_description": f"{text} zone{'abc'[i % 3]}", "sanctioned_amount": 1000.0 * 1.01 ** (i % 17), "sanction_date": D(2023, 1, 1) + dt.timedelta(days=7 * (i % 11))}
+        for i in range(150)
+    ]
+    prepared = dup.materialize(dup.prepare(make_works(*rows), config), "prepared")
+    formed = dup.similar_nodes(prepared, config)
+    plan = formed._jdf.queryExecution().executedPlan().toString()
+    assert "normtext" not in plan and "Aggregate" not in plan
+    found = [(r.work_id_a, r.work_id_b) for r in formed.collect()]
+    wanted = {(r.work_id_a, r.work_id_b) for r in dup.meeting_pairs(prepared, config).collect()}
+    assert len(wanted) > 100 and len(found) == len(set(found)) and set(found) == wanted
+    listed = dup.similar_pairs(prepared, config, briefs=False)
+    assert listed.select("work_a.*").columns == ["work_id"] and listed.count() == len(wanted)
