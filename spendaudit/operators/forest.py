@@ -212,4 +212,5 @@ def ranking_model(column: str):
     def model(features: DataFrame, config: AuditConfig) -> Column:
         return F.col(column).cast("double")
 
+    model.plain = True
     return model

@@ -134,11 +134,14 @@ def audit_rules(limits: RuleLimits, config: AuditConfig = AuditConfig()) -> list
     ]
 
 
+def rule_reasons(limits: RuleLimits, config: AuditConfig = AuditConfig()) -> Column:
+    """The messages of the rules that fire."""
+    return F.array_compact(F.array(*[F.when(r.fires, r.text) for r in audit_rules(limits, config)]))
+
+
 def apply_rules(features: DataFrame, limits: RuleLimits, config: AuditConfig = AuditConfig()) -> DataFrame:
     """Adds ``rule_score`` (0..100) and ``rule_reasons``. Unknown conditions do not fire."""
-    rules = audit_rules(limits, config)
-    score = sum((F.when(r.fires, r.points).otherwise(0) for r in rules), F.lit(0))
-    reasons = F.array_compact(F.array(*[F.when(r.fires, r.text) for r in rules]))
+    score = sum((F.when(r.fires, r.points).otherwise(0) for r in audit_rules(limits, config)), F.lit(0))
     return features.withColumns(
-        {"rule_score": F.least(F.lit(100), score), "rule_reasons": reasons}
+        {"rule_score": F.least(F.lit(100), score), "rule_reasons": rule_reasons(limits, config)}
     )

@@ -10,6 +10,10 @@ from spendaudit.config import AuditConfig
 from spendaudit.functions.text import encode_reasons, message, one_decimal, round_scaled
 
 
+#: Columns of texts; all of them follow from the columns of numbers.
+REASONS = ["rule_reasons", "risk_reasons", "primary_reason", "risk_reasons_json"]
+
+
 def statistical_score(config: AuditConfig = AuditConfig()) -> Column:
     """0..100 from the larger absolute z-score; no z-score means no statistical evidence."""
     z = F.coalesce(F.greatest(F.abs("sanc_robust_zscore"), F.abs("exp_robust_zscore")), F.lit(0.0))
@@ -82,10 +86,14 @@ def composite_scores(ruled: DataFrame, config: AuditConfig = AuditConfig()) -> D
             "has_strong_rule_evidence": rule >= 75,
             "has_strong_statistical_evidence": stat >= 70,
             "has_strong_ml_evidence": ml >= 95,
-            "risk_reasons": risk_reasons(config),
         }
     )
-    return df.withColumns(
+    return with_reasons(df, config)
+
+
+def with_reasons(scored: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
+    """Adds the explanation list, its first entry and its JSON text to scores with ``rule_reasons``."""
+    return scored.withColumn("risk_reasons", risk_reasons(config)).withColumns(
         {
             "primary_reason": F.element_at("risk_reasons", 1),
             "risk_reasons_json": encode_reasons(F.col("risk_reasons")),

@@ -23,8 +23,8 @@ from spendaudit.operators.monitors import (
     monitor_limits,
     overruns,
 )
-from spendaudit.operators.rules import apply_rules, rule_limits
-from spendaudit.operators.scoring import composite_scores
+from spendaudit.operators.rules import RuleLimits, apply_rules, rule_limits, rule_reasons
+from spendaudit.operators.scoring import REASONS, composite_scores, with_reasons
 from spendaudit.operators.summary import work_summary
 from spendaudit.session import materialize
 from spendaudit.sources.raw import load_raw
@@ -34,10 +34,14 @@ Model = Callable[[DataFrame, AuditConfig], Column]
 
 
 class Audit:
-    """Finished tables of one run, each computed and written once, when first asked for.
+    """Finished tables of one run, each made when first asked for.
 
     ``model`` gives the anomaly measure as a column over the features, which is computed once, when the
-    features are written; the isolation forest unless another one is given.
+    features are written; the isolation forest unless another one is given. A model marked ``plain`` costs nothing
+    to compute again, so its features are not written.
+
+    The written part of ``scored`` holds no texts: reasons and member ids are columns over it, made of its numbers where
+    they are asked for, so that a report of numbers does not put the reasons of all works into words.
     """
 
     def __init__(
@@ -56,18 +60,25 @@ class Audit:
     @cached_property
     def features(self) -> DataFrame:
         features = work_features(self.works, self.ledger, self.config)
-        return materialize(features.withColumn("raw_score", self.model(features, self.config)), "features")
+        measured = features.withColumn("raw_score", self.model(features, self.config))
+        return measured if getattr(self.model, "plain", False) else materialize(measured, "features")
+
+    @cached_property
+    def limits(self) -> RuleLimits:
+        return rule_limits(self.features, self.config)
 
     @cached_property
     def ruled(self) -> DataFrame:
-        return apply_rules(self.features, rule_limits(self.features, self.config), self.config)
+        return apply_rules(self.features, self.limits, self.config)
 
     @cached_property
     def scored(self) -> DataFrame:
         """Features with rule, model and composite columns and the member id."""
         modelled = self.ruled.withColumns(normalized_scores(self.features))
         scored = composite_scores(modelled.drop("raw_score"), self.config)
-        return materialize(with_defaults(scored), "scored")
+        stored = materialize(scored.drop(*REASONS), "scored")
+        told = with_reasons(stored.withColumn("rule_reasons", rule_reasons(self.limits, self.config)), self.config)
+        return with_defaults(told.select(scored.columns))
 
     @cached_property
     def duplicates(self) -> Duplicates:

@@ -55,6 +55,15 @@ def test_scan_reads_only_what_is_needed(spark):
     assert set(c.split(":")[0] for c in schema.split(",")) == {"parliament_house", "risk_score"}
 
 
+@needs_tables
+def test_reports_of_numbers_put_no_reasons_into_words(spark):
+    numbers, told = plan(entry.queries()["house_distribution"](spark, FOLDER)), entry.queries()["risk_reasons"](spark, FOLDER)
+    assert "format_number" not in numbers and "sha1" not in numbers
+    stored = {c for file in told.inputFiles() for c in spark.read.parquet(os.path.dirname(file)).columns}
+    assert "rule_score" in stored and not [c for c in stored if "reason" in c]  # the reasons are made of the stored numbers
+    assert told.filter("size(split(risk_reasons, ' [|] ')) > 1").count() > 0
+
+
 @needs_tables
 def test_plans_have_no_cross_joins_or_single_partition_windows(spark):
     works, ledger = bindings.works(spark, FOLDER), bindings.ledger(spark, FOLDER)
