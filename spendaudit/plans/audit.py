@@ -33,6 +33,14 @@ from spendaudit.sources.tables import data_quality, with_defaults, write_tables
 Model = Callable[[DataFrame, AuditConfig], Column]
 
 
+def scored_works(features: DataFrame, limits: RuleLimits, config: AuditConfig) -> DataFrame:
+    """Features with rule, model and composite columns; the numbers are written, the texts are columns over them."""
+    modelled = apply_rules(features, limits, config).withColumns(normalized_scores(features))
+    scored = composite_scores(modelled.drop("raw_score"), config)
+    stored = materialize(scored.drop(*REASONS), "scored")
+    return with_reasons(stored.withColumn("rule_reasons", rule_reasons(limits, config)), config).select(scored.columns)
+
+
 class Audit:
     """Finished tables of one run, each made when first asked for.
 
@@ -41,7 +49,8 @@ class Audit:
     to compute again, so its features are not written.
 
     The written part of ``scored`` holds no texts: reasons and member ids are columns over it, made of its numbers where
-    they are asked for, so that a report of numbers does not put the reasons of all works into words.
+    they are asked for, so that a report of numbers does not put the reasons of all works into words. ``monitored`` is not
+    written at all: a list of overruns computes no checks and estimates.
     """
 
     def __init__(
@@ -74,11 +83,7 @@ class Audit:
     @cached_property
     def scored(self) -> DataFrame:
         """Features with rule, model and composite columns and the member id."""
-        modelled = self.ruled.withColumns(normalized_scores(self.features))
-        scored = composite_scores(modelled.drop("raw_score"), self.config)
-        stored = materialize(scored.drop(*REASONS), "scored")
-        told = with_reasons(stored.withColumn("rule_reasons", rule_reasons(self.limits, self.config)), self.config)
-        return with_defaults(told.select(scored.columns))
+        return with_defaults(scored_works(self.features, self.limits, self.config))
 
     @cached_property
     def duplicates(self) -> Duplicates:
@@ -89,7 +94,7 @@ class Audit:
         """Scored works with duplicate flag, overrun, compliance and risk-estimate columns."""
         df = mark_duplicates(self.scored, self.duplicates.members)
         limits = monitor_limits(self.scored, self.config)
-        return materialize(estimates(compliance(overruns(df, limits), limits), limits), "monitored")
+        return estimates(compliance(overruns(df, limits), limits), limits)
 
     @cached_property
     def warnings(self) -> DataFrame:

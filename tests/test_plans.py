@@ -64,6 +64,13 @@ def test_reports_of_numbers_put_no_reasons_into_words(spark):
     assert told.filter("size(split(risk_reasons, ' [|] ')) > 1").count() > 0
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["overrun_list", "dossier_work", "work_records", "forest_risk_levels", "forest_reasons"])
+def test_no_texts_of_all_works_are_written_for_a_list(spark, name):
+    stored = {c for file in entry.queries()[name](spark, FOLDER).inputFiles() for c in spark.read.parquet(os.path.dirname(file)).columns}
+    assert "work_id" in stored and not stored & {"risk_reasons", "primary_reason", "delay_reason", "checks_passed"}
+
+
 @needs_tables
 def test_plans_have_no_cross_joins_or_single_partition_windows(spark):
     works, ledger = bindings.works(spark, FOLDER), bindings.ledger(spark, FOLDER)
