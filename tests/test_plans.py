@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from spendaudit import AuditConfig, session
+from spendaudit import AuditConfig, fixed_values as fixed, session
 from spendaudit.operators import duplicates, explore, features, payments
 from spendaudit.plans import bindings
 from spendaudit.plans.audit import Audit
@@ -118,6 +118,14 @@ def test_from_raw_exports_to_written_results(spark, tmp_path):
     assert done.scored.filter("is_unmatched_work and risk_score is null").count() == 0
 
 
+@needs_tables
+def test_only_the_exports_asked_for_are_written(spark, tmp_path):
+    bindings.write_raw_exports(spark, FOLDER, str(tmp_path), ["calamity"])
+    written = {(p.parent.parent.name, p.parent.name) for p in tmp_path.rglob("part-*")}
+    assert written == {(folder, fixed.RAW_FILES["calamity"]) for folder in fixed.RAW_FOLDERS.values()}
+    assert all(p.name.endswith(".csv.gz") for p in tmp_path.rglob("part-*"))
+
+
 def test_shared_folder(spark, monkeypatch):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert session.work_folder(spark).startswith(shared)
