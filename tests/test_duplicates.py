@@ -238,6 +238,16 @@ def test_all_similar_texts_meet(make_works, measure):
     assert ids(dup.pair_record(dup.similar_pairs(prepared, both))) == wanted
 
 
+def test_edits_of_long_texts_are_those_of_the_jvm(spark):
+    rng = np.random.default_rng(5)
+    sizes = [0, 1, 2, 5, 63, 64, 65, 300, 2000]
+    rows = [("".join(rng.choice(list("ab c"), rng.choice(sizes))), "".join(rng.choice(list("abd "), rng.choice(sizes)))) for _ in range(150)]
+    rows += [(x, x[: len(x) // 2] + "q" + x[len(x) // 2 + 2 :]) for x, _ in rows] + [("é" * 70 + "a", "a" + "é" * 70)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    wrong = df.select(dup.edits_of_long_texts("a", "b").alias("n"), dup.edits("a", "b", dup.F.lit(10_000)).alias("m")).filter("n <> m OR n IS NULL")
+    assert wrong.count() == 0
+
+
 def test_the_audit_compares_texts_in_the_jvm(make_works):
     rows = [{"work_id": f"w{i}", "work_description": f"Laying pipeline from school towards temple number zone{c}"} for i, c in enumerate("abc")]
     prepared = dup.materialize(dup.prepare(make_works(*rows)), "prepared")
