@@ -289,3 +289,45 @@ def test_pairs_of_nodes_are_formed_once_and_never_made_distinct(make_works, conf
     assert len(wanted) > 100 and len(found) == len(set(found)) and set(found) == wanted
     listed = dup.similar_pairs(prepared, config, briefs=False)
     assert listed.select("work_a.*").columns == ["work_id"] and listed.count() == len(wanted)
+
+
+def unlike_texts(n, size, rng):
+    """Texts with the same first four sorted words, a third of all words in common and the rest from a small vocabulary."""
+    shared, words = [f"aaa{i}" for i in range(size // 3)], [f"zone{i}x" for i in range(8 * size)]
+    return [" ".join([*shared, *rng.choice(words, size - len(shared), replace=False)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("measure", "meet"), [("words", "blocks"), ("words", "words"), ("edits", "blocks"), ("edits", "words")])
+@pytest.mark.parametrize("size", [60, 700])
+def test_texts_with_few_words_in_common_are_never_read_as_pairs(make_works, measure, meet, size):
+    rng = np.random.default_rng(2)
+    config = AuditConfig(text_measure=measure, meet=meet)
+    texts = unlike_texts(40, size, rng)
+    rows = [{"work_id": f"w{i:03d}", "work_description": x} for i, x in enumerate([*texts, texts[0] + " two more words"])]
+    prepared = dup.materialize(dup.prepare(make_works(*rows), config), "prepared")
+    met = dup.meeting_texts(prepared, config)
+    assert 1 <= met.count() <= 20  # of 820 pairs that agree in their first words
+    assert "normtext" not in met._jdf.queryExecution().executedPlan().toString()
+    assert ids(dup.pair_record(dup.similar_pairs(prepared, config))).keys() == {("w000", "w040")}
+
+
+@pytest.mark.parametrize("most", [8000, 3])
+def test_long_texts_in_parts_against_brute_force(make_works, monkeypatch, most):
+    """Sets of words on both sides of the sizes from which more bits are kept, around the least similarity, with repeated works."""
+    monkeypatch.setattr(dup, "PART_TEXTS", most)
+    rng = np.random.default_rng(4)
+    words = np.array([f"zone{i}x" for i in range(4000)])
+    rows = []
+    for size in (20, 490, 520, 1000, 1030):
+        base = rng.choice(words, size, replace=False)
+        for i in range(6):
+            text = [*base[rng.permutation(size)[: int(size * (1 - 0.05 * i))]], *rng.choice(words, int(size * 0.03 * i), replace=False)]
+            for day in (1, 40)[: 1 + i % 2]:
+                rows.append({
+                    "work_id": f"w{len(rows):03d}", "work_description": " ".join(text), "constituency": None,
+                    "sanctioned_amount": float(1000 * 1.02 ** (i % 4)), "sanction_date": D(2023, 1, 1) + dt.timedelta(days=day),
+                })
+    works = make_works(*rows)
+    config = AuditConfig(text_measure="words")
+    wanted = brute_of_all([r.asDict() for r in works.orderBy("row_order").collect()], "words")
+    assert len(wanted) > 20 and ids(dup.pair_record(dup.similar_pairs(dup.prepare(works, config), config, briefs=False))) == wanted
