@@ -331,3 +331,25 @@ def test_long_texts_in_parts_against_brute_force(make_works, monkeypatch, most):
     config = AuditConfig(text_measure="words")
     wanted = brute_of_all([r.asDict() for r in works.orderBy("row_order").collect()], "words")
     assert len(wanted) > 20 and ids(dup.pair_record(dup.similar_pairs(dup.prepare(works, config), config, briefs=False))) == wanted
+
+
+@pytest.mark.parametrize(("measure", "meet"), [("words", "words"), ("words", "blocks"), ("edits", "words")])
+def test_paired_works_are_found_without_their_pairs(make_works, monkeypatch, measure, meet):
+    """Points where all texts are similar and where only some are; works alone in their cell, beside others and on the limits; exact pairs."""
+    rng = np.random.default_rng(8)
+    base = [f"word{i:02d}x" for i in range(16)]
+    texts = [[*base[:i], f"new{i}", f"other{i}", *base[i + 2 :]] for i in range(0, 16, 2)] + [base, [*base[:15], "last"], [*base[:14], "new14", "next"]]
+    rows = [
+        {
+            "work_id": f"w{i:03d}", "work_description": " ".join(texts[rng.integers(0, len(texts))]), "mp_name": str(rng.choice(["M", "N"])), "constituency": [None, "C"][i % 2],
+            "sanctioned_amount": float(rng.choice([0.0, 950.0, 1000.0, 1052.0, 1110.0, 3000.0, 9000.0])), "sanction_date": D(2023, 1, 1) + dt.timedelta(days=int(rng.integers(0, 400))),
+        }
+        for i in range(260)
+    ]
+    config = AuditConfig(text_measure=measure, meet=meet)
+    prepared = dup.materialize(dup.prepare(make_works(*rows, {**rows[0], "work_id": "x"}), config), "prepared")
+    texts, some = dup._points(dup.similar_texts(prepared, config))
+    assert (some.count() > 0 or meet == "blocks") and texts.filter("all_alike").count() > 0
+    wanted = {r.work_id for r in dup.duplicate_ids(dup.find_duplicates(make_works(*rows, {**rows[0], "work_id": "x"}), config, briefs=False).members).collect()}
+    monkeypatch.setattr(dup, "similar_nodes", None)  # which lists the pairs
+    assert 10 < len(wanted) < 260 and {r.work_id for r in dup.paired_work_ids(prepared, config).collect()} == wanted
