@@ -353,3 +353,47 @@ def test_paired_works_are_found_without_their_pairs(make_works, monkeypatch, mea
     wanted = {r.work_id for r in dup.duplicate_ids(dup.find_duplicates(make_works(*rows, {**rows[0], "work_id": "x"}), config, briefs=False).members).collect()}
     monkeypatch.setattr(dup, "similar_nodes", None)  # which lists the pairs
     assert 10 < len(wanted) < 260 and {r.work_id for r in dup.paired_work_ids(prepared, config).collect()} == wanted
+
+
+def dense_works(make_works):
+    """Two texts a word apart, a third that is far from both, exact pairs and a batch; far more pairs than works."""
+    base = "culvert pipeline school temple drainage library wall yard"
+    texts = [f"{base} amber", f"{base} azure", "Bench; with other words than all of them"]
+    rows = [
+        {"work_id": f"w{i:03d}", "work_description": texts[i % 2], "sanctioned_amount": 1000.0 + i % 5, "sanction_date": D(2023, 1, 1) + dt.timedelta(days=i % 29)}
+        for i in range(150)
+    ]
+    rows += [{"work_id": f"x{i}", "work_description": texts[2], "sanctioned_amount": 5.0 + i // 2 % 2, "constituency": None} for i in range(7)]
+    return make_works(*rows, {"work_id": "n", "work_description": " "}, {"work_id": "m", "work_description": texts[0], "sanctioned_amount": None})
+
+
+def test_pairs_of_similar_works_are_written_nowhere(make_works, monkeypatch):
+    from spendaudit.plans import queries
+
+    works = dense_works(make_works)
+    found = dup.find_duplicates(works, queries.WORDS, briefs=False)
+    listed = {(r.a, r.b) for r in found.pairs.filter("tier = 'B'").selectExpr("work_a.work_id a", "work_b.work_id b").collect()}
+    best = {tuple(r) for r in dup.matches_per_work(found.pairs, found.members).select("work_id", "tier", "similarity_score", "matches").collect()}
+    summary = tuple(dup.duplicate_summary(found).first())
+    written, write = {}, dup.materialize
+
+    def recorded(df, name):
+        table = write(df, name)
+        written[name] = table.count()
+        return table
+
+    monkeypatch.setattr(dup, "materialize", recorded)
+    monkeypatch.setattr(queries.bindings, "similar_works", lambda spark, folder: works)
+    spark = works.sparkSession
+    pairs = [(r.id_a, r.id_b) for r in queries.similar_work_pairs(spark, "dense").collect()]
+    assert len(pairs) > 1000 and len(pairs) == len(listed) and set(pairs) == listed
+    assert {tuple(r) for r in queries.similar_work_matches(spark, "dense").collect()} == best
+    assert tuple(queries.similar_work_summary(spark, "dense").first()) == summary
+    assert written and max(written.values()) <= 2 * works.count()
+
+
+def test_repeated_descriptions_are_prepared_alike(make_works):
+    works = dense_works(make_works)
+    for config in (BLOCKS, AuditConfig(text_measure="words")):
+        once, each = dup.prepare(works, config, repeated=True), dup.prepare(works, config)
+        assert once.columns == each.columns and once.count() == 158 and once.exceptAll(each).count() == 0 and each.exceptAll(once).count() == 0
