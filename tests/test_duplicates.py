@@ -248,6 +248,27 @@ def test_edits_of_long_texts_are_those_of_the_jvm(spark):
     assert wrong.count() == 0
 
 
+def test_edits_of_many_long_texts_are_counted_side_by_side(spark, monkeypatch):
+    """Within and beyond the limit, for windows of one and of many words, in groups and one by one."""
+    from spendaudit.functions import edits
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for size in (40, 90, 700, 1500):
+        for _ in range(40):
+            text = list(rng.choice(list("abcdefghij "), size))
+            for at in rng.integers(0, size, rng.integers(0, size // 4)):
+                text[at] = str(rng.choice(["", "k", "lm", "a"]))
+            rows.append(("".join(rng.choice(list("abcdefghij "), size)) if rng.random() < 0.1 else "".join(text), "".join(text[: size // 3] + text[size // 3 + int(rng.integers(0, size // 8)) :]) + "xyz" * int(rng.integers(0, 9))))
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("most", dup.F.floor(dup.F.greatest(dup.F.length("a"), dup.F.length("b")) * 0.15)).repartition(2).persist()
+    for words, small in ((8, 0), (1, 0), (1, 10**9)):  # the last one counts pair by pair
+        monkeypatch.setattr(edits, "WORDS", words)
+        monkeypatch.setattr(edits, "SMALL_GROUP", small)
+        got = df.select("most", dup.edits_of_long_texts("a", "b").alias("n"), dup.edits_of_long_texts("a", "b", dup.F.col("most")).alias("limited"), dup.edits("a", "b", dup.F.lit(10_000)).alias("m")).collect()
+        assert all(r.n == r.m and r.limited == (r.m if r.m <= r.most else -1) for r in got)
+        assert {r.limited < 0 for r in got} == {True, False}
+
+
 def test_the_audit_compares_texts_in_the_jvm(make_works):
     rows = [{"work_id": f"w{i}", "work_description": f"Laying pipeline from school towards temple number zone{c}"} for i, c in enumerate("abc")]
     prepared = dup.materialize(dup.prepare(make_works(*rows)), "prepared")
