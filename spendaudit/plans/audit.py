@@ -33,12 +33,18 @@ from spendaudit.sources.tables import data_quality, with_defaults, write_tables
 Model = Callable[[DataFrame, AuditConfig], Column]
 
 
-def scored_works(features: DataFrame, limits: RuleLimits, config: AuditConfig) -> DataFrame:
-    """Features with rule, model and composite columns; the numbers are written, the texts are columns over them."""
+def scored_works(features: DataFrame, limits: RuleLimits, config: AuditConfig, stored: bool = True) -> DataFrame:
+    """Features with rule, model and composite columns; the numbers are written, the texts are columns over them.
+
+    Where written features are scored for one reading, ``stored=False`` leaves the numbers columns as well, instead of writing
+    all features a second time. The ranks, which need all works, are learned from the written features in either case.
+    """
     modelled = apply_rules(features, limits, config).withColumns(normalized_scores(features))
     scored = composite_scores(modelled.drop("raw_score"), config)
-    stored = materialize(scored.drop(*REASONS), "scored")
-    return with_reasons(stored.withColumn("rule_reasons", rule_reasons(limits, config)), config).select(scored.columns)
+    if not stored:
+        return scored
+    numbers = materialize(scored.drop(*REASONS), "scored")
+    return with_reasons(numbers.withColumn("rule_reasons", rule_reasons(limits, config)), config).select(scored.columns)
 
 
 class Audit:

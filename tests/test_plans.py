@@ -71,6 +71,29 @@ def test_no_texts_of_all_works_are_written_for_a_list(spark, name):
     assert "work_id" in stored and not stored & {"risk_reasons", "primary_reason", "delay_reason", "checks_passed"}
 
 
+@needs_tables
+def test_works_scored_by_the_forest_are_written_once(spark, monkeypatch):
+    from spendaudit.plans import audit, queries
+
+    written = []
+    for module in (audit, queries):
+        monkeypatch.setattr(module, "materialize", lambda df, name: written.append(name) or session.materialize(df, name))
+    queries._forest.cache_clear()
+    got = queries.forest_reasons(spark, FOLDER)
+    assert written == ["forest_features"] and got.filter("risk_reasons = ''").isEmpty() and got.count() > 1000
+    features = queries.audit(spark, FOLDER).features
+    limits = queries.rules.rule_limits(features, queries.CONFIG)
+    stored, columns = (audit.scored_works(features, limits, queries.CONFIG, stored=x) for x in (True, False))
+    assert stored.dtypes == columns.dtypes and stored.exceptAll(columns).isEmpty()
+
+
+@needs_tables
+def test_tables_between_steps_are_compressed(spark):
+    df = spark.range(50_000).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    files = session.materialize(df, "digests").inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
 @needs_tables
 def test_plans_have_no_cross_joins_or_single_partition_windows(spark):
     works, ledger = bindings.works(spark, FOLDER), bindings.ledger(spark, FOLDER)
