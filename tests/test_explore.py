@@ -203,3 +203,29 @@ def test_a_search_reads_the_folders_of_its_trigrams(spark):
     assert any("folder" in s[s.index("PartitionFilters") :].split("]")[0] and "In(gram" in s for s in scans)
     rarest = sorted(grams, key=lambda g: (counts[g], g))[:3]
     assert len({search.crc32(g.encode()) % search.FOLDERS for g in rarest}) <= 3 < len(files)
+
+
+def test_trigrams_are_stored_by_blocks_of_works(spark, monkeypatch):
+    import os
+
+    from spendaudit.operators import search
+
+    numbered = F.concat(F.lit("WS/MP"), F.col("id") % 97, F.lit("/1996/"), F.col("id").cast("string"))
+    rows = spark.range(4000).select(numbered.alias("work_id"), F.concat(F.lit("Construction of a culvert at place "), F.col("id") % 50).alias("work_description"))
+    rows = rows.unionByName(rows.limit(3)).unionByName(spark.createDataFrame([(None, "culvert"), ("W/none", None)], rows.schema)).coalesce(1)
+    texts = ("culvert at place 7", "/1996/12", "mp5/1996/10", "none", "culverts")
+    for characters in (search.BLOCK_CHARACTERS, 700):
+        monkeypatch.setattr(search, "BLOCK_CHARACTERS", characters)
+        table = search.trigram_table(rows)
+        for text in texts:
+            # rows without an id are in no table of trigrams
+            wanted = explore.contains_text(rows.filter("work_id IS NOT NULL"), text, table.columns)
+            assert sorted(search.search(rows, table, text).collect()) == sorted(wanted.collect()), text
+        counts = {r.gram: r.works for r in table.counts.collect()}
+        assert counts["cul"] == 4003 and counts["non"] == 1
+        if characters > 700:
+            # a row for each trigram and block, not one for each trigram of each work: some 30 bytes a work with its id
+            assert table.postings.count() == len(counts)
+            files = {f.removeprefix("file:") for f in table.postings.inputFiles()}
+            assert sum(os.path.getsize(f) for f in files) / 4000 < 200
+            assert table.postings.filter("gram = 'cul'").agg(F.sum(F.size("places"))).first()[0] == 4003
